@@ -19,6 +19,11 @@ from logweave.operators.parse import parse_entries
 from logweave.operators.search import search_entries, search_text
 from logweave.sources import render
 from logweave.sources.files import file_metadata as _file_metadata
+from logweave.sources.files import skip_registered as _skip_registered
+from logweave.operators import artifacts as AR
+from logweave.operators import codeindex as CI
+from logweave.operators import frames as FR
+from logweave.operators import resolve as RS
 
 # ----------------------------------------------------------------- test parameters
 LEVELS = ["error", "Warn"]
@@ -35,6 +40,7 @@ FILTER_PAGE_LIMIT = 500
 SEARCH_QUERY, SEARCH_LEVELS, SEARCH_LIMIT = "event 4", ["ERROR", "WARN"], 100
 DOC_TEXT = 'Token = "'
 DOC_REGEX = r'token\s*=\s*"[0-9a-f]{6}'
+REGISTERED_MIN_VALUE = 200   # files of users with such a signup count as registered (J6)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -205,6 +211,150 @@ def q_search_documents_regex(spark, sf_dir):
     return search_text(d, "text", DOC_REGEX, regex=True).select("doc_id", "lang", "n_chars")
 
 
+# ----------------------------------------------------------------- frames / code index
+
+def r3_sources(spark, sf_dir):
+    return render.part_sources(table(spark, sf_dir, "part"))
+
+
+def package_map(spark):
+    return spark.createDataFrame(render.R3_PACKAGE_MAP, "prefix string, repo string")
+
+
+def r1_frames(spark, sf_dir):
+    return FR.entry_frames(r1_entries(spark, sf_dir))
+
+
+def _frame_out():
+    return ["file_path", "entry_line", F.col("frame_pos").cast("long").alias("frame_pos"), "package",
+            "class_name", "method", "file_name", F.col("line_no").cast("long").alias("line_no"), "raw"]
+
+
+def q_frames(spark, sf_dir):
+    return r1_frames(spark, sf_dir).select(*_frame_out())
+
+
+def q_vendor_frames(spark, sf_dir):
+    f = r1_frames(spark, sf_dir)
+    return f.select(*_frame_out(), FR.is_vendor_frame("package", render.R3_VENDOR_PREFIXES).alias("is_vendor"))
+
+
+def q_class_index(spark, sf_dir):
+    ci = CI.class_index(r3_sources(spark, sf_dir))
+    return ci.select("repo_label", F.col("repo_order").cast("long").alias("repo_order"), "fqcn",
+                     "source_path", "line_count")
+
+
+def q_repo_stats(spark, sf_dir):
+    st = CI.repo_stats(r3_sources(spark, sf_dir))
+    return st.select("repo_label", F.col("repo_order").cast("long").alias("repo_order"), "file_count",
+                     "class_count")
+
+
+def _part_packages(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("org.example."), F.lower("p_type"), F.lit("."),
+                             F.lower(F.substring_index("p_name", " ", 1))).alias("package"))
+
+
+def q_resolve_packages(spark, sf_dir):
+    return CI.resolve_package(_part_packages(spark, sf_dir), package_map(spark))
+
+
+def _resolved(spark, sf_dir, with_sources=False):
+    src = r3_sources(spark, sf_dir)
+    return RS.resolve_frames(r1_frames(spark, sf_dir), CI.class_index(src), package_map(spark),
+                             sources=src if with_sources else None,
+                             vendor_prefixes=render.R3_VENDOR_PREFIXES)
+
+
+def q_resolve_frames(spark, sf_dir):
+    r = _resolved(spark, sf_dir)
+    return r.select("file_path", "entry_line", F.col("frame_pos").cast("long").alias("frame_pos"), "package",
+                    "class_name", F.col("line_no").cast("long").alias("line_no"), "resolved", "reason",
+                    "repo", "source_path", "repo_label")
+
+
+def q_resolution_counts(spark, sf_dir):
+    return RS.resolution_counts(_resolved(spark, sf_dir))
+
+
+def q_frame_snippets(spark, sf_dir):
+    r = _resolved(spark, sf_dir, with_sources=True).where(F.col("resolved"))
+    return r.select("file_path", "entry_line", F.col("frame_pos").cast("long").alias("frame_pos"),
+                    "source_path", F.col("line_no").cast("long").alias("line_no"), "snippet")
+
+
+def q_source_window(spark, sf_dir):
+    src = r3_sources(spark, sf_dir)
+    req = (_resolved(spark, sf_dir).where(F.col("resolved"))
+           .select("source_path", F.col("line_no").alias("line")))
+    w = RS.source_window(req, src, RS.WINDOW_CONTEXT)
+    return w.select("source_path", F.col("target_line").cast("long").alias("target_line"), "total_lines",
+                    F.col("start_line").cast("long").alias("start_line"),
+                    F.col("end_line").cast("long").alias("end_line"), "content")
+
+
+# ----------------------------------------------------------------- artifacts
+
+def r4_jars(spark, sf_dir):
+    return render.part_jar_rows(table(spark, sf_dir, "part"))
+
+
+def jar_versions(spark, sf_dir):
+    return AR.artifact_versions(AR.scan_artifacts(r4_jars(spark, sf_dir)))
+
+
+def q_artifact_versions(spark, sf_dir):
+    return jar_versions(spark, sf_dir)
+
+
+def q_package_versions(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    pk = p.select(F.concat(F.lit("org.example."), F.lower("p_type"), F.lit("."),
+                           F.regexp_replace("p_name", " ", "-")).alias("package"))
+    ov = spark.createDataFrame(render.R4_OVERRIDES, "prefix string, artifact_id string")
+    return AR.resolve_artifact_version(pk, ov, jar_versions(spark, sf_dir))
+
+
+def _r4_tags(spark, sf_dir):
+    """Release tags of the R4 jars: ``v{version}`` for even keys, else the bare version."""
+    j = AR.scan_artifacts(r4_jars(spark, sf_dir), keep=("k", "org"))
+    tag = F.when(F.col("k") % 2 == 0, F.concat(F.lit("v"), F.col("version"))).otherwise(F.col("version"))
+    return j.select("org", F.col("artifact_id").alias("repo"), tag.alias("tag"), "k", "path")
+
+
+def q_release_tags(spark, sf_dir):
+    versions = jar_versions(spark, sf_dir).select(F.col("artifact_id").alias("repo"), "version")
+    return AR.match_release_tags(versions, _r4_tags(spark, sf_dir).select("org", "repo", "tag"), render.R4_ORGS)
+
+
+def q_github_urls(spark, sf_dir):
+    t = _r4_tags(spark, sf_dir)
+    rel = F.concat(F.lit("src/main/java/P"), (F.col("k") % 50).cast("string"), F.lit(".java"))
+    return t.select("path", FR.github_url("org", "repo", "tag", rel, F.col("k") % 5).alias("url"))
+
+
+def q_packages_of_repo(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("org.example."), F.lower("p_type")).alias("package"))
+    repos = CI.resolve_package(p, package_map(spark)).where(F.col("repo").isNotNull())
+    return CI.packages_of_repo(package_map(spark), repos)
+
+
+def q_feature_repos(spark, sf_dir):
+    feats = spark.createDataFrame(render.FEATURES, "keyword string, repos array<string>")
+    kw = table(spark, sf_dir, "part").select(F.lower("p_type").alias("keyword"))
+    return CI.feature_repos(feats, kw).select("keyword", F.col("repo_pos").cast("long").alias("repo_pos"), "repo")
+
+
+def q_skip_registered(spark, sf_dir):
+    found = r1_lines(spark, sf_dir).select("file_path").distinct()
+    ev = table(spark, sf_dir, "events")
+    registered = ev.where((F.col("event_type") == "signup") & (F.col("value") > REGISTERED_MIN_VALUE)).select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.lit(".log")).alias("file_path"))
+    return _skip_registered(found, registered)
+
+
 QUERIES = {
     "entries_auto": q_entries_auto,
     "entries_layout": q_entries_layout,
@@ -233,4 +383,20 @@ QUERIES = {
     "search_files": q_search_files,
     "search_documents": q_search_documents,
     "search_documents_regex": q_search_documents_regex,
+    "frames": q_frames,
+    "vendor_frames": q_vendor_frames,
+    "class_index": q_class_index,
+    "repo_stats": q_repo_stats,
+    "resolve_packages": q_resolve_packages,
+    "resolve_frames": q_resolve_frames,
+    "resolution_counts": q_resolution_counts,
+    "frame_snippets": q_frame_snippets,
+    "source_window": q_source_window,
+    "artifact_versions": q_artifact_versions,
+    "package_versions": q_package_versions,
+    "release_tags": q_release_tags,
+    "github_urls": q_github_urls,
+    "packages_of_repo": q_packages_of_repo,
+    "feature_repos": q_feature_repos,
+    "skip_registered": q_skip_registered,
 }

@@ -201,3 +201,175 @@ SELECT doc_id, lang, n_chars FROM documents WHERE contains(lower(text), {_lit(C.
     "search_documents_regex": f"""
 SELECT doc_id, lang, n_chars FROM documents WHERE regexp_matches(text, {_lit('(?i)' + C.DOC_REGEX)})""",
 }
+
+
+# ----------------------------------------------------------------- frames / code index
+
+def _values(rows, cols) -> str:
+    body = ", ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) t({', '.join(cols)}))"
+
+
+from logweave.sources import render as _R  # noqa: E402
+
+PM = _values(_R.R3_PACKAGE_MAP, ["prefix", "repo"])
+
+FRAMES = R1 + """,
+fr AS (
+  SELECT file_path, line_number AS entry_line, CAST(0 AS BIGINT) AS frame_pos, 'org.example.' || y AS package,
+         'P' || P || CASE WHEN n % 2 = 1 THEN '$Nested' ELSE '' END AS class_name, 'handle' AS method,
+         'P' || P || '.java' AS file_name, CAST(n % 8 + 1 AS BIGINT) AS line_no,
+         'at org.example.' || y || '.P' || P || CASE WHEN n % 2 = 1 THEN '$Nested' ELSE '' END
+           || '.handle(P' || P || '.java:' || (n % 8 + 1) || ')' AS raw
+  FROM r1 WHERE et = 'error'
+  UNION ALL
+  SELECT file_path, line_number, CAST(1 AS BIGINT), 'net.other.lib', 'Util$Inner', 'call', 'Util.java',
+         CAST(n % 30 + 1 AS BIGINT), 'at net.other.lib.Util$Inner.call(Util.java:' || (n % 30 + 1) || ')'
+  FROM r1 WHERE et = 'error')"""
+
+FRAME_OUT = "file_path, entry_line, frame_pos, package, class_name, method, file_name, line_no, raw"
+
+CLASSES = """src AS (
+  SELECT p_partkey AS k, 'repo-' || ((p_partkey // 50) % 2) AS repo_label,
+         CAST((p_partkey // 50) % 2 AS BIGINT) AS repo_order,
+         'repo-' || ((p_partkey // 50) % 2) || '/m' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '/'
+           || CASE WHEN (p_partkey // 50) % 5 = 4 THEN 'target/' ELSE '' END
+           || 'src/P' || (p_partkey % 50) || '.java' AS source_path,
+         'org.example.' || lower(p_type) || '.P' || (p_partkey % 50) AS fqcn,
+         lower(p_type) AS ptype,
+         (p_partkey // 50) % 5 = 4 AS excluded
+  FROM part),
+ci AS (
+  SELECT repo_label, repo_order, fqcn, min(source_path) AS source_path, arg_min(k, source_path) AS k,
+         arg_min(ptype, source_path) AS ptype, CAST(8 AS BIGINT) AS line_count
+  FROM src WHERE NOT excluded GROUP BY repo_label, repo_order, fqcn)"""
+
+RESOLVED = FRAMES + ",\n" + CLASSES + f""",
+pm AS {PM},
+rp AS (
+  SELECT f.package, arg_max(pm.repo, length(pm.prefix)) AS repo
+  FROM (SELECT DISTINCT package FROM fr) f JOIN pm ON starts_with(f.package, pm.prefix) GROUP BY f.package),
+cand AS (
+  SELECT f.file_path, f.entry_line, f.frame_pos, ci.repo_label, ci.source_path, ci.k, ci.ptype,
+         row_number() OVER (PARTITION BY f.file_path, f.entry_line, f.frame_pos
+                            ORDER BY ci.repo_order,
+                                     CASE WHEN ci.fqcn = f.package || '.' || f.class_name THEN 0 ELSE 1 END) AS r
+  FROM fr f JOIN ci ON ci.fqcn = f.package || '.' || f.class_name
+                    OR ci.fqcn = f.package || '.' || split_part(f.class_name, '$', 1)),
+best AS (SELECT * FROM cand WHERE r = 1),
+res AS (
+  SELECT fr.*,
+         (fr.package = 'org.example' OR starts_with(fr.package, 'org.example.')) AS vendor,
+         rp.repo AS mapped, best.source_path AS hit_path, best.repo_label AS hit_label, best.k, best.ptype
+  FROM fr LEFT JOIN rp USING (package)
+          LEFT JOIN best USING (file_path, entry_line, frame_pos)),
+rf AS (
+  SELECT file_path, entry_line, frame_pos, package, class_name, line_no, k, ptype,
+         vendor AND mapped IS NOT NULL AND hit_path IS NOT NULL AS resolved,
+         CASE WHEN NOT vendor THEN 'non_wso2_frame' WHEN mapped IS NULL THEN 'no_repo_mapping'
+              WHEN hit_path IS NULL THEN 'class_not_found_in_registered_repos' END AS reason,
+         CASE WHEN vendor THEN mapped END AS repo,
+         CASE WHEN vendor AND mapped IS NOT NULL THEN hit_path END AS source_path,
+         CASE WHEN vendor AND mapped IS NOT NULL THEN hit_label END AS repo_label
+  FROM res),
+rl AS (
+  SELECT rf.*, ['package org.example.' || ptype || ';', '',
+                '// part ' || k || ' line 3', '// part ' || k || ' line 4', '// part ' || k || ' line 5',
+                '// part ' || k || ' line 6', '// part ' || k || ' line 7', '// part ' || k || ' line 8'] AS lines
+  FROM rf WHERE resolved)"""
+
+JARS = """jars AS (
+  SELECT p_partkey AS k, replace(p_name, ' ', '-') AS name,
+         CASE WHEN p_partkey % 3 = 0 THEN 'org-a' ELSE 'org-b' END AS org,
+         'lib/' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '/' || replace(p_name, ' ', '-')
+           || CASE p_partkey % 4 WHEN 0 THEN '-' || p_size || '.' || (p_partkey % 10) || '.0.jar'
+                                 WHEN 1 THEN '_' || p_size || '.0.0.jar'
+                                 WHEN 2 THEN '_' || p_size || '.0.0.rc' || (p_partkey % 9) || '_' || (p_partkey % 3 + 1) || '.jar'
+                                 ELSE '.jar' END AS path,
+         CASE p_partkey % 4 WHEN 0 THEN p_size || '.' || (p_partkey % 10) || '.0'
+                            WHEN 1 THEN p_size || '.0.0'
+                            WHEN 2 THEN p_size || '.0.0.rc' || (p_partkey % 9) || '.' || (p_partkey % 3 + 1) END AS version
+  FROM part),
+av AS (SELECT name AS artifact_id, arg_min(version, path) AS version, min(path) AS path
+       FROM jars WHERE version IS NOT NULL GROUP BY name)"""
+
+ORACLES.update({
+    "frames": _with(FRAMES, f"SELECT {FRAME_OUT} FROM fr"),
+    "vendor_frames": _with(FRAMES, f"""
+SELECT {FRAME_OUT}, (package = 'org.example' OR starts_with(package, 'org.example.')) AS is_vendor FROM fr"""),
+    "class_index": _with(CLASSES, "SELECT repo_label, repo_order, fqcn, source_path, line_count FROM ci"),
+    "repo_stats": _with(CLASSES, """
+SELECT repo_label, repo_order, count(*) AS file_count, count(DISTINCT fqcn) AS class_count
+FROM src WHERE NOT excluded GROUP BY ALL"""),
+    "resolve_packages": f"""
+WITH pk AS (SELECT DISTINCT 'org.example.' || lower(p_type) || '.' || lower(split_part(p_name, ' ', 1)) AS package
+            FROM part),
+pm AS {PM},
+best AS (SELECT pk.package, arg_max(pm.repo, length(pm.prefix)) AS repo, arg_max(pm.prefix, length(pm.prefix)) AS mp
+         FROM pk JOIN pm ON starts_with(pk.package, pm.prefix) GROUP BY pk.package)
+SELECT pk.package, best.repo, best.mp AS matched_prefix FROM pk LEFT JOIN best USING (package)""",
+    "resolve_frames": _with(RESOLVED, """
+SELECT file_path, entry_line, frame_pos, package, class_name, line_no, resolved, reason, repo, source_path,
+       repo_label FROM rf"""),
+    "resolution_counts": _with(RESOLVED, """
+SELECT file_path, entry_line, count(*) FILTER (WHERE resolved) AS resolved_count, count(*) AS total_count
+FROM rf GROUP BY ALL"""),
+    "frame_snippets": _with(RESOLVED, """
+SELECT file_path, entry_line, frame_pos, source_path, line_no,
+       array_to_string(list_slice(lines, greatest(1, line_no - 5), least(8, line_no + 5)), chr(10)) || chr(10)
+         AS snippet
+FROM rl"""),
+    "source_window": _with(RESOLVED, """
+SELECT DISTINCT source_path, line_no AS target_line, CAST(8 AS BIGINT) AS total_lines,
+       CAST(greatest(0, line_no - 11) + 1 AS BIGINT) AS start_line, CAST(least(8, line_no + 10) AS BIGINT) AS end_line,
+       array_to_string(list_slice(lines, greatest(0, line_no - 11) + 1, least(8, line_no + 10)), chr(10)) AS content
+FROM rl"""),
+    "artifact_versions": _with(JARS, "SELECT artifact_id, version, path FROM av"),
+    "package_versions": _with(JARS, f""",
+pk AS (SELECT DISTINCT 'org.example.' || lower(p_type) || '.' || replace(p_name, ' ', '-') AS package FROM part),
+ov AS {_values(_R.R4_OVERRIDES, ["prefix", "artifact_id"])},
+s2 AS (SELECT pk.package, arg_max(ov.artifact_id, length(ov.prefix)) AS a
+       FROM pk JOIN ov ON starts_with(pk.package, ov.prefix) GROUP BY pk.package),
+s2j AS (SELECT s2.package, s2.a AS a2, av.version AS v2 FROM s2 JOIN av ON av.artifact_id = s2.a),
+s3r AS (SELECT pk.package, av.artifact_id, av.version,
+               row_number() OVER (PARTITION BY pk.package ORDER BY length(av.artifact_id) DESC, av.artifact_id) AS r
+        FROM pk JOIN av ON contains(lower(pk.package), lower(av.artifact_id))),
+s3 AS (SELECT package, artifact_id AS a3, version AS v3 FROM s3r WHERE r = 1)
+SELECT package, coalesce(a2, a3) AS artifact_id, coalesce(v2, v3) AS version,
+       CASE WHEN a2 IS NOT NULL THEN 'override' WHEN a3 IS NOT NULL THEN 'fuzzy' END AS rule
+FROM pk LEFT JOIN s2j USING (package) LEFT JOIN s3 USING (package)"""),
+    "release_tags": _with(JARS, """,
+tg AS (SELECT org, name AS repo, CASE WHEN k % 2 = 0 THEN 'v' || version ELSE version END AS tag
+       FROM jars WHERE version IS NOT NULL),
+cand AS (SELECT artifact_id AS repo, version, 'v' || version AS tag, 0 AS pos FROM av
+         UNION ALL SELECT artifact_id, version, version, 1 FROM av),
+hits AS (SELECT c.repo, c.version, t.org, t.tag,
+                row_number() OVER (PARTITION BY c.repo, c.version
+                                   ORDER BY CASE t.org WHEN 'org-a' THEN 1 ELSE 2 END, c.pos) AS r
+         FROM cand c JOIN tg t ON t.repo = c.repo AND t.tag = c.tag)
+SELECT av.artifact_id AS repo, av.version, h.org, h.tag
+FROM av LEFT JOIN (SELECT * FROM hits WHERE r = 1) h ON h.repo = av.artifact_id AND h.version = av.version"""),
+    "github_urls": _with(JARS, """
+SELECT path, 'https://github.com/' || org || '/' || name || '/blob/'
+             || CASE WHEN k % 2 = 0 THEN 'v' || version ELSE 'v' || version END
+             || '/src/main/java/P' || (k % 50) || '.java'
+             || CASE WHEN k % 5 = 0 THEN '' ELSE '#L' || (k % 5) END AS url
+FROM jars WHERE version IS NOT NULL"""),
+    "packages_of_repo": f"""
+WITH pk AS (SELECT DISTINCT 'org.example.' || lower(p_type) AS package FROM part),
+pm AS {PM},
+rp AS (SELECT DISTINCT arg_max(pm.repo, length(pm.prefix)) AS repo
+       FROM pk JOIN pm ON starts_with(pk.package, pm.prefix) GROUP BY pk.package)
+SELECT pm.repo, pm.prefix FROM pm JOIN rp USING (repo)""",
+    "feature_repos": f"""
+WITH f AS (SELECT * FROM (VALUES {", ".join("(" + _lit(k) + ", [" + ", ".join(_lit(r) for r in v) + "])" for k, v in _R.FEATURES)}) t(keyword, repos)),
+kw AS (SELECT DISTINCT lower(p_type) AS keyword FROM part)
+SELECT f.keyword, CAST(u.pos - 1 AS BIGINT) AS repo_pos, u.repo
+FROM f JOIN kw USING (keyword),
+     LATERAL (SELECT unnest(f.repos) AS repo, unnest(range(1, len(f.repos) + 1)) AS pos) u""",
+    "skip_registered": """
+SELECT DISTINCT 'user-' || user_id || '.log' AS file_path FROM events
+EXCEPT
+SELECT DISTINCT 'user-' || user_id || '.log' FROM events
+WHERE event_type = 'signup' AND value > """ + str(C.REGISTERED_MIN_VALUE),
+})

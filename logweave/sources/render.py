@@ -125,9 +125,9 @@ def event_lines_layout(events: DataFrame) -> DataFrame:
 def part_sources(part: DataFrame) -> DataFrame:
     """One Java source file per part row, as whole text.
 
-    ``source_files(repo_label, repo_path, repo_order, source_path, text)``; the
-    path is relative to the repository root; ``target/`` paths are produced on
-    purpose (the indexer must skip them).
+    ``source_files(repo_label, repo_path, repo_order, source_path, text)``;
+    ``source_path`` starts with the repository root; ``target/`` paths are
+    produced on purpose (the indexer must skip them).
     """
     k = F.col("p_partkey")
     order = ((k / 50).cast("long") % 2).cast("int")
@@ -140,11 +140,10 @@ def part_sources(part: DataFrame) -> DataFrame:
                                          lambda i: F.concat(F.lit("// part "), _s(k), F.lit(" line "), _s(i))))
     text = F.concat(F.lit("package "), pkg, F.lit(";\n\n"), body, F.lit("\n"))
     return part.select(label.alias("repo_label"), label.alias("repo_path"), order.alias("repo_order"),
-                       rel.alias("source_path"), text.alias("text"))
+                       F.concat(label, F.lit("/"), rel).alias("source_path"), text.alias("text"))
 
 
-def part_jar_paths(part: DataFrame) -> DataFrame:
-    """``jars(path)`` — one jar file name per part row."""
+def _jar_path() -> Column:
     k = F.col("p_partkey")
     name = F.regexp_replace("p_name", " ", "-")
     size = _s("p_size")
@@ -153,4 +152,35 @@ def part_jar_paths(part: DataFrame) -> DataFrame:
          .when(k % 4 == 2, F.concat(name, F.lit("_"), size, F.lit(".0.0.rc"), _s(k % 9), F.lit("_"),
                                     _s(k % 3 + 1), F.lit(".jar")))
          .otherwise(F.concat(name, F.lit(".jar"))))
-    return part.select(F.concat(F.lit("lib/"), F.lpad(_s(k), 8, "0"), F.lit("/"), f).alias("path"))
+    return F.concat(F.lit("lib/"), F.lpad(_s(k), 8, "0"), F.lit("/"), f)
+
+
+def part_jar_paths(part: DataFrame) -> DataFrame:
+    """``jars(path)`` - one jar file name per part row."""
+    return part.select(_jar_path().alias("path"))
+
+
+def part_jar_rows(part: DataFrame) -> DataFrame:
+    """R4 with the columns the tag and URL tests use: ``path``, ``k``,
+    ``name`` (the jar's base name), ``org``."""
+    k = F.col("p_partkey")
+    return part.select(_jar_path().alias("path"), k.alias("k"),
+                       F.regexp_replace("p_name", " ", "-").alias("name"),
+                       F.when(k % 3 == 0, F.lit("org-a")).otherwise(F.lit("org-b")).alias("org"))
+
+
+# Fixed values of the R3/R4 look-up tests (dims given by the caller).
+R4_OVERRIDES = [
+    ("org.example.promo", "blue-gear"),
+    ("org.example.large.hot-rod", "no-such-jar"),
+    ("org.example.s", "red-ring"),
+]
+R4_ORGS = ["org-a", "org-b"]
+FEATURES = [
+    ("economy", ["r-economy"]),
+    ("large", ["r-large"]),
+    ("medium", ["r-medium", "r-me"]),
+    ("promo", ["r-promo"]),
+    ("small", ["r-small"]),
+]
+
