@@ -224,7 +224,8 @@ def detect_format(lines: DataFrame, window: int = 30) -> DataFrame:
              .groupBy("file_path")
              .agg(F.min(F.when(kind.isNotNull(), F.struct(F.col("line_number"), kind.alias("k"))))
                   .alias("first")))
-    names = F.array(*[F.lit(k) for k in AUTO_KINDS])
-    return first.select(
-        "file_path",
-        F.coalesce(F.element_at(names, F.col("first.k") + 1), F.lit(DEFAULT_DETECTED)).alias("format"))
+    k = F.col("first.k")
+    name = None
+    for i, kind_name in enumerate(AUTO_KINDS):
+        name = F.when(k == i, F.lit(kind_name)) if name is None else name.when(k == i, F.lit(kind_name))
+    return first.select("file_path", name.otherwise(F.lit(DEFAULT_DETECTED)).alias("format"))
