@@ -32,8 +32,7 @@ def read_sources(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame
     """
     out = None
     for order, (label, root) in enumerate(repos):
-        df = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*.java").text(root)
+        df = (spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.java")
               .select(F.lit(label).alias("repo_label"), F.lit(root).alias("repo_path"),
                       F.lit(order).alias("repo_order"),
                       F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text")))
@@ -45,14 +44,14 @@ def read_sources(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame
 
 def load_map_json(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """A JSON object ``{key: "value", ...}`` as rows; ``_comment`` skipped."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
     return m.where(F.col(key) != "_comment")
 
 
 def load_features_json(spark: SparkSession, path: str) -> DataFrame:
     """``{keyword: [repo, ...]}`` as ``features(keyword, repos)``."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("keyword", "_v"))
     return (m.where(F.col("keyword") != "_comment")
             .select("keyword", F.from_json("_v", "array<string>").alias("repos"))

@@ -53,11 +53,7 @@ def read_files_as_text(spark: SparkSession, paths, recursive: bool = False,
                        glob: str | None = None) -> DataFrame:
     """Whole files as one row each ``(file_path, text)`` (small files only,
     such as source code)."""
-    reader = spark.read.option("wholetext", "true")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("file_path"),
+    return spark.read.text(paths, wholetext=True, recursiveFileLookup=recursive or None,
+                           pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file_path"),
                                      F.col("value").alias("text"))
