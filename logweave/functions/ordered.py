@@ -6,7 +6,9 @@ cut every ordered sequence into fixed-size chunks:
 
 1. inside a chunk, a window partitioned by ``(keys, chunk)`` gives the running
    value (the chunk bounds the window's size);
-2. per chunk, one aggregated row is produced (a partial aggregation, tiny);
+2. per chunk, one aggregated row is produced from the output of step 1, so
+   both branches read the same shuffle (the input is scanned and shuffled
+   once; Spark reuses the exchange);
 3. a window over those chunk rows (one row per chunk, not per line) gives the
    value carried in from earlier chunks;
 4. the carry table is joined back on ``(keys, chunk)``.  It has one row per
@@ -29,26 +31,32 @@ def chunked_running(df: DataFrame, keys: list[str], chunk: str, order: str, valu
     """Add ``out`` = running ``sum`` or ``max`` of ``value`` over rows of the same
     ``keys`` ordered by ``order`` (rows of lower ``chunk`` come first).
 
-    ``inclusive`` counts the current row.  ``max`` ignores nulls; ``sum``
-    treats null as 0.  ``chunk`` must be a non-decreasing function of
-    ``order`` inside a key.
+    ``inclusive`` counts the current row (``max`` is always inclusive).
+    ``max`` ignores nulls; ``sum`` needs non-negative values (null counts as
+    0).  ``chunk`` must be a non-decreasing function of ``order`` inside a key.
     """
     if how not in ("sum", "max"):
         raise ValueError("how must be 'sum' or 'max'")
+    if how == "max" and not inclusive:
+        raise ValueError("an exclusive running max is not supported")
     agg = F.sum if how == "sum" else F.max
-    last = 0 if inclusive else -1
+    v = F.col(value) if how == "max" else F.coalesce(F.col(value), F.lit(0))
     w_in = (Window.partitionBy(*keys, chunk).orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, last))
-    with_in = df.withColumn(IN_CHUNK, agg(F.col(value)).over(w_in))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    with_in = df.withColumn(IN_CHUNK, agg(v).over(w_in))
 
-    totals = df.groupBy(*keys, chunk).agg(agg(F.col(value)).alias("_chunk_total"))
+    # the chunk total is the largest inclusive running value (monotone), so
+    # this aggregate reads the window's output and shares its exchange
+    totals = with_in.groupBy(*keys, chunk).agg(F.max(IN_CHUNK).alias("_chunk_total"))
     w_carry = (Window.partitionBy(*keys).orderBy(chunk)
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = totals.select(*keys, chunk, agg("_chunk_total").over(w_carry).alias(CARRY))
 
     joined = with_in.join(carry, on=[*keys, chunk], how="left")
     if how == "sum":
-        res = F.coalesce(F.col(CARRY), F.lit(0)) + F.coalesce(F.col(IN_CHUNK), F.lit(0))
+        res = F.coalesce(F.col(CARRY), F.lit(0)) + F.col(IN_CHUNK)
+        if not inclusive:
+            res = res - v
     else:
         res = F.greatest(F.col(CARRY), F.col(IN_CHUNK))
     return joined.withColumn(out, res).drop(CARRY, IN_CHUNK)

@@ -73,3 +73,15 @@ def first_match(c, pattern: str, group: int = 0) -> Column:
     """``regexp_extract`` that yields null (not '') when there is no match."""
     c = col_of(c)
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+
+
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal for ``s`` (backslashes and quotes escaped),
+    used when a large expression is built as SQL text: one JVM call instead of
+    one per function."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_py_strip(expr: str) -> str:
+    """SQL text of ``py_strip``."""
+    return f"btrim({expr}, {sql_str(PY_WHITESPACE)})"

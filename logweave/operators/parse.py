@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.ordered import chunked_running
-from logweave.functions.text import (empty_to_null, is_blank, py_strip, short_logger,
-                                     timestamp_ms)
+from logweave.functions.text import TS_MS_SHAPE, sql_py_strip, sql_str
 from logweave.operators.formats import (ENTRY_FIELDS, LogFormat, format_catalog,
                                         layout_to_regex)
 
@@ -48,11 +47,9 @@ ENTRY_COLUMNS = ["file_path", "line_number", "raw", "timestamp", "timestamp_ms",
                  "logger", "logger_short", "message", "thread", "tenant_domain", "tid",
                  "app_name", "correlation_id", "stack_trace", "has_stack_trace"]
 
-def _null_str() -> Column:
-    return F.lit(None).cast("string")
-
-
 # ----------------------------------------------------------------- header parsers
+# The per-line expression is built as SQL text (one JVM call) rather than
+# through hundreds of Column calls; it is the same Catalyst expression.
 
 class _Parser:
     """One header regex and how its groups become entry fields."""
@@ -60,23 +57,24 @@ class _Parser:
     def __init__(self, regex: str, groups: dict, layout: bool):
         self.regex, self.groups, self.layout = regex, groups, layout
 
-    def fields(self, value: Column) -> dict:
-        raw = {f: F.regexp_extract(value, self.regex, g) for f, g in self.groups.items()}
+    def fields_sql(self) -> dict:
+        rx = sql_str(self.regex)
+        raw = {f: f"regexp_extract(value, {rx}, {g})" for f, g in self.groups.items()}
         out = {}
         if self.layout:
             # a captured empty text is null, a blank-only capture is ''
-            got = {f: F.when(c == "", _null_str()).otherwise(py_strip(c)) for f, c in raw.items()}
+            got = {f: f"CASE WHEN {c} = '' THEN NULL ELSE {sql_py_strip(c)} END" for f, c in raw.items()}
             for f in ENTRY_FIELDS:
-                out[f] = got.get(f, _null_str())
-            out["level"] = F.upper(F.coalesce(empty_to_null(out["level"]), F.lit("INFO")))
-            out["logger"] = F.coalesce(out["logger"], F.lit(""))
-            out["message"] = F.coalesce(out["message"], F.lit(""))
+                out[f] = got.get(f, "CAST(NULL AS STRING)")
+            out["level"] = f"upper(coalesce(nullif({out['level']}, ''), 'INFO'))"
+            out["logger"] = f"coalesce({out['logger']}, '')"
+            out["message"] = f"coalesce({out['message']}, '')"
         else:
             for f in ENTRY_FIELDS:
-                out[f] = py_strip(raw[f]) if f in raw else _null_str()
-            out["level"] = F.upper(out["level"])
-            out["tid"] = empty_to_null(out["tid"])
-            out["app_name"] = empty_to_null(out["app_name"])
+                out[f] = sql_py_strip(raw[f]) if f in raw else "CAST(NULL AS STRING)"
+            out["level"] = f"upper({out['level']})"
+            out["tid"] = f"nullif({out['tid']}, '')"
+            out["app_name"] = f"nullif({out['app_name']}, '')"
         return out
 
 
@@ -102,7 +100,6 @@ def parse_lines(lines: DataFrame, layout: str | None = None, format_col: str | N
       falls back to auto parsing (S5).
     * otherwise auto parsing (P3): TID, then bracket, then basic, on every line.
     """
-    value = F.col("value")
     parsers: list[_Parser] = []
     if layout is not None:
         p = _layout_parser(layout)
@@ -118,40 +115,37 @@ def parse_lines(lines: DataFrame, layout: str | None = None, format_col: str | N
                     choices.append((fid, p))
 
     # which parser recognises the line (index into `parsers`), else null
-    hk = None
+    whens = []
     for fid, p in choices:
         parsers.append(p)
-        k = len(parsers) - 1
-        cond = value.rlike(p.regex)
+        cond = f"value RLIKE {sql_str(p.regex)}"
         if fid is not None:
-            cond = (F.col(format_col) == F.lit(fid)) & cond
-        hk = F.when(cond, F.lit(k)) if hk is None else hk.when(cond, F.lit(k))
+            cond = f"`{format_col}` = {sql_str(fid)} AND {cond}"
+        whens.append(f"WHEN {cond} THEN {len(parsers) - 1}")
     if fallback_auto:
-        known = None
+        known = ""
         if format_col is not None and choices:
-            known = F.col(format_col).isin([fid for fid, _ in choices])
+            ids = ", ".join(sql_str(fid) for fid, _ in choices)
+            known = f"coalesce(NOT `{format_col}` IN ({ids}), true) AND "
         for p in _auto_parsers():
             parsers.append(p)
-            k = len(parsers) - 1
-            cond = value.rlike(p.regex)
-            if known is not None:
-                cond = F.coalesce(~known, F.lit(True)) & cond
-            hk = F.when(cond, F.lit(k)) if hk is None else hk.when(cond, F.lit(k))
-
-    df = lines.withColumn("_hk", hk if hk is not None else F.lit(None).cast("int"))
-    kind = (F.when(F.col("_hk").isNotNull(), F.lit("h"))
-            .when(value.rlike(STACK_RE), F.lit("s"))
-            .when(~is_blank(value), F.lit("c")))
-    per_parser = [p.fields(value) for p in parsers]
-    header_fields = []
+            whens.append(f"WHEN {known}value RLIKE {sql_str(p.regex)} THEN {len(parsers) - 1}")
+    hk = f"CASE {' '.join(whens)} END" if whens else "CAST(NULL AS INT)"
+
+    kind = (f"CASE WHEN _hk IS NOT NULL THEN 'h' WHEN value RLIKE {sql_str(STACK_RE)} THEN 's' "
+            f"WHEN {sql_py_strip('value')} <> '' THEN 'c' END")
+    per_parser = [p.fields_sql() for p in parsers]
+    members = []
     for f in ENTRY_FIELDS:
-        expr = None
-        for k, fields in enumerate(per_parser):
-            cond = F.col("_hk") == F.lit(k)
-            expr = F.when(cond, fields[f]) if expr is None else expr.when(cond, fields[f])
-        header_fields.append((expr if expr is not None else _null_str()).alias(f))
-    header = F.when(F.col("_hk").isNotNull(), F.struct(*header_fields))
-    return df.withColumn("kind", kind).withColumn("header", header).drop("_hk")
+        if per_parser:
+            cases = " ".join(f"WHEN {k} THEN {fields[f]}" for k, fields in enumerate(per_parser))
+            members.append(f"'{f}', CASE _hk {cases} END")
+        else:
+            members.append(f"'{f}', CAST(NULL AS STRING)")
+    header = f"CASE WHEN _hk IS NOT NULL THEN named_struct({', '.join(members)}) END"
+    return (lines.selectExpr("*", f"{hk} AS _hk")
+            .selectExpr("*", f"{kind} AS kind", f"{header} AS header")
+            .drop("_hk"))
 
 
 # ----------------------------------------------------------------- P7 assembly
@@ -176,32 +170,32 @@ def assemble_entries(parsed: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataF
     x = x.where(F.col("entry_line").isNotNull())          # orphans before the first header
 
     e = x.groupBy("file_path", "entry_line").agg(
-        F.max(F.when(F.col("kind") == "h", F.struct(F.col("value").alias("raw"), "header"))).alias("h"),
-        F.collect_list(F.when(F.col("kind") != "h", F.struct("line_number", "kind", "value")))
-        .alias("body"),
-        F.max(F.col("kind") == "s").alias("has_stack"),
+        F.expr("max(CASE WHEN kind = 'h' THEN named_struct('raw', value, 'header', header) END)").alias("h"),
+        F.expr("collect_list(CASE WHEN kind <> 'h' THEN named_struct('line_number', line_number, "
+               "'kind', kind, 'value', value) END)").alias("body"),
+        F.expr("max(kind = 's')").alias("has_stack"),
     )
-    body = F.array_sort(F.col("body"))
-    stack = F.transform(F.filter(body, lambda b: b["kind"] == "s"), lambda b: b["value"])
-    conts = F.transform(F.filter(body, lambda b: b["kind"] == "c"), lambda b: b["value"])
-    h = F.col("h.header")
-    return e.select(
+    ts_shape = sql_str(TS_MS_SHAPE)
+    return e.selectExpr(
         "file_path",
-        F.col("entry_line").alias("line_number"),
-        F.col("h.raw").alias("raw"),
-        h["timestamp"].alias("timestamp"),
-        timestamp_ms(h["timestamp"]).alias("timestamp_ms"),
-        h["level"].alias("level"),
-        h["logger"].alias("logger"),
-        short_logger(h["logger"]).alias("logger_short"),
-        F.concat_ws("\n", h["message"], conts).alias("message"),
-        h["thread"].alias("thread"),
-        h["tenant_domain"].alias("tenant_domain"),
-        h["tid"].alias("tid"),
-        h["app_name"].alias("app_name"),
-        h["correlation_id"].alias("correlation_id"),
-        F.when(F.col("has_stack"), stack).alias("stack_trace"),
-        F.col("has_stack").alias("has_stack_trace"),
+        "entry_line AS line_number",
+        "h.raw AS raw",
+        "h.header.timestamp AS timestamp",
+        f"CASE WHEN h.header.timestamp RLIKE {ts_shape} "
+        "THEN unix_millis(try_cast(replace(h.header.timestamp, ',', '.') AS TIMESTAMP)) END AS timestamp_ms",
+        "h.header.level AS level",
+        "h.header.logger AS logger",
+        "substring_index(h.header.logger, '.', -1) AS logger_short",
+        "concat_ws('\\n', h.header.message, "
+        "transform(filter(array_sort(body), b -> b.kind = 'c'), b -> b.value)) AS message",
+        "h.header.thread AS thread",
+        "h.header.tenant_domain AS tenant_domain",
+        "h.header.tid AS tid",
+        "h.header.app_name AS app_name",
+        "h.header.correlation_id AS correlation_id",
+        "CASE WHEN has_stack THEN transform(filter(array_sort(body), b -> b.kind = 's'), b -> b.value) END "
+        "AS stack_trace",
+        "has_stack AS has_stack_trace",
     )
 
 

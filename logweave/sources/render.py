@@ -35,89 +35,65 @@ def _s(c) -> Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
 
-def _event_columns(events: DataFrame) -> DataFrame:
-    n, u = F.col("event_id"), F.col("user_id")
-    y = F.element_at(F.array(*[F.lit(w) for w in SIZE_WORDS]), (n % 6 + 1).cast("int"))
-    p = _s(n % 61)
-    et = F.col("event_type")
-    level = (F.when((et == "error") & (n % 10 == 0), "FATAL")
-             .when(et == "error", "ERROR")
-             .when(et == "purchase", "WARN")
-             .when(et == "view", "DEBUG")
-             .otherwise("INFO"))
-    return events.select(
-        n.alias("n"), u.alias("u"), et.alias("et"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS").alias("T"),
-        y.alias("y"), p.alias("P"), level.alias("LEVEL"),
-        F.concat(F.lit("org.example."), y, F.lit(".P"), p).alias("logger"),
-        F.concat(et, F.lit(" event "), _s(n), F.lit(" user "), _s(u)).alias("msg"),
-    )
-
-
-def _extra_lines() -> Column:
-    n = F.col("n")
-    nested = F.when(n % 2 == 1, F.lit("$Nested")).otherwise(F.lit(""))
-    error_lines = F.array(
-        F.concat(F.lit("com.example.ServiceException: event "), _s(n), F.lit(" failed")),
-        F.concat(F.lit("\tat org.example."), F.col("y"), F.lit(".P"), F.col("P"), nested,
-                 F.lit(".handle(P"), F.col("P"), F.lit(".java:"), _s(n % 8 + 1), F.lit(")")),
-        F.concat(F.lit("Caused by: java.lang.IllegalStateException: code "), _s(n % 5)),
-        F.concat(F.lit("\tat net.other.lib.Util$Inner.call(Util.java:"), _s(n % 30 + 1), F.lit(")")),
-        F.concat(F.lit("\t... "), _s(n % 9), F.lit(" more")),
-        F.lit(""),
-    )
-    purchase_lines = F.array(F.concat(F.lit("  items="), _s(n % 4)))
-    return (F.when(F.col("et") == "error", error_lines)
-            .when(F.col("et") == "purchase", purchase_lines)
-            .otherwise(F.array().cast("array<string>")))
-
-
-def _auto_header() -> Column:
-    u = F.col("u")
-    tid = F.when(u % 5 == 0, F.lit("")).otherwise(_s(u % 5))
-    tid_h = F.concat(F.lit("TID: ["), tid, F.lit("] ["), F.col("et"), F.lit("] ["), F.col("T"),
-                     F.lit("]  "), F.col("LEVEL"), F.lit(" {"), F.col("logger"), F.lit("} - "),
-                     F.col("msg"))
-    bracket_h = F.concat(F.lit("["), F.col("T"), F.lit("]  "), F.col("LEVEL"), F.lit(" {"),
-                         F.col("logger"), F.lit("} - "), F.col("msg"))
-    basic_h = F.concat(F.col("T"), F.lit(" "), F.col("LEVEL"), F.lit(" ["), F.col("logger"),
-                       F.lit("] - "), F.col("msg"))
-    return F.when(u % 3 == 0, tid_h).when(u % 3 == 1, bracket_h).otherwise(basic_h)
-
-
-def _layout_header() -> Column:
-    n, u = F.col("n"), F.col("u")
-    tenant = F.when(u % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("t"), _s(u % 5), F.lit(".com")))
-    return F.concat(F.lit("["), F.col("T"), F.lit("]  "), F.col("LEVEL"), F.lit(" [exec-"),
-                    _s(n % 8), F.lit("] [c"), _s(n % 97), F.lit("] ["), tenant, F.lit("] {"),
-                    F.col("logger"), F.lit("} - "), F.col("msg"))
-
-
-def _render(events: DataFrame, header: Column) -> DataFrame:
-    ev = _event_columns(events)
-    ev = ev.select("n", "u", F.concat(F.array(header), _extra_lines()).alias("_lines"))
-    ev = ev.withColumn("_w", F.size("_lines").cast("long")).withColumn("_chunk", F.floor(F.col("n") / EVENT_CHUNK))
+# Rendering rules as SQL text (one JVM call per projection).
+_WORDS = ", ".join(f"'{w}'" for w in SIZE_WORDS)
+_EVENT_COLUMNS = [
+    "event_id AS n", "user_id AS u", "event_type AS et",
+    "date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS') AS T",
+    f"element_at(array({_WORDS}), CAST(event_id % 6 + 1 AS INT)) AS y",
+    "CAST(event_id % 61 AS STRING) AS P",
+    "CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'FATAL' WHEN event_type = 'error' THEN 'ERROR' "
+    "WHEN event_type = 'purchase' THEN 'WARN' WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END AS LEVEL",
+]
+_DERIVED = [
+    "n", "u", "et", "T", "y", "P", "LEVEL",
+    "concat('org.example.', y, '.P', P) AS logger",
+    "concat(et, ' event ', CAST(n AS STRING), ' user ', CAST(u AS STRING)) AS msg",
+]
+_EXTRA_LINES = """CASE
+  WHEN et = 'error' THEN array(
+    concat('com.example.ServiceException: event ', CAST(n AS STRING), ' failed'),
+    concat('\\tat org.example.', y, '.P', P, CASE WHEN n % 2 = 1 THEN '$Nested' ELSE '' END,
+           '.handle(P', P, '.java:', CAST(n % 8 + 1 AS STRING), ')'),
+    concat('Caused by: java.lang.IllegalStateException: code ', CAST(n % 5 AS STRING)),
+    concat('\\tat net.other.lib.Util$Inner.call(Util.java:', CAST(n % 30 + 1 AS STRING), ')'),
+    concat('\\t... ', CAST(n % 9 AS STRING), ' more'),
+    '')
+  WHEN et = 'purchase' THEN array(concat('  items=', CAST(n % 4 AS STRING)))
+  ELSE CAST(array() AS ARRAY<STRING>) END"""
+_AUTO_HEADER = """CASE
+  WHEN u % 3 = 0 THEN concat('TID: [', CASE WHEN u % 5 = 0 THEN '' ELSE CAST(u % 5 AS STRING) END, '] [', et,
+                             '] [', T, ']  ', LEVEL, ' {', logger, '} - ', msg)
+  WHEN u % 3 = 1 THEN concat('[', T, ']  ', LEVEL, ' {', logger, '} - ', msg)
+  ELSE concat(T, ' ', LEVEL, ' [', logger, '] - ', msg) END"""
+_LAYOUT_HEADER = """concat('[', T, ']  ', LEVEL, ' [exec-', CAST(n % 8 AS STRING), '] [c', CAST(n % 97 AS STRING), '] [',
+       CASE WHEN u % 5 = 0 THEN '' ELSE concat('t', CAST(u % 5 AS STRING), '.com') END, '] {', logger, '} - ', msg)"""
+
+
+def _render(events: DataFrame, header_sql: str) -> DataFrame:
+    ev = events.selectExpr(*_EVENT_COLUMNS).selectExpr(*_DERIVED)
+    ev = ev.selectExpr("n", "u", f"concat(array({header_sql}), {_EXTRA_LINES}) AS _lines")
+    ev = ev.selectExpr("*", "CAST(size(_lines) AS BIGINT) AS _w", f"floor(n / {EVENT_CHUNK}) AS _chunk")
     # header line = 2 + lines of the earlier events of the same file
     ev = chunked_running(ev, ["u"], "_chunk", "n", "_w", "sum", "_before", inclusive=False)
-    body = ev.select(
-        F.concat(F.lit("user-"), _s("u"), F.lit(".log")).alias("file_path"),
-        F.col("_before"), F.posexplode("_lines").alias("_pos", "value"))
-    body = body.select("file_path", (F.col("_before") + 2 + F.col("_pos")).alias("line_number"), "value")
+    body = ev.selectExpr("concat('user-', CAST(u AS STRING), '.log') AS file_path", "_before",
+                         "posexplode(_lines) AS (_pos, value)")
+    body = body.selectExpr("file_path", "_before + 2 + _pos AS line_number", "value")
     orphans = (events.select(F.col("user_id").alias("u")).distinct()
-               .select(F.concat(F.lit("user-"), _s("u"), F.lit(".log")).alias("file_path"),
-                       F.lit(1).cast("long").alias("line_number"),
-                       F.concat(F.lit("*** log of user "), _s("u"), F.lit(" ***")).alias("value")))
+               .selectExpr("concat('user-', CAST(u AS STRING), '.log') AS file_path",
+                           "CAST(1 AS BIGINT) AS line_number",
+                           "concat('*** log of user ', CAST(u AS STRING), ' ***') AS value"))
     return body.unionByName(orphans)
 
 
 def event_lines(events: DataFrame) -> DataFrame:
     """``lines(file_path, line_number, value)`` in tid/bracket/basic formats."""
-    return _render(events, _auto_header())
+    return _render(events, _AUTO_HEADER)
 
 
 def event_lines_layout(events: DataFrame) -> DataFrame:
     """R2: lines in the user-defined layout ``R2_LAYOUT``."""
-    return _render(events, _layout_header())
+    return _render(events, _LAYOUT_HEADER)
 
 
 # ---------------------------------------------------------------- R3 / R4
