@@ -6,9 +6,9 @@ cut every ordered sequence into fixed-size chunks:
 
 1. inside a chunk, a window partitioned by ``(keys, chunk)`` gives the running
    value (the chunk bounds the window's size);
-2. per chunk, one aggregated row is produced from the output of step 1, so
-   both branches read the same shuffle (the input is scanned and shuffled
-   once; Spark reuses the exchange);
+2. per chunk, one aggregated row is produced straight from the input by a
+   partial aggregation (a second, cheap pass: only the key, chunk and value
+   columns are computed; the rest of the input is pruned away);
 3. a window over those chunk rows (one row per chunk, not per line) gives the
    value carried in from earlier chunks;
 4. the carry table is joined back on ``(keys, chunk)``.  It has one row per
@@ -45,9 +45,7 @@ def chunked_running(df: DataFrame, keys: list[str], chunk: str, order: str, valu
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     with_in = df.withColumn(IN_CHUNK, agg(v).over(w_in))
 
-    # the chunk total is the largest inclusive running value (monotone), so
-    # this aggregate reads the window's output and shares its exchange
-    totals = with_in.groupBy(*keys, chunk).agg(F.max(IN_CHUNK).alias("_chunk_total"))
+    totals = df.groupBy(*keys, chunk).agg(agg(v).alias("_chunk_total"))
     w_carry = (Window.partitionBy(*keys).orderBy(chunk)
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = totals.select(*keys, chunk, agg("_chunk_total").over(w_carry).alias(CARRY))

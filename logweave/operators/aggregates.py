@@ -80,20 +80,25 @@ def top_components(entries: DataFrame, n: int = TOP_COMPONENTS, per_file: bool =
 
 def summary(entries: DataFrame) -> DataFrame:
     """A3-A5: per file: total entries, first/last non-empty timestamp in file
-    order, entries with a stack trace, and the level counts as a map."""
+    order, entries with a stack trace, and the level counts as a map.
+
+    One pass over the entries grouped by (file, level) (partial aggregation
+    bounds a hot level), then a small second aggregation per file."""
     ts = F.col("timestamp")
-    has_ts = ts.isNotNull() & (ts != "")
-    base = entries.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("total_entries"),
-        F.min_by(ts, F.when(has_ts, F.col("line_number"))).alias("first_timestamp"),
-        F.max_by(ts, F.when(has_ts, F.col("line_number"))).alias("last_timestamp"),
-        F.count_if(F.col("has_stack_trace")).alias("has_stack_traces"),
+    ln = F.when(ts.isNotNull() & (ts != ""), F.col("line_number"))
+    per_level = entries.groupBy("file_path", "level").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(ts, ln).alias("first_ts"), F.min(ln).alias("first_ln"),
+        F.max_by(ts, ln).alias("last_ts"), F.max(ln).alias("last_ln"),
+        F.count_if(F.col("has_stack_trace")).alias("stacks"),
+    )
+    return per_level.groupBy("file_path").agg(
+        F.sum("n").alias("total_entries"),
+        F.min_by("first_ts", "first_ln").alias("first_timestamp"),
+        F.max_by("last_ts", "last_ln").alias("last_timestamp"),
+        F.sum("stacks").alias("has_stack_traces"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("level_counts"),
     )
-    levels = (level_counts(entries)
-              .groupBy("file_path")
-              .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "count"))))
-                   .alias("level_counts")))
-    return base.join(levels, "file_path", "left")
 
 
 def group_entries(entries: DataFrame, by: str, per_file: bool = True) -> DataFrame:

@@ -57,9 +57,16 @@ class _Parser:
     def __init__(self, regex: str, groups: dict, layout: bool):
         self.regex, self.groups, self.layout = regex, groups, layout
 
-    def fields_sql(self) -> dict:
-        rx = sql_str(self.regex)
-        raw = {f: f"regexp_extract(value, {rx}, {g})" for f, g in self.groups.items()}
+    def groups_sql(self, value: str) -> str:
+        """All captured groups of the header regex as one array.  A lambda
+        keeps the generated code small (a huge projection method would not
+        be JIT-compiled by the JVM)."""
+        n = max(self.groups.values())
+        return f"transform(sequence(1, {n}), i -> regexp_extract({value}, {sql_str(self.regex)}, i))"
+
+    def fields_sql(self, g: str) -> dict:
+        """Entry fields from the group array ``g``."""
+        raw = {f: f"get({g}, {i - 1})" for f, i in self.groups.items()}
         out = {}
         if self.layout:
             # a captured empty text is null, a blank-only capture is ''
@@ -89,10 +96,84 @@ def _auto_parsers() -> list[_Parser]:
     return [_Parser(rx, groups, layout=False) for rx, groups in AUTO_PARSERS.values()]
 
 
+class _HeaderPlan:
+    """Which parsers apply, as SQL: ``hk`` (index of the parser that
+    recognises a line, else null) and the header struct built from a line's
+    text and that index."""
+
+    def __init__(self, layout: str | None, format_col: str | None, formats: list[LogFormat] | None):
+        parsers: list[_Parser] = []
+        if layout is not None:
+            p = _layout_parser(layout)
+            choices = [(None, p)] if p is not None else []
+            fallback_auto = p is None
+        else:
+            choices = []
+            fallback_auto = True
+            if format_col is not None:
+                for fid, fmt in format_catalog(formats).items():
+                    p = _layout_parser(fmt.pattern)
+                    if p is not None:
+                        choices.append((fid, p))
+        whens = []
+        for fid, p in choices:
+            parsers.append(p)
+            cond = f"value RLIKE {sql_str(p.regex)}"
+            if fid is not None:
+                cond = f"`{format_col}` = {sql_str(fid)} AND {cond}"
+            whens.append(f"WHEN {cond} THEN {len(parsers) - 1}")
+        if fallback_auto:
+            known = ""
+            if format_col is not None and choices:
+                ids = ", ".join(sql_str(fid) for fid, _ in choices)
+                known = f"coalesce(NOT `{format_col}` IN ({ids}), true) AND "
+            for p in _auto_parsers():
+                parsers.append(p)
+                whens.append(f"WHEN {known}value RLIKE {sql_str(p.regex)} THEN {len(parsers) - 1}")
+        self.parsers = parsers
+        self.hk = f"CASE {' '.join(whens)} END" if whens else "CAST(NULL AS INT)"
+
+    def groups(self, value: str, hk: str) -> str:
+        """SQL of the captured-group array of the parser ``hk`` chose."""
+        if not self.parsers:
+            return "CAST(NULL AS ARRAY<STRING>)"
+        cases = " ".join(f"WHEN {k} THEN {p.groups_sql(value)}" for k, p in enumerate(self.parsers))
+        return f"CASE {hk} {cases} END"
+
+    def header(self, g: str, hk: str) -> str:
+        """SQL of the header struct from the group array ``g``."""
+        per_parser = [p.fields_sql(g) for p in self.parsers]
+        members = []
+        for f in ENTRY_FIELDS:
+            if per_parser:
+                cases = " ".join(f"WHEN {k} THEN {fields[f]}" for k, fields in enumerate(per_parser))
+                members.append(f"'{f}', CASE {hk} {cases} END")
+            else:
+                members.append(f"'{f}', CAST(NULL AS STRING)")
+        return f"CASE WHEN {hk} IS NOT NULL THEN named_struct({', '.join(members)}) END"
+
+    def add_header(self, df: DataFrame, value: str, hk: str, out: str) -> DataFrame:
+        """Two projections: group array first (kept apart: it is used many
+        times), then the struct."""
+        return (df.selectExpr("*", f"{self.groups(value, hk)} AS _groups")
+                .selectExpr("*", f"{self.header('_groups', hk)} AS {out}").drop("_groups"))
+
+
+KIND_SQL = (f"CASE WHEN _hk IS NOT NULL THEN 'h' WHEN value RLIKE {sql_str(STACK_RE)} THEN 's' "
+            f"WHEN {sql_py_strip('value')} <> '' THEN 'c' END")
+
+
+def _classify(lines: DataFrame, plan: _HeaderPlan) -> DataFrame:
+    """``_hk``, ``is_header`` and ``kind`` per line (regexes run once)."""
+    return (lines.selectExpr("*", f"{plan.hk} AS _hk")
+            .selectExpr("*", "_hk IS NOT NULL AS is_header", f"{KIND_SQL} AS kind"))
+
+
 def parse_lines(lines: DataFrame, layout: str | None = None, format_col: str | None = None,
                 formats: list[LogFormat] | None = None) -> DataFrame:
     """Add ``kind`` ('h' header, 's' stack, 'c' continuation, null
-    blank) and, on header rows, a ``header`` struct of entry fields.
+    blank), ``is_header`` and, on header rows, a ``header`` struct of entry
+    fields.
 
     * ``layout`` given: every file is parsed with that log4j2 layout (P2).
     * ``format_col`` given: each row's format id (built-in or from
@@ -100,99 +181,69 @@ def parse_lines(lines: DataFrame, layout: str | None = None, format_col: str | N
       falls back to auto parsing (S5).
     * otherwise auto parsing (P3): TID, then bracket, then basic, on every line.
     """
-    parsers: list[_Parser] = []
-    if layout is not None:
-        p = _layout_parser(layout)
-        choices = [(None, p)] if p is not None else []
-        fallback_auto = p is None
-    else:
-        choices = []
-        fallback_auto = True
-        if format_col is not None:
-            for fid, fmt in format_catalog(formats).items():
-                p = _layout_parser(fmt.pattern)
-                if p is not None:
-                    choices.append((fid, p))
-
-    # which parser recognises the line (index into `parsers`), else null
-    whens = []
-    for fid, p in choices:
-        parsers.append(p)
-        cond = f"value RLIKE {sql_str(p.regex)}"
-        if fid is not None:
-            cond = f"`{format_col}` = {sql_str(fid)} AND {cond}"
-        whens.append(f"WHEN {cond} THEN {len(parsers) - 1}")
-    if fallback_auto:
-        known = ""
-        if format_col is not None and choices:
-            ids = ", ".join(sql_str(fid) for fid, _ in choices)
-            known = f"coalesce(NOT `{format_col}` IN ({ids}), true) AND "
-        for p in _auto_parsers():
-            parsers.append(p)
-            whens.append(f"WHEN {known}value RLIKE {sql_str(p.regex)} THEN {len(parsers) - 1}")
-    hk = f"CASE {' '.join(whens)} END" if whens else "CAST(NULL AS INT)"
-
-    kind = (f"CASE WHEN _hk IS NOT NULL THEN 'h' WHEN value RLIKE {sql_str(STACK_RE)} THEN 's' "
-            f"WHEN {sql_py_strip('value')} <> '' THEN 'c' END")
-    per_parser = [p.fields_sql() for p in parsers]
-    members = []
-    for f in ENTRY_FIELDS:
-        if per_parser:
-            cases = " ".join(f"WHEN {k} THEN {fields[f]}" for k, fields in enumerate(per_parser))
-            members.append(f"'{f}', CASE _hk {cases} END")
-        else:
-            members.append(f"'{f}', CAST(NULL AS STRING)")
-    header = f"CASE WHEN _hk IS NOT NULL THEN named_struct({', '.join(members)}) END"
-    return (lines.selectExpr("*", f"{hk} AS _hk")
-            .selectExpr("*", f"{kind} AS kind", f"{header} AS header")
-            .drop("_hk"))
+    plan = _HeaderPlan(layout, format_col, formats)
+    return plan.add_header(_classify(lines, plan), "value", "_hk", "header").drop("_hk")
 
 
 # ----------------------------------------------------------------- P7 assembly
 
 def assemble_entries(parsed: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Multi-line entries from parsed lines.
+    """P7 on the output of ``parse_lines`` (lines with ``kind``, ``is_header``
+    and the ``header`` struct)."""
+    return _assemble(parsed.withColumnRenamed("header", "_hdr"), chunk_lines,
+                     lambda e: e.selectExpr("*", "h.hdr AS hd"))
+
+
+def _assemble(x: DataFrame, chunk_lines: int, header_of) -> DataFrame:
+    """Multi-line entries from classified lines.
 
     Plan: (1) ``entry_line`` = line number of the last header at or before
     the line, by a running max inside ``(file_path, chunk)`` partitions plus a
-    carry from earlier chunks (one row per chunk); (2) one aggregation by
-    ``(file_path, entry_line)``.  Its map-side (partial) step already builds
-    each entry inside the partition of its chunk, so the second exchange
-    moves entries, not lines, and an entry cut by a chunk edge is merged by
-    the final step.  ``message``/``stack_trace`` come from ``collect_list``;
-    queries that use neither get it pruned by the optimizer.
+    carry from earlier chunks (one row per chunk, from a cheap header-only
+    pass); (2) one aggregation by ``(file_path, entry_line)``.  Its map-side
+    (partial) step already builds each entry inside the partition of its
+    chunk, so the second exchange moves entries, not lines, and an entry cut
+    by a chunk edge is merged by the final step.  ``message``/``stack_trace``
+    come from ``collect_list``; queries that use neither get it pruned.
+    ``header_of(e)`` adds the header struct ``hd`` to the aggregated entries
+    (column ``h`` holds the header line ``raw`` and the per-line ``hdr``).
     """
-    x = (parsed.where(F.col("kind").isNotNull())
-         .select("file_path", "line_number", "value", "kind", "header",
-                 F.floor(F.col("line_number") / F.lit(chunk_lines)).alias("_chunk"),
-                 F.when(F.col("kind") == "h", F.col("line_number")).alias("_hline")))
+    # Blank lines stay in until after the window, so no filter on ``kind`` is
+    # pushed below it (that would evaluate the regexes twice per line).  The
+    # carry pass of ``chunked_running`` only needs ``is_header`` (the header
+    # regexes); everything else is pruned from it.
+    x = x.selectExpr(
+        "coalesce(file_path, '') AS file_path", "line_number", "value", "kind", "_hdr",
+        f"coalesce(floor(line_number / {int(chunk_lines)}), -1) AS _chunk",
+        "CASE WHEN is_header THEN line_number END AS _hline")
     x = chunked_running(x, ["file_path"], "_chunk", "line_number", "_hline", "max", "entry_line")
-    x = x.where(F.col("entry_line").isNotNull())          # orphans before the first header
+    x = x.where("entry_line IS NOT NULL AND kind IS NOT NULL")   # orphans and blank lines
 
     e = x.groupBy("file_path", "entry_line").agg(
-        F.expr("max(CASE WHEN kind = 'h' THEN named_struct('raw', value, 'header', header) END)").alias("h"),
+        F.expr("max(CASE WHEN kind = 'h' THEN named_struct('raw', value, 'hdr', _hdr) END)").alias("h"),
         F.expr("collect_list(CASE WHEN kind <> 'h' THEN named_struct('line_number', line_number, "
                "'kind', kind, 'value', value) END)").alias("body"),
         F.expr("max(kind = 's')").alias("has_stack"),
     )
+    e = header_of(e).selectExpr("file_path", "entry_line", "h.raw AS raw", "hd", "body", "has_stack")
     ts_shape = sql_str(TS_MS_SHAPE)
     return e.selectExpr(
         "file_path",
         "entry_line AS line_number",
-        "h.raw AS raw",
-        "h.header.timestamp AS timestamp",
-        f"CASE WHEN h.header.timestamp RLIKE {ts_shape} "
-        "THEN unix_millis(try_cast(replace(h.header.timestamp, ',', '.') AS TIMESTAMP)) END AS timestamp_ms",
-        "h.header.level AS level",
-        "h.header.logger AS logger",
-        "substring_index(h.header.logger, '.', -1) AS logger_short",
-        "concat_ws('\\n', h.header.message, "
+        "raw",
+        "hd.timestamp AS timestamp",
+        f"CASE WHEN hd.timestamp RLIKE {ts_shape} "
+        "THEN unix_millis(try_cast(replace(hd.timestamp, ',', '.') AS TIMESTAMP)) END AS timestamp_ms",
+        "hd.level AS level",
+        "hd.logger AS logger",
+        "substring_index(hd.logger, '.', -1) AS logger_short",
+        "concat_ws('\\n', hd.message, "
         "transform(filter(array_sort(body), b -> b.kind = 'c'), b -> b.value)) AS message",
-        "h.header.thread AS thread",
-        "h.header.tenant_domain AS tenant_domain",
-        "h.header.tid AS tid",
-        "h.header.app_name AS app_name",
-        "h.header.correlation_id AS correlation_id",
+        "hd.thread AS thread",
+        "hd.tenant_domain AS tenant_domain",
+        "hd.tid AS tid",
+        "hd.app_name AS app_name",
+        "hd.correlation_id AS correlation_id",
         "CASE WHEN has_stack THEN transform(filter(array_sort(body), b -> b.kind = 's'), b -> b.value) END "
         "AS stack_trace",
         "has_stack AS has_stack_trace",
@@ -201,8 +252,14 @@ def assemble_entries(parsed: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataF
 
 def parse_entries(lines: DataFrame, layout: str | None = None, format_col: str | None = None,
                   formats: list[LogFormat] | None = None, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Lines -> ``entries`` (schema ``ENTRY_COLUMNS``)."""
-    return assemble_entries(parse_lines(lines, layout, format_col, formats), chunk_lines)
+    """Lines -> ``entries`` (schema ``ENTRY_COLUMNS``).
+
+    Only the index of the matching header parser travels with a header line
+    through the shuffles; the header fields are extracted once per entry
+    after the final aggregation (less shuffle volume, same regexes)."""
+    plan = _HeaderPlan(layout, format_col, formats)
+    x = _classify(lines, plan).withColumnRenamed("_hk", "_hdr")
+    return _assemble(x, chunk_lines, lambda e: plan.add_header(e, "h.raw", "h.hdr", "hd"))
 
 
 # ----------------------------------------------------------------- P4 detection

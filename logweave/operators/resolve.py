@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators.codeindex import lookup_class, resolve_package
 from logweave.operators.frames import VENDOR_PREFIXES, is_vendor_frame
+from logweave.sources.sinks import materialize
 
 # The unresolved reasons and the context sizes.
 NON_VENDOR = "non_wso2_frame"
@@ -28,37 +29,63 @@ MAX_WINDOW_CONTEXT = 200
 SPLITLINES_RE = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
+def resolve_keys(keys: DataFrame, index: DataFrame, package_map: DataFrame,
+                 sources: DataFrame | None = None, context: int = SNIPPET_CONTEXT) -> DataFrame:
+    """J1 + J2 + J3 (+J4) on distinct vendor-frame keys
+    ``(package, class_name, line_no)``: ``repo``, ``resolved``, ``reason``,
+    ``source_path``, ``repo_label``, ``repo_path`` (and ``snippet``)."""
+    repos = resolve_package(keys.select("package"), package_map).select("package", "repo")
+    classes = lookup_class(keys.select("package", "class_name"), index)
+    r = keys.join(repos, "package", "left").join(classes, ["package", "class_name"], "left")
+    found = F.col("repo").isNotNull() & F.col("source_path").isNotNull()
+    r = r.select(
+        "package", "class_name", "line_no", "repo", found.alias("resolved"),
+        F.when(F.col("repo").isNull(), F.lit(NO_REPO))
+        .when(F.col("source_path").isNull(), F.lit(NOT_FOUND)).alias("reason"),
+        F.when(found, F.col("source_path")).alias("source_path"),
+        F.when(found, F.col("repo_label")).alias("repo_label"),
+        F.when(found, F.col("repo_path")).alias("repo_path"))
+    if sources is not None:
+        r = attach_snippet(r, sources, context)
+    return r
+
+
 def resolve_frames(frames: DataFrame, index: DataFrame, package_map: DataFrame,
                    sources: DataFrame | None = None, vendor_prefixes=VENDOR_PREFIXES,
-                   context: int = SNIPPET_CONTEXT) -> DataFrame:
+                   context: int = SNIPPET_CONTEXT, materialize_input: bool = True) -> DataFrame:
     """J3 (+J4 when ``sources`` is given): each frame with ``resolved``,
-    ``reason``, ``repo``, ``source_path``, ``repo_label``, ``repo_path`` and
-    ``snippet``.  Rules in order: vendor gate, package -> repo mapping (the
-    mapped repo only gates), class search in every indexed repository."""
+    ``reason``, ``repo``, ``source_path``, ``repo_label``, ``repo_path`` (and
+    ``snippet``).  Rules in order: vendor gate, package -> repo mapping (the
+    mapped repo only gates), class search in every indexed repository.
+
+    Plan: the frames are written once below ``spark.checkpoint.dir`` (skip
+    with ``materialize_input=False`` when they already come from storage);
+    the distinct vendor keys ``(package, class_name, line_no)`` are resolved
+    and stored (their number is bounded by the code base); the frames are
+    joined to that answer table, which the planner broadcasts only when its
+    stored size is under the broadcast threshold (a sort-merge join with AQE
+    skew splitting otherwise).  Eager: runs two small jobs before returning.
+    """
+    if materialize_input:
+        frames = materialize(frames, "frames")
     vendor = is_vendor_frame("package", vendor_prefixes)
-    f = frames.withColumn("_vendor", vendor)
-    vend = f.where(F.col("_vendor"))
-
-    repos = resolve_package(vend.select("package"), package_map).select("package", "repo")
-    classes = lookup_class(vend.select("package", "class_name"), index)
-
-    out = (f.join(repos, "package", "left")
-           .join(classes, ["package", "class_name"], "left"))
-    # the map only counts for vendor frames, the class only when mapped
-    repo = F.when(F.col("_vendor"), F.col("repo"))
-    found = F.col("_vendor") & repo.isNotNull() & F.col("source_path").isNotNull()
-    reason = (F.when(~F.col("_vendor"), F.lit(NON_VENDOR))
-              .when(repo.isNull(), F.lit(NO_REPO))
-              .when(F.col("source_path").isNull(), F.lit(NOT_FOUND)))
-    out = out.select(
-        *frames.columns,
-        found.alias("resolved"), reason.alias("reason"), repo.alias("repo"),
-        F.when(found, F.col("source_path")).alias("source_path"),
-        F.when(found, F.col("repo_label")).alias("repo_label"),
-        F.when(found, F.col("repo_path")).alias("repo_path"))
+    keys = frames.where(vendor).select("package", "class_name", "line_no").distinct()
+    answers = materialize(resolve_keys(materialize(keys, "frame-keys"), index, package_map, sources, context),
+                          "frame-answers")
+    a = answers.select(*[F.col(c).alias("_a_" + c) for c in answers.columns])
+    out = frames.join(a, (frames["package"] == a["_a_package"]) & (frames["class_name"] == a["_a_class_name"])
+                      & frames["line_no"].eqNullSafe(a["_a_line_no"]), "left")
+    v = vendor
+    cols = [*[frames[c] for c in frames.columns],
+            (v & F.coalesce(F.col("_a_resolved"), F.lit(False))).alias("resolved"),
+            F.when(~v, F.lit(NON_VENDOR)).otherwise(F.col("_a_reason")).alias("reason"),
+            F.when(v, F.col("_a_repo")).alias("repo"),
+            F.when(v, F.col("_a_source_path")).alias("source_path"),
+            F.when(v, F.col("_a_repo_label")).alias("repo_label"),
+            F.when(v, F.col("_a_repo_path")).alias("repo_path")]
     if sources is not None:
-        out = attach_snippet(out, sources, context)
-    return out
+        cols.append(F.when(v, F.col("_a_snippet")).alias("snippet"))
+    return out.select(*cols)
 
 
 def _lines_of(text: Column) -> Column:

@@ -71,13 +71,15 @@ _LAYOUT_HEADER = """concat('[', T, ']  ', LEVEL, ' [exec-', CAST(n % 8 AS STRING
 
 
 def _render(events: DataFrame, header_sql: str) -> DataFrame:
-    ev = events.selectExpr(*_EVENT_COLUMNS).selectExpr(*_DERIVED)
-    ev = ev.selectExpr("n", "u", f"concat(array({header_sql}), {_EXTRA_LINES}) AS _lines")
-    ev = ev.selectExpr("*", "CAST(size(_lines) AS BIGINT) AS _w", f"floor(n / {EVENT_CHUNK}) AS _chunk")
-    # header line = 2 + lines of the earlier events of the same file
-    ev = chunked_running(ev, ["u"], "_chunk", "n", "_w", "sum", "_before", inclusive=False)
+    ev = events.selectExpr("event_id", "coalesce(user_id, -1) AS user_id", "event_type", "ts",
+                           "CAST(CASE event_type WHEN 'error' THEN 7 WHEN 'purchase' THEN 2 ELSE 1 END AS BIGINT) AS _w",
+                           f"coalesce(floor(event_id / {EVENT_CHUNK}), -1) AS _chunk")
+    # header line = 2 + lines of the earlier events of the same file; only
+    # the small columns go through the exchange, the text is built after it
+    ev = chunked_running(ev, ["user_id"], "_chunk", "event_id", "_w", "sum", "_before", inclusive=False)
+    ev = ev.selectExpr("_before", *_EVENT_COLUMNS).selectExpr("_before", *_DERIVED)
     body = ev.selectExpr("concat('user-', CAST(u AS STRING), '.log') AS file_path", "_before",
-                         "posexplode(_lines) AS (_pos, value)")
+                         f"posexplode(concat(array({header_sql}), {_EXTRA_LINES})) AS (_pos, value)")
     body = body.selectExpr("file_path", "_before + 2 + _pos AS line_number", "value")
     orphans = (events.select(F.col("user_id").alias("u")).distinct()
                .selectExpr("concat('user-', CAST(u AS STRING), '.log') AS file_path",
