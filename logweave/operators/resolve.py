@@ -60,18 +60,18 @@ def resolve_frames(frames: DataFrame, index: DataFrame, package_map: DataFrame,
 
     Plan: the frames are written once below ``spark.checkpoint.dir`` (skip
     with ``materialize_input=False`` when they already come from storage);
-    the distinct vendor keys ``(package, class_name, line_no)`` are resolved
-    and stored (their number is bounded by the code base); the frames are
-    joined to that answer table, which the planner broadcasts only when its
-    stored size is under the broadcast threshold (a sort-merge join with AQE
-    skew splitting otherwise).  Eager: runs two small jobs before returning.
+    the distinct vendor keys ``(package, class_name, line_no)`` (a partial
+    aggregation, so a hot class costs one row per task) are resolved and the
+    answers stored (their number is bounded by the code base); the frames
+    are joined to that answer table, which the planner broadcasts only when
+    its stored size is under the broadcast threshold (a sort-merge join with
+    AQE skew splitting otherwise).  Eager: writes the two tables first.
     """
     if materialize_input:
         frames = materialize(frames, "frames")
     vendor = is_vendor_frame("package", vendor_prefixes)
     keys = frames.where(vendor).select("package", "class_name", "line_no").distinct()
-    answers = materialize(resolve_keys(materialize(keys, "frame-keys"), index, package_map, sources, context),
-                          "frame-answers")
+    answers = materialize(resolve_keys(keys, index, package_map, sources, context), "frame-answers")
     a = answers.select(*[F.col(c).alias("_a_" + c) for c in answers.columns])
     out = frames.join(a, (frames["package"] == a["_a_package"]) & (frames["class_name"] == a["_a_class_name"])
                       & frames["line_no"].eqNullSafe(a["_a_line_no"]), "left")
