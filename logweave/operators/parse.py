@@ -14,7 +14,7 @@ over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.ordered import chunked_running
@@ -219,6 +219,11 @@ def _assemble(x: DataFrame, chunk_lines: int, header_of) -> DataFrame:
     x = chunked_running(x, ["file_path"], "_chunk", "line_number", "_hline", "max", "entry_line")
     x = x.where("entry_line IS NOT NULL AND kind IS NOT NULL")   # orphans and blank lines
 
+    return _entries_from(x, header_of)
+
+
+def _entries_from(x: DataFrame, header_of) -> DataFrame:
+    """Aggregate lines that carry ``entry_line`` into entries."""
     e = x.groupBy("file_path", "entry_line").agg(
         F.expr("max(CASE WHEN kind = 'h' THEN named_struct('raw', value, 'hdr', _hdr) END)").alias("h"),
         F.expr("collect_list(CASE WHEN kind <> 'h' THEN named_struct('line_number', line_number, "
@@ -262,6 +267,50 @@ def parse_entries(lines: DataFrame, layout: str | None = None, format_col: str |
     return _assemble(x, chunk_lines, lambda e: plan.add_header(e, "h.raw", "h.hdr", "hd"))
 
 
+# ----------------------------------------------------------------- S1 + P7 on files
+
+def parse_files(spark, paths, layout: str | None = None, recursive: bool = False,
+                glob: str | None = None) -> DataFrame:
+    """Text files -> entries with two passes over the text.
+
+    The chunks are the reader's splits (``_metadata.file_block_start``) and
+    the order inside a split is ``monotonically_increasing_id()``.
+    Pass 1 (one aggregation per split, header regexes only): line count,
+    first id and last header id; a window over the one-row-per-split table
+    gives the lines before each split and the line of the last header of the
+    earlier splits.  Pass 2: the running last-header id inside each split
+    (a window bounded by the split size), joined to that table, gives line
+    numbers and the entry of every line; then the same entry aggregation as
+    ``parse_entries``.  Same result as ``parse_entries(read_lines(...))``.
+    """
+    from logweave.sources.lines import _scan
+
+    return parse_scanned(_scan(spark, paths, recursive, glob), layout)
+
+
+def parse_scanned(scan: DataFrame, layout: str | None = None) -> DataFrame:
+    """``parse_files`` on a scan ``(file_path, _block, _id, value)`` taken
+    straight from a text source (ids from ``monotonically_increasing_id()``
+    before any shuffle)."""
+    plan = _HeaderPlan(layout, None, None)
+    x = _classify(scan, plan)
+    blocks = x.groupBy("file_path", "_block").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(F.col("is_header"), F.col("_id"))).alias("_last_h"))
+    w = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+              .withColumn("_carry", F.max(F.col("_before") + F.col("_last_h") - F.col("_first") + 1).over(w))
+              .select("file_path", "_block", "_first", "_before", "_carry"))
+    w_in = (Window.partitionBy("file_path", "_block").orderBy("_id")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    y = (x.withColumn("_in_h", F.max(F.when(F.col("is_header"), F.col("_id"))).over(w_in))
+         .join(blocks, ["file_path", "_block"])
+         .selectExpr("file_path", "_before + _id - _first + 1 AS line_number", "value", "kind", "_hk AS _hdr",
+                     "coalesce(_before + _in_h - _first + 1, _carry) AS entry_line")
+         .where("entry_line IS NOT NULL AND kind IS NOT NULL"))
+    return _entries_from(y, lambda e: plan.add_header(e, "h.raw", "h.hdr", "hd"))
+
+
 # ----------------------------------------------------------------- P4 detection
 
 def detect_format(lines: DataFrame, window: int = 30) -> DataFrame:

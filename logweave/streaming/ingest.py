@@ -12,28 +12,15 @@ replaces its own output instead of appending twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators.parse import parse_entries
+from logweave.operators.parse import parse_scanned
 from logweave.session import scratch_path
 from logweave.sources.files import LOG_SUFFIX_RE
 from logweave.sources.sinks import write_entries
 
 
-def _number_lines(batch: DataFrame) -> DataFrame:
-    """Line numbers for one micro-batch (same block rule as ``read_lines``)."""
-    scan = batch.select("file_path", "_block", F.monotonically_increasing_id().alias("_id"), "value")
-    blocks = scan.groupBy("file_path", "_block").agg(F.min("_id").alias("_first"),
-                                                      F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file_path", "_block", "_first",
-                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    return (scan.join(blocks, ["file_path", "_block"])
-            .select("file_path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_number"),
-                    "value"))
-
-
 def ingest_new_files(spark: SparkSession, folder: str, out_path: str, checkpoint: str | None = None,
                      layout: str | None = None, max_files_per_trigger: int | None = None):
     """Parse every new ``.log``/``.txt`` file below ``folder`` into entries at
@@ -48,7 +35,8 @@ def ingest_new_files(spark: SparkSession, folder: str, out_path: str, checkpoint
     stream = stream.where(F.col("file_path").rlike(LOG_SUFFIX_RE))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        entries = parse_entries(_number_lines(batch), layout=layout)
+        scan = batch.select("file_path", "_block", F.monotonically_increasing_id().alias("_id"), "value")
+        entries = parse_scanned(scan, layout=layout)
         write_entries(entries.withColumn("batch_id", F.lit(batch_id)), out_path, mode="overwrite",
                       extra_partitions=("batch_id",))
 

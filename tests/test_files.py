@@ -118,3 +118,24 @@ def test_ingest_new_files(spark, tmp_path):
     got = read_entries(spark, out)
     assert got.count() == 6
     assert sorted(r[0] for r in got.select("batch_id").distinct().collect()) == [0, 1]
+
+
+def test_parse_files_matches_lines_path(spark, tmp_path):
+    from logweave.operators.parse import parse_files
+    rows = []
+    for i in range(1500):
+        rows.append(f"2024-01-01 00:00:{i % 60:02d},{i % 1000:03d} INFO [a.B{i % 7}] - m{i}")
+        if i % 5 == 0:
+            rows += [f"  cont {i}", f"\tat a.B.c(B.java:{i})", "", "Caused by: x"]
+    _write(str(tmp_path / "a.log"), ("orphan\n" + "\n".join(rows) + "\n").encode())
+    _write(str(tmp_path / "b.log"), TID3.encode())
+    _write(str(tmp_path / "c.log"), b"only orphans\n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        cols = ["file_path", "line_number", "level", "logger", "message", "stack_trace", "has_stack_trace"]
+        a = sorted(tuple(r) for r in parse_files(spark, str(tmp_path)).select(*cols).collect())
+        b = sorted(tuple(r) for r in parse_entries(read_lines(spark, str(tmp_path))).select(*cols).collect())
+        assert a == b and len(a) == 1503
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
