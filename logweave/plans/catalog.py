@@ -194,6 +194,11 @@ def q_group_correlation(spark, sf_dir):
     return _groups(r2_entries(spark, sf_dir), "correlationId")
 
 
+def q_group_all(spark, sf_dir):
+    return A.group_entries_multi(r2_entries(spark, sf_dir)).select(
+        "file_path", "group_by", "key", "count", "first_seen", "last_seen", "error_count", "first_at")
+
+
 # ----------------------------------------------------------------- search
 
 def q_search_files(spark, sf_dir):
@@ -380,6 +385,7 @@ QUERIES = {
     "group_logger": q_group_logger,
     "group_tenant": q_group_tenant,
     "group_correlation": q_group_correlation,
+    "group_all": q_group_all,
     "search_files": q_search_files,
     "search_documents": q_search_documents,
     "search_documents_regex": q_search_documents_regex,

@@ -117,6 +117,19 @@ SELECT file_path, {key} AS key, count(*) AS count,
 FROM {src} GROUP BY ALL""")
 
 
+def _group_all_sql() -> str:
+    keys = [("level", "level"),
+            ("component", "coalesce(nullif(logger_short, ''), nullif(logger, ''), 'unknown')"),
+            ("logger", "coalesce(nullif(logger, ''), 'unknown')"),
+            ("tenant", "coalesce(nullif(tenant_domain, ''), 'unknown')"),
+            ("correlationId", "coalesce(nullif(correlation_id, ''), 'unknown')")]
+    parts = [f"""SELECT file_path, '{by}' AS group_by, {k} AS key, count(*) AS count,
+       arg_min(timestamp, line_number) AS first_seen, arg_max(timestamp, line_number) AS last_seen,
+       count(*) FILTER (WHERE level IN ('ERROR', 'FATAL')) AS error_count, min(line_number) AS first_at
+FROM r2 GROUP BY ALL""" for by, k in keys]
+    return _with(R2, "\nUNION ALL\n".join(parts))
+
+
 def _format_report_sql() -> str:
     ids = ["builtin-tid", "builtin-apim-audit", "builtin-apim-api-log", "builtin-apim-trace",
            "builtin-apim-gov-audit", "builtin-bracket", "builtin-correlation", "builtin-error-diag",
@@ -193,6 +206,7 @@ SELECT file_path, component, count, rank FROM rk WHERE rank <= 20"""),
     "group_logger": _groups_sql(R1, "r1", "coalesce(nullif(logger, ''), 'unknown')"),
     "group_tenant": _groups_sql(R2, "r2", "coalesce(nullif(tenant_domain, ''), 'unknown')"),
     "group_correlation": _groups_sql(R2, "r2", "coalesce(nullif(correlation_id, ''), 'unknown')"),
+    "group_all": _group_all_sql(),
     "search_files": _with(R1, f"""
 SELECT {ENTRY_OUT} FROM r1 WHERE level IN {_in(C.SEARCH_LEVELS)} AND {_contains_ci(C.SEARCH_QUERY)}
 ORDER BY file_path, line_number LIMIT {C.SEARCH_LIMIT}"""),

@@ -101,3 +101,11 @@ def test_search_text_on_documents(spark):
     n_cs = search_text(d, "text", "THE", case_sensitive=True).count()
     assert n_ci >= n_cs
     assert search_text(d, "text", "(", regex=True).count() == d.count()
+
+
+def test_group_entries_multi_equals_single(entries):
+    multi = A.group_entries_multi(entries)
+    for by in A.GROUP_KEYS:
+        one = sorted(tuple(r) for r in A.group_entries(entries, by).collect())
+        m = sorted(tuple(r) for r in multi.where(F.col("group_by") == by).drop("group_by").collect())
+        assert one == m, by
