@@ -7,8 +7,8 @@ one block the rows of a scan partition are consecutive, so
 the block.  A small per-block table (``file, block start, first id, lines``)
 gets an exclusive prefix sum of line counts over the blocks of each file
 (one row per block), and is joined back: one extra pass over the text for the
-counts, no shuffle of the lines themselves (AQE broadcasts the block table;
-it has one row per split).
+counts, no shuffle of the lines themselves (the block table has one row per
+split and is broadcast after its size was counted).
 
 Lines break at LF, CRLF and CR; a UTF-8 BOM at the start is dropped by the
 reader; undecodable bytes become U+FFFD.
@@ -35,14 +35,30 @@ def _scan(spark: SparkSession, paths, recursive: bool = False, glob: str | None
         F.make_valid_utf8("value").alias("value"))
 
 
+# Largest per-split table that is broadcast (rows; ~60 bytes each).
+BLOCKS_BROADCAST_MAX_ROWS = 1_000_000
+
+
 def read_lines(spark: SparkSession, paths, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """Read text files into numbered physical lines (1-based, per file)."""
+    """Read text files into numbered physical lines (1-based, per file).
+
+    Eager: the per-split table (the count pass) is written below
+    ``spark.checkpoint.dir`` first; its row count (= number of splits) is the
+    proven bound under which it is broadcast, so the lines are never shuffled.
+    Above the bound it is a shuffle join.  (``parse_files`` needs no such
+    join: it numbers lines inside its own exchange.)
+    """
+    from logweave.sources.sinks import materialize
+
     scan = _scan(spark, paths, recursive, glob)
     blocks = scan.groupBy("file_path", "_block").agg(F.min("_id").alias("_first"),
                                                       F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file_path", "_block", "_first",
-                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    blocks = materialize(blocks.select("file_path", "_block", "_first",
+                                       F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")),
+                         "line-blocks")
+    if blocks.count() <= BLOCKS_BROADCAST_MAX_ROWS:
+        blocks = F.broadcast(blocks)
     return (scan.join(blocks, ["file_path", "_block"])
             .select("file_path",
                     (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_number"),
