@@ -57,16 +57,21 @@ def short_logger(c) -> Column:
 TS_MS_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{1,6}$"
 
 
-def timestamp_ms(c) -> Column:
-    """Epoch milliseconds of a ``yyyy-MM-dd HH:mm:ss,fff`` string, else null.
+def sql_timestamp_ms(expr: str) -> str:
+    """SQL text: epoch milliseconds of a ``yyyy-MM-dd HH:mm:ss,fff`` string,
+    else null.  ',' becomes '.'; 1 to 6 fraction digits are accepted; an ISO
+    'T', 7+ digits or an impossible date give null.  The wall-clock time is
+    read as UTC whatever the session time zone (TIMESTAMP_NTZ arithmetic)."""
+    return (f"CASE WHEN {expr} RLIKE {sql_str(TS_MS_SHAPE)} THEN timestampdiff(MILLISECOND, "
+            f"TIMESTAMP_NTZ'1970-01-01 00:00:00', try_cast(replace({expr}, ',', '.') AS TIMESTAMP_NTZ)) END")
+
 
-    The ',' decimal mark becomes '.'; 1 to 6 fraction digits are accepted;
-    anything else (ISO 'T', 7+ digits, impossible dates) gives null.  The
-    session time zone is used (UTC in this library's sessions).
-    """
+def timestamp_ms(c) -> Column:
+    """Column form of ``sql_timestamp_ms``."""
     c = col_of(c)
-    ts = F.regexp_replace(c, ",", ".").try_cast("timestamp")
-    return F.when(c.rlike(TS_MS_SHAPE), F.unix_millis(ts))
+    ntz = F.regexp_replace(c, ",", ".").try_cast("timestamp_ntz")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.when(c.rlike(TS_MS_SHAPE), F.timestamp_diff("MILLISECOND", epoch, ntz))
 
 
 def first_match(c, pattern: str, group: int = 0) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.ordered import chunked_running
-from logweave.functions.text import TS_MS_SHAPE, sql_py_strip, sql_str
+from logweave.functions.text import sql_py_strip, sql_str, sql_timestamp_ms
 from logweave.operators.formats import (ENTRY_FIELDS, LogFormat, format_catalog,
                                         layout_to_regex)
 
@@ -231,14 +231,12 @@ def _entries_from(x: DataFrame, header_of) -> DataFrame:
         F.expr("max(kind = 's')").alias("has_stack"),
     )
     e = header_of(e).selectExpr("file_path", "entry_line", "h.raw AS raw", "hd", "body", "has_stack")
-    ts_shape = sql_str(TS_MS_SHAPE)
     return e.selectExpr(
         "file_path",
         "entry_line AS line_number",
         "raw",
         "hd.timestamp AS timestamp",
-        f"CASE WHEN hd.timestamp RLIKE {ts_shape} "
-        "THEN unix_millis(try_cast(replace(hd.timestamp, ',', '.') AS TIMESTAMP)) END AS timestamp_ms",
+        f"{sql_timestamp_ms('hd.timestamp')} AS timestamp_ms",
         "hd.level AS level",
         "hd.logger AS logger",
         "substring_index(hd.logger, '.', -1) AS logger_short",

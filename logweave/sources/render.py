@@ -39,7 +39,9 @@ def _s(c) -> Column:
 _WORDS = ", ".join(f"'{w}'" for w in SIZE_WORDS)
 _EVENT_COLUMNS = [
     "event_id AS n", "user_id AS u", "event_type AS et",
-    "date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS') AS T",
+    # yyyy-MM-dd HH:mm:ss,SSS of the TIMESTAMP_NTZ wall clock (no time zone)
+    "concat(substr(CAST(ts AS STRING), 1, 19), ',', "
+    "lpad(CAST(CAST(floor(date_part('SECONDS', ts) * 1000) AS BIGINT) % 1000 AS STRING), 3, '0')) AS T",
     f"element_at(array({_WORDS}), CAST(event_id % 6 + 1 AS INT)) AS y",
     "CAST(event_id % 61 AS STRING) AS P",
     "CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'FATAL' WHEN event_type = 'error' THEN 'ERROR' "
