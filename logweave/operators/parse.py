@@ -318,11 +318,11 @@ def detect_format(lines: DataFrame, window: int = 30) -> DataFrame:
     kind = (F.when(value.rlike(TID_RE), F.lit(0))
             .when(value.rlike(BRACKET_RE), F.lit(1))
             .when(value.rlike(BASIC_RE), F.lit(2)))
+    # (line, kind) packed into one long so the aggregate stays a hash aggregate
     first = (lines.where(F.col("line_number") <= window)
              .groupBy("file_path")
-             .agg(F.min(F.when(kind.isNotNull(), F.struct(F.col("line_number"), kind.alias("k"))))
-                  .alias("first")))
-    k = F.col("first.k")
+             .agg(F.min(F.when(kind.isNotNull(), F.col("line_number") * 4 + kind)).alias("_first")))
+    k = F.col("_first") % 4
     name = None
     for i, kind_name in enumerate(AUTO_KINDS):
         name = F.when(k == i, F.lit(kind_name)) if name is None else name.when(k == i, F.lit(kind_name))

@@ -31,3 +31,15 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,n_chars:bigint>" in plan
     plan = _plan(catalog.q_group_level(spark, SF_SMALL))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
+
+
+def test_line_windows_are_chunked(spark):
+    """Skew guard: every window over lines is partitioned by (file, chunk) or
+    (file, split); only one-row-per-chunk tables use a window by file."""
+    from logweave.plans import catalog
+    plan = _plan(catalog.q_entries_auto(spark, SF_SMALL))
+    specs = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", plan)
+    assert specs
+    for part, order in specs:
+        if "line_number" in order or "_id" in order or "event_id" in order or re.search(r"\bn#", order):
+            assert "_chunk" in part or "_block" in part, (part, order)
