@@ -2,7 +2,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from logweave.functions.text import timestamp_ms
 from logweave.operators.parse import assemble_entries, detect_format, parse_entries, parse_lines
