@@ -30,15 +30,22 @@ def write_entries(entries: DataFrame, path: str, mode: str = "overwrite",
                   max_records_per_file: int = 5_000_000, extra_partitions=()) -> None:
     """Write entries partitioned by ``log_date`` (+ ``extra_partitions``).
 
-    No repartition by date before the write: a busy day would then land in
-    one task.  Each task writes its own files per date instead, capped by
-    ``max_records_per_file``.
+    Rows are first rebalanced on the partition columns (the ``rebalance``
+    hint: AQE makes evenly sized output partitions and splits a busy day over
+    several tasks), so each task writes few, large files instead of one small
+    file per date it happens to hold.  Without AQE a range repartition on
+    (date, file, line) does the same job.  ``max_records_per_file`` caps files.
     """
-    (entries.withColumn("log_date", entry_date("timestamp"))
-     .write.mode(mode)
+    parts = [*extra_partitions, "log_date"]
+    df = entries.withColumn("log_date", entry_date("timestamp"))
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled", "true") == "true":
+        df = df.hint("rebalance", *parts)
+    else:
+        df = df.repartitionByRange(*parts, "file_path", "line_number")
+    (df.write.mode(mode)
      .option("maxRecordsPerFile", max_records_per_file)
      .option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*extra_partitions, "log_date")
+     .partitionBy(*parts)
      .parquet(path))
 
 
