@@ -40,6 +40,16 @@ def search_entries(entries: DataFrame, query: str, regex: bool = False, case_sen
     return out.drop("file_order") if file_order is not None else out
 
 
+def search_total(entries: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False,
+                 file_paths: list | None = None, levels: list | None = None) -> int:
+    """The exact number of entries ``search_entries`` draws its page from
+    (an action; the reference reported an order-dependent partial count)."""
+    if file_paths:
+        entries = entries.where(F.col("file_path").isin(list(file_paths)))
+    return filter_entries(entries, Criteria(levels=levels, search=query, regex=regex,
+                                            case_sensitive=case_sensitive)).count()
+
+
 def search_text(df: DataFrame, column: str, query: str, regex: bool = False,
                 case_sensitive: bool = False) -> DataFrame:
     """F6/F7 over a whole-text column (documents, pages, ...): rows whose

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators import aggregates as A
 from logweave.operators import filters as FL
-from logweave.operators.search import search_entries, search_text
+from logweave.operators.search import search_entries, search_text, search_total
 from logweave.plans import catalog
 from tests.conftest import SF_SMALL, lines_df
 from logweave.operators.parse import parse_entries
@@ -109,3 +109,9 @@ def test_group_entries_multi_equals_single(entries):
         one = sorted(tuple(r) for r in A.group_entries(entries, by).collect())
         m = sorted(tuple(r) for r in multi.where(F.col("group_by") == by).drop("group_by").collect())
         assert one == m, by
+
+
+def test_search_total_is_exact(entries):
+    n = search_total(entries, "EVENT 1")
+    assert n == FL.filter_entries(entries, search="event 1").count() > 100
+    assert len(search_entries(entries, "EVENT 1", limit=100).collect()) == 100
