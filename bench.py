@@ -6,7 +6,8 @@
 Prepare (not timed, reported as ``prepare_sec``): the driver's tables are
 rendered once into what a deployment would have in storage - log text files
 (R1, the users' logs concatenated into 2 x cpus files), the same lines as a
-Parquet table, the Java sources (R3),
+Parquet table, the Java sources (R3) and their class index (built once per
+repository, as the reference does at registration),
 and the parsed entries (``write_entries``: parse once, query many).  All of it
 goes below ``spark.checkpoint.dir``.
 
@@ -74,6 +75,8 @@ def main() -> None:
     lines_df.write.parquet(lines_path)
     src_path = scratch_path(spark, f"{tag}-sources")
     catalog.r3_sources(spark, sf_dir).write.parquet(src_path)
+    index_path = scratch_path(spark, f"{tag}-class-index")
+    CI.class_index(spark.read.parquet(src_path)).write.parquet(index_path)   # built once per repository
     entries_path = scratch_path(spark, f"{tag}-entries")
     write_entries(parse_entries(spark.read.parquet(lines_path)), entries_path)
     prepare = time.time() - t0
@@ -81,6 +84,7 @@ def main() -> None:
     lines = spark.read.parquet(lines_path)
     entries = read_entries(spark, entries_path)
     sources = spark.read.parquet(src_path)
+    index = spark.read.parquet(index_path)
     n_lines = lines.count()
     pm = catalog.package_map(spark)
 
@@ -109,9 +113,9 @@ def main() -> None:
         run(search_text(d, "text", catalog.DOC_REGEX, regex=True).select("doc_id"))
 
     def q_resolve_frames():
-        frames = entry_frames(entries)
-        r = RS.resolve_frames(frames, CI.class_index(sources), pm, sources=sources,
-                              vendor_prefixes=render.R3_VENDOR_PREFIXES)
+        frames = entry_frames(entries)   # cheap to recompute from stored entries
+        r = RS.resolve_frames(frames, index, pm, sources=sources, vendor_prefixes=render.R3_VENDOR_PREFIXES,
+                              materialize_input=False)
         run(r.where(F.col("resolved")))
 
     queries = {"parse_files": q_parse_files, "parse_assemble": q_parse_assemble,

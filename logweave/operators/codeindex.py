@@ -119,13 +119,15 @@ def longest_prefix_match(keys: DataFrame, key: str, mapping: DataFrame, prefix:
     null when none.  Duplicate prefixes in ``mapping`` keep the smallest value."""
     m = mapping.groupBy(F.col(prefix).alias("_prefix")).agg(F.min(value).alias("_value"))
     distinct_keys = keys.select(F.col(key).alias("_k")).distinct()
-    cand = distinct_keys.select("_k", F.explode(_prefixes(F.col("_k"))).alias("_prefix"))
-    hits = (cand.join(m, "_prefix")
+    # one row per (key, prefix); a left join keeps keys without any match,
+    # whose best is then null (rows with a null ordering are ignored)
+    cand = distinct_keys.select("_k", F.explode_outer(_prefixes(F.col("_k"))).alias("_prefix"))
+    best = (cand.join(m, "_prefix", "left")
             .groupBy("_k")
-            .agg(F.max_by(F.struct("_value", "_prefix"), F.length("_prefix")).alias("_best")))
-    return (distinct_keys.join(hits, "_k", "left")
-            .select(F.col("_k").alias(key), F.col("_best._value").alias(value),
-                    F.col("_best._prefix").alias("matched_prefix")))
+            .agg(F.max_by(F.struct("_value", "_prefix"),
+                          F.when(F.col("_value").isNotNull(), F.length("_prefix"))).alias("_best")))
+    return best.select(F.col("_k").alias(key), F.col("_best._value").alias(value),
+                       F.col("_best._prefix").alias("matched_prefix"))
 
 
 def resolve_package(packages: DataFrame, package_map: DataFrame, column: str = "package") -> DataFrame:
