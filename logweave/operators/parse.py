@@ -230,7 +230,8 @@ def _entries_from(x: DataFrame, header_of) -> DataFrame:
                "'kind', kind, 'value', value) END)").alias("body"),
         F.expr("max(kind = 's')").alias("has_stack"),
     )
-    e = header_of(e).selectExpr("file_path", "entry_line", "h.raw AS raw", "hd", "body", "has_stack")
+    e = header_of(e).selectExpr("file_path", "entry_line", "h.raw AS raw", "hd", "array_sort(body) AS body",
+                                "has_stack")
     return e.selectExpr(
         "file_path",
         "entry_line AS line_number",
@@ -241,13 +242,13 @@ def _entries_from(x: DataFrame, header_of) -> DataFrame:
         "hd.logger AS logger",
         "substring_index(hd.logger, '.', -1) AS logger_short",
         "concat_ws('\\n', hd.message, "
-        "transform(filter(array_sort(body), b -> b.kind = 'c'), b -> b.value)) AS message",
+        "transform(filter(body, b -> b.kind = 'c'), b -> b.value)) AS message",
         "hd.thread AS thread",
         "hd.tenant_domain AS tenant_domain",
         "hd.tid AS tid",
         "hd.app_name AS app_name",
         "hd.correlation_id AS correlation_id",
-        "CASE WHEN has_stack THEN transform(filter(array_sort(body), b -> b.kind = 's'), b -> b.value) END "
+        "CASE WHEN has_stack THEN transform(filter(body, b -> b.kind = 's'), b -> b.value) END "
         "AS stack_trace",
         "has_stack AS has_stack_trace",
     )
