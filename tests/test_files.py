@@ -139,3 +139,21 @@ def test_parse_files_matches_lines_path(spark, tmp_path):
         assert a == b and len(a) == 1503
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_log_files_catalogue_and_format_choice(spark, tmp_path):
+    from logweave.operators.formats import effective_format
+    from logweave.sources.files import log_files
+    from logweave.sources.lines import read_files_as_text
+    _write(str(tmp_path / "wso2carbon.log"), TID3.encode())
+    _write(str(tmp_path / "audit.log"), TID3.encode())
+    lines = read_lines(spark, str(tmp_path))
+    fmts = lines.select("file_path").distinct().where(F.col("file_path").endswith("audit.log")) \
+        .withColumn("format_id", F.lit("builtin-apim-audit"))
+    cat = {os.path.basename(r.file_path): r for r in log_files(lines, fmts, default_format="builtin-tid").collect()}
+    assert cat["audit.log"].format_id == "builtin-apim-audit" and cat["wso2carbon.log"].format_id == "builtin-tid"
+    assert cat["wso2carbon.log"].file_type == "wso2carbon" and cat["audit.log"].line_count == 3
+    df = spark.createDataFrame([(None,), ("x",)], "f string")
+    assert [r[0] for r in df.select(effective_format("f", "dflt")).collect()] == ["dflt", "x"]
+    texts = {os.path.basename(r.file_path): r.text for r in read_files_as_text(spark, str(tmp_path)).collect()}
+    assert texts["audit.log"] == TID3

@@ -115,3 +115,16 @@ def test_search_total_is_exact(entries):
     n = search_total(entries, "EVENT 1")
     assert n == FL.filter_entries(entries, search="event 1").count() > 100
     assert len(search_entries(entries, "EVENT 1", limit=100).collect()) == 100
+
+
+def test_ordered_groups_and_callpath(spark, entries):
+    from logweave.operators import resolve as RS
+    g = A.ordered_groups(A.group_entries(entries, "level")).collect()
+    per = {}
+    for r in g:
+        per.setdefault(r.file_path, []).append((r["count"], r.first_at))
+    for rows in per.values():
+        assert rows == sorted(rows, key=lambda x: (-x[0], x[1]))
+    fr = spark.createDataFrame([("f", 1, 2, True), ("f", 1, 0, False), ("f", 1, 1, True)],
+                               "file_path string, entry_line long, frame_pos int, resolved boolean")
+    assert [r.frame_pos for r in RS.callpath(fr).collect()] == [0, 1, 2]
