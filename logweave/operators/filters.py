@@ -150,11 +150,32 @@ def predicate(c: Criteria, spark: SparkSession | None = None) -> Column | None:
     return reduce(lambda a, b: a & b, preds) if preds else None
 
 
+def date_partition_filter(time_from=None, time_to=None, column: str = "log_date") -> Column | None:
+    """On stored entries (``sinks.write_entries``): the date-directory
+    predicate implied by a time range, so that Spark prunes partitions.  A
+    timestamp >= ``time_from`` has a date prefix >= ``time_from[:10]`` (and
+    likewise for ``time_to``); entries without a date (``unknown``) are kept
+    for the exact predicate, which also lets them pass."""
+    if not time_from and not time_to:
+        return None
+    d = F.col(column)
+    cond = F.lit(True)
+    if time_from:
+        cond = cond & (d >= F.lit(time_from[:10]))
+    if time_to:
+        cond = cond & (d <= F.lit(time_to[:10]))
+    return cond | (d == F.lit("unknown"))
+
+
 def filter_entries(entries: DataFrame, criteria: Criteria | None = None, **kw) -> DataFrame:
     """F8: entries matching all given criteria (unpaged, file order kept by
-    ``page``)."""
+    ``page``).  On stored entries a time range also prunes date partitions."""
     c = criteria or Criteria(**kw)
     p = predicate(c, entries.sparkSession)
+    if p is not None and "log_date" in entries.columns:
+        part = date_partition_filter(c.time_from, c.time_to)
+        if part is not None:
+            p = part & p
     return entries if p is None else entries.where(p)
 
 

@@ -157,3 +157,17 @@ def test_log_files_catalogue_and_format_choice(spark, tmp_path):
     assert [r[0] for r in df.select(effective_format("f", "dflt")).collect()] == ["dflt", "x"]
     texts = {os.path.basename(r.file_path): r.text for r in read_files_as_text(spark, str(tmp_path)).collect()}
     assert texts["audit.log"] == TID3
+
+
+def test_time_filter_prunes_date_partitions(spark, tmp_path):
+    from logweave.operators.filters import filter_entries
+    text = ("2024-01-01 10:00:00,000 INFO [a.B] - one\n2024-01-02 10:00:00,000 INFO [a.B] - two\n"
+            "2024-01-03 10:00:00,000 INFO [a.B] - three\n")
+    _write(str(tmp_path / "t.log"), text.encode())
+    out = str(tmp_path / "e")
+    write_entries(parse_entries(read_lines(spark, str(tmp_path / "t.log"))), out)
+    e = read_entries(spark, out)
+    hits = filter_entries(e, time_from="2024-01-02 00:00:00", time_to="2024-01-02 23:59:59")
+    assert [r.message for r in hits.collect()] == ["two"]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "log_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
