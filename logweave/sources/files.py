@@ -94,7 +94,12 @@ def file_metadata(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame
                      classify_file(file_name("file_path")).alias("file_type"),
                      "_bytes", "line_count", "first_timestamp", last.alias("last_timestamp"))
     if sizes is not None:
-        out = out.join(sizes.select("file_path", "size_bytes"), "file_path", "left")
+        # driven by the listing, so an empty file (no lines) is still listed
+        out = (sizes.select("file_path", "size_bytes")
+               .join(out.drop("filename", "file_type"), "file_path", "left")
+               .withColumn("line_count", F.coalesce(F.col("line_count"), F.lit(0).cast("long")))
+               .withColumn("filename", file_name("file_path"))
+               .withColumn("file_type", classify_file(file_name("file_path"))))
     else:
         out = out.withColumn("size_bytes", F.col("_bytes"))
     return out.select("file_path", "filename", "file_type", F.col("size_bytes").cast("long"),

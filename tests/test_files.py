@@ -171,3 +171,15 @@ def test_time_filter_prunes_date_partitions(spark, tmp_path):
     assert [r.message for r in hits.collect()] == ["two"]
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "log_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_catalogue_driven_by_listing(spark, tmp_path):
+    from logweave.sources.files import log_files
+    _write(str(tmp_path / "a.log"), TID3.encode())
+    _write(str(tmp_path / "blank.log"), b"\n\n")
+    _write(str(tmp_path / "empty.log"), b"")   # Spark's file sources never return zero-length files
+    found = discover_logs(spark, str(tmp_path))
+    cat = {r.filename: r for r in log_files(read_lines(spark, str(tmp_path)), sizes=found).collect()}
+    assert "empty.log" not in cat
+    assert cat["a.log"].line_count == 3 and cat["a.log"].size_bytes == len(TID3.encode())
+    assert cat["blank.log"].line_count == 2 and cat["blank.log"].first_timestamp is None
