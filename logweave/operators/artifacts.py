@@ -109,7 +109,8 @@ def match_release_tags(versions: DataFrame, tags: DataFrame, orgs: list[str] = D
     v = versions.select("repo", "version").distinct()
     cand = v.select("repo", "version", F.posexplode(tag_candidates("version")).alias("cand_pos", "tag"))
     rank = F.array_position(F.array(*[F.lit(o) for o in orgs]), F.col("org"))
-    t = tags.select("org", "repo", "tag").where(rank > 0).withColumn("org_rank", rank)
+    # duplicates of a tag (many jars of one artifact) are collapsed map-side first
+    t = tags.select("org", "repo", "tag").where(rank > 0).distinct().withColumn("org_rank", rank)
     hits = (cand.join(t, ["repo", "tag"])
             .groupBy("repo", "version")
             .agg(F.min_by(F.struct("org", "tag"), F.struct("org_rank", "cand_pos")).alias("m")))
