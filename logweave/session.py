@@ -43,10 +43,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local tests) a scratch folder is created and registered.
+    and the master is local (tests) a scratch folder is created and
+    registered; on a cluster a machine-local folder would not be shared by
+    the executors, so an unset setting is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="logweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
