@@ -183,3 +183,15 @@ def test_catalogue_driven_by_listing(spark, tmp_path):
     assert "empty.log" not in cat
     assert cat["a.log"].line_count == 3 and cat["a.log"].size_bytes == len(TID3.encode())
     assert cat["blank.log"].line_count == 2 and cat["blank.log"].first_timestamp is None
+
+
+def test_stored_entries_push_filters_and_prune_columns(spark, tmp_path):
+    from logweave.operators.filters import filter_entries
+    _write(str(tmp_path / "t.log"), TID3.encode())
+    out = str(tmp_path / "e")
+    write_entries(parse_entries(read_lines(spark, str(tmp_path / "t.log"))), out)
+    q = filter_entries(read_entries(spark, out), levels=["warn"]).select("file_path", "line_number")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(level), EqualTo(level,WARN)]" in plan
+    assert "ReadSchema: struct<file_path:string,line_number:bigint,level:string>" in plan
+    assert [r.line_number for r in q.collect()] == [2]
