@@ -179,6 +179,27 @@ def filter_entries(entries: DataFrame, criteria: Criteria | None = None, **kw) -
     return entries if p is None else entries.where(p)
 
 
+def header_predicate(c: Criteria) -> Column | None:
+    """The part of F8 that only needs header fields (level, logger,
+    correlation id, time range); text and stack criteria need the whole entry."""
+    preds = [by_level(c.levels), by_correlation(c.correlation_id), by_component(c.components),
+             by_time(c.time_from, c.time_to)]
+    preds = [p for p in preds if p is not None]
+    return reduce(lambda a, b: a & b, preds) if preds else None
+
+
+def filter_lines(lines: DataFrame, criteria: Criteria | None = None, parse_kw: dict | None = None,
+                 **kw) -> DataFrame:
+    """F8 straight from ``lines``: the header criteria select entries before
+    they are assembled (the lines of other entries never reach the assembly
+    shuffle), the rest is applied to the assembled entries.  Same rows as
+    ``filter_entries(parse_entries(lines), criteria)``."""
+    from logweave.operators.parse import parse_entries
+    c = criteria or Criteria(**kw)
+    entries = parse_entries(lines, header_where=header_predicate(c), **(parse_kw or {}))
+    return filter_entries(entries, c)
+
+
 def errors_only(entries: DataFrame) -> DataFrame:
     """ERROR and FATAL entries."""
     return entries.where(by_level(ERROR_LEVELS))

@@ -194,7 +194,7 @@ def assemble_entries(parsed: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataF
                      lambda e: e.selectExpr("*", "h.hdr AS hd"))
 
 
-def _assemble(x: DataFrame, chunk_lines: int, header_of) -> DataFrame:
+def _assemble(x: DataFrame, chunk_lines: int, header_of, keep: str | None = None) -> DataFrame:
     """Multi-line entries from classified lines.
 
     Plan: (1) ``entry_line`` = line number of the last header at or before
@@ -207,17 +207,25 @@ def _assemble(x: DataFrame, chunk_lines: int, header_of) -> DataFrame:
     come from ``collect_list``; queries that use neither get it pruned.
     ``header_of(e)`` adds the header struct ``hd`` to the aggregated entries
     (column ``h`` holds the header line ``raw`` and the per-line ``hdr``).
+
+    ``keep`` (SQL over a header row, optional) selects entries before the
+    aggregation: header line numbers increase, so the running max of
+    ``line_number * 2 + keep`` carries both the entry and whether its header
+    passed; lines of other entries never reach the aggregation shuffle.
     """
     # Blank lines stay in until after the window, so no filter on ``kind`` is
     # pushed below it (that would evaluate the regexes twice per line).  The
     # carry pass of ``chunked_running`` only needs ``is_header`` (the header
     # regexes); everything else is pruned from it.
+    flag = f"CASE WHEN coalesce({keep}, false) THEN 1 ELSE 0 END" if keep else "1"
     x = x.selectExpr(
         "coalesce(file_path, '') AS file_path", "line_number", "value", "kind", "_hdr",
         f"coalesce(floor(line_number / {int(chunk_lines)}), -1) AS _chunk",
-        "CASE WHEN is_header THEN line_number END AS _hline")
-    x = chunked_running(x, ["file_path"], "_chunk", "line_number", "_hline", "max", "entry_line")
-    x = x.where("entry_line IS NOT NULL AND kind IS NOT NULL")   # orphans and blank lines
+        f"CASE WHEN is_header THEN line_number * 2 + {flag} END AS _hline")
+    x = chunked_running(x, ["file_path"], "_chunk", "line_number", "_hline", "max", "_entry_key")
+    # orphans, blank lines and (with ``keep``) entries whose header failed
+    x = (x.where("_entry_key IS NOT NULL AND kind IS NOT NULL AND _entry_key % 2 = 1")
+         .selectExpr("*", "_entry_key DIV 2 AS entry_line").drop("_entry_key"))
 
     return _entries_from(x, header_of)
 
@@ -254,16 +262,34 @@ def _entries_from(x: DataFrame, header_of) -> DataFrame:
     )
 
 
+HEADER_COLUMNS = ["timestamp", "level", "logger", "logger_short", "thread", "tenant_domain", "tid", "app_name",
+                  "correlation_id"]
+
+
 def parse_entries(lines: DataFrame, layout: str | None = None, format_col: str | None = None,
-                  formats: list[LogFormat] | None = None, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+                  formats: list[LogFormat] | None = None, chunk_lines: int = CHUNK_LINES,
+                  header_where=None) -> DataFrame:
     """Lines -> ``entries`` (schema ``ENTRY_COLUMNS``).
 
     Only the index of the matching header parser travels with a header line
     through the shuffles; the header fields are extracted once per entry
-    after the final aggregation (less shuffle volume, same regexes)."""
+    after the final aggregation (less shuffle volume, same regexes).
+
+    ``header_where``: a Column over header-only entry columns
+    (``HEADER_COLUMNS``: level, logger, timestamp, ...) that selects entries
+    *before* assembly; only the fields it uses are extracted map-side, and
+    the lines of other entries are dropped ahead of the shuffle.
+    """
     plan = _HeaderPlan(layout, format_col, formats)
     x = _classify(lines, plan).withColumnRenamed("_hk", "_hdr")
-    return _assemble(x, chunk_lines, lambda e: plan.add_header(e, "h.raw", "h.hdr", "hd"))
+    keep = None
+    if header_where is not None:
+        x = plan.add_header(x, "value", "_hdr", "_hh")
+        x = x.select("*", *[F.col(f"_hh.{c}").alias(c) for c in HEADER_COLUMNS if c != "logger_short"],
+                     F.substring_index(F.col("_hh.logger"), ".", -1).alias("logger_short"))
+        x = x.withColumn("_keep", header_where).drop("_hh", *HEADER_COLUMNS)
+        keep = "_keep"
+    return _assemble(x, chunk_lines, lambda e: plan.add_header(e, "h.raw", "h.hdr", "hd"), keep)
 
 
 # ----------------------------------------------------------------- S1 + P7 on files

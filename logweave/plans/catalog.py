@@ -104,15 +104,16 @@ def q_file_metadata(spark, sf_dir):
 # ----------------------------------------------------------------- filters / pages
 
 def q_filter_levels(spark, sf_dir):
-    return _entry_view(FL.filter_entries(r1_entries(spark, sf_dir), levels=LEVELS))
+    return _entry_view(FL.filter_lines(r1_lines(spark, sf_dir), levels=LEVELS))
 
 
 def q_filter_component(spark, sf_dir):
-    return _entry_view(FL.filter_entries(r1_entries(spark, sf_dir), components=COMPONENTS))
+    return _entry_view(FL.filter_lines(r1_lines(spark, sf_dir), components=COMPONENTS))
 
 
 def q_filter_correlation(spark, sf_dir):
-    e = FL.filter_entries(r2_entries(spark, sf_dir), correlation_id=CORRELATION)
+    e = FL.filter_lines(r2_lines(spark, sf_dir), correlation_id=CORRELATION,
+                        parse_kw={"layout": render.R2_LAYOUT})
     return e.select(*ENTRY_OUT, "correlation_id", "tenant_domain", "thread")
 
 
@@ -121,7 +122,7 @@ def q_filter_stack(spark, sf_dir):
 
 
 def q_filter_time(spark, sf_dir):
-    return _entry_view(FL.filter_entries(r1_entries(spark, sf_dir), time_from=TIME_FROM, time_to=TIME_TO))
+    return _entry_view(FL.filter_lines(r1_lines(spark, sf_dir), time_from=TIME_FROM, time_to=TIME_TO))
 
 
 def q_filter_text(spark, sf_dir):
@@ -133,12 +134,12 @@ def q_filter_regex(spark, sf_dir):
 
 
 def q_filter_combined(spark, sf_dir):
-    return _entry_view(FL.filter_entries(r1_entries(spark, sf_dir), **COMBINED))
+    return _entry_view(FL.filter_lines(r1_lines(spark, sf_dir), **COMBINED))
 
 
 def q_errors_only(spark, sf_dir):
     c = FL.Criteria.from_query("", errors_only=True)
-    return _entry_view(FL.filter_entries(r1_entries(spark, sf_dir), c))
+    return _entry_view(FL.filter_lines(r1_lines(spark, sf_dir), c))
 
 
 def q_page_entries(spark, sf_dir):
@@ -146,7 +147,7 @@ def q_page_entries(spark, sf_dir):
 
 
 def q_filter_page(spark, sf_dir):
-    hits = FL.filter_entries(r1_entries(spark, sf_dir), **FILTER_PAGE)
+    hits = FL.filter_lines(r1_lines(spark, sf_dir), **FILTER_PAGE)
     return _entry_view(FL.page(hits, 0, FILTER_PAGE_LIMIT))
 
 

@@ -128,3 +128,14 @@ def test_ordered_groups_and_callpath(spark, entries):
     fr = spark.createDataFrame([("f", 1, 2, True), ("f", 1, 0, False), ("f", 1, 1, True)],
                                "file_path string, entry_line long, frame_pos int, resolved boolean")
     assert [r.frame_pos for r in RS.callpath(fr).collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("kw", [dict(levels=["error", "warn"]), dict(components=["P7"], search="event"),
+                                dict(time_from="2024-01-02 00:00:00", has_stack_trace=True),
+                                dict(levels=["fatal"], time_to="2024-01-03 00:00:00", search="failed")])
+def test_filter_lines_equals_filter_after_parse(spark, entries, kw):
+    lines = catalog.r1_lines(spark, SF_SMALL)
+    cols = ["file_path", "line_number", "level", "message", "stack_trace"]
+    early = sorted(tuple(r) for r in FL.filter_lines(lines, parse_kw={"chunk_lines": 37}, **kw).select(*cols).collect())
+    late = sorted(tuple(r) for r in FL.filter_entries(entries, **kw).select(*cols).collect())
+    assert early == late and len(early) > 0
