@@ -6,27 +6,27 @@ from logweave.operators import codeindex as CI
 
 
 def test_scan_and_versions(spark):
-    paths = ["c/org.wso2.carbon.kernel_4.9.1.jar", "c/org.wso2.carbon.identity.oauth-6.12.0.jar",
+    paths = ["c/org.example.kernel_4.9.1.jar", "c/org.example.identity.oauth-6.12.0.jar",
              "c/synapse-core_4.0.0.wso2v262_2.jar", "c/readme.txt", "c/plain.jar", "b/synapse-core_9.jar"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     got = {r.artifact_id: r.version for r in AR.artifact_versions(AR.scan_artifacts(df)).collect()}
-    assert got == {"org.wso2.carbon.kernel": "4.9.1", "org.wso2.carbon.identity.oauth": "6.12.0",
+    assert got == {"org.example.kernel": "4.9.1", "org.example.identity.oauth": "6.12.0",
                    "synapse-core": "9"}   # smallest path wins
 
 
 def test_resolve_version(spark):
-    jm = spark.createDataFrame([("org.wso2.carbon.identity.oauth", "6.12.0"), ("oauth", "1.0"),
+    jm = spark.createDataFrame([("org.example.identity.oauth", "6.12.0"), ("oauth", "1.0"),
                                 ("baz", "1.0"), ("kernel-x", "2.0")], "artifact_id string, version string")
-    ov = spark.createDataFrame([("org.wso2.k", "kernel-x"), ("org.wso2.k.missing", "nope")],
+    ov = spark.createDataFrame([("org.example.k", "kernel-x"), ("org.example.k.missing", "nope")],
                                "prefix string, artifact_id string")
-    pk = spark.createDataFrame([("org.wso2.carbon.identity.oauth.endpoint",), ("com.foo.bar",),
-                                ("org.wso2.k.thing",), ("org.wso2.k.missing.x",)], "package string")
+    pk = spark.createDataFrame([("org.example.identity.oauth.endpoint",), ("com.foo.bar",),
+                                ("org.example.k.thing",), ("org.example.k.missing.x",)], "package string")
     got = {r.package: (r.artifact_id, r.version, r.rule) for r in AR.resolve_artifact_version(pk, ov, jm).collect()}
-    assert got["org.wso2.carbon.identity.oauth.endpoint"] == ("org.wso2.carbon.identity.oauth", "6.12.0", "fuzzy")
+    assert got["org.example.identity.oauth.endpoint"] == ("org.example.identity.oauth", "6.12.0", "fuzzy")
     assert got["com.foo.bar"] == (None, None, None)
-    assert got["org.wso2.k.thing"] == ("kernel-x", "2.0", "override")
+    assert got["org.example.k.thing"] == ("kernel-x", "2.0", "override")
     # longest override has no jar -> fuzzy step ('oauth' is not inside), nothing found
-    assert got["org.wso2.k.missing.x"] == (None, None, None)
+    assert got["org.example.k.missing.x"] == (None, None, None)
 
 
 def test_tag_candidates_and_match(spark):
@@ -34,11 +34,11 @@ def test_tag_candidates_and_match(spark):
     got = [r[0] for r in df.select(AR.tag_candidates("v")).collect()]
     assert got == [["v4.0.0.wso2v262", "4.0.0.wso2v262", "v4.0.0-wso2v262", "4.0.0-wso2v262"], ["v1.2", "1.2"]]
     versions = spark.createDataFrame([("syn", "4.0.0.wso2v262"), ("k", "1.2"), ("z", "9")], "repo string, version string")
-    tags = spark.createDataFrame([("wso2-extensions", "syn", "v4.0.0.wso2v262"), ("wso2", "syn", "4.0.0-wso2v262"),
-                                  ("wso2", "k", "1.2"), ("wso2-extensions", "k", "v1.2"), ("other", "z", "9")],
+    tags = spark.createDataFrame([("org-b", "syn", "v4.0.0.wso2v262"), ("org-a", "syn", "4.0.0-wso2v262"),
+                                  ("org-a", "k", "1.2"), ("org-b", "k", "v1.2"), ("other", "z", "9")],
                                  "org string, repo string, tag string")
-    got = {r.repo: (r.org, r.tag) for r in AR.match_release_tags(versions, tags).collect()}
-    assert got == {"syn": ("wso2", "4.0.0-wso2v262"), "k": ("wso2", "1.2"), "z": (None, None)}
+    got = {r.repo: (r.org, r.tag) for r in AR.match_release_tags(versions, tags, ["org-a", "org-b"]).collect()}
+    assert got == {"syn": ("org-a", "4.0.0-wso2v262"), "k": ("org-a", "1.2"), "z": (None, None)}
 
 
 def test_dims_from_json(spark, tmp_path):
