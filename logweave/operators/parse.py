@@ -294,8 +294,13 @@ def parse_entries(lines: DataFrame, layout: str | None = None, format_col: str |
 
 # ----------------------------------------------------------------- S1 + P7 on files
 
+# Largest file -> format table that is broadcast onto the scan (rows).
+FILE_FORMATS_BROADCAST_MAX_ROWS = 1_000_000
+
+
 def parse_files(spark, paths, layout: str | None = None, recursive: bool = False,
-                glob: str | None = None) -> DataFrame:
+                glob: str | None = None, file_formats: DataFrame | None = None,
+                formats: list[LogFormat] | None = None) -> DataFrame:
     """Text files -> entries with two passes over the text.
 
     The chunks are the reader's splits (``_metadata.file_block_start``) and
@@ -307,17 +312,29 @@ def parse_files(spark, paths, layout: str | None = None, recursive: bool = False
     (a window bounded by the split size), joined to that table, gives line
     numbers and the entry of every line; then the same entry aggregation as
     ``parse_entries``.  Same result as ``parse_entries(read_lines(...))``.
+
+    ``file_formats(file_path, format_id)`` chooses a format per file (S5;
+    built-ins or ``formats``, unknown or null ids parse automatically).  It
+    is broadcast onto the scan when its row count is under a bound; the line
+    ids are fixed in the scan, so any join strategy gives the same result.
     """
     from logweave.sources.lines import _scan
 
-    return parse_scanned(_scan(spark, paths, recursive, glob), layout)
+    scan = _scan(spark, paths, recursive, glob)
+    if file_formats is None:
+        return parse_scanned(scan, layout)
+    ff = file_formats.select("file_path", F.col("format_id").alias("_format_id"))
+    if ff.count() <= FILE_FORMATS_BROADCAST_MAX_ROWS:
+        ff = F.broadcast(ff)
+    return parse_scanned(scan.join(ff, "file_path", "left"), layout, "_format_id", formats)
 
 
-def parse_scanned(scan: DataFrame, layout: str | None = None) -> DataFrame:
+def parse_scanned(scan: DataFrame, layout: str | None = None, format_col: str | None = None,
+                  formats: list[LogFormat] | None = None) -> DataFrame:
     """``parse_files`` on a scan ``(file_path, _block, _id, value)`` taken
     straight from a text source (ids from ``monotonically_increasing_id()``
     before any shuffle)."""
-    plan = _HeaderPlan(layout, None, None)
+    plan = _HeaderPlan(layout, format_col, formats)
     x = _classify(scan, plan)
     blocks = x.groupBy("file_path", "_block").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"),

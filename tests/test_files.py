@@ -195,3 +195,17 @@ def test_stored_entries_push_filters_and_prune_columns(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(level), EqualTo(level,WARN)]" in plan
     assert "ReadSchema: struct<file_path:string,line_number:bigint,level:string>" in plan
     assert [r.line_number for r in q.collect()] == [2]
+
+
+def test_parse_files_with_file_formats(spark, tmp_path):
+    from logweave.operators.formats import LogFormat
+    from logweave.operators.parse import parse_files
+    _write(str(tmp_path / "a.log"), b"2024-01-01 00:00:00,000|warn|a.b.C|x\n  more\n")
+    _write(str(tmp_path / "b.log"), TID3.encode())
+    ff = (discover_logs(spark, str(tmp_path)).where(F.col("filename") == "a.log")
+          .select("file_path", F.lit("mine").alias("format_id")))
+    got = {os.path.basename(r.file_path): r for r in parse_files(
+        spark, str(tmp_path), file_formats=ff, formats=[LogFormat("mine", "mine", "%d|%p|%c|%m")]).collect()
+        if r.line_number == 1}
+    assert (got["a.log"].level, got["a.log"].logger_short, got["a.log"].message) == ("WARN", "C", "x\n  more")
+    assert got["b.log"].level == "INFO" and got["b.log"].tid == "0"
