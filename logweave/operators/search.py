@@ -40,6 +40,20 @@ def search_entries(entries: DataFrame, query: str, regex: bool = False, case_sen
     return out.drop("file_order") if file_order is not None else out
 
 
+def search_lines(lines: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False,
+                 file_paths: list | None = None, levels: list | None = None,
+                 limit: int = DEFAULT_SEARCH_LIMIT, parse_kw: dict | None = None) -> DataFrame:
+    """L4 straight from ``lines``: the level criterion selects entries before
+    they are assembled (see ``filters.filter_lines``); same rows as
+    ``search_entries(parse_entries(lines), ...)``."""
+    from logweave.operators.filters import by_level
+    from logweave.operators.parse import parse_entries
+    if file_paths:
+        lines = lines.where(F.col("file_path").isin(list(file_paths)))
+    entries = parse_entries(lines, header_where=by_level(levels), **(parse_kw or {}))
+    return search_entries(entries, query, regex, case_sensitive, None, levels, limit)
+
+
 def search_total(entries: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False,
                  file_paths: list | None = None, levels: list | None = None) -> int:
     """The exact number of entries ``search_entries`` draws its page from

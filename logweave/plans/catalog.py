@@ -16,7 +16,7 @@ from logweave.operators import filters as FL
 from logweave.operators.formats import format_report as _format_report
 from logweave.operators.parse import detect_format as _detect_format
 from logweave.operators.parse import parse_entries
-from logweave.operators.search import search_entries, search_text
+from logweave.operators.search import search_lines, search_text
 from logweave.sources import render
 from logweave.sources.files import file_metadata as _file_metadata
 from logweave.sources.files import skip_registered as _skip_registered
@@ -203,8 +203,8 @@ def q_group_all(spark, sf_dir):
 # ----------------------------------------------------------------- search
 
 def q_search_files(spark, sf_dir):
-    return _entry_view(search_entries(r1_entries(spark, sf_dir), SEARCH_QUERY, levels=SEARCH_LEVELS,
-                                      limit=SEARCH_LIMIT))
+    return _entry_view(search_lines(r1_lines(spark, sf_dir), SEARCH_QUERY, levels=SEARCH_LEVELS,
+                                    limit=SEARCH_LIMIT))
 
 
 def q_search_documents(spark, sf_dir):

@@ -139,3 +139,12 @@ def test_filter_lines_equals_filter_after_parse(spark, entries, kw):
     early = sorted(tuple(r) for r in FL.filter_lines(lines, parse_kw={"chunk_lines": 37}, **kw).select(*cols).collect())
     late = sorted(tuple(r) for r in FL.filter_entries(entries, **kw).select(*cols).collect())
     assert early == late and len(early) > 0
+
+
+def test_search_lines_equals_search_after_parse(spark, entries):
+    from logweave.operators.search import search_lines
+    lines = catalog.r1_lines(spark, SF_SMALL)
+    a = [(r.file_path, r.line_number) for r in search_lines(lines, "event", levels=["warn"], limit=50,
+                                                             parse_kw={"chunk_lines": 41}).collect()]
+    b = [(r.file_path, r.line_number) for r in search_entries(entries, "event", levels=["warn"], limit=50).collect()]
+    assert a == b and len(a) == 50
