@@ -148,3 +148,11 @@ def test_search_lines_equals_search_after_parse(spark, entries):
                                                              parse_kw={"chunk_lines": 41}).collect()]
     b = [(r.file_path, r.line_number) for r in search_entries(entries, "event", levels=["warn"], limit=50).collect()]
     assert a == b and len(a) == 50
+
+
+def test_repeat_runs_equal_and_line_numbers_unique(spark, entries):
+    again = catalog.r1_entries(spark, SF_SMALL)
+    cols = ["file_path", "line_number", "level", "message", "stack_trace"]
+    assert sorted(tuple(r) for r in again.select(*cols).collect()) == \
+        sorted(tuple(r) for r in entries.select(*cols).collect())
+    assert entries.select("file_path", "line_number").distinct().count() == entries.count()
