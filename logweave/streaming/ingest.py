@@ -22,9 +22,12 @@ from logweave.sources.sinks import write_entries
 
 
 def ingest_new_files(spark: SparkSession, folder: str, out_path: str, checkpoint: str | None = None,
-                     layout: str | None = None, max_files_per_trigger: int | None = None):
+                     layout: str | None = None, max_files_per_trigger: int | None = None,
+                     file_formats: DataFrame | None = None, formats=None):
     """Parse every new ``.log``/``.txt`` file below ``folder`` into entries at
-    ``out_path``; returns the finished ``StreamingQuery``."""
+    ``out_path``; returns the finished ``StreamingQuery``.  ``file_formats``
+    (``file_path``, ``format_id``) chooses formats per file as in
+    ``parse_files`` (joined to each micro-batch after its line ids are set)."""
     reader = (spark.readStream.format("text").option("recursiveFileLookup", "true"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -36,7 +39,11 @@ def ingest_new_files(spark: SparkSession, folder: str, out_path: str, checkpoint
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         scan = batch.select("file_path", "_block", F.monotonically_increasing_id().alias("_id"), "value")
-        entries = parse_scanned(scan, layout=layout)
+        if file_formats is not None:
+            ff = file_formats.select("file_path", F.col("format_id").alias("_format_id"))
+            entries = parse_scanned(scan.join(ff, "file_path", "left"), layout, "_format_id", formats)
+        else:
+            entries = parse_scanned(scan, layout=layout)
         write_entries(entries.withColumn("batch_id", F.lit(batch_id)), out_path, mode="overwrite",
                       extra_partitions=("batch_id",))
 

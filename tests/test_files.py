@@ -209,3 +209,18 @@ def test_parse_files_with_file_formats(spark, tmp_path):
         if r.line_number == 1}
     assert (got["a.log"].level, got["a.log"].logger_short, got["a.log"].message) == ("WARN", "C", "x\n  more")
     assert got["b.log"].level == "INFO" and got["b.log"].tid == "0"
+
+
+def test_ingest_with_file_formats(spark, tmp_path):
+    from logweave.operators.formats import LogFormat
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    _write(f"{src}/a.log", b"2024-01-01 00:00:00,000|error|a.b.C|x\n")
+    _write(f"{src}/b.log", TID3.encode())
+    ff = (discover_logs(spark, src).where(F.col("filename") == "a.log")
+          .select("file_path", F.lit("mine").alias("format_id")))
+    ingest_new_files(spark, src, out, checkpoint=ck, file_formats=ff,
+                     formats=[LogFormat("mine", "mine", "%d|%p|%c|%m")])
+    got = read_entries(spark, out)
+    assert got.count() == 4
+    a = got.where(F.col("file_path").endswith("/a.log")).collect()
+    assert len(a) == 1 and (a[0].level, a[0].logger_short, a[0].message) == ("ERROR", "C", "x")
