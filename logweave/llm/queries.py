@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import line_dedup, quality_fm, simhash_dedup
+from logweave.llm import decontamination, line_dedup, mixing, quality_fm, simhash_dedup
 from logweave.llm.common import crc_slice, table
 
 
@@ -27,8 +27,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
 
+#: Shares of the expected tokens that the mix is to have.
+MIX = {"good": .92, "poor": .06, "toxic": .02}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labels, MIX).drop("text_hash")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "windows", "share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
+    "op3_mixing": op3_mixing,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op8_decontamination": op8_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
