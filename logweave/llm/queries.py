@@ -28,7 +28,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of the expected tokens that the mix is to have.
-MIX = {"good": .92, "poor": .06, "toxic": .02}
+MIX = {"good": .88, "poor": .07, "toxic": .05}
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
