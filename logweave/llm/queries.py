@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontamination, line_dedup, mixing, quality_fm, simhash_dedup
+from logweave.llm import (chat_format, decontamination, language_ppm, line_dedup, mixing, quality_fm, simhash_dedup, token_counts,
+                          topk_search, url_filters)
 from logweave.llm.common import crc_slice, table
 
 
@@ -18,11 +19,30 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", crc_slice(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op4_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_ppm.fit(docs, ~crc_slice(F.col("doc_id"), 4, 2))
+    found = language_ppm.identify(docs, model)
+    return found.select("doc_id", crc_slice(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(own)
+    return chat_format.digests(chat_format.format_chats(rows))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0, every=20)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
@@ -31,20 +51,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX = {"good": .88, "poor": .07, "toxic": .05}
 
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+#: The rules of op7: places, then patterns for hosts that sell by their name.
+URL_RULES = [
+    url_filters.Place("org", "/", "allow"), url_filters.Place("example.org", "/es/", "block"),
+    url_filters.Place("example.org", "/en/1", "block"), url_filters.Place("com", "/fr/", "allow"),
+    url_filters.Place("com", "/de/", "block"),
+    *[url_filters.Pattern(p) for p in ("||casino-*.", "||*-casino.", "||free-*.", "||*-bets.", "||*-pills.", "||cheap-*.", "||adult-*.",
+                                       "||*-porn.", "||buy-*.")],
+]
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_vocabulary(VOCABULARY))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.label_domains(table(spark, sf_dir, "labels"))
     return mixing.mix(table(spark, sf_dir, "documents"), labels, MIX).drop("text_hash")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "windows", "share")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_fm": op1_quality_fm,
-    "op3_mixing": op3_mixing,
-    "op6_simhash_dedup": op6_simhash_dedup,
-    "op8_decontamination": op8_decontamination,
-    "op10_line_dedup": op10_line_dedup,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_quality_fm, op2_token_counts, op3_mixing, op4_language_ppm, op5_chat_format, op6_simhash_dedup,
+    op7_url_filters, op8_decontamination, op9_topk_search, op10_line_dedup)}
