@@ -1,3 +1,135 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express; written from the operators' definitions, not from their plans."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from logweave.llm.decontamination import FUNCTION_WORDS, SHORT_UNITS, UNITS
+from logweave.llm.queries import URL_RULES
+from logweave.llm.url_filters import Pattern
+
+
+def _strings(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_CONTROL = ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE]", "[/ROLE]", "[END]")
+_ESCAPES = " + ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in ("\\", *_CONTROL))
+
+OP5 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text) + {_ESCAPES.format('text')} + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 18 + length(role) + {_ESCAPES.format('role')} END)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def _pattern_sql(pattern: str) -> str:
+    body = pattern.removeprefix("||").replace(".", "[.]").replace("*", ".*")
+    return f"regexp_matches(host || path, '(?is)^([^/]*[.])?{body}')"
+
+
+_PATTERNS = " ".join(f"WHEN {_pattern_sql(p.text)} THEN '{p.text}'" for p in sorted(
+    (r for r in URL_RULES if isinstance(r, Pattern)), key=lambda r: (len(r.text), r.text), reverse=True))
+
+OP7 = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule,
+    CASE {_PATTERNS} END AS fits
+  FROM h)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR fits IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IS NULL THEN fits END AS pattern
+FROM r
+"""
+
+OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+_TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+(?:[''’][\p{L}\p{M}]+)*"
+
+
+def _windows(source: str, key: str) -> str:
+    """One row per window of five typed tokens: its place, its tokens and their types."""
+    return f"""
+  SELECT {key}, i - 1 AS place, raw[i:i + 4] AS raw, types[i:i + 4] AS types FROM (
+    SELECT *, unnest(range(1, greatest(len(raw) - 4, 1) + 1)) AS i FROM (
+      SELECT {key}, raw, list_transform(raw, lambda w, k: CASE
+          WHEN w[1] BETWEEN '0' AND '9' THEN '<num>'
+          WHEN list_contains([{_strings(UNITS)}], lower(w)) THEN '<unit>'
+          WHEN list_contains([{_strings(SHORT_UNITS)}], lower(w)) AND k > 1 AND raw[k - 1][1] BETWEEN '0' AND '9' THEN '<unit>'
+          WHEN lower(w[1]) <> w[1] AND NOT list_contains([{_strings(FUNCTION_WORDS)}], lower(w)) THEN '<name>'
+          ELSE lower(w) END) AS types
+      FROM (SELECT {key}, regexp_extract_all(text, '{_TOKEN}') AS raw FROM {source}) WHERE len(raw) > 0))"""
+
+
+OP8 = f"""
+WITH d AS (SELECT DISTINCT doc_id, text, text AS body FROM documents),
+b AS (SELECT DISTINCT item_id, text, text AS question FROM benchmark),
+dw AS ({_windows('d', 'doc_id, body')}),
+bw AS (SELECT *, len(list_filter(types, lambda t: t NOT IN ('<num>', '<unit>', '<name>'))) AS literals FROM ({_windows('b', 'item_id, question')})),
+n AS (SELECT item_id, question, count(*) AS every, count(*) FILTER (WHERE literals >= 2) AS plain FROM bw GROUP BY ALL),
+w AS (SELECT bw.*, plain = 0 AS strict, CASE WHEN plain = 0 THEN every ELSE plain END AS windows
+      FROM bw JOIN n USING (item_id, question) WHERE plain = 0 OR literals >= 2),
+m AS (
+  SELECT doc_id, body, item_id, question, windows, strict, w.place AS place, dw.place - w.place AS shift,
+    list_filter(list_transform(range(1, len(w.types) + 1), lambda k: {{'t': w.types[k], 'a': lower(w.raw[k]), 'b': lower(dw.raw[k])}}),
+                lambda s: s.t IN ('<num>', '<unit>', '<name>')) AS slots
+  FROM dw JOIN w USING (types)),
+ok AS (SELECT * FROM m WHERE NOT strict OR len(list_filter(slots, lambda s: s.a <> s.b)) = 0),
+sl AS (SELECT doc_id, body, item_id, question, shift, count(*) AS n, count(DISTINCT (s.t, s.a)) AS na, count(DISTINCT (s.t, s.b)) AS nb
+       FROM (SELECT DISTINCT doc_id, body, item_id, question, shift, unnest(slots) AS s FROM ok) GROUP BY ALL),
+bad AS (SELECT doc_id, body, item_id, question, shift FROM sl WHERE n <> na OR n <> nb),
+c AS (SELECT doc_id, body, item_id, question, windows, count(DISTINCT place) AS matched
+      FROM ok ANTI JOIN bad USING (doc_id, body, item_id, question, shift) GROUP BY ALL)
+SELECT doc_id, item_id, matched::BIGINT AS matched, windows::BIGINT AS windows, matched / windows AS share FROM c WHERE matched / windows >= 0.8
+"""
+
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (
+  SELECT r, doc_id, k, lower(trim(regexp_replace(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' +', ' ', 'g'))) AS norm
+  FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d)),
+w AS (SELECT r, doc_id, k, norm, string_split(norm, ' ') AS words FROM l WHERE norm <> '' AND norm LIKE '% %'),
+f AS (SELECT norm, any_value(words) AS words, min((doc_id, r, k)) AS first FROM w GROUP BY norm),
+v AS (
+  SELECT norm, first, words, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM f WHERE len(words) >= 8)),
+near AS (
+  SELECT DISTINCT a.norm FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i WHERE b.first < a.first
+  UNION SELECT a.norm FROM v a JOIN f b ON a.rest = b.norm WHERE b.first < a.first AND len(b.words) >= 8
+  UNION SELECT b.norm FROM v a JOIN f b ON a.rest = b.norm WHERE a.first < b.first AND len(b.words) >= 8),
+gone AS (
+  SELECT w.r, w.k FROM w JOIN f USING (norm) WHERE (w.doc_id, w.r, w.k) <> f.first
+  UNION SELECT r, k FROM w JOIN near USING (norm)),
+g AS (SELECT r, list(k) AS ks FROM gone GROUP BY r)
+SELECT d.doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(ks, i)), chr(10)) END AS text,
+  coalesce(len(ks), 0)::INTEGER AS removed_lines
+FROM d LEFT JOIN g USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_chat_format": OP5, "op7_url_filters": OP7, "op8_decontamination": OP8, "op9_topk_search": OP9, "op10_line_dedup": OP10,
+}
