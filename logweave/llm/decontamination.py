@@ -1,20 +1,22 @@
 """Operator 8: benchmark decontamination by template canonicalisation.
 
-Texts become tokens (numbers and words).  A token is typed: a number is <num>,
-a unit of measure <unit> (one-letter units only after a number), a capitalised
-word that is not a function word <name>; other words are literal, lower-cased.
-Windows of five typed tokens are the templates.  Benchmark windows with at
-least two literal tokens are joined by hash with the documents' windows and
-compared; each match says which document value stands in which slot.  Along
-one alignment (document place minus item place) the slot values must map one
-to one, else that alignment does not count.  A document is contaminated by an
-item if the alignments that count cover ``share`` (0.8) of the item's windows,
-so a copied question is found, and also one whose numbers, names and units
-were exchanged consistently.
+Texts become tokens, runs of letters and digits.  A token is typed: one that
+begins with a digit is <num>, a unit of measure after it <unit>, another
+capitalised word that is not a function word <name>; the rest is literal,
+lower-cased.  Windows of five typed tokens are the templates.  Benchmark
+windows with at least two literal tokens are joined by hash with the
+documents' windows and compared; each match says which document value stands
+in which slot.  Along one alignment (document place minus item place) the slot
+values must map one to one, else that alignment does not count.  A document is
+contaminated by an item if the alignments that count cover ``share`` (0.8) of
+the item's windows, so a copied question is found, and also one whose numbers,
+names and units were exchanged consistently.
 
 Scale: documents are read once; only windows that match a benchmark window
 leave their task.  The benchmark's window table is broadcast if it has at most
 ``broadcast_rows`` rows, counted first, and joined by shuffle beyond that.
+Typing and cutting are regular expressions over whole texts (a few passes),
+which costs a fraction of the same done token by token.
 
 Edge cases: null and empty texts have no windows; a text of fewer than five
 tokens is one window of all it has; an item without any window of two literals
@@ -29,41 +31,47 @@ from pyspark.sql import functions as F
 
 WINDOW = 5
 LITERALS = 2
-TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*"
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
-UNITS = ("mm cm km kg mg lb lbs oz ft inch inches mile miles meter meters metre metres kilometer kilometers kilometre "
-         "kilometres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons second "
-         "seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros "
-         "percent degree degrees mph kph hz khz mhz ghz kb mb gb tb volt volts watt watts").split()
-SHORT_UNITS = list("mglshvwk")
+UNITS = ("mm cm m km kg mg g lb lbs oz ft inch inches mile miles meter meters metre metres kilometer kilometers kilometre "
+         "kilometres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres l ml gallon gallons "
+         "second seconds s minute minutes hour hours h day days week weeks month months year years dollar dollars cent cents "
+         "euro euros percent degree degrees mph kph hz khz mhz ghz kb mb gb tb volt volts v watt watts w").split()
 FUNCTION_WORDS = ("a an the this that these those there here it its he she they we you i what which who whom whose when where "
                   "why how if in on at by to of for from with and or but not no is are was were be do does did has have had "
                   "can could will would shall should may might must as so then than let each every all some any find given "
                   "suppose calculate").split()
+ANY_OF = "|".join
+CUT = " (?=([^ ]+" + " [^ ]+" * (WINDOW - 1) + ") )"
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def plain(text: Column) -> Column:
+    """The tokens, with a blank before and after each."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}0-9]+", " ")), F.lit(" "))
 
 
 def typed(words: Column) -> Column:
-    def one(word: Column, i: Column) -> Column:
-        low, first = F.lower(word), F.substring(word, 1, 1)
-        digit = lambda c: c.between("0", "9")
-        after_number = (i > 0) & digit(F.substring(F.get(words, i - 1), 1, 1))
-        return (F.when(digit(first), NUMBER)
-                .when(low.isin(UNITS) | (low.isin(SHORT_UNITS) & after_number), UNIT)
-                .when((F.lower(first) != first) & ~low.isin(FUNCTION_WORDS), NAME)
-                .otherwise(low))
-    return F.transform(words, one)
+    """The tokens of ``plain`` with their types in place of numbers, units and names; as many tokens."""
+    out = F.regexp_replace(words, " [0-9][^ ]*", f" {NUMBER}")
+    out = F.regexp_replace(out, f" {NUMBER} (?i:{ANY_OF(UNITS)})(?= )", f" {NUMBER} {UNIT}")
+    return F.lower(F.regexp_replace(out, rf" (?=\p{{Lu}})(?!(?i:{ANY_OF(FUNCTION_WORDS)}) )[^ ]+", f" {NAME}"))
+
+
+def _cut(words: Column) -> Column:
+    """The windows of a text in ``plain`` form; all of it if it is shorter than a window, none if it has no token."""
+    windows = F.regexp_extract_all(words, F.lit(CUT), F.lit(1))
+    whole = F.trim(words)
+    return F.when(whole.rlike("^(?:[^ ]+ ){0,%d}[^ ]+$" % (WINDOW - 2)), F.array(whole)).otherwise(windows)
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """Adds ``place`` (from 0) and ``hash`` of every window; ``raw`` and ``types`` stay."""
-    rows = rows.withColumn("raw", tokens(F.col("text"))).where(F.size("raw") > 0).withColumn("types", typed(F.col("raw")))
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("types") - (WINDOW - 1), F.lit(1))),
-                         lambda i: F.xxhash64(F.slice("types", i, WINDOW)))
-    return rows.select("*", F.posexplode(hashes).alias("place", "hash")).drop("text")
+    """Adds ``place`` (from 0), ``template``, its ``hash`` and the tokens as they are, ``raw``, of every window."""
+    # Below the generator, so that a text is worked out once and doesn't go along with its windows.
+    rows = rows.withColumn("words", plain(F.col("text"))).drop("text")
+    rows = rows.withColumn("cut", F.arrays_zip(_cut(typed(F.col("words"))).alias("template"), _cut(F.lower("words")).alias("raw")))
+    # Outer: for the inner form Spark filters on the array's size first, and works it out twice.
+    rows = rows.drop("words").select("*", F.posexplode_outer("cut").alias("place", "window")).drop("cut").where("place is not null")
+    return rows.select("*", F.col("window.template").alias("template"), F.split("window.raw", " ").alias("raw"),
+                       F.xxhash64("window.template").alias("hash")).drop("window")
 
 
 def _slot(word: Column) -> Column:
@@ -76,12 +84,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("item_hash")).distinct()
     found = _windows(rows).select(
         "item_id", "item_hash", "hash", F.col("place").alias("item_place"),
-        F.slice("raw", F.col("place") + 1, WINDOW).alias("item_raw"), F.slice("types", F.col("place") + 1, WINDOW).alias("types"))
-    found = found.withColumn("literals", F.size(F.filter("types", lambda t: ~_slot(t))))
+        F.col("raw").alias("item_raw"), F.col("template").alias("item_template"))
+    found = found.withColumn("literals", F.size(F.filter(F.split("item_template", " "), lambda t: ~_slot(t))))
     per_item = found.groupBy(F.col("item_id").alias("id"), F.col("item_hash").alias("text_key")).agg(
         F.count("*").alias("every"), F.count(F.when(F.col("literals") >= LITERALS, 1)).alias("plain"))
     found = found.join(per_item, F.col("item_id").eqNullSafe(F.col("id")) & (F.col("item_hash") == F.col("text_key"))).select(
-        "item_id", "item_hash", "hash", "item_place", "item_raw", F.col("types").alias("item_types"), "literals",
+        "item_id", "item_hash", "hash", "item_place", "item_raw", "item_template", "literals",
         (F.col("plain") == 0).alias("strict"), F.when(F.col("plain") == 0, F.col("every")).otherwise(F.col("plain")).alias("windows"))
     return found.where(F.col("strict") | (F.col("literals") >= LITERALS)).drop("literals")
 
@@ -93,11 +101,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broad
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     hits = _windows(rows).join(wanted, "hash")
-    own_types, own_raw = (F.slice(c, F.col("place") + 1, WINDOW) for c in ("types", "raw"))
-    slots = F.filter(F.zip_with(F.arrays_zip(F.col("item_types").alias("type"), F.col("item_raw").alias("theirs")), own_raw,
-                                lambda t, own: F.struct(t["type"].alias("type"), F.lower(t["theirs"]).alias("theirs"),
-                                                        F.lower(own).alias("own"))), lambda s: _slot(s["type"]))
-    hits = hits.where(own_types == F.col("item_types")).select(
+    slots = F.filter(F.zip_with(F.arrays_zip(F.split("template", " ").alias("type"), F.col("item_raw").alias("theirs")), F.col("raw"),
+                                lambda t, own: F.struct(t["type"].alias("type"), t["theirs"].alias("theirs"), own.alias("own"))),
+                     lambda s: _slot(s["type"]))
+    hits = hits.where(F.col("template") == F.col("item_template")).select(
         "doc_id", "text_hash", "item_id", "item_hash", "windows", "strict", "item_place",
         (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"))
     hits = hits.where(~F.col("strict") | ~F.exists("slots", lambda s: s["theirs"] != s["own"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.llm.decontamination import FUNCTION_WORDS, SHORT_UNITS, UNITS
+from logweave.llm.decontamination import FUNCTION_WORDS, UNITS
 from logweave.llm.queries import URL_RULES
 from logweave.llm.url_filters import Pattern
 
@@ -68,7 +68,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
 """
 
-_TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+(?:[''’][\p{L}\p{M}]+)*"
+_TOKEN = r"[\p{L}\p{M}0-9]+"
 
 
 def _windows(source: str, key: str) -> str:
@@ -78,9 +78,8 @@ def _windows(source: str, key: str) -> str:
     SELECT *, unnest(range(1, greatest(len(raw) - 4, 1) + 1)) AS i FROM (
       SELECT {key}, raw, list_transform(raw, lambda w, k: CASE
           WHEN w[1] BETWEEN '0' AND '9' THEN '<num>'
-          WHEN list_contains([{_strings(UNITS)}], lower(w)) THEN '<unit>'
-          WHEN list_contains([{_strings(SHORT_UNITS)}], lower(w)) AND k > 1 AND raw[k - 1][1] BETWEEN '0' AND '9' THEN '<unit>'
-          WHEN lower(w[1]) <> w[1] AND NOT list_contains([{_strings(FUNCTION_WORDS)}], lower(w)) THEN '<name>'
+          WHEN list_contains([{_strings(UNITS)}], lower(w)) AND k > 1 AND raw[k - 1][1] BETWEEN '0' AND '9' THEN '<unit>'
+          WHEN regexp_matches(w, '^\\p{{Lu}}') AND NOT list_contains([{_strings(FUNCTION_WORDS)}], lower(w)) THEN '<name>'
           ELSE lower(w) END) AS types
       FROM (SELECT {key}, regexp_extract_all(text, '{_TOKEN}') AS raw FROM {source}) WHERE len(raw) > 0))"""
 
@@ -110,7 +109,7 @@ SELECT doc_id, item_id, matched::BIGINT AS matched, windows::BIGINT AS windows,
 OP10 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 l AS (
-  SELECT r, doc_id, k, lower(trim(regexp_replace(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' +', ' ', 'g'))) AS norm
+  SELECT r, doc_id, k, lower(trim(regexp_replace(translate(x, chr(9) || chr(13), '  '), ' +', ' ', 'g'))) AS norm
   FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d)),
 w AS (SELECT r, doc_id, k, norm, string_split(norm, ' ') AS words FROM l WHERE norm <> '' AND norm LIKE '% %'),
 f AS (SELECT norm, any_value(words) AS words, min((doc_id, r, k)) AS first FROM w GROUP BY norm),

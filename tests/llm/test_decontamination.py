@@ -22,7 +22,7 @@ DOCS = [
 
 
 def plain_tokens(text):
-    return re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’][^\W\d_]+)*", text or "")
+    return re.findall(r"[^\W_]+", text or "")
 
 
 def plain_types(words):
@@ -30,7 +30,7 @@ def plain_types(words):
     for i, w in enumerate(words):
         if w[0].isdigit():
             out.append("<num>")
-        elif w.lower() in D.UNITS or w.lower() in D.SHORT_UNITS and i and words[i - 1][0].isdigit():
+        elif w.lower() in D.UNITS and i and words[i - 1][0].isdigit():
             out.append("<unit>")
         elif w[0].isupper() and w.lower() not in D.FUNCTION_WORDS:
             out.append("<name>")
