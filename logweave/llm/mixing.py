@@ -34,7 +34,8 @@ TEMPERATURES = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 def _tokens(docs: DataFrame, *more: str) -> DataFrame:
     """A row per token with its bucket; a text without tokens has one row with null."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *more,
-                       F.posexplode_outer(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("place", "token"))
+                       F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    rows = rows.select("doc_id", "text_hash", *more, F.posexplode_outer("tokens").alias("place", "token"))
     return rows.withColumn("bucket", F.when(F.col("token").isNotNull(), F.pmod(F.xxhash64("token"), F.lit(BUCKETS)))).drop("token")
 
 
