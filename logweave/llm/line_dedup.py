@@ -1,6 +1,6 @@
 """Operator 10: line deduplication by a deletion-neighbourhood join.
 
-Lines are compared after trimming, collapsing white space and lower-casing.
+Lines are compared after trimming, collapsing blanks and tabs, and lower-casing.
 Two lines are duplicates if they are equal or, from ``near_words`` words on,
 one word apart (word edit distance 1: one word replaced, added or left out).
 A line goes if an earlier line is its duplicate; earlier means smaller
@@ -23,7 +23,7 @@ What is kept small:
 
 Edge cases: a null text stays null; lines of fewer than ``least_words`` words
 (blank ones too) always stay; rows equal in doc_id and text are one document
-and lose the same lines; "\\r" before a line's end belongs to the white space.
+and lose the same lines; "\\r" counts as a blank.
 """
 
 from __future__ import annotations
@@ -40,16 +40,21 @@ ORDER = ("no_id", "doc_id", "text_hash", "line")
 
 
 def normalised(line: Column) -> Column:
-    flat = F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
+    flat = line
+    for white in "\t\r":
+        flat = F.replace(flat, F.lit(white), F.lit(" "))
+    flat = F.trim(flat)
     return F.lower(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat))
 
 
 def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     """One row per line that can be a duplicate: its place, its text as compared, its words and two hashes."""
+    # Below the generator each line is normalised once and each text hashed once, whatever is done with the lines.
+    every = F.transform(F.split(F.col("text"), "\n"), normalised)
     rows = docs.select(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash"),
-                       F.posexplode(F.split(F.col("text"), "\n")).alias("line", "raw"))
-    rows = rows.withColumn("norm", normalised(F.col("raw"))).drop("raw")
-    rows = rows.withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+                       F.transform(every, lambda x: F.struct(x.alias("norm"), F.size(F.split(x, " ")).alias("n"))).alias("lines"))
+    rows = rows.select("no_id", "doc_id", "text_hash", F.posexplode_outer("lines").alias("line", "l"))  # outer: no filter on the array's size
+    rows = rows.select("no_id", "doc_id", "text_hash", "line", F.col("l.norm").alias("norm"), F.col("l.n").alias("n"))
     return (rows.where((F.col("norm") != "") & (F.col("n") >= least_words))
             .withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm")))
 
@@ -142,7 +147,7 @@ def near_lines(distinct: DataFrame, lines: DataFrame, near_words: int) -> DataFr
     texts = some.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("first"), F.any_value("norm").alias("norm"))
     # Numbers in the order of the first places; stored, so that they stay as they are.
     texts = stored(texts.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "line-texts")
-    keys = texts.select("id", F.explode(_keyed(F.split("norm", " "))).alias("v")).select("id", "v.key", "v.at")
+    keys = texts.select("id", F.explode_outer(_keyed(F.split("norm", " "))).alias("v")).select("id", "v.key", "v.at")
     by_key, by_place = Window.partitionBy("key"), Window.partitionBy("key", "at")
     keys = (keys.withColumn("whole", F.min(F.when(F.col("at") == 0, F.col("id"))).over(by_key))
             .withColumn("variant", F.min(F.when(F.col("at") > 0, F.col("id"))).over(by_key))

@@ -9,7 +9,7 @@ from logweave.llm import line_dedup as L
 
 
 def plain_norm(line):
-    return re.sub(" +", " ", line.translate(str.maketrans("\t\r\x0b\x0c", "    ")).strip(" ")).lower()
+    return re.sub(" +", " ", line.translate(str.maketrans("\t\r", "  ")).strip(" ")).lower()
 
 
 def words_apart(a, b):
