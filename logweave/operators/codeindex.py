@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.text import py_strip
+from logweave.sources.paths import below, scanned_path
 
 # Directories never indexed, the package declaration rule.
 EXCLUDED_DIRS = ["target", "build", ".git", "node_modules"]
@@ -35,7 +36,7 @@ def read_sources(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame
         df = (spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.java")
               .select(F.lit(label).alias("repo_label"), F.lit(root).alias("repo_path"),
                       F.lit(order).alias("repo_order"),
-                      F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text")))
+                      scanned_path().alias("source_path"), F.col("value").alias("text")))
         out = df if out is None else out.unionByName(df)
     if out is None:
         raise ValueError("no repositories given")
@@ -60,21 +61,10 @@ def load_features_json(spark: SparkSession, path: str) -> DataFrame:
 
 # ----------------------------------------------------------------- C1 / A8 / A9
 
-def _relative(path: Column, root: Column) -> Column:
-    prefix = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
-    return F.when(path.startswith(prefix), F.substring(path, F.length(prefix) + 1, 1 << 30)) \
-        .otherwise(path)
-
-
-def _strip_scheme(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:", "")
-
-
 def indexed_files(sources: DataFrame) -> DataFrame:
     """C1 per file: package, class (file stem), fqcn, line count, after
     dropping files with an excluded directory below the repository root."""
-    path = _strip_scheme(F.col("source_path"))
-    rel = _relative(path, _strip_scheme(F.col("repo_path")))
+    rel = below(F.col("source_path"), F.col("repo_path"))
     kept = sources.where(~F.arrays_overlap(F.split(rel, "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRS])))
     text = F.col("text")
     pkg = F.when(text.rlike(PACKAGE_RE), F.regexp_extract(text, PACKAGE_RE, 1))

@@ -108,14 +108,20 @@ def snippet_of(text: Column, line: Column, context: int = SNIPPET_CONTEXT) -> Co
     return F.when(end > start, F.concat(body, tail)).otherwise(F.lit(""))
 
 
+def _texts(sources: DataFrame) -> DataFrame:
+    """One text per source path: of a path in several roots, that of the first registered one."""
+    if "repo_order" not in sources.columns:
+        return sources.groupBy("source_path").agg(F.min("text").alias("text"))
+    return sources.groupBy("source_path").agg(F.min_by("text", F.struct("repo_order", "text")).alias("text"))
+
+
 def attach_snippet(resolved: DataFrame, sources: DataFrame, context: int = SNIPPET_CONTEXT) -> DataFrame:
     """Add ``snippet`` for resolved frames.  Snippets are cut once per
     distinct ``(source_path, line_no)`` from the file text (no range join),
     then joined back; a missing file gives null."""
     keys = (resolved.where(F.col("resolved"))
             .select("source_path", "line_no").distinct())
-    texts = sources.select("source_path", "text")
-    snippets = keys.join(texts, "source_path").select(
+    snippets = keys.join(_texts(sources), "source_path").select(
         "source_path", "line_no", snippet_of(F.col("text"), F.col("line_no"), context).alias("snippet"))
     return resolved.join(snippets, ["source_path", "line_no"], "left")
 
@@ -134,7 +140,7 @@ def source_window(requests: DataFrame, sources: DataFrame, context: int = WINDOW
     if not 0 <= context <= MAX_WINDOW_CONTEXT:
         raise ValueError(f"context must be within 0..{MAX_WINDOW_CONTEXT}")
     r = requests.select("source_path", "line").distinct()
-    j = r.join(sources.select("source_path", "text"), "source_path")
+    j = r.join(_texts(sources), "source_path")
     lines = _splitlines(F.col("text"))
     total = F.size(lines)
     line = F.col("line")

@@ -8,9 +8,13 @@ with one aggregation per file.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.sources.paths import listed_path, scanned_path
+
 # Log file suffixes, the metadata timestamp shape and the
 # window sizes, and the file-type rules (first hit wins).
 LOG_SUFFIX_RE = r"(?i)[^/]\.(log|txt)$"
@@ -49,13 +53,17 @@ def discover_logs(spark: SparkSession, folder: str, registered: DataFrame | None
     ``folder``, sorted by path, minus the paths already in ``registered``
     (a DataFrame with a ``file_path`` column).
 
-    Returns ``(file_path, filename, file_type, size_bytes, modified)``.
+    Returns ``(file_path, filename, file_type, size_bytes, modified)``.  A file
+    without content gives the reader no split; it is taken from the reader's
+    own list of files, with size 0 and no modification time.
     """
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .load(folder).select(F.col("path").alias("file_path"),
-                                    F.col("length").alias("size_bytes"),
-                                    F.col("modificationTime").alias("modified")))
-    found = listing.where(F.col("file_path").rlike(LOG_SUFFIX_RE))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    listing = files.select(listed_path("path").alias("file_path"), F.col("length").alias("size_bytes"),
+                           F.col("modificationTime").alias("modified"))
+    named = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(files.inputFiles())), "array<string>")).alias("p"))
+    empty = named.select(scanned_path("p").alias("file_path")).join(listing, "file_path", "left_anti").select(
+        "file_path", F.lit(0).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified"))
+    found = listing.unionByName(empty).where(F.col("file_path").rlike(LOG_SUFFIX_RE))
     if registered is not None:
         found = skip_registered(found, registered)
     return (found.select("file_path", file_name("file_path").alias("filename"),
@@ -65,7 +73,7 @@ def discover_logs(spark: SparkSession, folder: str, registered: DataFrame | None
 
 
 def skip_registered(found: DataFrame, registered: DataFrame) -> DataFrame:
-    """Paths not yet registered (left anti join on the exact path)."""
+    """Paths not yet registered (left anti join on the path)."""
     return found.join(registered.select("file_path").distinct(), "file_path", "left_anti")
 
 
@@ -112,7 +120,8 @@ def log_files(lines: DataFrame, formats: DataFrame | None = None, default_format
     (explicit from ``formats(file_path, format_id)``, else ``default_format``)."""
     meta = file_metadata(lines, sizes)
     if formats is not None:
-        meta = meta.join(formats.select("file_path", F.col("format_id").alias("_fmt")), "file_path", "left")
+        # a file listed twice takes its smallest format id
+        meta = meta.join(formats.groupBy("file_path").agg(F.min("format_id").alias("_fmt")), "file_path", "left")
     else:
         meta = meta.withColumn("_fmt", F.lit(None).cast("string"))
     return meta.withColumn("format_id", F.coalesce(F.col("_fmt"), F.lit(default_format).cast("string"))) \

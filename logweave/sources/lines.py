@@ -8,7 +8,7 @@ the block.  A small per-block table (``file, block start, first id, lines``)
 gets an exclusive prefix sum of line counts over the blocks of each file
 (one row per block), and is joined back: one extra pass over the text for the
 counts, no shuffle of the lines themselves (the block table has one row per
-split and is broadcast after its size was counted).
+split; Spark broadcasts it if its stored size allows).
 
 Lines break at LF, CRLF and CR; a UTF-8 BOM at the start is dropped by the
 reader; undecodable bytes become U+FFFD.
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.sources.paths import scanned_path
+
 
 def _scan(spark: SparkSession, paths, recursive: bool = False, glob: str | None = None) -> DataFrame:
     reader = spark.read
@@ -29,23 +31,19 @@ def _scan(spark: SparkSession, paths, recursive: bool = False, glob: str | None
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = reader.text(paths)
     return df.select(
-        F.col("_metadata.file_path").alias("file_path"),
+        scanned_path().alias("file_path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
         F.make_valid_utf8("value").alias("value"))
 
 
-# Largest per-split table that is broadcast (rows; ~60 bytes each).
-BLOCKS_BROADCAST_MAX_ROWS = 1_000_000
-
-
 def read_lines(spark: SparkSession, paths, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """Read text files into numbered physical lines (1-based, per file).
 
     Eager: the per-split table (the count pass) is written below
-    ``spark.checkpoint.dir`` first; its row count (= number of splits) is the
-    proven bound under which it is broadcast, so the lines are never shuffled.
-    Above the bound it is a shuffle join.  (``parse_files`` needs no such
+    ``spark.checkpoint.dir`` first.  Spark knows its stored size, so it
+    broadcasts it below the session's threshold (the lines are then never
+    shuffled) and joins by shuffle above it.  (``parse_files`` needs no such
     join: it numbers lines inside its own exchange.)
     """
     from logweave.sources.sinks import materialize
@@ -57,8 +55,6 @@ def read_lines(spark: SparkSession, paths, recursive: bool = False, glob: str |
     blocks = materialize(blocks.select("file_path", "_block", "_first",
                                        F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")),
                          "line-blocks")
-    if blocks.count() <= BLOCKS_BROADCAST_MAX_ROWS:
-        blocks = F.broadcast(blocks)
     return (scan.join(blocks, ["file_path", "_block"])
             .select("file_path",
                     (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_number"),
@@ -71,5 +67,4 @@ def read_files_as_text(spark: SparkSession, paths, recursive: bool = False,
     such as source code)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     return spark.read.text(paths, wholetext=True, recursiveFileLookup=recursive or None,
-                           pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file_path"),
-                                     F.col("value").alias("text"))
+                           pathGlobFilter=glob).select(scanned_path().alias("file_path"), F.col("value").alias("text"))

@@ -27,9 +27,13 @@ def entry_date(ts="timestamp"):
 
 
 def write_entries(entries: DataFrame, path: str, mode: str = "overwrite",
-                  max_records_per_file: int = 5_000_000, extra_partitions=()) -> None:
+                  max_records_per_file: int = 5_000_000, extra_partitions=(),
+                  replace_partitions: bool = False) -> None:
     """Write entries partitioned by ``log_date`` (+ ``extra_partitions``).
 
+    ``overwrite`` replaces the whole output; with ``replace_partitions`` only
+    the partitions that the new entries fall into (the stream's batches).
+
     Rows are first rebalanced on the partition columns (the ``rebalance``
     hint: AQE makes evenly sized output partitions and splits a busy day over
     several tasks), so each task writes few, large files instead of one small
@@ -44,7 +48,7 @@ def write_entries(entries: DataFrame, path: str, mode: str = "overwrite",
         df = df.repartitionByRange(*parts, "file_path", "line_number")
     (df.write.mode(mode)
      .option("maxRecordsPerFile", max_records_per_file)
-     .option("partitionOverwriteMode", "dynamic")
+     .option("partitionOverwriteMode", "dynamic" if replace_partitions else "static")
      .partitionBy(*parts)
      .parquet(path))
 
@@ -56,11 +60,6 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("log_date", F.col("log_date").cast("string"))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist any result (class index, frames, resolved frames) as Parquet."""
-    df.write.mode(mode).parquet(path)
-
-
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back (lineage cut)."""
     spark = df.sparkSession
