@@ -8,16 +8,12 @@ criteria are not applied, as in the reference.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.errors import PySparkException
-try:  # the JVM-side error type differs between classic and Connect sessions
-    from py4j.protocol import Py4JJavaError
-except ImportError:  # pragma: no cover
-    Py4JJavaError = PySparkException
 
 # The levels of the "errors only" view.
 ERROR_LEVELS = ["ERROR", "FATAL"]
@@ -73,17 +69,29 @@ def text_match(cols, query: str, case_sensitive: bool = False) -> Column:
     return reduce(lambda a, b: a | b, preds)
 
 
-def regex_is_valid(spark: SparkSession, pattern: str) -> bool:
-    """Ask the JVM regex engine whether ``pattern`` compiles (one-row trial)."""
+def java_regex(pattern: str) -> str | None:
+    """A search pattern, written for Python's engine, in Java's dialect; None
+    if Python's engine rejects it.  Named groups and references to them are
+    rewritten; what only one of the two engines knows otherwise (conditional
+    groups, ``\\Z``'s line-end rule) is left as it is, and a pattern that Java
+    then rejects fails the query instead of passing for no filter."""
     try:
-        spark.range(1).select(F.lit("").rlike(pattern)).collect()
-        return True
-    except (PySparkException, Py4JJavaError, Exception):  # noqa: BLE001
-        return False
+        names = re.compile(pattern).groupindex
+    except re.error:
+        return None
+    # Java's group names are letters and digits only
+    alias = {name: f"g{number}" for name, number in names.items()}
+
+    def rewritten(m: re.Match) -> str:
+        if m["skip"]:
+            return m["skip"]
+        return f"(?<{alias[m['name']]}>" if m["name"] else f"\\k<{alias[m['ref']]}>"
+
+    return re.sub(r"(?P<skip>\\.|\[\^?\]?(?:\\.|[^\]\\])*\])|\(\?P<(?P<name>\w+)>|\(\?P=(?P<ref>\w+)\)", rewritten, pattern, flags=re.S)
 
 
 def regex_match(cols, pattern: str, case_sensitive: bool = False) -> Column:
-    """Regex search (not a full match) in any of ``cols``."""
+    """Regex search (not a full match) in any of ``cols``; ``pattern`` in Java's dialect."""
     flags = "(?U)" if case_sensitive else "(?iU)"
     preds = [F.col(c).rlike(flags + pattern) for c in cols]
     return reduce(lambda a, b: a | b, preds)
@@ -96,18 +104,18 @@ def by_text(query, case_sensitive: bool = False) -> Column | None:
     return text_match(["message", "raw"], query, case_sensitive)
 
 
-def by_regex(query, case_sensitive: bool = False, spark: SparkSession | None = None,
-             warnings: list | None = None) -> Column | None:
-    """regex search in ``message`` or ``raw``.  An invalid pattern drops
-    the filter (reference behaviour) and is reported in ``warnings``."""
+def by_regex(query, case_sensitive: bool = False, warnings: list | None = None) -> Column | None:
+    """regex search in ``message`` or ``raw``.  A pattern that Python's
+    engine rejects drops the filter (reference behaviour) and is reported in
+    ``warnings``; no other failure does."""
     if not query:
         return None
-    flags = "(?U)" if case_sensitive else "(?iU)"
-    if spark is not None and not regex_is_valid(spark, flags + query):
+    pattern = java_regex(query)
+    if pattern is None:
         if warnings is not None:
             warnings.append(f"invalid regex ignored: {query}")
         return None
-    return regex_match(["message", "raw"], query, case_sensitive)
+    return regex_match(["message", "raw"], pattern, case_sensitive)
 
 
 @dataclass
@@ -139,12 +147,12 @@ class Criteria:
         return c
 
 
-def predicate(c: Criteria, spark: SparkSession | None = None) -> Column | None:
+def predicate(c: Criteria) -> Column | None:
     """F8: AND of F1-F7, cheap predicates first."""
     preds = [by_level(c.levels), by_stack(c.has_stack_trace), by_correlation(c.correlation_id),
              by_component(c.components), by_time(c.time_from, c.time_to)]
     if c.search:
-        preds.append(by_regex(c.search, c.case_sensitive, spark, c.warnings) if c.regex
+        preds.append(by_regex(c.search, c.case_sensitive, c.warnings) if c.regex
                      else by_text(c.search, c.case_sensitive))
     preds = [p for p in preds if p is not None]
     return reduce(lambda a, b: a & b, preds) if preds else None
@@ -171,7 +179,7 @@ def filter_entries(entries: DataFrame, criteria: Criteria | None = None, **kw) -
     """F8: entries matching all given criteria (unpaged, file order kept by
     ``page``).  On stored entries a time range also prunes date partitions."""
     c = criteria or Criteria(**kw)
-    p = predicate(c, entries.sparkSession)
+    p = predicate(c)
     if p is not None and "log_date" in entries.columns:
         part = date_partition_filter(c.time_from, c.time_to)
         if part is not None:
@@ -206,9 +214,21 @@ def errors_only(entries: DataFrame) -> DataFrame:
 
 
 def page(entries: DataFrame, offset: int = 0, limit: int = 200,
-         order=("file_path", "line_number")) -> DataFrame:
+         order=("file_path", "line_number"), after: tuple | None = None) -> DataFrame:
     """L1/L2: one page in file order.  Spark plans ``orderBy + offset +
-    limit`` as a top-k (TakeOrderedAndProject), not a full sort."""
+    limit`` as a top-k (TakeOrderedAndProject), not a full sort, of
+    ``offset + limit`` rows per task.
+
+    ``after``: the ``order`` values of the row before the page (the last one of
+    the page before).  The page then costs ``limit`` rows per task however
+    deep it is, and the condition reaches the scan."""
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, value in zip(order, after, strict=True):
+            beyond = beyond | (equal & (F.col(name) > F.lit(value)))
+            equal = equal & (F.col(name) == F.lit(value))
+        # the first condition alone is what a scan can use
+        entries = entries.where((F.col(order[0]) >= F.lit(after[0])) & beyond)
     return entries.orderBy(*order).offset(offset).limit(limit) if offset else \
         entries.orderBy(*order).limit(limit)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators.filters import Criteria, filter_entries, regex_is_valid, regex_match, text_match
+from logweave.operators.filters import Criteria, filter_entries, java_regex, regex_match, text_match
 
 DEFAULT_SEARCH_LIMIT = 100
 
@@ -65,15 +65,17 @@ def search_total(entries: DataFrame, query: str, regex: bool = False, case_sensi
 
 
 def search_text(df: DataFrame, column: str, query: str, regex: bool = False,
-                case_sensitive: bool = False) -> DataFrame:
+                case_sensitive: bool = False, warnings: list | None = None) -> DataFrame:
     """F6/F7 over a whole-text column (documents, pages, ...): rows whose
     text contains ``query`` (literal) or matches it (regex search).  An invalid
-    regex drops the filter, as in the reference (F7)."""
+    regex drops the filter, as in the reference (F7), and is put into ``warnings``."""
     if not query:
         return df
     if regex:
-        flags = "(?U)" if case_sensitive else "(?iU)"
-        if not regex_is_valid(df.sparkSession, flags + query):
+        pattern = java_regex(query)
+        if pattern is None:
+            if warnings is not None:
+                warnings.append(f"invalid regex ignored: {query}")
             return df
-        return df.where(regex_match([column], query, case_sensitive))
+        return df.where(regex_match([column], pattern, case_sensitive))
     return df.where(text_match([column], query, case_sensitive))
