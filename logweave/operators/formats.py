@@ -11,16 +11,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # ----------------------------------------------------------------- fixed values
 
-# Directive shape: '%', optional width '-?digits(.digits)', letters, optional {option}.
-DIRECTIVE = re.compile(r"%(-?\d+(?:\.\d+)?)?([a-zA-Z]+)(?:\{([^}]*)\})?")
-
 TS_RE = r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}[,\.]\d+"
 LEVEL_RE = r"\w+"
 LOGGER_RE = r"[^\s\{\}\[\]]+"
@@ -62,9 +58,8 @@ MDC_FIELDS = {
     "apiname": "app_name",
 }
 
-# Directives that produce no text on the header line.  'rEx' is listed with
-# upper case and is therefore never equal to a lower-cased name.
-SKIPPED = {"ex", "exception", "throwable", "xex", "n", "newline", "rEx"}
+# Directives (lower case) that produce no text on the header line.
+SKIPPED = {"ex", "exception", "throwable", "xex", "n", "newline"}
 
 ENTRY_FIELDS = ["timestamp", "level", "logger", "message", "thread", "tenant_domain",
                 "tid", "app_name", "correlation_id"]
@@ -73,32 +68,20 @@ ENTRY_FIELDS = ["timestamp", "level", "logger", "message", "thread", "tenant_dom
 @dataclass(frozen=True)
 class LogFormat:
     format_id: str
-    name: str
     pattern: str
-    product: str = "generic"
 
 
-# The nine built-in layouts (id, display name, layout, product family).
-# The ids and the layouts.
+# The built-in layouts in catalogue order.  Fixed values.
 BUILTIN_FORMATS = [
-    LogFormat("builtin-tid", "Server log with tenant and app (TID)",
-              "TID: [%tenantId] [%appName] [%d] %5p {%c} - %m%ex%n", "server"),
-    LogFormat("builtin-apim-audit", "Audit log with tenant",
-              "TID: [%tenantId] [%d] %5p {%c} - %m%ex%n", "server"),
-    LogFormat("builtin-apim-api-log", "API log with API name",
-              "[%d] %5p {%c} %X{apiName} - %m%ex%n", "server"),
-    LogFormat("builtin-apim-trace", "Transaction / trace log",
-              "[%d] [%tenantId] %5p {%c} - %m%ex%n", "server"),
-    LogFormat("builtin-apim-gov-audit", "Governance audit log",
-              "ThreadID: [%T] TenantID: [%tenantId] [%d] %5p {%c} - %m%ex%n", "server"),
-    LogFormat("builtin-bracket", "Server log (bracket)",
-              "[%d] %5p {%c} - %m%ex%n", "integration"),
-    LogFormat("builtin-correlation", "Correlation log (pipe-delimited)",
-              "%d{yyyy-MM-dd HH:mm:ss,SSS}|%X{Correlation-ID}|%t|%m%n", "server"),
-    LogFormat("builtin-error-diag", "Error / diagnostics log",
-              "%d{ISO8601} [%X{ip}-%X{host}] [%t] %5p {%c} %m%n", "server"),
-    LogFormat("builtin-basic", "Basic log (generic fallback)",
-              "%d %5p [%c] - %m%ex%n", "generic"),
+    LogFormat("builtin-tid", "TID: [%tenantId] [%appName] [%d] %5p {%c} - %m%ex%n"),
+    LogFormat("builtin-apim-audit", "TID: [%tenantId] [%d] %5p {%c} - %m%ex%n"),
+    LogFormat("builtin-apim-api-log", "[%d] %5p {%c} %X{apiName} - %m%ex%n"),
+    LogFormat("builtin-apim-trace", "[%d] [%tenantId] %5p {%c} - %m%ex%n"),
+    LogFormat("builtin-apim-gov-audit", "ThreadID: [%T] TenantID: [%tenantId] [%d] %5p {%c} - %m%ex%n"),
+    LogFormat("builtin-bracket", "[%d] %5p {%c} - %m%ex%n"),
+    LogFormat("builtin-correlation", "%d{yyyy-MM-dd HH:mm:ss,SSS}|%X{Correlation-ID}|%t|%m%n"),
+    LogFormat("builtin-error-diag", "%d{ISO8601} [%X{ip}-%X{host}] [%t] %5p {%c} %m%n"),
+    LogFormat("builtin-basic", "%d %5p [%c] - %m%ex%n"),
 ]
 
 
@@ -110,85 +93,58 @@ class CompiledLayout:
     fields: tuple         # entry field filled by group 1, 2, ...
 
 
-def _escape_literal(ch: str) -> str:
-    # Every ASCII punctuation character is escaped; letters, digits, '_'
-    # and non-ASCII characters stand for themselves in Java regexes.
-    if ch.isascii() and not (ch.isalnum() or ch == "_"):
-        return "\\" + ch
-    return ch
+# What a layout is made of: blanks, directives (%, optional width, letters, optional {option}), other characters.
+PARTS = re.compile(r"(?P<blanks>[ \t]+)|%(?:-?\d+(?:\.\d+)?)?(?P<name>[a-zA-Z]+)(?:\{(?P<option>[^}]*)\})?|(?P<other>.)", re.S)
 
 
-def layout_to_regex(pattern: str) -> CompiledLayout | None:
-    """Compile a log4j2 layout into a Java regex with positional groups.
-
-    Rules: directives are matched by ``DIRECTIVE`` and their letters are
-    lower-cased; known fields capture once (a repeated field is matched
-    without capture); ``%X{key}`` captures the MDC fields; skipped directives
-    add nothing; unknown directives match one non-space token; runs of blanks
-    and tabs match any whitespace; other characters are literal.  The regex
-    is anchored at the start, not at the end, and '.' matches newlines.
-    Returns None when the result is not a valid regex.
+def _directive(name: str, option: str) -> tuple[str | None, str]:
+    """Entry field (None: nothing to capture) and regex of a directive."""
+    if name in SKIPPED:
+        return None, ""
+    if name == "x":
+        return MDC_FIELDS.get(option), MDC_RE
+    return DIRECTIVES.get(name, (None, UNKNOWN_RE))
+
+
+def layout_pattern(pattern: str) -> CompiledLayout:
+    """The Java regex of a log4j2 layout with positional groups, valid or not.
+
+    A directive's letters count in lower case; each field is captured once
+    (where it is repeated it is matched without capture); ``%X{key}`` captures
+    the MDC fields; unknown directives match one non-space token; blanks match
+    any white space; other characters are literal.  The regex is anchored at
+    the start, not at the end, and '.' matches newlines.
     """
-    parts: list[str] = []
-    fields: list[str] = []
-    i, n = 0, len(pattern)
-    while i < n:
-        ch = pattern[i]
-        if ch in " \t":
-            while i < n and pattern[i] in " \t":
-                i += 1
-            parts.append(r"\s*")
-            continue
-        if ch != "%":
-            parts.append(_escape_literal(ch))
-            i += 1
-            continue
-        m = DIRECTIVE.match(pattern, i)
-        if m is None:
-            parts.append(_escape_literal("%"))
-            i += 1
-            continue
-        i = m.end()
-        name = m.group(2).lower()
-        option = (m.group(3) or "").strip()
-        if name in SKIPPED:
-            continue
-        if name == "x":
-            field = MDC_FIELDS.get(option.lower())
-            if field is not None and field not in fields:
-                fields.append(field)
-                parts.append(f"({MDC_RE})")
-            else:
-                parts.append(f"(?:{MDC_RE})")
-            continue
-        known = DIRECTIVES.get(name)
-        if known is None:
-            parts.append(f"(?:{UNKNOWN_RE})")
-            continue
-        field, rx = known
-        if field in fields:
-            parts.append(f"(?:{rx})")
+    regex, fields = "(?sU)^", []
+    for part in PARTS.finditer(pattern):
+        if part["blanks"]:
+            regex += r"\s*"
+        elif part["other"]:
+            # ASCII punctuation is escaped; all other characters stand for themselves in Java regexes
+            regex += re.sub(r"([!-/:-@\[-^`{-~\x00-\x1f\x7f])", r"\\\1", part["other"])
         else:
-            fields.append(field)
-            parts.append(f"({rx})")
-    regex = "(?sU)^" + "".join(parts)
-    try:  # the Java and Python dialects agree on every construct emitted above
-        re.compile(regex.replace("(?sU)", "(?s)"))
-    except re.error:
-        return None
+            field, body = _directive(part["name"].lower(), (part["option"] or "").strip().lower())
+            captured = field is not None and field not in fields
+            fields += [field] if captured else []
+            regex += f"({body})" if captured else f"(?:{body})" if body else ""
     return CompiledLayout(regex, tuple(fields))
 
 
-# ----------------------------------------------------------------- P10 / S5
+def layout_error(pattern: str) -> str | None:
+    """Why the layout's regex is not valid; null if it is."""
+    try:  # the Java and Python dialects agree on every construct emitted above
+        re.compile(layout_pattern(pattern).regex.replace("(?sU)", "(?s)"))
+    except re.error as error:
+        return str(error)
+    return None
 
-FORMATS_SCHEMA = "format_id string, name string, pattern string, product string"
 
+def layout_to_regex(pattern: str) -> CompiledLayout | None:
+    """``layout_pattern``, or None when it is not a valid regex."""
+    return None if layout_error(pattern) else layout_pattern(pattern)
 
-def formats_df(spark: SparkSession, formats: list[LogFormat] | None = None) -> DataFrame:
-    """The ``formats`` table: built-ins followed by the caller's formats."""
-    rows = [(f.format_id, f.name, f.pattern, f.product) for f in BUILTIN_FORMATS + list(formats or [])]
-    return spark.createDataFrame(rows, FORMATS_SCHEMA)
 
+# ----------------------------------------------------------------- P10 / S5
 
 def format_catalog(formats: list[LogFormat] | None = None) -> dict[str, LogFormat]:
     """id -> format, built-ins first; a user format may not replace a built-in."""
@@ -208,31 +164,44 @@ def effective_format(explicit, default: str | None = None):
 
 def format_report(lines: DataFrame, formats: list[LogFormat] | None = None,
                   include_builtins: bool = True) -> DataFrame:
-    """Per (file, format): lines tested, lines matched, match ratio, first
-    matched line, and whether the format is the file's best one.
+    """Per (file, format): lines tested, lines matched, match ratio, number of
+    the first matched line and the fields captured from it (a map, empty
+    captures left out), the format's regex, and why it does not compile.
 
-    One pass over the lines with one conditional aggregate per format (no
+    One pass over the lines with two conditional aggregates per format (no
     join between lines and formats), then an unpivot of the per-file row.
+    The text of a first matched line is looked up afterwards, by its number.
     """
     fmts = (BUILTIN_FORMATS if include_builtins else []) + list(formats or [])
-    compiled = [(f, layout_to_regex(f.pattern)) for f in fmts]
+    compiled = [(f, layout_pattern(f.pattern), layout_error(f.pattern)) for f in fmts]
     aggs = [F.count(F.lit(1)).alias("lines_tested")]
-    for idx, (f, c) in enumerate(compiled):
-        hit = F.col("value").rlike(c.regex) if c is not None else F.lit(False)
+    for idx, (_, c, error) in enumerate(compiled):
+        hit = F.col("value").rlike(c.regex) if error is None else F.lit(False)
         aggs.append(F.count_if(hit).alias(f"_m{idx}"))
         aggs.append(F.min(F.when(hit, F.col("line_number"))).alias(f"_f{idx}"))
     per_file = lines.groupBy("file_path").agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(f.format_id).alias("format_id"), F.lit(idx).alias("format_pos"),
                  F.col(f"_m{idx}").alias("lines_matched"),
-                 F.col(f"_f{idx}").alias("first_matched_line"))
-        for idx, (f, _) in enumerate(compiled)]))
+                 F.col(f"_f{idx}").alias("first_matched_line"),
+                 F.lit(c.regex).alias("regex"), F.lit(error).cast("string").alias("error"))
+        for idx, (f, c, error) in enumerate(compiled)]))
     out = per_file.select("file_path", "lines_tested", stacked.alias("r")).select(
         "file_path", "r.format_id", "r.format_pos", "lines_tested", "r.lines_matched",
         F.when(F.col("lines_tested") > 0, F.col("r.lines_matched") / F.col("lines_tested"))
         .alias("match_ratio"),
-        "r.first_matched_line")
-    return out
+        "r.first_matched_line", "r.regex", "r.error")
+    first = lines.select("file_path", F.col("line_number").alias("first_matched_line"), "value")
+    captured = F.lit(None).cast("map<string,string>")
+    for f, c, error in compiled:
+        if error is None:
+            groups = F.array(*[F.struct(F.lit(k).alias("k"), F.regexp_extract("value", c.regex, i + 1).alias("v"))
+                               for i, k in enumerate(c.fields)])
+            got = F.map_from_entries(F.filter(groups, lambda g: g["v"] != "")) if c.fields else \
+                F.create_map().cast("map<string,string>")
+            captured = F.when((F.col("format_id") == f.format_id) & F.col("value").isNotNull(), got).otherwise(captured)
+    return (out.join(first, ["file_path", "first_matched_line"], "left")
+            .withColumn("captured", captured).drop("value"))
 
 
 def best_format(report: DataFrame) -> DataFrame:
@@ -242,7 +211,3 @@ def best_format(report: DataFrame) -> DataFrame:
             .agg(F.min_by("format_id", F.struct(-F.col("lines_matched"), F.col("format_pos")))
                  .alias("best_format_id")))
 
-
-def all_of(preds):
-    preds = [p for p in preds if p is not None]
-    return reduce(lambda a, b: a & b, preds) if preds else None
