@@ -21,6 +21,7 @@ from logweave.functions.ordered import chunked_running
 from logweave.functions.text import sql_py_strip, sql_str, sql_timestamp_ms
 from logweave.operators.formats import (ENTRY_FIELDS, LogFormat, format_catalog,
                                         layout_to_regex)
+from logweave.sources.paths import listed_path
 
 # ----------------------------------------------------------------- fixed values
 # Header regexes of the auto formats, tried in this order on every line, and
@@ -61,6 +62,8 @@ class _Parser:
         """All captured groups of the header regex as one array.  A lambda
         keeps the generated code small (a huge projection method would not
         be JIT-compiled by the JVM)."""
+        if not self.groups:  # a layout without a field
+            return "CAST(array() AS ARRAY<STRING>)"
         n = max(self.groups.values())
         return f"transform(sequence(1, {n}), i -> regexp_extract({value}, {sql_str(self.regex)}, i))"
 
@@ -292,10 +295,39 @@ def parse_entries(lines: DataFrame, layout: str | None = None, format_col: str |
     return _assemble(x, chunk_lines, lambda e: plan.add_header(e, "h.raw", "h.hdr", "hd"), keep)
 
 
+def header_entries(lines: DataFrame, layout: str | None = None, format_col: str | None = None,
+                   formats: list[LogFormat] | None = None) -> DataFrame:
+    """``file_path``, ``line_number`` and ``HEADER_COLUMNS`` of every entry,
+    from its header line alone: one pass over the lines, no shuffle.  All that
+    grouping and counting by header fields needs; what a line's text is used
+    for ends in the scan's own tasks."""
+    plan = _HeaderPlan(layout, format_col, formats)
+    x = lines.selectExpr("coalesce(file_path, '') AS file_path", "line_number", "value", f"{plan.hk} AS _hk"
+                         ) if format_col is None else \
+        lines.selectExpr("coalesce(file_path, '') AS file_path", "line_number", "value", f"`{format_col}`", f"{plan.hk} AS _hk")
+    x = plan.add_header(x.where("_hk IS NOT NULL"), "value", "_hk", "_hd")
+    return x.select("file_path", "line_number", *[
+        F.substring_index(F.col("_hd.logger"), ".", -1).alias(c) if c == "logger_short" else F.col(f"_hd.{c}").alias(c)
+        for c in HEADER_COLUMNS])
+
+
+def stack_entries(lines: DataFrame, layout: str | None = None, format_col: str | None = None,
+                  formats: list[LogFormat] | None = None, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """(file_path, line_number) of the entries with a stack trace.  Only the
+    numbers and kinds of header and stack lines are shuffled, no text."""
+    x = _classify(lines, _HeaderPlan(layout, format_col, formats)).selectExpr(
+        "coalesce(file_path, '') AS file_path", "line_number", "kind",
+        f"coalesce(floor(line_number / {int(chunk_lines)}), -1) AS _chunk",
+        "CASE WHEN kind = 'h' THEN line_number END AS _hline")
+    x = chunked_running(x, ["file_path"], "_chunk", "line_number", "_hline", "max", "_entry")
+    return x.where("kind = 's' AND _entry IS NOT NULL").select("file_path", F.col("_entry").alias("line_number")).distinct()
+
+
 # ----------------------------------------------------------------- S1 + P7 on files
 
-# Largest file -> format table that is broadcast onto the scan (rows).
-FILE_FORMATS_BROADCAST_MAX_ROWS = 1_000_000
+def one_format_per_file(file_formats: DataFrame) -> DataFrame:
+    """(file_path, _format_id): a file that is listed twice takes its smallest format id."""
+    return file_formats.groupBy(listed_path("file_path").alias("file_path")).agg(F.min("format_id").alias("_format_id"))
 
 
 def parse_files(spark, paths, layout: str | None = None, recursive: bool = False,
@@ -314,19 +346,16 @@ def parse_files(spark, paths, layout: str | None = None, recursive: bool = False
     ``parse_entries``.  Same result as ``parse_entries(read_lines(...))``.
 
     ``file_formats(file_path, format_id)`` chooses a format per file (S5;
-    built-ins or ``formats``, unknown or null ids parse automatically).  It
-    is broadcast onto the scan when its row count is under a bound; the line
-    ids are fixed in the scan, so any join strategy gives the same result.
+    built-ins or ``formats``, unknown or null ids parse automatically); a file
+    listed twice takes the smallest id.  The line ids are fixed in the scan,
+    so any join that Spark picks by the table's size gives the same result.
     """
     from logweave.sources.lines import _scan
 
     scan = _scan(spark, paths, recursive, glob)
     if file_formats is None:
         return parse_scanned(scan, layout)
-    ff = file_formats.select("file_path", F.col("format_id").alias("_format_id"))
-    if ff.count() <= FILE_FORMATS_BROADCAST_MAX_ROWS:
-        ff = F.broadcast(ff)
-    return parse_scanned(scan.join(ff, "file_path", "left"), layout, "_format_id", formats)
+    return parse_scanned(scan.join(one_format_per_file(file_formats), "file_path", "left"), layout, "_format_id", formats)
 
 
 def parse_scanned(scan: DataFrame, layout: str | None = None, format_col: str | None = None,

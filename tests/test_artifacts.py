@@ -6,27 +6,21 @@ from logweave.operators import codeindex as CI
 
 
 def test_scan_and_versions(spark):
-    paths = ["c/org.example.kernel_4.9.1.jar", "c/org.example.identity.oauth-6.12.0.jar",
-             "c/synapse-core_4.0.0.wso2v262_2.jar", "c/readme.txt", "c/plain.jar", "b/synapse-core_9.jar"]
-    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    made = {f"lib/{k:02d}/{name}{sep}{version}.jar": (name, version) for k, (name, sep, version) in enumerate([
+        ("ferry.deck", "_", "3.1.4"), ("ferry.hold-pump", "-", "0.9.0"), ("winch", "-", "12"), ("crane_arm", "_", "7.0.0")])}
+    other = ["lib/x/manual.txt", "lib/x/noversion.jar", "lib/99/winch-13.jar"]  # the smallest path wins
+    df = spark.createDataFrame([(p,) for p in [*other, *made]], "path string")
     got = {r.artifact_id: r.version for r in AR.artifact_versions(AR.scan_artifacts(df)).collect()}
-    assert got == {"org.example.kernel": "4.9.1", "org.example.identity.oauth": "6.12.0",
-                   "synapse-core": "9"}   # smallest path wins
+    assert got == dict(made.values())
 
 
 def test_resolve_version(spark):
-    jm = spark.createDataFrame([("org.example.identity.oauth", "6.12.0"), ("oauth", "1.0"),
-                                ("baz", "1.0"), ("kernel-x", "2.0")], "artifact_id string, version string")
-    ov = spark.createDataFrame([("org.example.k", "kernel-x"), ("org.example.k.missing", "nope")],
-                               "prefix string, artifact_id string")
-    pk = spark.createDataFrame([("org.example.identity.oauth.endpoint",), ("com.foo.bar",),
-                                ("org.example.k.thing",), ("org.example.k.missing.x",)], "package string")
-    got = {r.package: (r.artifact_id, r.version, r.rule) for r in AR.resolve_artifact_version(pk, ov, jm).collect()}
-    assert got["org.example.identity.oauth.endpoint"] == ("org.example.identity.oauth", "6.12.0", "fuzzy")
-    assert got["com.foo.bar"] == (None, None, None)
-    assert got["org.example.k.thing"] == ("kernel-x", "2.0", "override")
-    # longest override has no jar -> fuzzy step ('oauth' is not inside), nothing found
-    assert got["org.example.k.missing.x"] == (None, None, None)
+    jars = spark.createDataFrame([("ferry.hold.pump", "0.9.0"), ("pump", "1.1"), ("crane-arm", "7.0")], "artifact_id string, version string")
+    overrides = spark.createDataFrame([("crane.c", "crane-arm"), ("crane.c.lost", "not-built")], "prefix string, artifact_id string")
+    asked = {"ferry.hold.pump.valve": ("ferry.hold.pump", "0.9.0", "fuzzy"), "crane.c.hook": ("crane-arm", "7.0", "override"),
+             "island.map": (None, None, None), "crane.c.lost.pin": (None, None, None)}
+    pk = spark.createDataFrame([(p,) for p in asked], "package string")
+    assert {r.package: (r.artifact_id, r.version, r.rule) for r in AR.resolve_artifact_version(pk, overrides, jars).collect()} == asked
 
 
 def test_tag_candidates_and_match(spark):
