@@ -8,18 +8,25 @@ work is done by the operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.operators import aggregates as A
 from logweave.operators import filters as FL
 from logweave.operators.formats import format_report as _format_report
 from logweave.operators.parse import detect_format as _detect_format
-from logweave.operators.parse import parse_entries
+from logweave.operators.formats import best_format
+from logweave.operators.parse import header_entries, parse_entries, parse_files
 from logweave.operators.search import search_lines, search_text
 from logweave.sources import render
+from logweave.session import scratch_path
+from logweave.sources.files import classify_file, discover_logs, log_files
 from logweave.sources.files import file_metadata as _file_metadata
 from logweave.sources.files import skip_registered as _skip_registered
+from logweave.sources.lines import read_lines
+from logweave.sources.sinks import read_entries, write_entries
 from logweave.operators import artifacts as AR
 from logweave.operators import codeindex as CI
 from logweave.operators import frames as FR
@@ -35,6 +42,7 @@ REGEX = r"event \d*7 user 1\d"
 COMBINED = dict(levels=["error", "fatal"], has_stack_trace=True, time_from=TIME_FROM,
                 search="FAILED")
 PAGE_OFFSET, PAGE_LIMIT = 200, 200
+PAGE_AFTER = ("user-12.log", 9)
 FILTER_PAGE = dict(levels=["warn"], search="items=1")
 FILTER_PAGE_LIMIT = 500
 SEARCH_QUERY, SEARCH_LEVELS, SEARCH_LIMIT = "event 4", ["ERROR", "WARN"], 100
@@ -63,6 +71,14 @@ def r2_entries(spark, sf_dir):
     return parse_entries(r2_lines(spark, sf_dir), layout=render.R2_LAYOUT)
 
 
+def r1_headers(spark, sf_dir):
+    return header_entries(r1_lines(spark, sf_dir))
+
+
+def r2_headers(spark, sf_dir):
+    return header_entries(r2_lines(spark, sf_dir), layout=render.R2_LAYOUT)
+
+
 ENTRY_OUT = ["file_path", "line_number", "timestamp", "level", "logger", "message"]
 
 
@@ -93,14 +109,80 @@ def q_detect_format(spark, sf_dir):
 
 
 def q_format_report(spark, sf_dir):
-    return _format_report(r1_lines(spark, sf_dir)).select(
-        "file_path", "format_id", "lines_tested", "lines_matched", "first_matched_line")
+    r = _format_report(r1_lines(spark, sf_dir))
+    return r.select("file_path", "format_id", "lines_tested", "lines_matched", "first_matched_line", "match_ratio", "error",
+                    F.col("captured")["logger"].alias("captured_logger"))
+
+
+def q_best_formats(spark, sf_dir):
+    return best_format(_format_report(r1_lines(spark, sf_dir)))
 
 
 def q_file_metadata(spark, sf_dir):
     return _file_metadata(r1_lines(spark, sf_dir))
 
 
+# ----------------------------------------------------------------- real files
+
+FILE_RE = "/log=([^/]+)/"
+
+
+def _write_logs(spark, sf_dir):
+    """R1 as text files, one per log, below folders with a blank and a '+' in
+    their names; returns the root folder."""
+    root = scratch_path(spark, f"rendered logs+{uuid.uuid4().hex[:12]}")
+    (r1_lines(spark, sf_dir).withColumnRenamed("file_path", "log").repartition("log")
+     .sortWithinPartitions("log", "line_number").select("log", "value")
+     .write.option("compression", "none").partitionBy("log").text(root))
+    return root
+
+
+def _logical(df):
+    return df.withColumn("file_path", F.regexp_extract("file_path", FILE_RE, 1))
+
+
+def q_files_entries(spark, sf_dir):
+    e = _logical(parse_files(spark, _write_logs(spark, sf_dir), recursive=True))
+    return e.select("file_path", "line_number", "raw", "timestamp", "timestamp_ms", "level", "logger",
+                    "logger_short", "message", "tid", "app_name", "has_stack_trace",
+                    F.size(F.coalesce("stack_trace", F.array())).cast("long").alias("stack_len"),
+                    F.concat_ws("\n", "stack_trace").alias("stack_text"))
+
+
+def q_files_catalogue(spark, sf_dir):
+    """Discovery, metadata and effective format of real files; sizes from the listing."""
+    root = _write_logs(spark, sf_dir)
+    found = discover_logs(spark, root)
+    of = F.regexp_extract("file_path", r"user-([0-9]+)\.log", 1).try_cast("long")
+    formats = found.select("file_path", F.when(of % 2 == 0, "builtin-bracket").alias("format_id")).where("format_id IS NOT NULL")
+    files = log_files(read_lines(spark, root, recursive=True), formats, "builtin-tid", found)
+    return _logical(files).select("file_path", "size_bytes", "line_count", "first_timestamp", "last_timestamp", "format_id")
+
+
+def q_files_formats(spark, sf_dir):
+    """Every file with an even user is read by the bracket layout, an unknown id means automatic."""
+    root = _write_logs(spark, sf_dir)
+    of = F.regexp_extract("file_path", r"user-([0-9]+)\.log", 1).try_cast("long")
+    ff = discover_logs(spark, root).select("file_path", F.when(of % 2 == 0, "builtin-bracket").otherwise("no-such").alias("format_id"))
+    e = _logical(parse_files(spark, root, recursive=True, file_formats=ff))
+    return e.groupBy("file_path").agg(F.count(F.lit(1)).alias("entries"), F.min("line_number").alias("first_line"))
+
+
+def q_stored_entries(spark, sf_dir):
+    path = scratch_path(spark, f"entries-{uuid.uuid4().hex[:12]}")
+    write_entries(r1_entries(spark, sf_dir), path)
+    return read_entries(spark, path).select(*ENTRY_OUT, "log_date")
+
+
+def q_file_types(spark, sf_dir):
+    """Names made from the events' users, one for each rule."""
+    u = F.col("user_id")
+    name = F.concat(F.element_at(F.array(*map(F.lit, ["wso2carbon", "AUDIT", "http_access_", "Correlation", "other"])), (u % 5 + 1).cast("int")),
+                    F.lit("-"), u.cast("string"), F.lit(".log"))
+    names = table(spark, sf_dir, "events").select(name.alias("filename")).distinct()
+    return names.select("filename", classify_file("filename").alias("file_type"))
+
+
 # ----------------------------------------------------------------- filters / pages
 
 def q_filter_levels(spark, sf_dir):
@@ -151,10 +233,22 @@ def q_filter_page(spark, sf_dir):
     return _entry_view(FL.page(hits, 0, FILTER_PAGE_LIMIT))
 
 
+def q_page_after(spark, sf_dir):
+    """The page after a given row, without an offset."""
+    return _entry_view(FL.page(r1_entries(spark, sf_dir), limit=PAGE_LIMIT, after=PAGE_AFTER))
+
+
 # ----------------------------------------------------------------- aggregates
 
+def q_ordered_groups(spark, sf_dir):
+    """The groups' places in the order that ``ordered_groups`` gives."""
+    ordered = A.ordered_groups(A.group_entries(r1_headers(spark, sf_dir), "component")).withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("_at"))
+    return ordered.select("file_path", "key", "count", place.cast("long").alias("place"))
+
+
 def q_summary(spark, sf_dir):
-    s = A.summary(r1_entries(spark, sf_dir))
+    s = A.summary_of_lines(r1_lines(spark, sf_dir))
     text = F.concat_ws(",", F.transform(F.map_entries("level_counts"),
                                         lambda kv: F.concat(kv["key"], F.lit("="), kv["value"].cast("string"))))
     return s.select("file_path", "total_entries", "first_timestamp", "last_timestamp",
@@ -162,11 +256,11 @@ def q_summary(spark, sf_dir):
 
 
 def q_level_counts(spark, sf_dir):
-    return A.level_counts(r1_entries(spark, sf_dir))
+    return A.level_counts(r1_headers(spark, sf_dir))
 
 
 def q_top_components(spark, sf_dir):
-    return A.top_components(r1_entries(spark, sf_dir)).select(
+    return A.top_components(r1_headers(spark, sf_dir)).select(
         "file_path", "component", "count", F.col("rank").cast("long").alias("rank"))
 
 
@@ -176,27 +270,27 @@ def _groups(e, by):
 
 
 def q_group_level(spark, sf_dir):
-    return _groups(r1_entries(spark, sf_dir), "level")
+    return _groups(r1_headers(spark, sf_dir), "level")
 
 
 def q_group_component(spark, sf_dir):
-    return _groups(r1_entries(spark, sf_dir), "component")
+    return _groups(r1_headers(spark, sf_dir), "component")
 
 
 def q_group_logger(spark, sf_dir):
-    return _groups(r1_entries(spark, sf_dir), "logger")
+    return _groups(r1_headers(spark, sf_dir), "logger")
 
 
 def q_group_tenant(spark, sf_dir):
-    return _groups(r2_entries(spark, sf_dir), "tenant")
+    return _groups(r2_headers(spark, sf_dir), "tenant")
 
 
 def q_group_correlation(spark, sf_dir):
-    return _groups(r2_entries(spark, sf_dir), "correlationId")
+    return _groups(r2_headers(spark, sf_dir), "correlationId")
 
 
 def q_group_all(spark, sf_dir):
-    return A.group_entries_multi(r2_entries(spark, sf_dir)).select(
+    return A.group_entries_multi(r2_headers(spark, sf_dir)).select(
         "file_path", "group_by", "key", "count", "first_seen", "last_seen", "error_count", "first_at")
 
 
@@ -240,6 +334,13 @@ def q_frames(spark, sf_dir):
     return r1_frames(spark, sf_dir).select(*_frame_out())
 
 
+def q_pasted_frames(spark, sf_dir):
+    """Each entry's trace as text pasted with escaped line breaks."""
+    e = r1_entries(spark, sf_dir).where("has_stack_trace")
+    pasted = e.select("file_path", F.col("line_number").alias("entry_line"), F.concat_ws("\\r\\n", "stack_trace").alias("trace"))
+    return FR.extract_frames(pasted, "trace", ["file_path", "entry_line"]).select(*_frame_out())
+
+
 def q_vendor_frames(spark, sf_dir):
     f = r1_frames(spark, sf_dir)
     return f.select(*_frame_out(), FR.is_vendor_frame("package", render.R3_VENDOR_PREFIXES).alias("is_vendor"))
@@ -285,6 +386,13 @@ def q_resolution_counts(spark, sf_dir):
     return RS.resolution_counts(_resolved(spark, sf_dir))
 
 
+def q_callpath(spark, sf_dir):
+    """T4: the frames of each trace in the order that ``callpath`` gives, numbered."""
+    path = RS.callpath(_resolved(spark, sf_dir)).withColumn("_at", F.monotonically_increasing_id())
+    step = F.row_number().over(Window.partitionBy("file_path", "entry_line").orderBy("_at"))
+    return path.select("file_path", "entry_line", step.cast("long").alias("step"), "class_name", "resolved")
+
+
 def q_frame_snippets(spark, sf_dir):
     r = _resolved(spark, sf_dir, with_sources=True).where(F.col("resolved"))
     return r.select("file_path", "entry_line", F.col("frame_pos").cast("long").alias("frame_pos"),
@@ -353,6 +461,15 @@ def q_feature_repos(spark, sf_dir):
     return CI.feature_repos(feats, kw).select("keyword", F.col("repo_pos").cast("long").alias("repo_pos"), "repo")
 
 
+def q_dims_from_json(spark, sf_dir):
+    """A package map derived from the parts, written as one JSON object and loaded again."""
+    path = scratch_path(spark, f"map-{uuid.uuid4().hex[:12]}")
+    pairs = _part_packages(spark, sf_dir).distinct().withColumn("repo", F.concat(F.lit("r-"), F.substring_index("package", ".", -1)))
+    whole = pairs.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("package", "repo")))).alias("value"))
+    whole.write.text(path)
+    return CI.load_map_json(spark, path, "prefix", "repo")
+
+
 def q_skip_registered(spark, sf_dir):
     found = r1_lines(spark, sf_dir).select("file_path").distinct()
     ev = table(spark, sf_dir, "events")
@@ -366,6 +483,17 @@ QUERIES = {
     "entries_layout": q_entries_layout,
     "detect_format": q_detect_format,
     "format_report": q_format_report,
+    "best_formats": q_best_formats,
+    "files_entries": q_files_entries,
+    "files_catalogue": q_files_catalogue,
+    "files_formats": q_files_formats,
+    "stored_entries": q_stored_entries,
+    "file_types": q_file_types,
+    "page_after": q_page_after,
+    "ordered_groups": q_ordered_groups,
+    "pasted_frames": q_pasted_frames,
+    "callpath": q_callpath,
+    "dims_from_json": q_dims_from_json,
     "file_metadata": q_file_metadata,
     "filter_levels": q_filter_levels,
     "filter_component": q_filter_component,

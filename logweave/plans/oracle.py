@@ -135,11 +135,17 @@ def _format_report_sql() -> str:
            "builtin-apim-gov-audit", "builtin-bracket", "builtin-correlation", "builtin-error-diag",
            "builtin-basic"]
     return _with(R1, f"""
-, f AS (SELECT file_path, any_value(u) AS u, count(*) AS events, CAST(1 + sum(w) AS BIGINT) AS lines_tested
-        FROM r1 GROUP BY file_path),
-fx AS (SELECT file_path, u, events, lines_tested, unnest({"[" + ", ".join(_lit(i) for i in ids) + "]"}) AS format_id
+, f AS (SELECT file_path, any_value(u) AS u, count(*) AS events, CAST(1 + sum(w) AS BIGINT) AS lines_tested,
+        arg_min(logger, n) AS logger FROM r1 GROUP BY file_path),
+fx AS (SELECT file_path, u, events, lines_tested, logger, unnest({"[" + ", ".join(_lit(i) for i in ids) + "]"}) AS format_id
        FROM f)
-SELECT file_path, format_id, lines_tested,
+SELECT file_path, format_id, lines_tested, CAST(NULL AS VARCHAR) AS error,
+       CASE WHEN (format_id = 'builtin-tid' AND u % 3 = 0)
+              OR (format_id IN ('builtin-bracket', 'builtin-apim-api-log') AND u % 3 = 1)
+              OR (format_id = 'builtin-basic' AND u % 3 = 2) THEN events / lines_tested ELSE 0.0 END AS match_ratio,
+       CASE WHEN (format_id = 'builtin-tid' AND u % 3 = 0)
+              OR (format_id IN ('builtin-bracket', 'builtin-apim-api-log') AND u % 3 = 1)
+              OR (format_id = 'builtin-basic' AND u % 3 = 2) THEN logger END AS captured_logger,
        CAST(CASE WHEN (format_id = 'builtin-tid' AND u % 3 = 0)
                    OR (format_id IN ('builtin-bracket', 'builtin-apim-api-log') AND u % 3 = 1)
                    OR (format_id = 'builtin-basic' AND u % 3 = 2) THEN events ELSE 0 END AS BIGINT) AS lines_matched,
@@ -387,3 +393,38 @@ EXCEPT
 SELECT DISTINCT 'user-' || user_id || '.log' FROM events
 WHERE event_type = 'signup' AND value > """ + str(C.REGISTERED_MIN_VALUE),
 })
+
+# Real files hold what the tables of lines hold.
+ORACLES |= {
+    "files_entries": ORACLES["entries_auto"],
+    "best_formats": _with(R1, """
+SELECT DISTINCT file_path, CASE u % 3 WHEN 0 THEN 'builtin-tid' WHEN 1 THEN 'builtin-apim-api-log' ELSE 'builtin-basic' END
+       AS best_format_id FROM r1"""),
+    "files_catalogue": _with(R1, """
+SELECT file_path, CAST(sum(length(raw) + 1 + extra_len + w - 1)
+                       + any_value(length('*** log of user ' || u || ' ***') + 1) AS BIGINT) AS size_bytes,
+       CAST(1 + sum(w) AS BIGINT) AS line_count, substr(arg_min(timestamp, n), 1, 19) AS first_timestamp,
+       substr(arg_max(timestamp, n), 1, 19) AS last_timestamp,
+       CASE WHEN any_value(u) % 2 = 0 THEN 'builtin-bracket' ELSE 'builtin-tid' END AS format_id
+FROM r1 GROUP BY file_path"""),
+    "files_formats": _with(R1, """
+SELECT file_path, count(*) AS entries, min(line_number) AS first_line FROM r1 WHERE u % 2 <> 0 OR u % 3 = 1 GROUP BY file_path"""),
+    "stored_entries": _with(R1, f"SELECT {ENTRY_OUT}, substr(timestamp, 1, 10) AS log_date FROM r1"),
+    "file_types": """
+WITH t AS (SELECT DISTINCT user_id AS u FROM events)
+SELECT ['wso2carbon', 'AUDIT', 'http_access_', 'Correlation', 'other'][u % 5 + 1] || '-' || u || '.log' AS filename,
+       ['wso2carbon', 'audit', 'http_access', 'correlation', 'generic'][u % 5 + 1] AS file_type FROM t""",
+    "page_after": _with(R1, f"""
+SELECT {ENTRY_OUT} FROM r1 WHERE file_path > {_lit(C.PAGE_AFTER[0])} OR file_path = {_lit(C.PAGE_AFTER[0])} AND line_number > {C.PAGE_AFTER[1]}
+ORDER BY file_path, line_number LIMIT {C.PAGE_LIMIT}"""),
+    "ordered_groups": _with(R1, """
+, g AS (SELECT file_path, logger_short AS key, count(*) AS count, min(line_number) AS first_at FROM r1 GROUP BY ALL)
+SELECT file_path, key, count, row_number() OVER (PARTITION BY file_path ORDER BY count DESC, first_at) AS place FROM g"""),
+    "pasted_frames": ORACLES["frames"],
+    "callpath": _with(RESOLVED, """
+SELECT file_path, entry_line, row_number() OVER (PARTITION BY file_path, entry_line ORDER BY frame_pos) AS step, class_name, resolved
+FROM rf"""),
+    "dims_from_json": """
+SELECT DISTINCT 'org.example.' || lower(p_type) || '.' || lower(split_part(p_name, ' ', 1)) AS prefix,
+       'r-' || lower(split_part(p_name, ' ', 1)) AS repo FROM part""",
+}
