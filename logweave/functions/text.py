@@ -21,12 +21,6 @@ PY_WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Regex flags prepended to every pattern taken from the reference's Python
-# rules: (?s) DOTALL where the reference sets it, (?U) Unicode classes.
-UNICODE = "(?U)"
-UNICODE_DOTALL = "(?sU)"
-
-
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -36,22 +30,6 @@ def py_strip(c) -> Column:
     return F.btrim(col_of(c), F.lit(PY_WHITESPACE))
 
 
-def is_blank(c) -> Column:
-    """True when the text is empty or whitespace only (``not s.strip()``)."""
-    return py_strip(c) == F.lit("")
-
-
-def empty_to_null(c) -> Column:
-    """``s or None`` for strings."""
-    c = col_of(c)
-    return F.when(c == F.lit(""), F.lit(None).cast("string")).otherwise(c)
-
-
-def short_logger(c) -> Column:
-    """Text after the last dot (the whole name when there is no dot)."""
-    return F.substring_index(col_of(c), ".", -1)
-
-
 # Fixed value: the shape a timestamp must have for epoch millis to exist
 # (date, space, time, 1-6 fraction digits after ',' or '.').
 TS_MS_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{1,6}$"
@@ -74,12 +52,6 @@ def timestamp_ms(c) -> Column:
     return F.when(c.rlike(TS_MS_SHAPE), F.timestamp_diff("MILLISECOND", epoch, ntz))
 
 
-def first_match(c, pattern: str, group: int = 0) -> Column:
-    """``regexp_extract`` that yields null (not '') when there is no match."""
-    c = col_of(c)
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
-
-
 def sql_str(s: str) -> str:
     """A Spark SQL string literal for ``s`` (backslashes and quotes escaped),
     used when a large expression is built as SQL text: one JVM call instead of

@@ -42,6 +42,14 @@ AUTO_PARSERS = {
     "basic": (BASIC_RE, {"timestamp": 1, "level": 2, "logger": 3, "message": 4}),
 }
 
+# What a line must begin with before its regex is tried: the regexes' own first character (a digit of any script for
+# the last), so that most continuation and stack lines cost no header regex.
+AUTO_GUARDS = {
+    "tid": "startswith(value, 'TID:') AND ",
+    "bracket": "startswith(value, '[') AND ",
+    "basic": "value >= '0' AND (value < ':' OR value >= '\u0080') AND ",
+}
+
 CHUNK_LINES = 1 << 18
 
 ENTRY_COLUMNS = ["file_path", "line_number", "raw", "timestamp", "timestamp_ms", "level",
@@ -55,8 +63,11 @@ ENTRY_COLUMNS = ["file_path", "line_number", "raw", "timestamp", "timestamp_ms",
 class _Parser:
     """One header regex and how its groups become entry fields."""
 
-    def __init__(self, regex: str, groups: dict, layout: bool):
-        self.regex, self.groups, self.layout = regex, groups, layout
+    def __init__(self, regex: str, groups: dict, layout: bool, guard: str = ""):
+        self.regex, self.groups, self.layout, self.guard = regex, groups, layout, guard
+
+    def matches_sql(self) -> str:
+        return f"{self.guard}value RLIKE {sql_str(self.regex)}"
 
     def groups_sql(self, value: str) -> str:
         """All captured groups of the header regex as one array.  A lambda
@@ -96,7 +107,7 @@ def _layout_parser(pattern: str) -> _Parser | None:
 
 
 def _auto_parsers() -> list[_Parser]:
-    return [_Parser(rx, groups, layout=False) for rx, groups in AUTO_PARSERS.values()]
+    return [_Parser(rx, groups, False, AUTO_GUARDS[kind]) for kind, (rx, groups) in AUTO_PARSERS.items()]
 
 
 class _HeaderPlan:
@@ -121,7 +132,7 @@ class _HeaderPlan:
         whens = []
         for fid, p in choices:
             parsers.append(p)
-            cond = f"value RLIKE {sql_str(p.regex)}"
+            cond = p.matches_sql()
             if fid is not None:
                 cond = f"`{format_col}` = {sql_str(fid)} AND {cond}"
             whens.append(f"WHEN {cond} THEN {len(parsers) - 1}")
@@ -132,7 +143,7 @@ class _HeaderPlan:
                 known = f"coalesce(NOT `{format_col}` IN ({ids}), true) AND "
             for p in _auto_parsers():
                 parsers.append(p)
-                whens.append(f"WHEN {known}value RLIKE {sql_str(p.regex)} THEN {len(parsers) - 1}")
+                whens.append(f"WHEN {known}{p.matches_sql()} THEN {len(parsers) - 1}")
         self.parsers = parsers
         self.hk = f"CASE {' '.join(whens)} END" if whens else "CAST(NULL AS INT)"
 

@@ -135,11 +135,6 @@ def _jar_path() -> Column:
     return F.concat(F.lit("lib/"), F.lpad(_s(k), 8, "0"), F.lit("/"), f)
 
 
-def part_jar_paths(part: DataFrame) -> DataFrame:
-    """``jars(path)`` - one jar file name per part row."""
-    return part.select(_jar_path().alias("path"))
-
-
 def part_jar_rows(part: DataFrame) -> DataFrame:
     """R4 with the columns the tag and URL tests use: ``path``, ``k``,
     ``name`` (the jar's base name), ``org``."""
