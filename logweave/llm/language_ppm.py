@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             raw, at = text_bytes(batch.column("text"))
             lengths = [np.zeros((0, len(m.languages)))]
             for first, end in text_chunks(raw, at, max(CHUNK_BYTES // max(len(m.languages), 1), 1 << 14)):
-                lengths.append(m.code_lengths(raw, at, first, end))
+                lengths.append(m.code_lengths(raw, at, first, end) if m.languages else np.zeros((end - first, 0)))
             bits = np.concatenate(lengths)
             known = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool) & bool(m.languages)
             best, score = np.full(len(known), len(m.languages)), np.zeros(len(known))

@@ -65,7 +65,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], train_row
     chosen = stored(chosen, "mixing-labels")
     seen = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     prior = {d: (seen.get(d, 0) + 1) / (sum(seen.values()) + len(domains)) for d in domains}
-    labelled = _tokens(docs.join(F.broadcast(chosen), "doc_id"), "domain", "tunes")  # at most train_rows rows
+    labelled = _tokens(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "domain", "tunes")  # at most train_rows rows
     of = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"c{i}") for i, d in enumerate(domains)]
     counts = stored(labelled.where("not tunes and bucket is not null").groupBy("bucket").agg(*of), "mixing-counts")
     totals = counts.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(domains))]).first()

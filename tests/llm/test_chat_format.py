@@ -22,7 +22,7 @@ def test_any_content_comes_back(seed):
 
 
 def test_plain_content_is_not_escaped():
-    assert C.format_conversation([("user", "a < b [x]"), ("assistant", "ok")]) == ("[INST]a < b [x][/INST]<s>ok</s>", [(28, 30)], 0)
+    assert C.format_conversation([("user", "a < b [x]"), ("assistant", "ok")]) == ("[INST]a < b [x][/INST]<s>ok</s>", [(25, 27)], 0)
     assert C.format_conversation([("user", "a\\b")])[2] == 1
 
 
