@@ -6,9 +6,11 @@
    posterior over the domains.
 2. Rates r >= 0 are fitted so that the expected tokens of each domain,
    S_d = sum_i r_i n_i p_id, meet their targets T_d: projected gradient steps
-   (accelerated, from r = 1) on sum_d (S_d - T_d)^2 / T_d, in the metric of the
-   documents' sizes.  A step needs the few sums S_d only, so a job folds the
-   steps so far over a compact table (no text) and adds up; every
+   (accelerated, from r = 1) on the squared distance of S from T.  Distances
+   are measured in (S_d - T_d) / sqrt(T_d) and by the inverse Gram matrix of
+   the documents' posteriors, in the metric of their sizes, so that one step
+   is exact where no rate meets 0.  A step needs the few sums S_d only: a job
+   folds the steps so far over a compact table (no text) and adds up; every
    ``store_every`` steps the table is stored with the rates.
 
 Edge cases: null and empty texts and texts without tokens have the prior as
@@ -100,7 +102,7 @@ def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-3, ma
     weight = np.array(targets, float) / sum(targets)
     goal = np.maximum(weight, 1e-9) * float(first["all"])
     gram = np.array([[first[f"g{i}_{j}"] for j in range(n)] for i in range(n)], float) / np.sqrt(np.outer(goal, goal))
-    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     state = soft.withColumn("rate", F.lit(1.0)).withColumn("last", F.lit(1.0))
     sums = before = np.array([first[f"m{i}"] for i in range(n)], float)
     momentum, history = 1.0, []
@@ -126,7 +128,7 @@ def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-3, ma
         following = (1 + (1 + 4 * momentum ** 2) ** .5) / 2
         ahead = (momentum - 1) / following
         at = sums + ahead * (sums - before)
-        history.append((step * (at - goal) / goal, ahead))
+        history.append((inverse @ ((at - goal) / np.sqrt(goal)) / np.sqrt(goal), ahead))
         momentum = following
         got = after(history).agg(*[F.sum(size * F.col(f"p{i}") * F.col("rate")) for i in range(n)]).first()
         before, sums = sums, np.array(got, float)
