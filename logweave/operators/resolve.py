@@ -98,7 +98,10 @@ def snippet_of(text: Column, line: Column, context: int = SNIPPET_CONTEXT) -> Co
     """J4 rule: lines ``[line-context, line+context]`` clipped to the file,
     each with its line break, concatenated (the last line of a file without a
     final newline has none)."""
-    parts = _lines_of(text)
+    return _snippet(_lines_of(text), line, context)
+
+
+def _snippet(parts: Column, line: Column, context: int) -> Column:
     size = F.size(parts)
     n_lines = F.when(F.element_at(parts, -1) == "", size - 1).otherwise(size)
     start = F.greatest(F.lit(0), line - 1 - context)
@@ -116,13 +119,15 @@ def _texts(sources: DataFrame) -> DataFrame:
 
 
 def attach_snippet(resolved: DataFrame, sources: DataFrame, context: int = SNIPPET_CONTEXT) -> DataFrame:
-    """Add ``snippet`` for resolved frames.  Snippets are cut once per
-    distinct ``(source_path, line_no)`` from the file text (no range join),
-    then joined back; a missing file gives null."""
-    keys = (resolved.where(F.col("resolved"))
-            .select("source_path", "line_no").distinct())
-    snippets = keys.join(_texts(sources), "source_path").select(
-        "source_path", "line_no", snippet_of(F.col("text"), F.col("line_no"), context).alias("snippet"))
+    """Add ``snippet`` for resolved frames.  A file's text is joined and
+    split once, to the distinct lines asked of it (at most as many as it has),
+    and its snippets are cut from the split text (no range join); a missing
+    file gives null."""
+    asked = (resolved.where(F.col("resolved")).groupBy("source_path")
+             .agg(F.collect_set("line_no").alias("_asked")))
+    parts = asked.join(_texts(sources), "source_path").select("source_path", "_asked", _lines_of(F.col("text")).alias("_parts"))
+    cut = F.transform("_asked", lambda n: F.struct(n.alias("line_no"), _snippet(F.col("_parts"), n, context).alias("snippet")))
+    snippets = parts.select("source_path", cut.alias("_cut")).select("source_path", F.inline_outer("_cut"))
     return resolved.join(snippets, ["source_path", "line_no"], "left")
 
 
@@ -139,21 +144,23 @@ def source_window(requests: DataFrame, sources: DataFrame, context: int = WINDOW
     whole text.  Lines follow ``str.splitlines()`` and are joined by LF."""
     if not 0 <= context <= MAX_WINDOW_CONTEXT:
         raise ValueError(f"context must be within 0..{MAX_WINDOW_CONTEXT}")
-    r = requests.select("source_path", "line").distinct()
-    j = r.join(_texts(sources), "source_path")
-    lines = _splitlines(F.col("text"))
-    total = F.size(lines)
-    line = F.col("line")
-    start = F.greatest(F.lit(0), line - 1 - context)
-    end = F.least(total, line + context)
-    window = F.concat_ws("\n", F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))))
-    whole = line.isNull()
-    return j.select(
-        "source_path", F.col("line").alias("target_line"),
-        total.cast("long").alias("total_lines"),
-        F.when(~whole, start + 1).alias("start_line"),
-        F.when(~whole, end).alias("end_line"),
-        F.when(whole, F.col("text")).when(end > start, window).otherwise(F.lit("")).alias("content"))
+    # a file's text is joined and split once, to the distinct lines asked of it
+    asked = requests.groupBy("source_path").agg(F.collect_set(F.struct("line")).alias("_asked"))
+    j = asked.join(_texts(sources), "source_path").select("source_path", "_asked", "text", _splitlines(F.col("text")).alias("_lines"))
+    total = F.size("_lines")
+
+    def window(line: Column) -> Column:
+        start = F.greatest(F.lit(0), line - 1 - context)
+        end = F.least(total, line + context)
+        body = F.concat_ws("\n", F.slice("_lines", start + 1, F.greatest(end - start, F.lit(0))))
+        whole = line.isNull()
+        return F.struct(
+            line.alias("target_line"), total.cast("long").alias("total_lines"),
+            F.when(~whole, start + 1).alias("start_line"), F.when(~whole, end).alias("end_line"),
+            F.when(whole, F.col("text")).when(end > start, body).otherwise(F.lit("")).alias("content"))
+
+    cut = j.select("source_path", F.transform("_asked", lambda a: window(a["line"])).alias("_cut"))
+    return cut.select("source_path", F.inline_outer("_cut"))
 
 
 def resolution_counts(resolved: DataFrame, keys=("file_path", "entry_line")) -> DataFrame:
