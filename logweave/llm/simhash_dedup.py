@@ -9,10 +9,11 @@ of two linked fingerprints one segment differs by at most one bit.  Each
 fingerprint emits every segment once per bit with that bit taken out; linked
 fingerprints share one of these 64 keys.  Within a key nothing is paired with
 everything: each member is compared with the key's hub (the fingerprint of
-most documents), and only members too far from the hub are compared with the
-other members, once more cut by the same rule over the remaining bits where a
-key has over ``split_over`` members.  That is exact for components: a pair that
-is not compared is linked to the same hub.
+most documents), these links are joined to components, and only members of
+other components than their hub's are compared with the other members, once
+more cut by the same rule over the remaining bits where a key has over
+``split_over`` members.  That is exact for components: a pair that is not
+compared is in one component already.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint
 zero and link like any other; copies are one fingerprint in all joins; a null
@@ -85,7 +86,7 @@ def _variants(fp: Column, bits: list[int], max_distance: int) -> list[Column]:
 
 
 def fingerprint_links(prints: DataFrame, max_distance: int = 4, split_over: int = 512) -> DataFrame:
-    """(a, b): links between distinct fingerprints whose components are those of all links.
+    """(a, b): pairs of distinct fingerprints whose components are those of all links.
 
     ``prints``: distinct ``fp`` (64 bits, signed) and ``n``, its number of documents."""
     bits = list(range(64))
@@ -94,25 +95,37 @@ def fingerprint_links(prints: DataFrame, max_distance: int = 4, split_over: int
                .withColumn("hub", F.max(F.struct("n", "fp")).over(Window.partitionBy("key"))["fp"])
                .where("size > 1"))
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_distance
-    members = stored(members.select("key", "fp", "size", "hub", near(F.col("fp"), F.col("hub")).alias("by_hub")), "simhash-keys")
-    to_hub = members.where("by_hub and fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-
-    # What the hub does not hold: members beyond its reach, against all but the hub.  A large key is cut again.
+    members = stored(members.select("key", "fp", "size", "hub", near(F.col("fp"), F.col("hub")).alias("linked")), "simhash-keys")
+    to_hub = members.where("linked and fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+
+    # Components by hubs alone.  What is left to find links members of other components than their key's hub with any
+    # member, so a cloud of near copies, which its hubs hold together, is not compared with itself.
+    roots = connected_components(to_hub)
+    others = members.where("fp <> hub and size > 2")
+    unlinked = (others.where("not linked")
+                .join(roots.select(F.col("node").alias("fp"), F.col("root").alias("own")), "fp", "left")
+                .join(roots.select(F.col("node").alias("hub"), F.col("root").alias("of_hub")), "hub", "left")
+                .withColumn("own", F.coalesce("own", "fp")).withColumn("by_hub", F.col("own") == F.coalesce("of_hub", "hub"))
+                .select("key", "fp", "size", "own", "by_hub"))
+    # Who is linked to the hub is in its component; no look-up says more.
+    others = unlinked.unionByName(others.where("linked").select("key", "fp", "size", F.lit(None).cast("long").alias("own"),
+                                                                F.lit(True).alias("by_hub")))
     segments = _segments(bits, max_distance)
     place = F.col("key").bitwiseAND(F.lit(127))
     again, below = F.array(F.lit(-1).cast("long")), 0
-    for segment in segments:
+    for segment in segments:  # a large key is cut again
         rest = [b for b in bits if b not in segment]
         again = F.when((F.col("size") > split_over) & place.between(below, below + len(segment) - 1),
                        F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m))))
                                  for i, m in enumerate(_masks(rest, max_distance))])).otherwise(again)
         below += len(segment)
-    others = members.where("fp <> hub and size > 2").select("key", "fp", "by_hub", F.explode(again).alias("inner"))
-    far = others.where("not by_hub").select("key", "inner", F.col("fp").alias("a"))
-    rest = others.select("key", "inner", F.col("fp").alias("b"), "by_hub")
+    others = others.select("key", "fp", "own", "by_hub", F.explode(again).alias("inner"))
+    far = others.where("not by_hub").select("key", "inner", F.col("fp").alias("a"), F.col("own").alias("root_a"))
+    rest = others.select("key", "inner", F.col("fp").alias("b"), F.col("own").alias("root_b"), "by_hub")
     pairs = far.join(rest, ["key", "inner"]).where(
-        near(F.col("a"), F.col("b")) & (F.col("a") != F.col("b")) & (F.col("by_hub") | (F.col("a") < F.col("b")))).select("a", "b")
-    return to_hub.unionAll(pairs).distinct()
+        near(F.col("a"), F.col("b")) & (F.col("by_hub") | (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b"))))
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(
+        pairs.select("a", "b")).distinct()
 
 
 def _masks(bits: list[int], max_distance: int) -> list[int]:
