@@ -12,6 +12,12 @@ contaminated by an item if the alignments that count cover ``share`` (0.8) of
 the item's windows, so a copied question is found, and also one whose numbers,
 names and units were exchanged consistently.
 
+That is the form the SQL in ``oracles`` states.  With ``whole`` (the pipeline):
+
+* a disagreeing slot costs its own windows only: a window counts if its slots
+  hold the item's values or each value's most frequent partner along the
+  alignment; two item values may have the same partner.
+
 Scale: documents are read once; only windows that match a benchmark window
 leave their task.  The benchmark's window table is broadcast if it has at most
 ``broadcast_rows`` rows, counted first, and joined by shuffle beyond that.
@@ -94,20 +100,43 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return found.where(F.col("strict") | (F.col("literals") >= LITERALS)).drop("literals")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _agreeing(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """The hits whose slots hold the item's own values, or each item value's most frequent partner along the alignment."""
+    slots = hits.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.at", "s.type", "s.theirs", "s.own").distinct()
+    pairs = slots.groupBy(*keys, "type", "theirs", "own").agg(F.count("*").alias("n"))
+    best = pairs.groupBy(*keys, "type", "theirs").agg(
+        F.max_by("own", F.struct("n", F.col("own") == F.col("theirs"), "own")).alias("own"))
+    # An alignment has at most the item's values.
+    partners = best.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.collect_set(F.struct("type", "theirs", "own")).alias("partners"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    known = hits.join(partners, same, "left").drop(*[f"_{k}" for k in keys])
+    fits = F.forall("slots", lambda s: F.array_contains("partners", F.struct(s["type"], s["theirs"], s["own"])))
+    return known.where(F.forall("slots", lambda s: s["theirs"] == s["own"]) | fits)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broadcast_rows: int = 1_000_000,
+                 whole: bool = False) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, share): a row for each document and item that meet."""
     wanted = item_windows(benchmark)
     if wanted.count() <= broadcast_rows:  # a window is five tokens, twice
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     hits = _windows(rows).join(wanted, "hash")
-    slots = F.filter(F.zip_with(F.arrays_zip(F.split("template", " ").alias("type"), F.col("item_raw").alias("theirs")), F.col("raw"),
-                                lambda t, own: F.struct(t["type"].alias("type"), t["theirs"].alias("theirs"), own.alias("own"))),
-                     lambda s: _slot(s["type"]))
+    slots = F.zip_with(F.arrays_zip(F.split("template", " ").alias("type"), F.col("item_raw").alias("theirs")), F.col("raw"),
+                       lambda t, own: F.struct(t["type"].alias("type"), t["theirs"].alias("theirs"), own.alias("own")))
     hits = hits.where(F.col("template") == F.col("item_template")).select(
         "doc_id", "text_hash", "item_id", "item_hash", "windows", "strict", "item_place",
         (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"))
     hits = hits.where(~F.col("strict") | ~F.exists("slots", lambda s: s["theirs"] != s["own"]))
+    item = ["doc_id", "text_hash", "item_id", "item_hash"]
+    if whole:
+        hits = hits.withColumn("slots", F.filter(F.transform("slots", lambda s, i: F.struct(
+            (F.col("item_place") + i).alias("at"), s["type"].alias("type"), s["theirs"].alias("theirs"), s["own"].alias("own"))),
+            lambda s: _slot(s["type"])))
+        covered = (_agreeing(hits, [*item, "shift"]).select(*item, "windows", "item_place").distinct()
+                   .groupBy(*item, "windows").agg(F.count("*").alias("matched")))
+        return _over(covered, share)
+    hits = hits.withColumn("slots", F.filter("slots", lambda s: _slot(s["type"])))
     # An alignment has at most the item's windows.
     aligned = hits.groupBy("doc_id", "text_hash", "item_id", "item_hash", "windows", "shift").agg(
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
@@ -116,12 +145,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broad
     covered = (aligned.where(one_to_one).select("doc_id", "text_hash", "item_id", "item_hash", "windows",
                                                 F.explode("places").alias("place")).distinct()
                .groupBy("doc_id", "text_hash", "item_id", "item_hash", "windows").agg(F.count("*").alias("matched")))
+    return _over(covered, share)
+
+
+def _over(covered: DataFrame, share: float) -> DataFrame:
     return (covered.withColumn("share", F.col("matched") / F.col("windows")).where(F.col("share") >= share)
             .select("doc_id", "text_hash", "item_id", "matched", "windows", "share"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = .8) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = .8, whole: bool = False) -> DataFrame:
     """The rows, with all their columns, that no benchmark item contaminates."""
-    bad = contaminated(docs, benchmark, share).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
+    bad = contaminated(docs, benchmark, share, whole=whole).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     return marked.join(bad, marked["doc_id"].eqNullSafe(bad["__id"]) & (marked["__hash"] == bad["__text"]), "left_anti").drop("__hash")
