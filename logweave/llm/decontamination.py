@@ -16,7 +16,10 @@ That is the form the SQL in ``oracles`` states.  With ``whole`` (the pipeline):
 
 * a disagreeing slot costs its own windows only: a window counts if its slots
   hold the item's values or each value's most frequent partner along the
-  alignment; two item values may have the same partner.
+  alignment; two item values may have the same partner;
+* a second form of each window, lower-cased with numbers and units typed, is
+  joined beside the typed one, and a place counts if either form matches, so the
+  letter case of a copy is of no account.
 
 Scale: documents are read once; only windows that match a benchmark window
 leave their task.  The benchmark's window table is broadcast if it has at most
@@ -55,11 +58,19 @@ def plain(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}0-9]+", " ")), F.lit(" "))
 
 
+def _measured(words: Column) -> Column:
+    out = F.regexp_replace(words, " [0-9][^ ]*", f" {NUMBER}")
+    return F.regexp_replace(out, f" {NUMBER} (?i:{ANY_OF(UNITS)})(?= )", f" {NUMBER} {UNIT}")
+
+
+def blind(words: Column) -> Column:
+    """The tokens of ``plain``, lower-cased, with types in place of numbers and units only."""
+    return F.lower(_measured(words))
+
+
 def typed(words: Column) -> Column:
     """The tokens of ``plain`` with their types in place of numbers, units and names; as many tokens."""
-    out = F.regexp_replace(words, " [0-9][^ ]*", f" {NUMBER}")
-    out = F.regexp_replace(out, f" {NUMBER} (?i:{ANY_OF(UNITS)})(?= )", f" {NUMBER} {UNIT}")
-    return F.lower(F.regexp_replace(out, rf" (?=\p{{Lu}})(?!(?i:{ANY_OF(FUNCTION_WORDS)}) )[^ ]+", f" {NAME}"))
+    return F.lower(F.regexp_replace(_measured(words), rf" (?=\p{{Lu}})(?!(?i:{ANY_OF(FUNCTION_WORDS)}) )[^ ]+", f" {NAME}"))
 
 
 def _cut(words: Column) -> Column:
@@ -69,11 +80,18 @@ def _cut(words: Column) -> Column:
     return F.when(whole.rlike("^(?:[^ ]+ ){0,%d}[^ ]+$" % (WINDOW - 2)), F.array(whole)).otherwise(windows)
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """Adds ``place`` (from 0), ``template``, its ``hash`` and the tokens as they are, ``raw``, of every window."""
+def _windows(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """Adds ``place`` (from 0), ``template``, its ``hash`` and the tokens as they are, ``raw``, of every window; with
+    ``whole`` for either ``form``."""
     # Below the generator, so that a text is worked out once and doesn't go along with its windows.
     rows = rows.withColumn("words", plain(F.col("text"))).drop("text")
-    rows = rows.withColumn("cut", F.arrays_zip(_cut(typed(F.col("words"))).alias("template"), _cut(F.lower("words")).alias("raw")))
+    if whole:
+        rows = rows.select("*", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("form"), form(F.col("words")).alias("types")) for k, form in enumerate((typed, blind))])).alias("f"))
+        rows = rows.select("*", "f.form", "f.types").drop("f")
+    else:
+        rows = rows.withColumn("types", typed(F.col("words")))
+    rows = rows.withColumn("cut", F.arrays_zip(_cut(F.col("types")).alias("template"), _cut(F.lower("words")).alias("raw"))).drop("types")
     # Outer: for the inner form Spark filters on the array's size first, and works it out twice.
     rows = rows.drop("words").select("*", F.posexplode_outer("cut").alias("place", "window")).drop("cut").where("place is not null")
     return rows.select("*", F.col("window.template").alias("template"), F.split("window.raw", " ").alias("raw"),
@@ -114,18 +132,31 @@ def _agreeing(hits: DataFrame, keys: list[str]) -> DataFrame:
     return known.where(F.forall("slots", lambda s: s["theirs"] == s["own"]) | fits)
 
 
+def item_forms(benchmark: DataFrame) -> DataFrame:
+    """The windows of ``item_windows`` in both forms."""
+    wanted = item_windows(benchmark)
+    keys = ["item_id", "item_hash", "item_place"]
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("item_hash")).distinct()
+    second = _windows(rows, whole=True).where("form = 1").select(
+        *[F.col(k).alias(f"_{k}") for k in keys[:2]], F.col("place").alias("_item_place"), "hash", F.col("template").alias("item_template"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    other = wanted.drop("hash", "item_template").join(second, same).withColumn("form", F.lit(1))
+    return wanted.withColumn("form", F.lit(0)).unionByName(other.drop(*[f"_{k}" for k in keys]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broadcast_rows: int = 1_000_000,
                  whole: bool = False) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, share): a row for each document and item that meet."""
-    wanted = item_windows(benchmark)
+    wanted = item_forms(benchmark) if whole else item_windows(benchmark)
+    forms = ["form"] if whole else []
     if wanted.count() <= broadcast_rows:  # a window is five tokens, twice
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    hits = _windows(rows).join(wanted, "hash")
+    hits = _windows(rows, whole).join(wanted, ["hash", *forms])
     slots = F.zip_with(F.arrays_zip(F.split("template", " ").alias("type"), F.col("item_raw").alias("theirs")), F.col("raw"),
                        lambda t, own: F.struct(t["type"].alias("type"), t["theirs"].alias("theirs"), own.alias("own")))
     hits = hits.where(F.col("template") == F.col("item_template")).select(
-        "doc_id", "text_hash", "item_id", "item_hash", "windows", "strict", "item_place",
+        "doc_id", "text_hash", "item_id", "item_hash", "windows", "strict", "item_place", *forms,
         (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"))
     hits = hits.where(~F.col("strict") | ~F.exists("slots", lambda s: s["theirs"] != s["own"]))
     item = ["doc_id", "text_hash", "item_id", "item_hash"]
@@ -133,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broad
         hits = hits.withColumn("slots", F.filter(F.transform("slots", lambda s, i: F.struct(
             (F.col("item_place") + i).alias("at"), s["type"].alias("type"), s["theirs"].alias("theirs"), s["own"].alias("own"))),
             lambda s: _slot(s["type"])))
-        covered = (_agreeing(hits, [*item, "shift"]).select(*item, "windows", "item_place").distinct()
+        covered = (_agreeing(hits, [*item, "form", "shift"]).select(*item, "windows", "item_place").distinct()
                    .groupBy(*item, "windows").agg(F.count("*").alias("matched")))
         return _over(covered, share)
     hits = hits.withColumn("slots", F.filter("slots", lambda s: _slot(s["type"])))

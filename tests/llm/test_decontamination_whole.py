@@ -24,3 +24,12 @@ def test_a_disagreeing_slot_costs_its_windows_only(spark):
 def test_other_texts_stay(spark):
     pairs = [(MARIA, "Maria walks to the market with her basket and then reads a long book about ships and the sea")]
     assert found(spark, pairs, whole=True) == set()
+
+
+def test_letter_case_is_of_no_account(spark):
+    pairs = [(MARIA, form(MARIA)) for form in (str.upper, str.lower, str.title)]
+    pairs.append((MARIA, MARIA.replace("then Maria cooks the pears", "THEN MARIA COOKS THE PEARS")))
+    pairs += [("Paris London Rome Berlin Madrid Vienna", "PARIS LONDON ROME BERLIN MADRID VIENNA"),
+              ("Paris London Rome Berlin Madrid Vienna", "oslo lima cairo quito delhi tokyo")]
+    assert found(spark, pairs, whole=True) == {0, 1, 2, 3, 4}
+    assert not found(spark, pairs) & {0, 1, 2}
