@@ -19,7 +19,10 @@ That is the form the SQL in ``oracles`` states.  With ``whole`` (the pipeline):
   alignment; two item values may have the same partner;
 * a second form of each window, lower-cased with numbers and units typed, is
   joined beside the typed one, and a place counts if either form matches, so the
-  letter case of a copy is of no account.
+  letter case of a copy is of no account;
+* a number with its sign, separators and decimals is one token, and so is a run
+  of names in the typed form, so a value is one placeholder whatever its length.
+  The share then counts the case-blind windows that a match of either form covers.
 
 Scale: documents are read once; only windows that match a benchmark window
 leave their task.  The benchmark's window table is broadcast if it has at most
@@ -58,19 +61,45 @@ def plain(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}0-9]+", " ")), F.lit(" "))
 
 
-def _measured(words: Column) -> Column:
+def typed(words: Column) -> Column:
+    """The tokens of ``plain`` with their types in place of numbers, units and names; as many tokens."""
     out = F.regexp_replace(words, " [0-9][^ ]*", f" {NUMBER}")
-    return F.regexp_replace(out, f" {NUMBER} (?i:{ANY_OF(UNITS)})(?= )", f" {NUMBER} {UNIT}")
+    out = F.regexp_replace(out, f" {NUMBER} (?i:{ANY_OF(UNITS)})(?= )", f" {NUMBER} {UNIT}")
+    return F.lower(F.regexp_replace(out, rf" (?=\p{{Lu}})(?!(?i:{ANY_OF(FUNCTION_WORDS)}) )[^ ]+", f" {NAME}"))
 
 
-def blind(words: Column) -> Column:
-    """The tokens of ``plain``, lower-cased, with types in place of numbers and units only."""
-    return F.lower(_measured(words))
+RUN, IN_RUN, AFTER_NUMBER = "\x01", "\x02", "\x03"
+DIGITS = " [-+\u2212]?[0-9]"
 
 
-def typed(words: Column) -> Column:
-    """The tokens of ``plain`` with their types in place of numbers, units and names; as many tokens."""
-    return F.lower(F.regexp_replace(_measured(words), rf" (?=\p{{Lu}})(?!(?i:{ANY_OF(FUNCTION_WORDS)}) )[^ ]+", f" {NAME}"))
+def values(text: Column) -> Column:
+    """As ``plain``, but a number with its sign, separators and decimals is one token."""
+    between = r"(?!(?<=[0-9])[.,:/'\u2019\u00a0\u202f](?=[0-9]))"
+    sign = r"(?!(?<![\p{L}\p{M}0-9])[-+\u2212](?=[0-9]))"
+    gap = rf"(?:{between}{sign}[^\p{{L}}\p{{M}}0-9])+"
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), gap, " ")), F.lit(" "))
+
+
+def _runs(words: Column) -> Column:
+    """The tokens of ``values``; a unit after a number is marked, and a run of names is one marked token."""
+    out = F.regexp_replace(words, rf"({DIGITS}[^ ]*) ((?i:{ANY_OF(UNITS)})(?= ))", f"$1 {AFTER_NUMBER}$2")
+    out = F.regexp_replace(out, rf" (?=\p{{Lu}})(?!(?i:{ANY_OF(FUNCTION_WORDS)}) )([^ ]+)", f" {RUN}$1{RUN}")
+    return F.lower(F.replace(out, F.lit(f"{RUN} {RUN}"), F.lit(IN_RUN)))
+
+
+def _run_types(runs: Column) -> Column:
+    out = F.regexp_replace(runs, f"{DIGITS}[^ ]*", f" {NUMBER}")
+    return F.regexp_replace(F.regexp_replace(out, f" {AFTER_NUMBER}[^ ]*", f" {UNIT}"), f" {RUN}[^ ]*", f" {NAME}")
+
+
+def _blind_types(runs: Column) -> Column:
+    out = F.regexp_replace(_apart(runs), f"{DIGITS}[^ ]*", f" {NUMBER}")
+    return F.regexp_replace(out, f"(?<= {NUMBER}) (?:{ANY_OF(UNITS)})(?= )", f" {UNIT}")
+
+
+def _apart(runs: Column) -> Column:
+    """The words of ``_runs`` without marks, each its own token."""
+    return F.translate(runs, f"{IN_RUN}{RUN}{AFTER_NUMBER}", " ")
 
 
 def _cut(words: Column) -> Column:
@@ -84,13 +113,14 @@ def _windows(rows: DataFrame, whole: bool = False) -> DataFrame:
     """Adds ``place`` (from 0), ``template``, its ``hash`` and the tokens as they are, ``raw``, of every window; with
     ``whole`` for either ``form``."""
     # Below the generator, so that a text is worked out once and doesn't go along with its windows.
-    rows = rows.withColumn("words", plain(F.col("text"))).drop("text")
     if whole:
-        rows = rows.select("*", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("form"), form(F.col("words")).alias("types")) for k, form in enumerate((typed, blind))])).alias("f"))
-        rows = rows.select("*", "f.form", "f.types").drop("f")
+        runs = F.col("runs")
+        rows = rows.withColumn("runs", _runs(values(F.col("text")))).drop("text").select("*", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("form"), types.alias("types"), raw.alias("words")) for k, (types, raw) in enumerate((
+                (_run_types(runs), runs), (_blind_types(runs), _apart(runs))))])).alias("f")).drop("runs")
+        rows = rows.select("*", "f.form", "f.types", "f.words").drop("f")
     else:
-        rows = rows.withColumn("types", typed(F.col("words")))
+        rows = rows.withColumn("words", plain(F.col("text"))).drop("text").withColumn("types", typed(F.col("words")))
     rows = rows.withColumn("cut", F.arrays_zip(_cut(F.col("types")).alias("template"), _cut(F.lower("words")).alias("raw"))).drop("types")
     # Outer: for the inner form Spark filters on the array's size first, and works it out twice.
     rows = rows.drop("words").select("*", F.posexplode_outer("cut").alias("place", "window")).drop("cut").where("place is not null")
@@ -133,22 +163,41 @@ def _agreeing(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def item_forms(benchmark: DataFrame) -> DataFrame:
-    """The windows of ``item_windows`` in both forms."""
-    wanted = item_windows(benchmark)
-    keys = ["item_id", "item_hash", "item_place"]
+    """The windows of each item that are looked for, in both ``form``s, and the places that each covers.
+
+    Places are those of the case-blind windows.  A typed window covers the places that lie in its words (more than
+    one if it holds a run of names); wanted are the places that a typed window with two literals covers, or all."""
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("item_hash")).distinct()
-    second = _windows(rows, whole=True).where("form = 1").select(
-        *[F.col(k).alias(f"_{k}") for k in keys[:2]], F.col("place").alias("_item_place"), "hash", F.col("template").alias("item_template"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    other = wanted.drop("hash", "item_template").join(second, same).withColumn("form", F.lit(1))
-    return wanted.withColumn("form", F.lit(0)).unionByName(other.drop(*[f"_{k}" for k in keys]))
+    rows = rows.withColumn("runs", _runs(values(F.col("text"))))
+    # The places of the tokens of _runs, counted in words: a word within a run is not one.
+    parts = F.split(F.replace(F.trim("runs"), F.lit(IN_RUN), F.lit(f" {IN_RUN}")), " ")
+    begins = F.filter(F.transform(parts, lambda w, i: F.when(~F.startswith(w, F.lit(IN_RUN)), i)), lambda i: i.isNotNull())
+    rows = rows.select("item_id", "item_hash", "text", begins.alias("begins"))
+    found = _windows(rows, whole=True).select(
+        "item_id", "item_hash", "form", "hash", F.col("place").alias("item_place"), F.col("raw").alias("item_raw"),
+        F.col("template").alias("item_template"), "begins")
+    words = F.aggregate("item_raw", F.lit(0), lambda n, w: n + F.length(w) - F.length(F.replace(w, F.lit(IN_RUN), F.lit(""))) + 1)
+    first = F.when(F.col("form") == 1, F.col("item_place")).otherwise(F.get("begins", F.col("item_place")))
+    found = found.withColumn("first", first).withColumn(
+        "last", F.when(F.col("form") == 1, F.col("first")).otherwise(F.greatest(F.col("first"), F.col("first") + words - WINDOW))).drop("begins")
+    enough = F.size(F.filter(F.split("item_template", " "), lambda t: ~_slot(t))) >= LITERALS
+    text = ["item_id", "item_hash"]
+    same = lambda keys: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    per_item = found.where("form = 0").groupBy(*[F.col(k).alias(f"_{k}") for k in text]).agg((F.count(F.when(enough, 1)) == 0).alias("strict"))
+    found = found.join(per_item, same(text)).drop(*[f"_{k}" for k in text])
+    wanted = found.where((F.col("form") == 0) & (F.col("strict") | enough))
+    places = wanted.select(*text, F.explode(F.sequence("first", "last")).alias("first")).distinct()
+    sizes = places.groupBy(*[F.col(k).alias(f"_{k}") for k in text]).agg(F.count("*").alias("windows"))
+    other = found.where("form = 1").join(places.select(*[F.col(k).alias(f"_{k}") for k in [*text, "first"]]), same([*text, "first"]))
+    found = wanted.unionByName(other.drop(*[f"_{k}" for k in [*text, "first"]]))
+    return found.join(sizes, same(text)).drop(*[f"_{k}" for k in text])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broadcast_rows: int = 1_000_000,
                  whole: bool = False) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, share): a row for each document and item that meet."""
     wanted = item_forms(benchmark) if whole else item_windows(benchmark)
-    forms = ["form"] if whole else []
+    forms, covers = (["form"], ["first", "last"]) if whole else ([], [])
     if wanted.count() <= broadcast_rows:  # a window is five tokens, twice
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
@@ -156,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broad
     slots = F.zip_with(F.arrays_zip(F.split("template", " ").alias("type"), F.col("item_raw").alias("theirs")), F.col("raw"),
                        lambda t, own: F.struct(t["type"].alias("type"), t["theirs"].alias("theirs"), own.alias("own")))
     hits = hits.where(F.col("template") == F.col("item_template")).select(
-        "doc_id", "text_hash", "item_id", "item_hash", "windows", "strict", "item_place", *forms,
+        "doc_id", "text_hash", "item_id", "item_hash", "windows", "strict", "item_place", *forms, *covers,
         (F.col("place") - F.col("item_place")).alias("shift"), slots.alias("slots"))
     hits = hits.where(~F.col("strict") | ~F.exists("slots", lambda s: s["theirs"] != s["own"]))
     item = ["doc_id", "text_hash", "item_id", "item_hash"]
@@ -164,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broad
         hits = hits.withColumn("slots", F.filter(F.transform("slots", lambda s, i: F.struct(
             (F.col("item_place") + i).alias("at"), s["type"].alias("type"), s["theirs"].alias("theirs"), s["own"].alias("own"))),
             lambda s: _slot(s["type"])))
-        covered = (_agreeing(hits, [*item, "form", "shift"]).select(*item, "windows", "item_place").distinct()
+        covered = (_agreeing(hits, [*item, "form", "shift"]).select(*item, "windows", F.explode(F.sequence("first", "last")).alias("place")).distinct()
                    .groupBy(*item, "windows").agg(F.count("*").alias("matched")))
         return _over(covered, share)
     hits = hits.withColumn("slots", F.filter("slots", lambda s: _slot(s["type"])))

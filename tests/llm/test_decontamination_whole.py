@@ -33,3 +33,24 @@ def test_letter_case_is_of_no_account(spark):
               ("Paris London Rome Berlin Madrid Vienna", "oslo lima cairo quito delhi tokyo")]
     assert found(spark, pairs, whole=True) == {0, 1, 2, 3, 4}
     assert not found(spark, pairs) & {0, 1, 2}
+
+
+def test_a_value_is_one_placeholder(spark):
+    costs = ("Anna of Paris saves 1,200 dollars at a rate of 3.5 percent while her brother spends half of it on books; how much "
+             "money is left for Anna after the first year")
+    other = costs.replace("1,200", "800").replace("3.5", "-4").replace("Paris", "New York")
+    names = "while Paris sleeps the tram of Rome rolls past old walls and a dog barks at the moon"
+    pairs = [(costs, other), (other, costs), (costs, costs.replace("Anna", "Mary Ann Smith")),
+             (names, names.replace("Paris", "New York City").replace("Rome", "Rio de Janeiro"))]
+    got = found(spark, pairs, whole=True)
+    assert {0, 1, 2} <= got
+    assert not found(spark, pairs) & {0, 1}
+
+
+def test_share_and_broadcast(spark):
+    pairs = [(MARIA, MARIA), ("New York City Hall", "NEW YORK CITY HALL"), ("12 of 30", "12 of 30"), ("1,200.5", "1,200.5")]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(pairs)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(pairs)], "item_id long, text string")
+    got = [{(r.doc_id, r.share) for r in D.contaminated(docs, items, broadcast_rows=n, whole=True).collect() if r.doc_id == r.item_id}
+           for n in (1_000_000, 0)]
+    assert got[0] == got[1] == {(0, 1.), (1, 1.), (2, 1.), (3, 1.)}
