@@ -22,7 +22,9 @@ What is kept small:
 * texts are shuffled once, for the documents that come out.
 
 Edge cases: a null text stays null; lines of fewer than ``least_words`` words
-(blank ones too) always stay; rows equal in doc_id and text are one document
+(blank ones too) always stay, but with ``least_bytes`` (the pipeline) only if
+they have fewer bytes as well, so that scripts without blanks and long lines
+without one are compared; rows equal in doc_id and text are one document
 and lose the same lines; "\\r" counts as a blank.
 """
 
@@ -47,7 +49,7 @@ def normalised(line: Column) -> Column:
     return F.lower(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat))
 
 
-def _lines(docs: DataFrame, least_words: int) -> DataFrame:
+def _lines(docs: DataFrame, least_words: int, least_bytes: int | None = None) -> DataFrame:
     """One row per line that can be a duplicate: its place, its text as compared, its words and two hashes."""
     # Below the generator each line is normalised once and each text hashed once, whatever is done with the lines.
     every = F.transform(F.split(F.col("text"), "\n"), normalised)
@@ -55,7 +57,10 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
                        F.transform(every, lambda x: F.struct(x.alias("norm"), F.size(F.split(x, " ")).alias("n"))).alias("lines"))
     rows = rows.select("no_id", "doc_id", "text_hash", F.posexplode_outer("lines").alias("line", "l"))  # outer: no filter on the array's size
     rows = rows.select("no_id", "doc_id", "text_hash", "line", F.col("l.norm").alias("norm"), F.col("l.n").alias("n"))
-    return (rows.where((F.col("norm") != "") & (F.col("n") >= least_words))
+    long_enough = F.col("n") >= least_words
+    if least_bytes is not None:
+        long_enough |= F.octet_length("norm") >= least_bytes
+    return (rows.where((F.col("norm") != "") & long_enough)
             .withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm")))
 
 
@@ -160,9 +165,9 @@ def near_lines(distinct: DataFrame, lines: DataFrame, near_words: int) -> DataFr
     return both.where(one_word_apart(F.col("words"), F.col("others"))).select("h1", "h2").distinct()
 
 
-def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, least_bytes: int | None = None) -> DataFrame:
     """(doc_id, text_hash, removed): the line numbers (from 0) that go, of every document that loses a line."""
-    lines = _lines(docs, least_words)
+    lines = _lines(docs, least_words, least_bytes)
     distinct = stored(lines.groupBy("h1", "h2").agg(
         F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("copies"),
         F.any_value(_half_keys(F.col("norm"), F.col("n"), near_words)).alias("halves")), "lines")
@@ -175,9 +180,9 @@ def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8) ->
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, least_bytes: int | None = None) -> DataFrame:
     """The rows with their text as it is without its removed lines, and ``removed_lines``, their number."""
-    gone = (removed_lines(docs, least_words, near_words)
+    gone = (removed_lines(docs, least_words, near_words, least_bytes)
             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("removed").alias("__removed")))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     rows = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__hash"] == gone["__text"]), "left")
