@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs, least_bytes=12)
+    kept = line_dedup.dedup_lines(docs, least_bytes=12, grown=True)
     changed = F.col("removed_lines") > 0
     kept = kept.where(~changed | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:

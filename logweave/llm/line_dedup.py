@@ -21,6 +21,12 @@ What is kept small:
   blocks of sqrt(n) words, so a line of n words costs n * sqrt(n), not n * n;
 * texts are shuffled once, for the documents that come out.
 
+With ``grown`` (the pipeline) the bound grows with the line: from 40 units on, one
+edit per 20 units of the shorter line.  Units are words, or characters in a line
+of over 16 characters a word.  Lines within the bound share a run of 13 units, so
+both keep the same runs of 7 by least hashes (winnowing); these are the keys, the
+places and lengths have to fit, and the edit distance is verified.
+
 Edge cases: a null text stays null; lines of fewer than ``least_words`` words
 (blank ones too) always stay, but with ``least_bytes`` (the pipeline) only if
 they have fewer bytes as well, so that scripts without blanks and long lines
@@ -38,6 +44,9 @@ from logweave.llm.common import stored
 
 HALF_STEP = 8
 BIT_WORDS = 1 << 18  # 64 bits each, two numbers a row: 4 MB to broadcast at most
+GRAM = 7
+EDIT_UNITS = 20  # one edit per so many units
+FEW_BLANKS = 16  # characters a word
 ORDER = ("no_id", "doc_id", "text_hash", "line")
 
 
@@ -165,13 +174,96 @@ def near_lines(distinct: DataFrame, lines: DataFrame, near_words: int) -> DataFr
     return both.where(one_word_apart(F.col("words"), F.col("others"))).select("h1", "h2").distinct()
 
 
-def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, least_bytes: int | None = None) -> DataFrame:
+def _units(norm: Column, n: Column) -> Column:
+    """What edits are counted in: words, or characters where a line has few blanks for its length."""
+    return F.split(norm, F.when(F.length(norm) > FEW_BLANKS * n, F.lit("")).otherwise(F.lit(" ")))
+
+
+def _grams(units: Column) -> Column:
+    """(key, at) of the runs of GRAM units whose hash is the least of some GRAM runs in a row, and the number of units;
+    null for lines of one edit.
+
+    Of 2 * GRAM - 1 equal units in a row both texts keep the same run.  A text of n units with n // EDIT_UNITS edits has
+    at least that many equal in a row from 2 * EDIT_UNITS units on."""
+    count = F.size(units) - (GRAM - 1)
+    hashes = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.xxhash64(F.slice(units, i + 1, GRAM)).alias("key"), i.alias("at")))
+
+    def least(all_of: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(all_of) - GRAM + 1), lambda j: F.array_min(F.slice(all_of, j, GRAM))))
+
+    made = F.element_at(F.transform(F.array(hashes), least), 1)
+    return F.when(F.size(units) >= 2 * EDIT_UNITS, F.struct(made.alias("grams"), F.size(units).alias("units")))
+
+
+def _code(units: Column) -> Column:
+    """A character per unit, by its hash: equal units have equal ones."""
+    letters = F.transform(units, lambda u: F.lpad(F.hex(F.pmod(F.xxhash64(u), F.lit(50_000)) + 256), 4, "0"))
+    return F.decode(F.unhex(F.array_join(letters, "")), "UTF-16BE")
+
+
+def _exact(a: Column, b: Column) -> tuple[Column, Column]:
+    """As ``_code``, with different characters for all different units of a pair."""
+    known = F.array_distinct(F.concat(a, b))
+    letters = lambda units: F.decode(F.unhex(F.array_join(F.transform(
+        units, lambda u: F.lpad(F.hex(F.array_position(known, u) + 256), 4, "0")), "")), "UTF-16BE")
+    return letters(a), letters(b)
+
+
+def _within(a: Column, b: Column, bound: Column) -> Column:
+    return F.call_function("levenshtein", a, b, bound) >= 0
+
+
+def edited_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h1, h2) of the lines of 2 * EDIT_UNITS units or more that have an earlier line within a unit edit distance of
+    one in EDIT_UNITS units of the shorter of the two.
+
+    A line that is near the earliest line of one of its keys is not compared with the others."""
+    grams = distinct.where("long is not null").select("h1", "h2", "first", "long.units", F.explode("long.grams").alias("g"))
+    grams = grams.select("h1", "h2", "first", "units", "g.key", "g.at")
+    hubs = grams.groupBy("key").agg(F.min(F.struct("first", "h1", "h2", "units", "at")).alias("hub"), F.max("first").alias("last"))
+    hubs = hubs.where(F.col("last") > F.col("hub.first")).drop("last")
+    members = stored(grams.join(hubs, "key"), "line-grams")
+    some = _marked(lines.where(F.length("norm") >= 2 * EDIT_UNITS), _bit_table(members.select("h1").distinct()))
+    texts = stored(some.groupBy("h1", "h2").agg(F.any_value(_units(F.col("norm"), F.col("n"))).alias("words"))
+                   .where(F.size("words") >= 2 * EDIT_UNITS).withColumn("code", _code(F.col("words"))), "long-lines")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """pairs: h1, h2, o1, o2, bound."""
+        codes = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("code").alias("others"))
+        close = pairs.distinct().join(texts.select("h1", "h2", "code"), ["h1", "h2"]).join(codes, ["o1", "o2"])
+        close = close.where(_within(F.col("code"), F.col("others"), F.col("bound"))).drop("code", "others")
+        other = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("others"))
+        both = close.join(texts.drop("code"), ["h1", "h2"]).join(other, ["o1", "o2"])
+        return both.where(_within(*_exact(F.col("words"), F.col("others")), F.col("bound"))).select("h1", "h2").distinct()
+
+    def fit(units: Column, at: Column) -> Column:
+        return (F.abs(F.col("units") - units) <= F.col("bound")) & (F.abs(F.col("at") - at) <= F.col("bound"))
+
+    def bound(units: Column) -> Column:
+        return F.floor(F.least(F.col("units"), units) / EDIT_UNITS).cast("int")
+
+    hub = F.col("hub")
+    first = members.where(F.col("first") > hub["first"]).withColumn("bound", bound(hub["units"])).where(fit(hub["units"], hub["at"]))
+    near = stored(compared(first.select("h1", "h2", hub["h1"].alias("o1"), hub["h2"].alias("o2"), "bound")), "edited-lines")
+    left = members.drop("hub").join(near, ["h1", "h2"], "left_anti")
+    # Those of the hubs are already compared.
+    earlier = members.where(F.col("first") > hub["first"]).select(
+        "key", F.col("first").alias("before"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("units").alias("their_units"), F.col("at").alias("their_at"))
+    rest = left.join(earlier, "key").where(F.col("first") > F.col("before")).withColumn("bound", bound(F.col("their_units")))
+    rest = rest.where(fit(F.col("their_units"), F.col("their_at"))).select("h1", "h2", "o1", "o2", "bound")
+    return near.unionAll(compared(rest))
+
+
+def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, least_bytes: int | None = None,
+                  grown: bool = False) -> DataFrame:
     """(doc_id, text_hash, removed): the line numbers (from 0) that go, of every document that loses a line."""
     lines = _lines(docs, least_words, least_bytes)
     distinct = stored(lines.groupBy("h1", "h2").agg(
         F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("copies"),
-        F.any_value(_half_keys(F.col("norm"), F.col("n"), near_words)).alias("halves")), "lines")
-    near = stored(near_lines(distinct, lines, near_words), "near-lines")
+        F.any_value(_half_keys(F.col("norm"), F.col("n"), near_words)).alias("halves"),
+        *([F.any_value(_grams(_units(F.col("norm"), F.col("n")))).alias("long")] if grown else [])), "lines")
+    near = near_lines(distinct, lines, near_words)
+    near = stored(near.unionAll(edited_lines(distinct, lines)).distinct() if grown else near, "near-lines")
     # Lines with copies lose all but the first place, near lines all places.
     doubtful = (distinct.where("copies > 1").select("h1", "h2", "first")
                 .unionAll(near.select("h1", "h2", F.lit(None).cast(distinct.schema["first"].dataType).alias("first"))))
@@ -180,9 +272,10 @@ def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, le
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, least_bytes: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, least_bytes: int | None = None,
+                grown: bool = False) -> DataFrame:
     """The rows with their text as it is without its removed lines, and ``removed_lines``, their number."""
-    gone = (removed_lines(docs, least_words, near_words, least_bytes)
+    gone = (removed_lines(docs, least_words, near_words, least_bytes, grown)
             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("removed").alias("__removed")))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     rows = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__hash"] == gone["__text"]), "left")
