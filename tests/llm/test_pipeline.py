@@ -1,4 +1,6 @@
 """The pipeline's stages against its rules on small data, and its registration."""
+import random
+
 import __spark_entry__ as E
 import corpus_pipeline as P
 from logweave.llm.queries import QUERIES
@@ -29,3 +31,18 @@ def test_line_stage_keeps_documents_without_repeated_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int")
     got = sorted((r.doc_id, r.text, r.n_chars) for r in P.lines(spark, docs, "").collect() if r.text is not None)
     assert got == [(1, "alpha beta\ngamma delta", 22), (2, "new words", 9), (4, "", 0)]
+
+
+def test_one_document_of_edited_near_copies_is_left(spark):
+    rng = random.Random(9)
+    first = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(4)]
+    texts = ["\n".join(" ".join(line) for line in first)]
+    for copy in range(1, 4):  # the first two lines are equal, the others have two or three edits
+        lines = [list(line) for line in first]
+        for line in lines[2:]:
+            for at in rng.sample(range(60), rng.choice([2, 3])):
+                line[at] = f"edit{copy}"
+        texts.append("\n".join(" ".join(line) for line in lines))
+    docs = spark.createDataFrame([(i, t, "en", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars int")
+    left = P.near_copies(spark, P.stored(P.lines(spark, docs, ""), "test-near-copies"), "")
+    assert [r.doc_id for r in left.collect()] == [0]
