@@ -26,7 +26,8 @@ That is the form the SQL in ``oracles`` states.  With ``whole`` (the pipeline):
 
 Scale: documents are read once; only windows that match a benchmark window
 leave their task.  The benchmark's window table is broadcast if it has at most
-``broadcast_rows`` rows, counted first, and joined by shuffle beyond that.
+``broadcast_rows`` rows and ``broadcast_bytes`` bytes, both counted first, and
+joined by shuffle beyond that.
 Typing and cutting are regular expressions over whole texts (a few passes),
 which costs a fraction of the same done token by token.
 
@@ -42,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 5
+ROW_BYTES = 160  # of a window's row, besides its texts
 LITERALS = 2
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 UNITS = ("mm cm m km kg mg g lb lbs oz ft inch inches mile miles meter meters metre metres kilometer kilometers kilometre "
@@ -193,12 +195,19 @@ def item_forms(benchmark: DataFrame) -> DataFrame:
     return found.join(sizes, same(text)).drop(*[f"_{k}" for k in text])
 
 
+def _may_be_sent(wanted: DataFrame, rows: int, octets: int) -> bool:
+    """True for a window table of so many rows and bytes at most; tokens and ids have any length."""
+    own = F.octet_length("item_template") + F.octet_length(F.array_join("item_raw", " ")) + F.octet_length(F.col("item_id").cast("string"))
+    size = wanted.agg(F.count("*").alias("rows"), F.sum(F.coalesce(own, F.lit(0)).cast("long") + ROW_BYTES).alias("octets")).first()
+    return size["rows"] <= rows and (size["octets"] or 0) <= octets
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broadcast_rows: int = 1_000_000,
-                 whole: bool = False) -> DataFrame:
+                 whole: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, share): a row for each document and item that meet."""
     wanted = item_forms(benchmark) if whole else item_windows(benchmark)
     forms, covers = (["form"], ["first", "last"]) if whole else ([], [])
-    if wanted.count() <= broadcast_rows:  # a window is five tokens, twice
+    if _may_be_sent(wanted, broadcast_rows, broadcast_bytes):
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     hits = _windows(rows, whole).join(wanted, ["hash", *forms])

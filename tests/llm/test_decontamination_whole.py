@@ -54,3 +54,16 @@ def test_share_and_broadcast(spark):
     got = [{(r.doc_id, r.share) for r in D.contaminated(docs, items, broadcast_rows=n, whole=True).collect() if r.doc_id == r.item_id}
            for n in (1_000_000, 0)]
     assert got[0] == got[1] == {(0, 1.), (1, 1.), (2, 1.), (3, 1.)}
+
+
+def test_long_tokens_are_not_broadcast(spark):
+    long = " ".join(f"{c}{'x' * 5000}" for c in "abcdefgh")
+    items = spark.createDataFrame([(1, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
+    for whole in (False, True):
+        plans = []
+        for octets in (64 << 20, 100_000):
+            got = D.contaminated(docs, items, whole=whole, broadcast_bytes=octets)
+            assert [(r.doc_id, r.share) for r in got.collect()] == [(1, 1.)]
+            plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+        assert "strategy=broadcast" in plans[0] and "strategy=broadcast" not in plans[1]
