@@ -185,13 +185,21 @@ def _grams(units: Column) -> Column:
 
     Of 2 * GRAM - 1 equal units in a row both texts keep the same run.  A text of n units with n // EDIT_UNITS edits has
     at least that many equal in a row from 2 * EDIT_UNITS units on."""
-    count = F.size(units) - (GRAM - 1)
-    hashes = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(F.xxhash64(F.slice(units, i + 1, GRAM)).alias("key"), i.alias("at")))
-
-    def least(all_of: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(all_of) - GRAM + 1), lambda j: F.array_min(F.slice(all_of, j, GRAM))))
-
-    made = F.element_at(F.transform(F.array(hashes), least), 1)
+    def with_next(items: Column, step: int, made) -> Column:
+        """Each item with the one ``step`` on; at the end there is none."""
+        return F.element_at(F.transform(F.array(items), lambda x: F.zip_with(x, F.slice(x, step + 1, 1 << 30), made)), 1)
+
+    # Seven in a row by twos, fours and two overlapping fours; a few numbers a unit, no slice for each.
+    runs = F.transform(units, lambda u: F.xxhash64(u))
+    for step in (1, 2, 3):
+        runs = with_next(runs, step, lambda x, y: F.xxhash64(x, y))
+    # 40 bits of the hash, then the place.
+    runs = F.transform(runs, lambda h, i: F.shiftleft(F.shiftright(h, 24), 24).bitwiseOR(i.cast("long")))
+    runs = F.slice(runs, 1, F.size(units) - (GRAM - 1))
+    for step in (1, 2, 3):
+        runs = with_next(runs, step, lambda x, y: F.least(x, y))
+    made = F.transform(F.array_distinct(runs), lambda r: F.struct(
+        F.shiftright(r, 24).alias("key"), r.bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("at")))
     return F.when(F.size(units) >= 2 * EDIT_UNITS, F.struct(made.alias("grams"), F.size(units).alias("units")))
 
 
