@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logweave.llm.decontamination import FUNCTION_WORDS, UNITS
+from logweave.llm.quality_rules import RULES
 from logweave.llm.queries import URL_RULES
 from logweave.llm.url_filters import Pattern
 
@@ -129,6 +130,98 @@ SELECT d.doc_id, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_filter
 FROM d LEFT JOIN g USING (r)
 """
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH t AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS crcs FROM range(256) t(n)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+dw AS (SELECT r, unnest(words) AS f FROM d),
+bw AS (SELECT unnest({_WORDS}) AS f FROM benchmark),
+x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM dw UNION SELECT f FROM bw)),
+u AS (
+  SELECT f, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)]))) % 10000 AS bucket
+  FROM x CROSS JOIN t),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN u USING (f) GROUP BY bucket),
+b AS (SELECT bucket, count(*) AS t FROM bw JOIN u USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)
+                                 / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)))) AS gain
+  FROM s LEFT JOIN b USING (bucket)),
+w AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM dw JOIN u USING (f) JOIN g USING (bucket) GROUP BY r),
+sc AS (
+  SELECT doc_id, len(words) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n >= 20) OVER () AS every FROM sc)
+SELECT doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN n >= 20 AND place <= every * 10 // 100 THEN place END AS rank FROM k
+"""
+
+
+def _assigned(name: str, books: str) -> str:
+    """Of every part: 64 times its squared distance to the nearest entry plus that entry's index."""
+    return f"""{name} AS (
+  SELECT r, p, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 64 + i) AS m
+  FROM pts JOIN {books} USING (p) GROUP BY r, p)"""
+
+
+def _moved(name: str, books: str, assigned: str) -> str:
+    return f"""{name} AS (
+  SELECT p, i, coalesce(mean, c) AS c FROM {books} LEFT JOIN (
+    SELECT p, i, list(floor(total / n) ORDER BY j) AS mean FROM (
+      SELECT p, m % 64 AS i, j, sum(x[j]) AS total, count(*) AS n
+      FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM {assigned} JOIN pts USING (r, p)) GROUP BY ALL) GROUP BY p, i) USING (p, i))"""
+
+
+OP12 = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, e) AS r, vec_id, label, e, len(e) // 16 AS width FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)),
+pts AS (SELECT r, p, e[p * width + 1:(p + 1) * width] AS x FROM v, range(16) t(p)),
+b0 AS (SELECT p, r - 1 AS i, x AS c FROM pts WHERE r <= 64),
+{_assigned('a1', 'b0')}, {_moved('b1', 'b0', 'a1')}, {_assigned('a2', 'b1')}, {_moved('b2', 'b1', 'a2')}, {_assigned('a3', 'b2')},
+f AS (SELECT r, lower(string_agg(printf('%02x', (m % 64)::INTEGER), '' ORDER BY p)) AS code, sum(m // 64)::BIGINT AS error FROM a3 GROUP BY r),
+h AS (SELECT sha256(string_agg(c[j]::BIGINT::VARCHAR, ',' ORDER BY p, i, j)) AS digest FROM (SELECT *, unnest(range(1, len(c) + 1)) AS j FROM b2))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM f JOIN v USING (r) CROSS JOIN h
+"""
+
+_RISK, _ERROR = .02 / len(RULES), .05 / len(RULES)
+_GRID = ", ".join(f"('{r.name}', {c})" for r in RULES for c in r.cutoffs)
+_RATIOS = ", ".join(f"({r.part}::DOUBLE / nullif({r.whole}, 0)) AS {r.name}" for r in RULES)
+_RATIO_OF = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {r.name}" for r in RULES) + " END"
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT r, doc_id, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, regexp_replace(text, '[^#*$%&|<>]', '', 'g') AS symbols,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+n AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM (SELECT *, unnest(range(1, len(words) - 1)) AS i FROM w)),
+m AS (SELECT r, i FROM n QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+o AS (SELECT r, count(DISTINCT i + o) AS n FROM m, range(3) t(o) GROUP BY r),
+s AS (
+  SELECT doc_id, lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(symbols)::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(o.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
+  FROM w LEFT JOIN o USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_RATIOS} FROM s),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+h AS (SELECT * FROM f SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+g(rule, cutoff) AS (VALUES {_GRID}),
+c AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE {_RATIO_OF} > cutoff) AS k FROM h CROSS JOIN g GROUP BY ALL),
+p AS (
+  SELECT lang, rule, min(cutoff) AS cutoff FROM c
+  WHERE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+                                                            + i * ln({_RISK}) + (n - i) * ln(1 - {_RISK})))) <= {_ERROR} / (SELECT count(DISTINCT coalesce('=' || lang, '')) FROM h)
+  GROUP BY lang, rule),
+z AS (SELECT lang, {', '.join(f"min(cutoff) FILTER (WHERE rule = '{r.name}') AS c_{r.name}" for r in RULES)} FROM p GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({' OR '.join(f"coalesce({r.name} > c_{r.name}, false)" for r in RULES)}) AS kept
+FROM f LEFT JOIN z ON f.lang IS NOT DISTINCT FROM z.lang
+"""
+
 ORACLES: dict[str, str] = {
     "op5_chat_format": OP5, "op7_url_filters": OP7, "op8_decontamination": OP8, "op9_topk_search": OP9, "op10_line_dedup": OP10,
+    "op11_importance_sampling": OP11, "op12_ball_codes": OP12, "op13_quality_rules": OP13,
 }

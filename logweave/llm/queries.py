@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import (chat_format, decontamination, language_ppm, line_dedup, mixing, quality_fm, simhash_dedup, token_counts,
-                          topk_search, url_filters)
+from logweave.llm import (ball_codes, chat_format, decontamination, importance_sampling, language_ppm, line_dedup, mixing, quality_fm,
+                          quality_rules, simhash_dedup, token_counts, topk_search, url_filters)
 from logweave.llm.common import crc_slice, table
 
 
@@ -81,6 +81,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "windows", "share")
 
 
+def op11_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20,
+                                         longest=1, buckets=10000, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.digests(*ball_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, size=64, rounds=2, scale=256.0))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "lang", quality_rules.RULES,
+                                 risk=.02, error=.05)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_fm, op2_token_counts, op3_mixing, op4_language_ppm, op5_chat_format, op6_simhash_dedup,
-    op7_url_filters, op8_decontamination, op9_topk_search, op10_line_dedup)}
+    op7_url_filters, op8_decontamination, op9_topk_search, op10_line_dedup, op11_importance_sampling, op12_ball_codes, op13_quality_rules)}
