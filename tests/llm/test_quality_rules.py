@@ -1,0 +1,124 @@
+"""Operator 13: statistics, exact tails and cutoffs against plain Python."""
+import math
+import random
+import re
+from collections import Counter
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from logweave.llm import quality_rules as R
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_statistics(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen, dup = set(), 0
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    windows = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    often = Counter(windows)
+    covered = {i + o for i, x in enumerate(windows) if often[x] > 1 for o in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(lines)
+
+
+def some_text(rng):
+    return "".join(rng.choice(["tin", "oil ", "oil tin ore ", " ", "\n", "\n\n", "\t", "\x0b", " ", "Öl# ", "日本 ", "<b>", "a\r\n", "%"])
+                   for _ in range(rng.randrange(50)))
+
+
+def test_statistics(spark):
+    rng = random.Random(2)
+    texts = [None, "", " \n\t", "a", "a b", "a b c", "a a a a", "a b c a b c", "a b c x a b c", "x\nx\n\n x\nx", *(some_text(rng) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: tuple(r[c] for c in R.STATISTICS) for r in R.statistics(docs, "i").collect()}
+    assert got == {i: plain_statistics(t) for i, t in enumerate(texts)}
+
+
+def test_a_long_text_is_counted_whole(spark):
+    docs = spark.createDataFrame([(1, "one two three " + " ".join(f"w{i}" for i in range(300_000)) + " one two three")], "i int, text string")
+    assert tuple(R.statistics(docs, "i").first())[1:] == plain_statistics(docs.first()["text"])
+
+
+def tail(n, k, share):
+    p = Fraction(str(share))
+    return sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_binomial_tail_is_exact(spark):
+    cases = [(n, k, s) for n in (1, 7, 250, 900) for k in (0, 1, 2, 5) for s in (.004, .05, .3) if k < n * s]
+    for s in {c[2] for c in cases}:
+        own = [c for c in cases if c[2] == s]
+        df = spark.createDataFrame([(n, k) for n, k, _ in own], "n long, k long")
+        for row in df.withColumn("p", R.binomial_tail(F.col("n"), F.col("k"), s)).collect():
+            assert row["p"] == pytest.approx(float(tail(row["n"], row["k"], s)), rel=1e-9)
+    assert spark.range(1).select(R.binomial_tail(F.lit(100), F.lit(40), .3)).first()[0] == 1.0
+
+
+RULES = (R.Rule("symbols", "n_symbols", "word_chars", (.05, .1, .2)), R.Rule("long", "word_chars", "n_words", (4.5, 5.5, 8.0)))
+
+
+def plain_kept(rows, labels, risk, error):
+    good = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            good[d] = min(q, good.get(d, q))
+    facts = []
+    for doc_id, lang, text in rows:
+        s = dict(zip(R.STATISTICS, plain_statistics(text)))
+        failed = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+        facts.append((doc_id, lang, s, failed))
+    ratio = lambda r, s: s[r.part] / s[r.whole] if s[r.whole] else -1.0
+    holdout = [(lang, s) for d, lang, s, failed in facts if not failed and good.get(d) == 1]
+    strata = {lang for lang, _ in holdout}
+    cut = {}
+    for lang in strata:
+        own = [s for x, s in holdout if x == lang]
+        for r in RULES:
+            passed = [c for c in r.cutoffs
+                      if tail(len(own), sum(ratio(r, s) > c for s in own), risk / len(RULES)) <= error / (len(strata) * len(RULES))]
+            cut[lang, r.name] = min(passed, default=None)
+    kept = sorted(((d, lang, not failed and not any(cut.get((lang, r.name)) is not None and ratio(r, s) > cut[lang, r.name] for r in RULES))
+                   for d, lang, s, failed in facts), key=repr)
+    return kept, cut
+
+
+def test_cutoffs_and_verdicts(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        lang = rng.choice(["en", "en", "fr", None])
+        bad = rng.random() < .2
+        w = [("x#" if bad and rng.random() < .8 else "") + f"w{rng.randrange(900)}" + ("longer" if i % 97 == 0 else "") for _ in range(rng.choice([9, 60, 80]))]
+        rows.append((i, lang, " ".join(w)))
+        if rng.random() < .9:
+            labels.append((i, int(not bad)))
+    rows += [(500, "en", None), (501, "xx", ""), (None, "en", "tin " * 60), rows[0], rows[0]]
+    labels += [(0, 0), (None, 1), (3, None), (999, 1)]
+    docs = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, lang string, text string, kept int, symbols double").repartition(4)
+    marks = spark.createDataFrame([(*x, "t") for x in labels], "doc_id long, quality int, lang string")
+    for risk, error in ((.3, .4), (.9, .9), (.01, .01)):
+        want, cut = plain_kept(rows, labels, risk, error)
+        got = R.judge(docs, marks, "lang", RULES, risk, error)
+        assert sorted(((r["doc_id"], r["stratum"], r["kept"]) for r in got.collect()), key=repr) == want
+    assert set(cut.values()) == {None}  # no certainty, no rejection
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "en", "tin ore " * 3 + " ".join(f"w{i}" for i in range(60)))], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert R.judge(docs.limit(0), labels).count() == 0
+    (row,) = R.judge(docs, labels.limit(0)).collect()
+    assert row["kept"] and not row["base_failed"] and row["rejected_by"] == []
+
+
+def test_native(spark):
+    docs = spark.createDataFrame([(1, "en", "a")], "doc_id long, lang string, text string")
+    plan = R.statistics(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert plan.count("xxhash64") == 1  # no step is put into another one's lambda
