@@ -14,11 +14,12 @@ over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.ordered import chunked_running
 from logweave.functions.text import sql_py_strip, sql_str, sql_timestamp_ms
+from logweave.operators.assemble import BLANK, HEADER, MORE, PIECES, STACK, split_pieces, split_table, stitched
 from logweave.operators.formats import (ENTRY_FIELDS, LogFormat, format_catalog,
                                         layout_to_regex)
 from logweave.sources.paths import listed_path
@@ -344,53 +345,64 @@ def one_format_per_file(file_formats: DataFrame) -> DataFrame:
 def parse_files(spark, paths, layout: str | None = None, recursive: bool = False,
                 glob: str | None = None, file_formats: DataFrame | None = None,
                 formats: list[LogFormat] | None = None) -> DataFrame:
-    """Text files -> entries with two passes over the text.
-
-    The chunks are the reader's splits (``_metadata.file_block_start``) and
-    the order inside a split is ``monotonically_increasing_id()``.
-    Pass 1 (one aggregation per split, header regexes only): line count,
-    first id and last header id; a window over the one-row-per-split table
-    gives the lines before each split and the line of the last header of the
-    earlier splits.  Pass 2: the running last-header id inside each split
-    (a window bounded by the split size), joined to that table, gives line
-    numbers and the entry of every line; then the same entry aggregation as
-    ``parse_entries``.  Same result as ``parse_entries(read_lines(...))``.
+    """Text files -> entries, reading the text once.
+
+    Lines are classified and assembled into entries inside the reader's
+    splits (``operators.assemble``), stored below ``spark.checkpoint.dir``
+    (eager), and numbered by the lines of the splits before theirs; only the
+    edges of the splits are shuffled.  Same result as
+    ``parse_entries(read_lines(...))``.
 
     ``file_formats(file_path, format_id)`` chooses a format per file (S5;
     built-ins or ``formats``, unknown or null ids parse automatically); a file
-    listed twice takes the smallest id.  The line ids are fixed in the scan,
-    so any join that Spark picks by the table's size gives the same result.
+    listed twice takes the smallest id.
     """
     from logweave.sources.lines import _scan
 
-    scan = _scan(spark, paths, recursive, glob)
-    if file_formats is None:
-        return parse_scanned(scan, layout)
-    return parse_scanned(scan.join(one_format_per_file(file_formats), "file_path", "left"), layout, "_format_id", formats)
+    return parse_scanned(_scan(spark, paths, recursive, glob), layout, file_formats, formats)
 
 
-def parse_scanned(scan: DataFrame, layout: str | None = None, format_col: str | None = None,
+def parse_scanned(scan: DataFrame, layout: str | None = None, file_formats: DataFrame | None = None,
                   formats: list[LogFormat] | None = None) -> DataFrame:
     """``parse_files`` on a scan ``(file_path, _block, _id, value)`` taken
     straight from a text source (ids from ``monotonically_increasing_id()``
     before any shuffle)."""
-    plan = _HeaderPlan(layout, format_col, formats)
-    x = _classify(scan, plan)
-    blocks = x.groupBy("file_path", "_block").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"),
-        F.max(F.when(F.col("is_header"), F.col("_id"))).alias("_last_h"))
-    w = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-              .withColumn("_carry", F.max(F.col("_before") + F.col("_last_h") - F.col("_first") + 1).over(w))
-              .select("file_path", "_block", "_first", "_before", "_carry"))
-    w_in = (Window.partitionBy("file_path", "_block").orderBy("_id")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    y = (x.withColumn("_in_h", F.max(F.when(F.col("is_header"), F.col("_id"))).over(w_in))
-         .join(blocks, ["file_path", "_block"])
-         .selectExpr("file_path", "_before + _id - _first + 1 AS line_number", "value", "kind", "_hk AS _hdr",
-                     "coalesce(_before + _in_h - _first + 1, _carry) AS entry_line")
-         .where("entry_line IS NOT NULL AND kind IS NOT NULL"))
-    return _entries_from(y, lambda e: plan.add_header(e, "h.raw", "h.hdr", "hd"))
+    from logweave.sources.sinks import materialize
+
+    if file_formats is not None:
+        scan = _with_formats(scan, file_formats)
+    plan = _HeaderPlan(layout, None if file_formats is None else "_format_id", formats)
+    kind = (f"CAST(CASE WHEN _hk IS NOT NULL THEN {HEADER} WHEN value RLIKE {sql_str(STACK_RE)} THEN {STACK} "
+            f"WHEN {sql_py_strip('value')} <> '' THEN {MORE} ELSE {BLANK} END AS TINYINT)")
+    lines = scan.selectExpr("*", f"CAST({plan.hk} AS INT) AS _hk").selectExpr("file_path", "_block", "_id", "_hk", f"{kind} AS _kind", "value")
+    pieces = plan.add_header(lines.mapInArrow(split_pieces, PIECES), "raw", "_hk", "hd").drop("_hk")
+    pieces = materialize(pieces, "entry-pieces", partition_by=["_whole"])
+    edges = pieces.where("NOT _whole")
+    splits = materialize(split_table(edges), "splits")
+    # One row per split: Spark broadcasts it by its stored size, and the whole entries stay where they are.
+    whole = pieces.where("_whole").join(splits, ["file_path", "_block"]).selectExpr(
+        "file_path", "_before + _at + 1 AS line_number", "raw", "hd", "more", "stack")
+    return whole.unionByName(stitched(edges, splits)).selectExpr(
+        "file_path", "line_number", "raw", "hd.timestamp AS timestamp", f"{sql_timestamp_ms('hd.timestamp')} AS timestamp_ms",
+        "hd.level AS level", "hd.logger AS logger", "substring_index(hd.logger, '.', -1) AS logger_short",
+        "concat_ws('\\n', hd.message, more) AS message", "hd.thread AS thread", "hd.tenant_domain AS tenant_domain",
+        "hd.tid AS tid", "hd.app_name AS app_name", "hd.correlation_id AS correlation_id",
+        "CASE WHEN size(stack) > 0 THEN stack END AS stack_trace", "size(stack) > 0 AS has_stack_trace")
+
+
+#: Files whose formats go to every task at most; the rows are paths and format ids.
+BROADCAST_FILES = 100_000
+
+
+def _with_formats(scan: DataFrame, file_formats: DataFrame) -> DataFrame:
+    """``_format_id`` beside each line, the lines of a split still together and in order."""
+    from logweave.sources.sinks import materialize
+
+    chosen = materialize(one_format_per_file(file_formats), "file-formats")
+    if chosen.count() <= BROADCAST_FILES:
+        return scan.join(F.broadcast(chosen), "file_path", "left")
+    return (scan.join(chosen, "file_path", "left").repartition("file_path", "_block")
+            .sortWithinPartitions("file_path", "_block", "_id"))
 
 
 # ----------------------------------------------------------------- P4 detection

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pyspark.errors import AnalysisException
 
-from logweave.operators.parse import one_format_per_file, parse_scanned
+from logweave.operators.parse import parse_scanned
 from logweave.sources.files import LOG_SUFFIX_RE
 from logweave.sources.paths import scanned_path
 from logweave.sources.sinks import write_entries
@@ -71,11 +71,7 @@ def ingest_new_files(spark: SparkSession, folder: str, out_path: str, checkpoint
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         scan = batch.select("file_path", "_block", F.monotonically_increasing_id().alias("_id"), "value")
-        if file_formats is not None:
-            ff = one_format_per_file(file_formats)
-            entries = parse_scanned(scan.join(ff, "file_path", "left"), layout, "_format_id", formats)
-        else:
-            entries = parse_scanned(scan, layout=layout)
+        entries = parse_scanned(scan, layout, file_formats, formats)
         own = f"{_checkpoint_id(spark, checkpoint)}-{batch_id}"
         write_entries(entries.withColumn("batch_id", F.lit(own)), out_path, mode="overwrite",
                       extra_partitions=("batch_id",), replace_partitions=True)
