@@ -1,8 +1,11 @@
 """F1-F9, L1-L5, A1-A6 on rendered events (sf0.001) and invariants from the
 reference's API tests."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.functions import packed as P
 from logweave.operators import aggregates as A
 from logweave.operators import filters as FL
 from logweave.operators.search import search_entries, search_text, search_total
@@ -156,3 +159,37 @@ def test_repeat_runs_equal_and_line_numbers_unique(spark, entries):
     assert sorted(tuple(r) for r in again.select(*cols).collect()) == \
         sorted(tuple(r) for r in entries.select(*cols).collect())
     assert entries.select("file_path", "line_number").distinct().count() == entries.count()
+
+
+def test_packed_timestamps_come_back(spark):
+    texts = ["2031-07-04 23:59:59,007", "2031-07-04T00:00:00.5", "0000-00-00 00:00:00", "9999-99-99 99:99:99,12345678901234567"]
+    odd = ["", "x", "2031-07-04 23:59:59,", "2031-07-04 23:59:59,123456789012345678", "2031-07-04  3:59:59", "２031-07-04 23:59:59", "2031-07-04 23:59:59,1 "]
+    df = spark.createDataFrame([(t,) for t in [*texts, *odd, None]], "ts string")
+    rows = df.withColumn("t", P.pack_time("ts")).withColumn("f", P.pack_fraction("ts")).select(
+        "ts", "t", P.unpack("t", "f").alias("back"), P.odd("ts").alias("odd")).collect()
+    for r in rows:
+        assert (r.back, r.odd) == ((r.ts, None) if r.ts in texts else (None, r.ts))
+
+
+@pytest.mark.parametrize("per_file", [True, False])
+def test_first_and_last_of_any_timestamps(spark, per_file):
+    """Null, empty and odd timestamps mixed with packed ones, against plain Python."""
+    rng = random.Random(per_file)
+    stamps = [None, "", "later", "2031-07-04 23:59:59,1", "2031-07-04T23:59:59", "1999-01-01 00:00:00.000000000000000000001"]
+    rows = [(f"f{rng.randrange(3)}", n, rng.choice(stamps), rng.choice(["INFO", "ERROR"]), rng.random() < .3) for n in range(300)]
+    df = spark.createDataFrame(rows, "file_path string, line_number long, timestamp string, level string, has_stack_trace boolean").repartition(5)
+    got = {((r.file_path,) if per_file else ()) + (r.key,): (r["count"], r.first_seen, r.last_seen, r.error_count)
+           for r in A.group_entries(df, "level", per_file).collect()}
+    want = {}
+    for f, n, ts, level, _ in sorted(rows):
+        key = ((f,) if per_file else ()) + (level,)
+        count, first, _, errors = want.get(key, (0, ts, ts, 0))
+        want[key] = (count + 1, first, ts, errors + (level == "ERROR"))
+    assert got == want
+    if per_file:
+        for r in A.summary(df).collect():
+            own = sorted((n, ts, level, st) for f, n, ts, level, st in rows if f == r.file_path)
+            dated = [ts for _, ts, _, _ in own if ts]
+            assert (r.total_entries, r.first_timestamp, r.last_timestamp, r.has_stack_traces) == (
+                len(own), dated[0], dated[-1], sum(st for *_, st in own))
+            assert r.level_counts == {lv: sum(x[2] == lv for x in own) for lv in {x[2] for x in own}}

@@ -70,3 +70,33 @@ def test_header_queries_shuffle_no_text(spark, name):
             names = [n.output().apply(i).name() for i in range(n.output().size())]
             assert "value" not in names and "raw" not in names, (name, names)
     assert wide
+
+
+def _nodes(df):
+    def walk(n):
+        yield n
+        kids = n.children()
+        for i in range(kids.size()):
+            yield from walk(kids.apply(i))
+        if "AdaptiveSparkPlan" in n.nodeName():
+            yield from walk(n.executedPlan())
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("name", ["summary", "group_all", "group_level", "group_over_files", "file_metadata"])
+def test_order_statistics_are_hash_aggregates(spark, name):
+    """First and last texts never sort the rows: what reads entries or lines is a hash aggregate of numbers."""
+    from logweave.operators import aggregates as A
+    from logweave.sources.files import file_metadata
+    entries = spark.createDataFrame([], "file_path string, line_number long, timestamp string, level string, logger string, "
+                                        "logger_short string, tenant_domain string, correlation_id string, has_stack_trace boolean")
+    lines = spark.createDataFrame([], "file_path string, line_number long, value string")
+    df = {"summary": lambda: A.summary(entries), "group_all": lambda: A.group_entries_multi(entries), "group_level": lambda: A.group_entries(entries, "level"),
+          "group_over_files": lambda: A.group_entries(entries, "level", per_file=False), "file_metadata": lambda: file_metadata(lines)}[name]()
+
+    def reads_rows(n):
+        """No aggregate between this node and the rows."""
+        kids = n.children()
+        return all(kids.apply(i).nodeName() != "HashAggregate" and reads_rows(kids.apply(i)) for i in range(kids.size()))
+    first = [n for n in _nodes(df) if "Aggregate" in n.nodeName() and reads_rows(n)]
+    assert first and {n.nodeName() for n in first} == {"HashAggregate"}
