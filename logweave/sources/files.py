@@ -1,19 +1,17 @@
 """Log file catalogue operators.
 
-``discover_logs`` lists a folder with the ``binaryFile`` source while
-selecting only ``path``/``length``/``modificationTime`` (the content column is
-pruned, so no file is read).  ``file_metadata`` reads the ``lines`` table once
+``discover_logs`` lists a folder on the executors; no file is read and the
+driver holds no list.  ``file_metadata`` reads the ``lines`` table once
 with one aggregation per file.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.sources.paths import listed_path, scanned_path
+from logweave.functions.packed import odd, pack_time, unpack
+from logweave.sources.listing import list_files
 
 # Log file suffixes, the metadata timestamp shape and the
 # window sizes, and the file-type rules (first hit wins).
@@ -53,17 +51,11 @@ def discover_logs(spark: SparkSession, folder: str, registered: DataFrame | None
     ``folder``, sorted by path, minus the paths already in ``registered``
     (a DataFrame with a ``file_path`` column).
 
-    Returns ``(file_path, filename, file_type, size_bytes, modified)``.  A file
-    without content gives the reader no split; it is taken from the reader's
-    own list of files, with size 0 and no modification time.
+    Returns ``(file_path, filename, file_type, size_bytes, modified)``.  The
+    folders are listed by the executors (``sources.listing``, eager); files
+    without content are listed, too.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    listing = files.select(listed_path("path").alias("file_path"), F.col("length").alias("size_bytes"),
-                           F.col("modificationTime").alias("modified"))
-    named = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(files.inputFiles())), "array<string>")).alias("p"))
-    empty = named.select(scanned_path("p").alias("file_path")).join(listing, "file_path", "left_anti").select(
-        "file_path", F.lit(0).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified"))
-    found = listing.unionByName(empty).where(F.col("file_path").rlike(LOG_SUFFIX_RE))
+    found = list_files(spark, folder).where(F.col("file_path").rlike(LOG_SUFFIX_RE))
     if registered is not None:
         found = skip_registered(found, registered)
     return (found.select("file_path", file_name("file_path").alias("filename"),
@@ -82,22 +74,27 @@ def file_metadata(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     ``yyyy-MM-dd HH:mm:ss`` in the first 10 lines), ``last_timestamp``
     (searching the last 10 lines from the end) and ``size_bytes``.
 
-    One aggregation: the last match of the whole file is kept and dropped
-    afterwards when it lies before the last 10 lines.  ``size_bytes`` comes
+    One hash aggregation over packed timestamps: the last match of the whole
+    file is kept and dropped afterwards when it lies before the last 10 lines.  ``size_bytes`` comes
     from ``sizes`` (``file_path``, ``size_bytes``, e.g. the listing) when given,
     else it is the UTF-8 size of the lines plus one newline each.
     """
-    value = F.col("value")
     ln = F.col("line_number")
-    hit = value.rlike(META_TS_RE)
-    ts = F.regexp_extract(value, META_TS_RE, 0)
-    agg = lines.groupBy("file_path").agg(
-        F.max(ln).alias("line_count"),
-        F.min_by(ts, F.when(hit & (ln <= META_HEAD_LINES), ln)).alias("first_timestamp"),
-        F.max(F.when(hit, F.struct(ln.alias("ln"), ts.alias("ts")))).alias("_last"),
-        (F.sum(F.octet_length(value)) + F.count(F.lit(1))).alias("_bytes"),
-    )
-    last = F.when(F.col("_last.ln") > F.col("line_count") - META_TAIL_LINES, F.col("_last.ts"))
+    rows = (lines.select("file_path", ln, F.octet_length("value").alias("_bytes"),
+                         F.when(F.col("value").rlike(META_TS_RE), F.regexp_extract("value", META_TS_RE, 0)).alias("_ts"))
+            .withColumn("_head", F.when(F.col("_ts").isNotNull() & (ln <= META_HEAD_LINES), ln))
+            .withColumn("_hit", F.when(F.col("_ts").isNotNull(), ln))
+            .withColumn("_odd", odd("_ts")).withColumn("_t", pack_time("_ts")))
+    # A match that cannot be packed (digits of other scripts) is a group of its own; the few rows of a file are added up.
+    parts = rows.groupBy("file_path", "_odd").agg(
+        F.max("line_number").alias("line_count"), F.min("_head").alias("_first_at"), F.min_by("_t", "_head").alias("_first"),
+        F.max("_hit").alias("_last_at"), F.max_by("_t", "_hit").alias("_last"),
+        (F.sum("_bytes") + F.count(F.lit(1))).alias("_bytes"))
+    text = lambda t: F.coalesce("_odd", unpack(t, "1"))
+    agg = parts.groupBy("file_path").agg(
+        F.max("line_count").alias("line_count"), F.min_by(text("_first"), "_first_at").alias("first_timestamp"),
+        F.max_by(text("_last"), "_last_at").alias("_last"), F.max("_last_at").alias("_last_at"), F.sum("_bytes").alias("_bytes"))
+    last = F.when(F.col("_last_at") > F.col("line_count") - META_TAIL_LINES, F.col("_last"))
     out = agg.select("file_path", file_name("file_path").alias("filename"),
                      classify_file(file_name("file_path")).alias("file_type"),
                      "_bytes", "line_count", "first_timestamp", last.alias("last_timestamp"))
