@@ -1,8 +1,8 @@
 """Jar artifacts and versions.
 
 Look-ups are equi-joins on generated keys, never theta joins: every prefix
-(J7 step 2) or every substring of the lengths that occur among artifact ids
-(J7 step 3) of each *distinct* package is generated and joined on equality.
+(J7 step 2) or every gram (J7 step 3, artifact ids filed under their rarest
+gram) of each *distinct* package is generated and joined on equality.
 """
 
 from __future__ import annotations
@@ -40,13 +40,35 @@ def artifact_versions(artifacts: DataFrame) -> DataFrame:
             .select("artifact_id", F.col("a.version").alias("version"), F.col("a.path").alias("path")))
 
 
-def _substrings(s: Column, lo: int, hi: int) -> Column:
-    """Distinct substrings of ``s`` with length in ``[lo, hi]``."""
-    n = F.length(s)
-    top = F.least(n, F.lit(hi))
-    lens = F.when(top >= lo, F.sequence(F.lit(lo), top)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(
-        lens, lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda i: F.substring(s, i, ln)))))
+#: Length of the grams that ids are found by.
+GRAM = 5
+
+
+def _grams(s: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``s`` of each of ``lengths``."""
+    def of(n: Column) -> Column:
+        return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
+                      ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(lengths, of)))
+
+
+def contained_ids(packages: DataFrame, ids: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(package, artifact_id, ...) of every pair whose lower-cased id is part of the lower-cased package, for distinct
+    ``packages(package)`` and ``ids(artifact_id, ...)``.
+
+    An id is found by one of its grams (of ``gram`` characters, or itself if it is shorter): that which the fewest
+    packages hold.  A package emits its grams, a number in proportion to its length, fetches the ids that are filed under
+    them and looks for those whole.  Ids with a gram that no package holds are not filed at all."""
+    low = packages.select("package", F.lower("package").alias("_low"))
+    held = low.select("package", "_low", F.explode(_grams(F.col("_low"), F.sequence(F.lit(1), F.lit(gram)))).alias("_gram"))
+    frequency = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.array(F.least(F.length("_id"), F.lit(gram)))
+    filed = (ids.withColumn("_id", F.lower("artifact_id")).where("_id <> ''").withColumn("_own", _grams(F.col("_id"), own))
+             .select("*", F.size("_own").alias("_size"), F.explode("_own").alias("_gram")).drop("_own"))
+    columns = [*ids.columns, "_id", "_size"]
+    rarest = (filed.join(frequency, "_gram").groupBy(*columns).agg(F.min(F.struct("_n", "_gram")).alias("_r"), F.count(F.lit(1)).alias("_found"))
+              .where("_found = _size").select(*ids.columns, "_id", F.col("_r._gram").alias("_gram")))
+    return held.join(rarest, "_gram").where(F.col("_low").contains(F.col("_id"))).select("package", *ids.columns)
 
 
 def resolve_artifact_version(packages: DataFrame, overrides: DataFrame, jar_map: DataFrame,
@@ -66,22 +88,10 @@ def resolve_artifact_version(packages: DataFrame, overrides: DataFrame, jar_map:
              .join(jm, "artifact_id")
              .select("package", F.col("artifact_id").alias("a2"), F.col("version").alias("v2")))
 
-    # substring lengths that can hit: the lengths of the artifact ids (2 numbers)
-    bounds = jm.select(F.min(F.length(F.lower("artifact_id"))).alias("lo"),
-                       F.max(F.length(F.lower("artifact_id"))).alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
-        step3 = pk.select("package", F.lit(None).cast("string").alias("a3"),
-                          F.lit(None).cast("string").alias("v3")).limit(0)
-    else:
-        lo, hi = max(1, int(bounds["lo"])), int(bounds["hi"])
-        jl = jm.select(F.lower("artifact_id").alias("_sub"), "artifact_id", "version")
-        subs = pk.select("package", F.explode(_substrings(F.lower("package"), lo, hi)).alias("_sub"))
-        step3 = (subs.join(jl, "_sub")
-                 .groupBy("package")
-                 .agg(F.min_by(F.struct("artifact_id", "version"),
-                               F.struct(-F.length("artifact_id"), F.col("artifact_id")))
-                      .alias("b"))
-                 .select("package", F.col("b.artifact_id").alias("a3"), F.col("b.version").alias("v3")))
+    step3 = (contained_ids(pk.join(step2, "package", "left_anti"), jm)
+             .groupBy("package")
+             .agg(F.min_by(F.struct("artifact_id", "version"), F.struct(-F.length("artifact_id"), F.col("artifact_id"))).alias("b"))
+             .select("package", F.col("b.artifact_id").alias("a3"), F.col("b.version").alias("v3")))
     out = pk.join(step2, "package", "left").join(step3, "package", "left")
     return out.select(
         "package",
