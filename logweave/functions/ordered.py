@@ -58,3 +58,19 @@ def chunked_running(df: DataFrame, keys: list[str], chunk: str, order: str, valu
     else:
         res = F.greatest(F.col(CARRY), F.col(IN_CHUNK))
     return joined.withColumn(out, res).drop(CARRY, IN_CHUNK)
+
+
+def running_total(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
+    """Add ``out`` = the sum of ``value`` over the rows before this one in ``order`` (a list of columns that orders all rows),
+    over the whole table: ranges of the order are sorted, and a range's rows come after the totals of the ranges before it.
+
+    Eager: the sorted ranges are stored first.  The only window over several ranges has one row per range."""
+    from logweave.sources.sinks import materialize
+
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranges.groupBy("_range").agg(F.sum(value).alias("_total"))
+    before = totals.select("_range", F.coalesce(F.sum("_total").over(
+        Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranges.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(before, "_range")
+            .withColumn(out, F.col("_inside") + F.col("_earlier")).drop("_range", "_inside", "_earlier"))

@@ -43,22 +43,36 @@ def read_sources(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame
     return out
 
 
+def _json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of the JSON objects at ``path``: one file, or a folder of files of one object each (a map that grows is
+    written as many bounded objects, e.g. one per hash bucket).  Of a key in several objects the first file by path counts;
+    ``_comment`` is no key."""
+    raw = spark.read.text(path, wholetext=True).select(scanned_path().alias("_file"), "value")
+    pairs = raw.select("_file", F.explode(F.from_json("value", "map<string,string>")).alias("_k", "_v"))
+    return (pairs.where(F.col("_k") != "_comment").groupBy(F.col("_k").alias("key"))
+            .agg(F.min_by("_v", "_file").alias("value")))
+
+
 def load_map_json(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """A JSON object ``{key: "value", ...}`` as rows; ``_comment`` skipped."""
-    raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
-    return m.where(F.col(key) != "_comment")
+    """JSON objects ``{key: "value", ...}`` as rows."""
+    return _json_objects(spark, path).select(F.col("key").alias(key), F.col("value").alias(value))
 
 
 def load_features_json(spark: SparkSession, path: str) -> DataFrame:
-    """``{keyword: [repo, ...]}`` as ``features(keyword, repos)``."""
-    raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("keyword", "_v"))
-    return (m.where(F.col("keyword") != "_comment")
-            .select("keyword", F.from_json("_v", "array<string>").alias("repos"))
+    """JSON objects ``{keyword: [repo, ...]}`` as ``features(keyword, repos)``."""
+    return (_json_objects(spark, path).select(F.col("key").alias("keyword"), F.from_json("value", "array<string>").alias("repos"))
             .where(F.col("repos").isNotNull()))
 
 
+def json_objects(pairs: DataFrame, keys_each: int = 1000) -> DataFrame:
+    """``pairs(key, value)`` (distinct keys) as files for ``sources.named``: (path, text), JSON objects of about ``keys_each``
+    keys by hash of the key.  Eager: counts the pairs."""
+    buckets = max(1, -(-pairs.count() // keys_each))
+    grouped = pairs.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("_b")).agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("text"))
+    return grouped.select(F.concat(F.lit("part-"), F.lpad(F.col("_b").cast("string"), 8, "0"), F.lit(".json")).alias("path"), "text")
+
+
 # ----------------------------------------------------------------- C1 / A8 / A9
 
 def indexed_files(sources: DataFrame) -> DataFrame:

@@ -26,7 +26,10 @@ from logweave.sources.files import classify_file, discover_logs, log_files
 from logweave.sources.files import file_metadata as _file_metadata
 from logweave.sources.files import skip_registered as _skip_registered
 from logweave.sources.lines import read_lines
-from logweave.sources.sinks import read_entries, write_entries
+from logweave.sources.ends import detect_file_formats, file_times
+from logweave.sources.named import write_named_files
+from logweave.sources.sinks import open_index, page_at, read_entries, write_directory, write_entries, write_index
+from logweave.sources.textindex import search_stored, write_text_index
 from logweave.operators import artifacts as AR
 from logweave.operators import codeindex as CI
 from logweave.operators import frames as FR
@@ -48,6 +51,8 @@ FILTER_PAGE_LIMIT = 500
 SEARCH_QUERY, SEARCH_LEVELS, SEARCH_LIMIT = "event 4", ["ERROR", "WARN"], 100
 DOC_TEXT = 'Token = "'
 DOC_REGEX = r'token\s*=\s*"[0-9a-f]{6}'
+INDEXED_TEXT = "Signup event 4"
+JSON_KEYS = 50
 REGISTERED_MIN_VALUE = 200   # files of users with such a signup count as registered (J6)
 
 
@@ -461,13 +466,98 @@ def q_feature_repos(spark, sf_dir):
     return CI.feature_repos(feats, kw).select("keyword", F.col("repo_pos").cast("long").alias("repo_pos"), "repo")
 
 
+def _as_json(pairs) -> str:
+    """``pairs(key, value)`` as a folder of JSON objects."""
+    path = scratch_path(pairs.sparkSession, f"map-{uuid.uuid4().hex[:12]}")
+    write_named_files(CI.json_objects(pairs, JSON_KEYS), path)
+    return path
+
+
 def q_dims_from_json(spark, sf_dir):
-    """A package map derived from the parts, written as one JSON object and loaded again."""
-    path = scratch_path(spark, f"map-{uuid.uuid4().hex[:12]}")
-    pairs = _part_packages(spark, sf_dir).distinct().withColumn("repo", F.concat(F.lit("r-"), F.substring_index("package", ".", -1)))
-    whole = pairs.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("package", "repo")))).alias("value"))
-    whole.write.text(path)
-    return CI.load_map_json(spark, path, "prefix", "repo")
+    """A package map derived from the parts, written as many JSON objects and loaded again."""
+    pairs = _part_packages(spark, sf_dir).distinct().select(
+        F.col("package").alias("key"), F.concat(F.lit("r-"), F.substring_index("package", ".", -1)).alias("value"))
+    return CI.load_map_json(spark, _as_json(pairs), "prefix", "repo")
+
+
+def q_features_from_json(spark, sf_dir):
+    """The brands of each part type as keyword -> repositories, through JSON objects."""
+    p = table(spark, sf_dir, "part")
+    brands = p.groupBy(F.lower("p_type").alias("key")).agg(F.array_sort(F.collect_set("p_brand")).alias("value"))
+    return CI.feature_repos(CI.load_features_json(spark, _as_json(brands))).select(
+        "keyword", F.col("repo_pos").cast("long").alias("repo_pos"), "repo")
+
+
+def q_files_class_index(spark, sf_dir):
+    """The rendered sources as a tree of .java files (excluded folders included), read and indexed."""
+    root = scratch_path(spark, f"trees-{uuid.uuid4().hex[:12]}")
+    src = r3_sources(spark, sf_dir)
+    notes = src.select(F.concat("source_path", F.lit(".txt")).alias("path"), "text")  # not Java
+    write_named_files(src.select(F.col("source_path").alias("path"), "text").unionByName(notes), root)
+    found = CI.class_index(CI.read_sources(spark, [(f"repo-{k}", f"{root}/repo-{k}") for k in (0, 1)]))
+    return found.select("repo_label", F.col("repo_order").cast("long").alias("repo_order"), "fqcn",
+                        F.regexp_extract("source_path", "(repo-[01]/m.*)$", 1).alias("source_path"), "line_count")
+
+
+def q_stored_index(spark, sf_dir):
+    """The class index in buckets; one repository is stored with wrong rows first and indexed again, then the
+    classes of all frames are looked up in the stored index."""
+    name, src = f"class_index_{uuid.uuid4().hex[:12]}", r3_sources(spark, sf_dir)
+    path = scratch_path(spark, name)
+    index = CI.class_index(src)
+    write_index(index.withColumn("fqcn", F.when(F.col("repo_label") == "repo-1", F.concat("fqcn", F.lit("Old"))).otherwise(F.col("fqcn"))),
+                name, path)
+    write_index(index.where("repo_label = 'repo-1'"), name, path)
+    asked = r1_frames(spark, sf_dir).select("package", "class_name").distinct()
+    return CI.lookup_class(asked, open_index(spark, name, path)).select("package", "class_name", "repo_label", "source_path", "indexed_fqcn")
+
+
+def q_page_deep(spark, sf_dir):
+    """L1: a page two thirds down all entries, by the page directory."""
+    path = scratch_path(spark, f"entries-{uuid.uuid4().hex[:12]}")
+    write_entries(r1_entries(spark, sf_dir), path)
+    stored = read_entries(spark, path)
+    write_directory(stored, path + "-pages", page_lines=64)
+    pages = spark.read.parquet(path + "-pages")
+    total = pages.agg(F.sum("n")).first()[0]
+    return _entry_view(page_at(stored, pages, total * 2 // 3, PAGE_LIMIT))
+
+
+def q_search_indexed(spark, sf_dir):
+    """F6 on stored entries with a skipping index."""
+    path = scratch_path(spark, f"entries-{uuid.uuid4().hex[:12]}")
+    write_entries(r1_entries(spark, sf_dir), path, max_records_per_file=500)
+    write_text_index(spark, path, path + "-grams")
+    return _entry_view(search_stored(spark, path, path + "-grams", FL.Criteria(search=INDEXED_TEXT))[0])
+
+
+def q_files_formats_detected(spark, sf_dir):
+    """P4 from the heads of real files."""
+    return _logical(detect_file_formats(discover_logs(spark, _write_logs(spark, sf_dir))))
+
+
+def q_files_times(spark, sf_dir):
+    """S3 from the ends of real files."""
+    return _logical(file_times(discover_logs(spark, _write_logs(spark, sf_dir)))).select(
+        "file_path", "file_type", "size_bytes", "first_timestamp", "last_timestamp")
+
+
+def q_source_windows(spark, sf_dir):
+    """Sources of 40 lines, asked for at both ends, in the middle, behind the end and whole."""
+    line = F.element_at(F.array(*map(F.lit, [1, 3, 20, 38, 40, 60, None])), (F.col("p_partkey") % 7 + 1).cast("int"))
+    src = render.part_sources(table(spark, sf_dir, "part").withColumn("line", line), lines=40, keep=("line",))
+    asked = src.select("source_path", "line")
+    return RS.source_window(asked, src).select("source_path", F.col("target_line").cast("long").alias("target_line"), "total_lines",
+                                               F.col("start_line").cast("long").alias("start_line"),
+                                               F.col("end_line").cast("long").alias("end_line"), "content")
+
+
+def q_release_tags_normalised(spark, sf_dir):
+    """All four forms of a tag, the organisations in order, and the link to the tag."""
+    v = render.part_versions(table(spark, sf_dir, "part"))
+    found = AR.match_release_tags(v, v.where("tag IS NOT NULL").select("org", "repo", "tag"), render.R4_ORGS)
+    return found.select("repo", "version", "org", "tag", F.when(F.col("tag").isNotNull(), FR.github_url(
+        "org", "repo", "tag", F.lit("pom.xml"), F.lit(None).cast("int"))).alias("url"))
 
 
 def q_skip_registered(spark, sf_dir):
@@ -534,4 +624,13 @@ QUERIES = {
     "packages_of_repo": q_packages_of_repo,
     "feature_repos": q_feature_repos,
     "skip_registered": q_skip_registered,
+    "features_from_json": q_features_from_json,
+    "files_class_index": q_files_class_index,
+    "stored_index": q_stored_index,
+    "page_deep": q_page_deep,
+    "search_indexed": q_search_indexed,
+    "files_formats_detected": q_files_formats_detected,
+    "files_times": q_files_times,
+    "source_windows": q_source_windows,
+    "release_tags_normalised": q_release_tags_normalised,
 }

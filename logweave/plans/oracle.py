@@ -428,3 +428,54 @@ FROM rf"""),
 SELECT DISTINCT 'org.example.' || lower(p_type) || '.' || lower(split_part(p_name, ' ', 1)) AS prefix,
        'r-' || lower(split_part(p_name, ' ', 1)) AS repo FROM part""",
 }
+
+_VERSION = "p_size || '.' || (p_partkey % 10) || '{}wso2v' || (p_partkey % 7)"
+
+ORACLES |= {
+    "features_from_json": """
+WITH b AS (SELECT DISTINCT lower(p_type) AS keyword, p_brand AS repo FROM part)
+SELECT keyword, CAST(row_number() OVER (PARTITION BY keyword ORDER BY repo) - 1 AS BIGINT) AS repo_pos, repo FROM b""",
+    "files_class_index": ORACLES["class_index"],
+    "stored_index": _with(RESOLVED, """,
+asked AS (SELECT DISTINCT package, class_name FROM fr),
+look AS (
+  SELECT a.package, a.class_name, ci.repo_label, ci.source_path, ci.fqcn AS indexed_fqcn,
+         row_number() OVER (PARTITION BY a.package, a.class_name
+                            ORDER BY ci.repo_order, CASE WHEN ci.fqcn = a.package || '.' || a.class_name THEN 0 ELSE 1 END) AS r
+  FROM asked a JOIN ci ON ci.fqcn = a.package || '.' || a.class_name OR ci.fqcn = a.package || '.' || split_part(a.class_name, '$', 1))
+SELECT package, class_name, repo_label, source_path, indexed_fqcn FROM look WHERE r = 1"""),
+    "page_deep": _with(R1, f""",
+p AS (SELECT *, row_number() OVER (ORDER BY file_path, line_number) - 1 AS place, count(*) OVER () * 2 // 3 AS deep FROM r1)
+SELECT {ENTRY_OUT} FROM p WHERE place >= deep AND place < deep + {C.PAGE_LIMIT}"""),
+    "search_indexed": _with(R1, f"SELECT {ENTRY_OUT} FROM r1 WHERE {_contains_ci(C.INDEXED_TEXT)}"),
+    "files_formats_detected": ORACLES["detect_format"],
+    "files_times": f"""
+SELECT file_path, 'generic' AS file_type, size_bytes, first_timestamp, last_timestamp FROM ({ORACLES["files_catalogue"]})""",
+    "source_windows": """
+WITH s AS (
+  SELECT 'repo-' || ((p_partkey // 50) % 2) || '/m' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '/'
+           || CASE WHEN (p_partkey // 50) % 5 = 4 THEN 'target/' ELSE '' END || 'src/P' || (p_partkey % 50) || '.java' AS source_path,
+         CAST([1, 3, 20, 38, 40, 60, NULL][CAST(p_partkey % 7 + 1 AS INTEGER)] AS BIGINT) AS line,
+         list_concat(['package org.example.' || lower(p_type) || ';', ''],
+                     list_transform(range(3, 41), lambda i: '// part ' || p_partkey || ' line ' || i)) AS lines
+  FROM part)
+SELECT source_path, line AS target_line, CAST(40 AS BIGINT) AS total_lines,
+       CASE WHEN line IS NOT NULL THEN greatest(0, line - 11) + 1 END AS start_line,
+       CASE WHEN line IS NOT NULL THEN least(40, line + 10) END AS end_line,
+       CASE WHEN line IS NULL THEN array_to_string(lines, chr(10)) || chr(10)
+            ELSE array_to_string(lines[greatest(0, line - 11) + 1:least(40, line + 10)], chr(10)) END AS content
+FROM s""",
+    "release_tags_normalised": f"""
+WITH v AS (
+  SELECT CASE p_partkey % 3 WHEN 0 THEN 'org-a' WHEN 1 THEN 'org-b' ELSE 'org-c' END AS org, split_part(p_name, ' ', 1) AS repo,
+         {_VERSION.format('.')} AS base, {_VERSION.format('-')} AS dashed, p_partkey AS k FROM part),
+asked AS (SELECT DISTINCT repo, CASE WHEN k % 2 = 0 THEN 'v' || base ELSE base END AS version, base, dashed FROM v),
+tags AS (SELECT DISTINCT org, repo, CASE k % 5 WHEN 0 THEN 'v' || base WHEN 1 THEN base WHEN 2 THEN 'v' || dashed WHEN 3 THEN dashed END AS tag FROM v),
+hits AS (
+  SELECT a.repo, a.version, t.org, t.tag, row_number() OVER (PARTITION BY a.repo, a.version ORDER BY t.org,
+         CASE t.tag WHEN 'v' || base THEN 0 WHEN base THEN 1 WHEN 'v' || dashed THEN 2 ELSE 3 END) AS r
+  FROM asked a JOIN tags t ON t.repo = a.repo AND t.tag IN ('v' || base, base, 'v' || dashed, dashed) WHERE t.org IN ('org-a', 'org-b'))
+SELECT a.repo, a.version, h.org, h.tag,
+       'https://github.com/' || h.org || '/' || a.repo || '/blob/' || CASE WHEN starts_with(h.tag, 'v') THEN '' ELSE 'v' END || h.tag || '/pom.xml' AS url
+FROM asked a LEFT JOIN (SELECT * FROM hits WHERE r = 1) h USING (repo, version)""",
+}

@@ -6,6 +6,7 @@ R1 ``event_lines``        events -> log lines in the three auto formats
 R2 ``event_lines_layout`` events -> log lines in a user-defined layout
 R3 ``part_sources``       part   -> Java source files of two repositories
 R4 ``part_jars``          part   -> jar file names
+R5 ``part_versions``      part   -> versions and release tags
 """
 
 from __future__ import annotations
@@ -102,8 +103,8 @@ def event_lines_layout(events: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- R3 / R4
 
-def part_sources(part: DataFrame) -> DataFrame:
-    """One Java source file per part row, as whole text.
+def part_sources(part: DataFrame, lines: int = 8, keep=()) -> DataFrame:
+    """One Java source file of ``lines`` lines per part row, as whole text (and the columns ``keep``).
 
     ``source_files(repo_label, repo_path, repo_order, source_path, text)``;
     ``source_path`` starts with the repository root; ``target/`` paths are
@@ -116,11 +117,11 @@ def part_sources(part: DataFrame) -> DataFrame:
     target = F.when((k / 50).cast("long") % 5 == 4, F.lit("target/")).otherwise(F.lit(""))
     rel = F.concat(F.lit("m"), F.lpad(_s(k), 8, "0"), F.lit("/"), target, F.lit("src/"), cls, F.lit(".java"))
     pkg = F.concat(F.lit("org.example."), F.lower("p_type"))
-    body = F.concat_ws("\n", F.transform(F.sequence(F.lit(3), F.lit(8)),
+    body = F.concat_ws("\n", F.transform(F.sequence(F.lit(3), F.lit(lines)),
                                          lambda i: F.concat(F.lit("// part "), _s(k), F.lit(" line "), _s(i))))
     text = F.concat(F.lit("package "), pkg, F.lit(";\n\n"), body, F.lit("\n"))
     return part.select(label.alias("repo_label"), label.alias("repo_path"), order.alias("repo_order"),
-                       F.concat(label, F.lit("/"), rel).alias("source_path"), text.alias("text"))
+                       F.concat(label, F.lit("/"), rel).alias("source_path"), text.alias("text"), *keep)
 
 
 def _jar_path() -> Column:
@@ -144,6 +145,19 @@ def part_jar_rows(part: DataFrame) -> DataFrame:
                        F.when(k % 3 == 0, F.lit("org-a")).otherwise(F.lit("org-b")).alias("org"))
 
 
+def part_versions(part: DataFrame) -> DataFrame:
+    """``(k, org, repo, version, tag)``: versions with a patch part (some with a leading ``v``) and, for most, one
+    release tag in one of the forms that are tried."""
+    k = F.col("p_partkey")
+    base = F.concat(_s("p_size"), F.lit("."), _s(k % 10), F.lit(".wso2v"), _s(k % 7))
+    dashed = F.concat(_s("p_size"), F.lit("."), _s(k % 10), F.lit("-wso2v"), _s(k % 7))
+    tag = (F.when(k % 5 == 0, F.concat(F.lit("v"), base)).when(k % 5 == 1, base)
+           .when(k % 5 == 2, F.concat(F.lit("v"), dashed)).when(k % 5 == 3, dashed))
+    return part.select(k.alias("k"), F.when(k % 3 == 0, F.lit("org-a")).when(k % 3 == 1, F.lit("org-b")).otherwise(F.lit("org-c")).alias("org"),
+                       F.substring_index("p_name", " ", 1).alias("repo"),
+                       F.when(k % 2 == 0, F.concat(F.lit("v"), base)).otherwise(base).alias("version"), tag.alias("tag"))
+
+
 # Fixed values of the R3/R4 look-up tests (dims given by the caller).
 R4_OVERRIDES = [
     ("org.example.promo", "blue-gear"),
