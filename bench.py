@@ -60,9 +60,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app_name="logweave-bench",
                       extra={"spark.ui.showConsoleProgress": "false",
+                             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="logweave-bench-"),
                              "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="logweave-bench-"))
 
     t0 = time.time()
     tag = f"bench-{os.getpid()}"

@@ -8,7 +8,6 @@ cluster, pass your own session to every operator.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -40,19 +39,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
-
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    and the master is local (tests) a scratch folder is created and
-    registered; on a cluster a machine-local folder would not be shared by
-    the executors, so an unset setting is an error there.
-    """
+    """The shared checkpoint folder, read from ``spark.checkpoint.dir`` of the
+    session.  An unset setting is an error: a folder of one machine would not
+    be shared by the executors.  Tests and the bench name their own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        d = tempfile.mkdtemp(prefix="logweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     spark.sparkContext.setCheckpointDir(d)
     return d
 

@@ -14,10 +14,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     s = get_spark("local[4]", 4, app_name="logweave-tests",
-                  extra={"spark.ui.showConsoleProgress": "false",
+                  extra={"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="logweave-ckpt-"),
+                         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="logweave-wh-"),
                          "spark.sql.execution.arrow.pyspark.enabled": "true"})
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="logweave-ckpt-"))
     yield s
 
 

@@ -61,38 +61,38 @@ def _repo(tmp, name, files):
     return root
 
 
-FOO = "package org.acme.test;\n\npublic class Foo {\n  void bar() {\n    int x = 1;\n  }\n}\n"
+def java(package, name, lines, terminated=True):
+    """A class of ``lines`` lines, the first of which names the package (if any)."""
+    head = [f"package {package};"] if package else ["// in no package"]
+    body = [f"    // {name} {n}" for n in range(2, lines)]
+    return "\n".join([*head, *body, f"final class {name} {{}}"][:lines]) + ("\n" if terminated else "")
 
 
 def test_index_resolve_and_snippet(spark, tmp_path):
     tmp = str(tmp_path)
-    r1 = _repo(tmp, "one", {"src/org/acme/test/Foo.java": FOO,
-                            "target/gen/Bar.java": "package org.acme.test;\nclass Bar {}\n",
-                            "src/org/acme/test/Baz.java": "// no package\nclass Baz {}"})
-    r2 = _repo(tmp, "two", {"a/Foo.java": "package org.acme.test;\nclass Foo {}\n",
-                            "a/Qux.java": "  package   org.acme.other ;\nclass Qux {}\n"})
-    src = CI.read_sources(spark, [("one", r1), ("two", r2)])
-    stats = {r.repo_label: (r.file_count, r.class_count) for r in CI.repo_stats(src).collect()}
-    assert stats == {"one": (2, 2), "two": (2, 2)}
-    idx = {(r.repo_label, r.fqcn): r for r in CI.class_index(src).collect()}
-    assert ("one", "Baz") in idx and idx[("one", "org.acme.test.Foo")].line_count == 7
-    assert ("two", "org.acme.other.Qux") in idx
-    pm = spark.createDataFrame([("org.acme.test", "repo-test")], "prefix string, repo string")
-    frames = spark.createDataFrame([
-        ("t", 0, "org.acme.test", "Foo", 4), ("t", 1, "org.acme.test", "Foo$Nested", 2),
-        ("t", 2, "org.acme.test", "Foo$$Lambda$12", 1), ("t", 3, "org.acme.other", "Qux", 1),
-        ("t", 4, "org.acme.test", "Nope", 1), ("t", 5, "com.foo", "Bar", 1)],
-        "trace string, frame_pos int, package string, class_name string, line_no int")
-    res = {r.frame_pos: r for r in RS.resolve_frames(frames, CI.class_index(src), pm, sources=src, vendor_prefixes=["org.acme"]).collect()}
-    assert res[0].resolved and res[0].repo_label == "one" and res[0].source_path.endswith("one/src/org/acme/test/Foo.java")
-    assert res[0].snippet == FOO  # lines 1..7 (4 +/- 5, clipped)
-    assert res[1].resolved and res[1].source_path.endswith("Foo.java") and res[1].repo_label == "one"
-    assert res[2].resolved
-    assert res[3].reason == "no_repo_mapping"
-    assert res[4].reason == "class_not_found_in_registered_repos"
-    assert res[5].reason == RS.NON_VENDOR and res[5].repo is None
-    counts = RS.resolution_counts(RS.resolve_frames(frames, CI.class_index(src), pm, vendor_prefixes=["org.acme"]), keys=("trace",)).collect()
-    assert (counts[0].resolved_count, counts[0].total_count) == (3, 6)
+    ramp = java("ferry.deck", "Ramp", 12)
+    north = _repo(tmp, "north", {"src/Ramp.java": ramp, "build/out/Ghost.java": java("ferry.deck", "Ghost", 3),
+                                 "src/Buoy.java": java(None, "Buoy", 4, terminated=False)})
+    south = _repo(tmp, "south", {"x/Ramp.java": java("ferry.deck", "Ramp", 2), "x/Tide.java": "  " + java("ferry.sea", "Tide", 5)})
+    src = CI.read_sources(spark, [("north", north), ("south", south)])
+    assert {r.repo_label: (r.file_count, r.class_count) for r in CI.repo_stats(src).collect()} == {"north": (2, 2), "south": (2, 2)}
+    index = {(r.repo_label, r.fqcn): r.line_count for r in CI.class_index(src).collect()}
+    assert index == {("north", "ferry.deck.Ramp"): 12, ("north", "Buoy"): 4, ("south", "ferry.deck.Ramp"): 2, ("south", "ferry.sea.Tide"): 5}
+    pm = spark.createDataFrame([("ferry.deck", "decks")], "prefix string, repo string")
+    asked = [("ferry.deck", "Ramp", 3), ("ferry.deck", "Ramp$Chain$1", 11), ("ferry.deck", "Ramp$$Lambda$4", 1),
+             ("ferry.sea", "Tide", 1), ("ferry.deck", "Ghost", 1), ("island", "Map", 1)]
+    frames = spark.createDataFrame([("t", k, *a) for k, a in enumerate(asked)],
+                                   "trace string, frame_pos int, package string, class_name string, line_no int")
+    resolve = lambda **kw: RS.resolve_frames(frames, CI.class_index(src), pm, vendor_prefixes=["ferry"], **kw)
+    rows = {r.frame_pos: r for r in resolve(sources=src).collect()}
+    for k in (0, 1, 2):  # of two repositories the one registered first, inner and lambda classes by their outer one
+        assert rows[k].resolved and rows[k].repo_label == "north" and rows[k].source_path.endswith("/north/src/Ramp.java")
+        n, lines = asked[k][2], ramp.splitlines(keepends=True)
+        assert rows[k].snippet == "".join(lines[max(0, n - 6):n + 5])
+    assert [rows[k].reason for k in (3, 4, 5)] == [RS.NO_REPO, RS.NOT_FOUND, RS.NON_VENDOR]
+    assert rows[5].repo is None
+    (counts,) = RS.resolution_counts(resolve(), keys=("trace",)).collect()
+    assert (counts.resolved_count, counts.total_count) == (3, 6)
 
 
 def test_snippet_rules(spark):

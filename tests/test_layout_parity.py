@@ -9,7 +9,7 @@ from logweave.operators.formats import layout_to_regex
 PIECES = ["%d", "%p", "%5p", "%-5p", "%c", "%C{1}", "%t", "%T", "%m", "%msg", "%X{correlationId}",
           "%X{tenantDomain}", "%X{apiName}", "%X{ip}", "%tenantId", "%appName", "%ex", "%n", "%foo",
           "%.30c", "[", "]", "{", "}", " - ", " ", "\t", "|", ":", "TID: ", "%%"]
-VALUES = ["2024-03-15 09:01:06,012", "2024-03-15T09:01:06.5", "INFO", "ERROR", "org.a.B", "é.ß.Ç",
+VALUES = ["2031-07-04 23:59:00,700", "1999-12-01T00:10:20.25", "INFO", "ERROR", "org.a.B", "é.ß.Ç",
           "exec-1", "", " ", "x|y", "a,b", "[x]", "{y}", "-", "msg with  spaces", "\t", "ü"]
 
 
