@@ -101,15 +101,17 @@ def fingerprint_links(prints: DataFrame, max_distance: int = 4, split_over: int
     # Components by hubs alone.  What is left to find links members of other components than their key's hub with any
     # member, so a cloud of near copies, which its hubs hold together, is not compared with itself.
     roots = connected_components(to_hub)
+    # Each pair of a member and its hub is looked up once, however many keys it shares; only keys with a member of another
+    # component than the hub's go on.
     others = members.where("fp <> hub and size > 2")
-    unlinked = (others.where("not linked")
-                .join(roots.select(F.col("node").alias("fp"), F.col("root").alias("own")), "fp", "left")
-                .join(roots.select(F.col("node").alias("hub"), F.col("root").alias("of_hub")), "hub", "left")
-                .withColumn("own", F.coalesce("own", "fp")).withColumn("by_hub", F.col("own") == F.coalesce("of_hub", "hub"))
-                .select("key", "fp", "size", "own", "by_hub"))
-    # Who is linked to the hub is in its component; no look-up says more.
-    others = unlinked.unionByName(others.where("linked").select("key", "fp", "size", F.lit(None).cast("long").alias("own"),
-                                                                F.lit(True).alias("by_hub")))
+    apart = (others.where("not linked").select("fp", "hub").distinct()
+             .join(roots.select(F.col("node").alias("fp"), F.col("root").alias("own")), "fp", "left")
+             .join(roots.select(F.col("node").alias("hub"), F.col("root").alias("of_hub")), "hub", "left")
+             .withColumn("own", F.coalesce("own", "fp")).where(F.col("own") != F.coalesce("of_hub", "hub")).select("fp", "hub", "own"))
+    apart = stored(apart, "simhash-apart")
+    open_keys = others.where("not linked").join(apart, ["fp", "hub"]).select("key").distinct()
+    others = (others.join(open_keys, "key", "left_semi").join(apart, ["fp", "hub"], "left")
+              .select("key", "fp", "size", "own", F.col("own").isNull().alias("by_hub")))
     segments = _segments(bits, max_distance)
     place = F.col("key").bitwiseAND(F.lit(127))
     again, below = F.array(F.lit(-1).cast("long")), 0
