@@ -25,7 +25,8 @@ With ``grown`` (the pipeline) the bound grows with the line: from 40 units on, o
 edit per 20 units of the shorter line.  Units are words, or characters in a line
 of over 16 characters a word.  Lines within the bound share a run of 13 units, so
 both keep the same runs of 7 by least hashes (winnowing); these are the keys, the
-places and lengths have to fit, and the edit distance is verified.
+places and lengths have to fit, and the edit distance is verified on 40 bits a unit.
+Lines of over 2^24 units are not compared by runs behind that place.
 
 Edge cases: a null text stays null; lines of fewer than ``least_words`` words
 (blank ones too) always stay, but with ``least_bytes`` (the pipeline) only if
@@ -46,6 +47,7 @@ HALF_STEP = 8
 BIT_WORDS = 1 << 18  # 64 bits each, two numbers a row: 4 MB to broadcast at most
 GRAM = 7
 EDIT_UNITS = 20  # one edit per so many units
+PLACE_BITS = 24  # of a run's place in its line
 FEW_BLANKS = 16  # characters a word
 ORDER = ("no_id", "doc_id", "text_hash", "line")
 
@@ -180,8 +182,8 @@ def _units(norm: Column, n: Column) -> Column:
 
 
 def _grams(units: Column) -> Column:
-    """(key, at) of the runs of GRAM units whose hash is the least of some GRAM runs in a row, and the number of units;
-    null for lines of one edit.
+    """The number of units, and the runs of GRAM units whose hash is the least of some GRAM runs in a row, as 40 bits of
+    the hash with 24 bits of the place; null for lines of one edit.
 
     Of 2 * GRAM - 1 equal units in a row both texts keep the same run.  A text of n units with n // EDIT_UNITS edits has
     at least that many equal in a row from 2 * EDIT_UNITS units on."""
@@ -193,73 +195,80 @@ def _grams(units: Column) -> Column:
     runs = F.transform(units, lambda u: F.xxhash64(u))
     for step in (1, 2, 3):
         runs = with_next(runs, step, lambda x, y: F.xxhash64(x, y))
-    # 40 bits of the hash, then the place.
-    runs = F.transform(runs, lambda h, i: F.shiftleft(F.shiftright(h, 24), 24).bitwiseOR(i.cast("long")))
+    runs = F.transform(runs, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))
     runs = F.slice(runs, 1, F.size(units) - (GRAM - 1))
     for step in (1, 2, 3):
         runs = with_next(runs, step, lambda x, y: F.least(x, y))
-    made = F.transform(F.array_distinct(runs), lambda r: F.struct(
-        F.shiftright(r, 24).alias("key"), r.bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("at")))
-    return F.when(F.size(units) >= 2 * EDIT_UNITS, F.struct(made.alias("grams"), F.size(units).alias("units")))
+    return F.when(F.size(units) >= 2 * EDIT_UNITS, F.struct(F.array_distinct(runs).alias("grams"), F.size(units).alias("units")))
 
 
-def _code(units: Column) -> Column:
-    """A character per unit, by its hash: equal units have equal ones."""
-    letters = F.transform(units, lambda u: F.lpad(F.hex(F.pmod(F.xxhash64(u), F.lit(50_000)) + 256), 4, "0"))
-    return F.decode(F.unhex(F.array_join(letters, "")), "UTF-16BE")
+def _code(units: Column, seed: int) -> Column:
+    """A character per unit, by 20 bits of its hash (the planes 1 to 16 of Unicode have so many): equal units have equal
+    ones, and of two codes with different seeds different units have different pairs, but for one in 2^40."""
+    letter = lambda u: F.lpad(F.hex(F.pmod(F.xxhash64(F.lit(seed), u), F.lit(1 << 20)) + 65536), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(units, letter), "")), "UTF-32")
 
 
-def _exact(a: Column, b: Column) -> tuple[Column, Column]:
-    """As ``_code``, with different characters for all different units of a pair."""
-    known = F.array_distinct(F.concat(a, b))
-    letters = lambda units: F.decode(F.unhex(F.array_join(F.transform(
-        units, lambda u: F.lpad(F.hex(F.array_position(known, u) + 256), 4, "0")), "")), "UTF-16BE")
-    return letters(a), letters(b)
-
-
-def _within(a: Column, b: Column, bound: Column) -> Column:
-    return F.call_function("levenshtein", a, b, bound) >= 0
+def _within(a: str, b: str) -> Column:
+    return F.call_function("levenshtein", F.col(a), F.col(b), F.col("bound")) >= 0
 
 
 def edited_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2) of the lines of 2 * EDIT_UNITS units or more that have an earlier line within a unit edit distance of
     one in EDIT_UNITS units of the shorter of the two.
 
-    A line that is near the earliest line of one of its keys is not compared with the others."""
-    grams = distinct.where("long is not null").select("h1", "h2", "first", "long.units", F.explode("long.grams").alias("g"))
-    grams = grams.select("h1", "h2", "first", "units", "g.key", "g.at")
-    hubs = grams.groupBy("key").agg(F.min(F.struct("first", "h1", "h2", "units", "at")).alias("hub"), F.max("first").alias("last"))
-    hubs = hubs.where(F.col("last") > F.col("hub.first")).drop("last")
-    members = stored(grams.join(hubs, "key"), "line-grams")
-    some = _marked(lines.where(F.length("norm") >= 2 * EDIT_UNITS), _bit_table(members.select("h1").distinct()))
-    texts = stored(some.groupBy("h1", "h2").agg(F.any_value(_units(F.col("norm"), F.col("n"))).alias("words"))
-                   .where(F.size("words") >= 2 * EDIT_UNITS).withColumn("code", _code(F.col("words"))), "long-lines")
+    Different lines are numbered in the order of their first places, so that what is shuffled by run is two numbers, and
+    only rows of runs that two lines have are joined.  A line that is near the earliest line of one of its runs is not
+    compared with the others.  Distances are banded, so a long line costs its units times its bound."""
+    from logweave.llm.importance_sampling import ranked
+
+    long = F.length("norm") >= 2 * EDIT_UNITS
+    at_first = distinct.where(F.col("chars") >= 2 * EDIT_UNITS).select("h1", "h2", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ORDER))
+    numbered = ranked(at_first, [F.col(f"first_{c}").asc() for c in ORDER], "id")
+
+    def of(rows: DataFrame, wanted: DataFrame, *columns: Column) -> DataFrame:
+        """``columns`` of the lines at the first places of ``wanted``; copies find no partner."""
+        rows = rows.select("doc_id", "text_hash", "line", *columns)
+        return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["first_doc_id"]) & (rows["text_hash"] == wanted["first_text_hash"])
+                         & (rows["line"] == wanted["first_line"])).drop("doc_id", "text_hash", "line", *(f"first_{c}" for c in ORDER))
+
+    made = of(lines.where(long), numbered.drop("h1", "h2"), _grams(_units(F.col("norm"), F.col("n"))).alias("long"))
+    made = stored(made.where("long is not null").select("id", "long.units", "long.grams"), "line-grams")
+    low = F.lit((1 << PLACE_BITS) - 1)
+    grams = made.select("id", "units", F.explode("grams").alias("g")).select(
+        "id", "units", F.shiftright("g", PLACE_BITS).alias("key"), F.col("g").bitwiseAND(low).alias("at"))
+    hubs = (grams.groupBy("key").agg(F.min(F.shiftleft("id", PLACE_BITS).bitwiseOR(F.col("at"))).alias("hub"), F.max("id").alias("last"))
+            .where(F.col("last") > F.shiftright("hub", PLACE_BITS))
+            .select("key", F.shiftright("hub", PLACE_BITS).alias("hub"), F.col("hub").bitwiseAND(low).alias("hub_at")))
+    hubs = stored(hubs, "line-hubs")
+    shared = _marked(grams.withColumn("h1", F.col("key")), _bit_table(hubs.select(F.col("key").alias("h1")))).drop("h1")
+    members = stored(shared.join(hubs, "key"), "line-members")
+
+    wanted = stored(numbered.join(members.select("id").distinct(), "id", "left_semi"), "line-numbers")
+    units = _units(F.col("norm"), F.col("n"))
+    texts = of(_marked(lines.where(long), _bit_table(wanted.select("h1"))), wanted.drop("h1", "h2"), units.alias("units"))
+    texts = stored(texts.select("id", F.size("units").alias("units"), _code(F.col("units"), 1).alias("code"), _code(F.col("units"), 2).alias("check")),
+                   "long-lines")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """pairs: h1, h2, o1, o2, bound."""
-        codes = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("code").alias("others"))
-        close = pairs.distinct().join(texts.select("h1", "h2", "code"), ["h1", "h2"]).join(codes, ["o1", "o2"])
-        close = close.where(_within(F.col("code"), F.col("others"), F.col("bound"))).drop("code", "others")
-        other = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("others"))
-        both = close.join(texts.drop("code"), ["h1", "h2"]).join(other, ["o1", "o2"])
-        return both.where(_within(*_exact(F.col("words"), F.col("others")), F.col("bound"))).select("h1", "h2").distinct()
-
-    def fit(units: Column, at: Column) -> Column:
-        return (F.abs(F.col("units") - units) <= F.col("bound")) & (F.abs(F.col("at") - at) <= F.col("bound"))
-
-    def bound(units: Column) -> Column:
-        return F.floor(F.least(F.col("units"), units) / EDIT_UNITS).cast("int")
-
-    hub = F.col("hub")
-    first = members.where(F.col("first") > hub["first"]).withColumn("bound", bound(hub["units"])).where(fit(hub["units"], hub["at"]))
-    near = stored(compared(first.select("h1", "h2", hub["h1"].alias("o1"), hub["h2"].alias("o2"), "bound")), "edited-lines")
-    left = members.drop("hub").join(near, ["h1", "h2"], "left_anti")
+        """(id) of the pairs (id, other) that are near."""
+        others = texts.select(F.col("id").alias("other"), F.col("units").alias("other_units"), F.col("code").alias("other_code"),
+                              F.col("check").alias("other_check"))
+        both = pairs.distinct().join(texts, "id").join(others, "other")
+        both = both.withColumn("bound", F.floor(F.least("units", "other_units") / EDIT_UNITS).cast("int"))
+        return both.where((F.abs(F.col("units") - F.col("other_units")) <= F.col("bound")) & _within("code", "other_code")
+                          & _within("check", "other_check")).select("id").distinct()
+
+    def fit(at: str) -> Column:
+        return F.abs(F.col("at") - F.col(at)) <= F.floor(F.col("units") / EDIT_UNITS)
+
+    later = F.col("id") != F.col("hub")
+    near = stored(compared(members.where(later & fit("hub_at")).select("id", F.col("hub").alias("other"))), "edited-lines")
+    left = members.join(near, "id", "left_anti").drop("hub", "hub_at")
     # Those of the hubs are already compared.
-    earlier = members.where(F.col("first") > hub["first"]).select(
-        "key", F.col("first").alias("before"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("units").alias("their_units"), F.col("at").alias("their_at"))
-    rest = left.join(earlier, "key").where(F.col("first") > F.col("before")).withColumn("bound", bound(F.col("their_units")))
-    rest = rest.where(fit(F.col("their_units"), F.col("their_at"))).select("h1", "h2", "o1", "o2", "bound")
-    return near.unionAll(compared(rest))
+    earlier = members.where(later).select("key", F.col("id").alias("other"), F.col("at").alias("other_at"))
+    rest = left.join(earlier, "key").where((F.col("id") > F.col("other")) & fit("other_at")).select("id", "other")
+    return near.unionAll(compared(rest)).distinct().join(wanted, "id").select("h1", "h2")
 
 
 def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, least_bytes: int | None = None,
@@ -269,7 +278,7 @@ def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, le
     distinct = stored(lines.groupBy("h1", "h2").agg(
         F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("copies"),
         F.any_value(_half_keys(F.col("norm"), F.col("n"), near_words)).alias("halves"),
-        *([F.any_value(_grams(_units(F.col("norm"), F.col("n")))).alias("long")] if grown else [])), "lines")
+        *([F.any_value(F.length("norm")).alias("chars")] if grown else [])), "lines")
     near = near_lines(distinct, lines, near_words)
     near = stored(near.unionAll(edited_lines(distinct, lines)).distinct() if grown else near, "near-lines")
     # Lines with copies lose all but the first place, near lines all places.
@@ -281,13 +290,14 @@ def removed_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, le
 
 
 def dedup_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, least_bytes: int | None = None,
-                grown: bool = False) -> DataFrame:
-    """The rows with their text as it is without its removed lines, and ``removed_lines``, their number."""
+                grown: bool = False, count_as: str = "removed_lines") -> DataFrame:
+    """The rows with their text as it is without its removed lines, and their number in ``count_as`` (which takes the place
+    of a column of that name)."""
     gone = (removed_lines(docs, least_words, near_words, least_bytes, grown)
             .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("removed").alias("__removed")))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     rows = marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__hash"] == gone["__text"]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__removed", i)), "\n")
     return (rows.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept))
-            .withColumn("removed_lines", F.coalesce(F.size("__removed"), F.lit(0)))
+            .withColumn(count_as, F.coalesce(F.size("__removed"), F.lit(0)))
             .drop("__id", "__text", "__hash", "__removed"))

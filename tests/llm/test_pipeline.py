@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 def test_registered():
     names = set(E.queries())
     assert {"pipeline", *QUERIES} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_in_a_row(spark):
