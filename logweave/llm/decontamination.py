@@ -24,6 +24,9 @@ That is the form the SQL in ``oracles`` states.  With ``whole`` (the pipeline):
   of names in the typed form, so a value is one placeholder whatever its length.
   The share then counts the case-blind windows that a match of either form covers.
 
+With ``whole`` a text is typed only if it holds an item's needed words: one of each of three groups of
+its longest literal words, each so many that a text without any of them cannot reach ``share``.  That drops no match.
+
 Scale: documents are read once; only windows that match a benchmark window
 leave their task.  The benchmark's window table is broadcast if it has at most
 ``broadcast_rows`` rows and ``broadcast_bytes`` bytes, both counted first, and
@@ -39,9 +42,11 @@ are each reported; rows equal in doc_id and text give one result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.llm.common import stored
+
 WINDOW = 5
 ROW_BYTES = 160  # of a window's row, besides its texts
 LITERALS = 2
@@ -202,14 +207,89 @@ def _may_be_sent(wanted: DataFrame, rows: int, octets: int) -> bool:
     return size["rows"] <= rows and (size["octets"] or 0) <= octets
 
 
+#: Needed words of a group that are looked up in a text at most; with more (or with an item that has none) all are typed.
+NEEDED_WORDS = 5_000
+NEEDED_GROUPS = 3
+
+
+def _covering(fixed: DataFrame, share: float) -> DataFrame:
+    """(item, word): of each item the longest words of ``fixed``, as many as it takes that the places without any of them are
+    fewer than ``share`` asks for; items without enough words are left out."""
+    per_item = Window.partitionBy("item")
+    words = fixed.select("item", "word").distinct().withColumn(
+        "rank", F.row_number().over(per_item.orderBy(F.length("word").desc(), "word")))
+    least = fixed.join(words, ["item", "word"]).groupBy("item", "windows", "place").agg(F.min("rank").alias("rank"))
+    reached = least.groupBy("item", "windows", "rank").agg(F.count("*").alias("n")).withColumn(
+        "n", F.sum("n").over(per_item.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    last = reached.where((F.col("windows") - F.col("n")) / F.col("windows") < share).groupBy("item").agg(F.min("rank").alias("last"))
+    return words.join(last, "item").where(F.col("rank") <= F.col("last")).select("item", "word")
+
+
+def needed_words(wanted: DataFrame, share: float) -> dict[str, list[int]] | None:
+    """Word -> codes (an item's number times NEEDED_GROUPS plus a group); a document that an item contaminates holds a word of
+    each of the item's groups.  None where an item has no such words.
+
+    A word of letters that is literal wherever it occurs in an item's windows has to stand in whatever covers a place of
+    it.  A group has words in so many of the item's places that the others are too few; later groups take other words
+    (an item without enough of them has its first ones there, too)."""
+    item = F.struct("item_id", "item_hash").alias("item")
+    pairs = F.explode(F.arrays_zip(F.col("item_raw").alias("raw"), F.split("item_template", " ").alias("type"))).alias("p")
+    blind = wanted.where("form = 1").select(item, "windows", F.col("first").alias("place"), pairs).where(
+        (F.col("p.raw") == F.col("p.type")) & F.col("p.raw").rlike(r"^[\p{L}\p{M}]+$")).select("item", "windows", "place", F.col("p.raw").alias("word"))
+    # A word of a typed window's slot may be exchanged there (but for items whose slots have to be equal).
+    free = wanted.where("form = 0 and not strict").select(item, pairs).where(_slot(F.col("p.type"))).select(
+        "item", F.explode(F.split(_apart(F.col("p.raw")), " ")).alias("word")).distinct()
+    left = stored(blind.join(free, ["item", "word"], "left_anti").distinct(), "needed-words")
+    items = wanted.select(item).distinct().count()
+    codes: dict[str, list[int]] = {}
+    numbers: dict[tuple, int] = {}
+    first: dict[int, list[str]] = {}
+    for group in range(NEEDED_GROUPS):
+        chosen = stored(_covering(left, share), "needed-words")
+        rows = chosen.select("item.item_id", "item.item_hash", "word").limit(NEEDED_WORDS + 1).collect()
+        if len(rows) > NEEDED_WORDS:
+            return None
+        of: dict[int, list[str]] = {}
+        for row in rows:
+            of.setdefault(numbers.setdefault((row["item_id"], row["item_hash"]), len(numbers)), []).append(row["word"])
+        if not group:
+            first = of
+            if len(first) < items:
+                return None
+        for number in first:
+            for word in of.get(number, first[number]):
+                codes.setdefault(word, []).append(number * NEEDED_GROUPS + group)
+        left = left.join(chosen, ["item", "word"], "left_anti")
+    return codes
+
+
+def _holding(rows: DataFrame, codes: dict[str, list[int]]) -> DataFrame:
+    """The rows whose text has a word of each group of some item."""
+    if not codes:
+        return rows.where(F.lit(False))
+    names, words = rows.columns, sorted(codes)
+    known = F.map_from_arrays(F.array(*map(F.lit, words)), F.array(*[F.array(*map(F.lit, codes[w])) for w in words]))
+    # Generators, so that a condition is not put together with what it is about, and that worked out anew for each element.
+    once = lambda c, name: rows.select("*", F.explode_outer(F.array(c)).alias(name))
+    rows = once(F.array_intersect(F.split(F.lower(plain(F.col("text"))), " "), F.array(*map(F.lit, words))), "held").where(F.size("held") > 0)
+    rows = once(F.array_distinct(F.flatten(F.transform("held", lambda w: F.element_at(known, w)))), "codes")
+    every = lambda c: F.forall(F.array(*map(F.lit, range(NEEDED_GROUPS))), lambda g: F.array_contains("codes", c + g))
+    return rows.where(F.exists("codes", lambda c: (c % NEEDED_GROUPS == 0) & every(c))).select(*names)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broadcast_rows: int = 1_000_000,
                  whole: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, share): a row for each document and item that meet."""
     wanted = item_forms(benchmark) if whole else item_windows(benchmark)
     forms, covers = (["form"], ["first", "last"]) if whole else ([], [])
+    if whole:
+        wanted = stored(wanted, "item-windows")
+        needed = needed_words(wanted, share)
     if _may_be_sent(wanted, broadcast_rows, broadcast_bytes):
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    if whole and needed is not None:
+        rows = _holding(rows, needed)
     hits = _windows(rows, whole).join(wanted, ["hash", *forms])
     slots = F.zip_with(F.arrays_zip(F.split("template", " ").alias("type"), F.col("item_raw").alias("theirs")), F.col("raw"),
                        lambda t, own: F.struct(t["type"].alias("type"), t["theirs"].alias("theirs"), own.alias("own")))

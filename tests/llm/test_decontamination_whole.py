@@ -1,4 +1,6 @@
 """Decontamination with ``whole``: copies that the plain form loses."""
+import random
+
 from logweave.llm import decontamination as D
 
 MARIA = ("Maria walks to the market with her basket and buys ten ripe pears while her neighbour counts the coins; then Maria "
@@ -67,3 +69,32 @@ def test_long_tokens_are_not_broadcast(spark):
             assert [(r.doc_id, r.share) for r in got.collect()] == [(1, 1.)]
             plans.append(got._jdf.queryExecution().optimizedPlan().toString())
         assert "strategy=broadcast" in plans[0] and "strategy=broadcast" not in plans[1]
+
+
+def test_needed_words_drop_no_match(spark, monkeypatch):
+    """With and without the look-up ahead, on the driver's documents and on edited copies of the items."""
+    from tests.conftest import SF_SMALL
+    items = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    texts = [r.text for r in items.collect()]
+    rng = random.Random(2)
+    edited = []
+    for k, t in enumerate(texts * 4):
+        words = t.split()
+        for at in rng.sample(range(len(words)), min(len(words), rng.randrange(5))):
+            words[at] = rng.choice([words[at].upper(), "Elsewhere", "17", words[at] + "x"])
+        edited.append((100_000 + k, " ".join(words)))
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame(edited, "doc_id long, text string"))
+    assert D.needed_words(D.item_forms(items), .8)
+    key = lambda: sorted((r.doc_id, r.item_id, r.matched) for r in D.contaminated(docs, items, whole=True).collect())
+    ahead = key()
+    monkeypatch.setattr(D, "needed_words", lambda *_: None)
+    assert ahead == key() and len(ahead) > 40
+
+
+def test_items_without_needed_words_are_found(spark):
+    """An item of numbers and names alone turns the look-up off."""
+    items = spark.createDataFrame([(1, "Paris 4 Rome 5 Oslo 6 Lima 7"), (2, MARIA)], "item_id long, text string")
+    assert D.needed_words(D.item_forms(items.where("item_id = 2")), .8)
+    docs = spark.createDataFrame([(1, "x Paris 4 Rome 5 Oslo 6 Lima 7 y"), (2, MARIA), (3, None), (4, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items, whole=True).collect()} == {(1, 1), (2, 2)}
+    assert D.contaminated(docs, items.limit(0), whole=True).count() == 0

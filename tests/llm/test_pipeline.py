@@ -46,3 +46,51 @@ def test_one_document_of_edited_near_copies_is_left(spark):
     docs = spark.createDataFrame([(i, t, "en", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars int")
     left = P.near_copies(spark, P.stored(P.lines(spark, docs, ""), "test-near-copies"), "")
     assert [r.doc_id for r in left.collect()] == [0]
+
+
+CLASHING = "removed_lines int, fp long, score double, text_hash long, hash long, root string, kept boolean, rows int, rate double"
+
+
+def odd_documents(spark):
+    """Null ids and texts, repeated rows, empty texts, and columns named like those that the operators make."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    rows = [(10_000_000 + i, text(80), "en", "s", 9) for i in range(12)] + [(None, text(60), None, None, None), (None, None, None, "s", None),
+                                                                           (10_000_050, None, "en", "s", 0), (10_000_051, "", "en", "s", 0)]
+    rows += rows[:2]
+    extra = lambda r: (r[0] % 100 if r[0] else 7, 5, .5, 6, 7, "r", True, 8, 2.0)
+    columns = "doc_id long, text string, lang string, source string, n_chars int, " + CLASHING
+    return spark.createDataFrame([(*r, *extra(r)) for r in rows], columns)
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark):
+    docs = odd_documents(spark)
+    known = {r.doc_id: r for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= set(known), name
+        for r in rows:  # no stage writes its own values into the documents' columns
+            assert [r[c] for c in docs.columns[5:]] == [known[r.doc_id][c] for c in docs.columns[5:]], name
+        if name == "line_dedup":
+            assert {10_000_050, 10_000_051} <= {r.doc_id for r in rows}
+    last = P.STAGES[-1][1](spark, docs, SF_SMALL).collect()
+    assert {r.doc_id for r in last} == set(known) and all(r.rate >= 0 for r in last)
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, SF_SMALL).count() == 0, name
+
+
+def test_documents_with_a_benchmark_item_go(spark):
+    items = [r.text for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect() if len(r.text.split()) > 20][:3]
+    assert items
+    rng = random.Random(4)
+    own = lambda: " ".join(f"word{rng.randrange(900)}" for _ in range(60))
+    rows = [(k, f"{own()} {t.upper() if k == 1 else t} {own()}") for k, t in enumerate(items)] + [(10 + k, own()) for k in range(5)] + [(20, None), (None, own())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = P.benchmark_leaks(spark, docs, SF_SMALL)
+    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([*range(10, 15), 20, None], key=str)
