@@ -10,6 +10,12 @@ but the last return the columns of the documents.
 3. SimHash near-dedup: of each group of near copies one document stays;
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. mixing: every document that is left, with its posteriors, rate and copies.
+
+Edge cases: documents may have null ids, null or empty texts, repeated rows and
+further columns of any names but those with two underscores in front; they keep
+their values through all stages but the last.  A null or empty text passes the
+stages as any text would (its score, no lines, fingerprint zero, no windows, no
+tokens).  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,8 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs, least_bytes=12, grown=True)
-    changed = F.col("removed_lines") > 0
+    kept = line_dedup.dedup_lines(docs, least_bytes=12, grown=True, count_as="__lost")  # a document's column may have any other name
+    changed = F.col("__lost") > 0
     kept = kept.where(~changed | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
