@@ -47,7 +47,7 @@ from logweave.operators.search import search_entries, search_text  # noqa: E402
 from logweave.plans import catalog  # noqa: E402
 from logweave.session import get_spark, scratch_path  # noqa: E402
 from logweave.sources import render  # noqa: E402
-from logweave.sources.sinks import read_entries, write_entries  # noqa: E402
+from logweave.sources.sinks import open_index, read_entries, write_entries, write_index  # noqa: E402
 
 
 def run(df) -> None:
@@ -61,6 +61,7 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app_name="logweave-bench",
                       extra={"spark.ui.showConsoleProgress": "false",
                              "spark.checkpoint.dir": tempfile.mkdtemp(prefix="logweave-bench-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="logweave-bench-"),
                              "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
 
     t0 = time.time()
@@ -74,8 +75,8 @@ def main() -> None:
     lines_df.write.parquet(lines_path)
     src_path = scratch_path(spark, f"{tag}-sources")
     catalog.r3_sources(spark, sf_dir).write.parquet(src_path)
-    index_path = scratch_path(spark, f"{tag}-class-index")
-    CI.class_index(spark.read.parquet(src_path)).write.parquet(index_path)   # built once per repository
+    index_path, index_table = scratch_path(spark, f"{tag}-class-index"), f"bench_index_{os.getpid()}"
+    write_index(CI.class_index(spark.read.parquet(src_path)), index_table, index_path)   # built once per repository
     entries_path = scratch_path(spark, f"{tag}-entries")
     write_entries(parse_entries(spark.read.parquet(lines_path)), entries_path)
     prepare = time.time() - t0
@@ -83,7 +84,7 @@ def main() -> None:
     lines = spark.read.parquet(lines_path)
     entries = read_entries(spark, entries_path)
     sources = spark.read.parquet(src_path)
-    index = spark.read.parquet(index_path)
+    index = open_index(spark, index_table, index_path)
     n_lines = lines.count()
     pm = catalog.package_map(spark)
 
@@ -113,8 +114,7 @@ def main() -> None:
 
     def q_resolve_frames():
         frames = entry_frames(entries)   # cheap to recompute from stored entries
-        r = RS.resolve_frames(frames, index, pm, sources=sources, vendor_prefixes=render.R3_VENDOR_PREFIXES,
-                              materialize_input=False)
+        r = RS.resolve_frames(frames, index, pm, sources=sources, vendor_prefixes=render.R3_VENDOR_PREFIXES)
         run(r.where(F.col("resolved")))
 
     queries = {"parse_files": q_parse_files, "parse_assemble": q_parse_assemble,

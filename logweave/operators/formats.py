@@ -169,9 +169,12 @@ def format_report(lines: DataFrame, formats: list[LogFormat] | None = None,
     captures left out), the format's regex, and why it does not compile.
 
     One pass over the lines with two conditional aggregates per format (no
-    join between lines and formats), then an unpivot of the per-file row.
-    The text of a first matched line is looked up afterwards, by its number.
+    join between lines and formats), then an unpivot of the per-file row,
+    which is stored (eager).  The texts of the first matched lines are looked
+    up afterwards, by their numbers.
     """
+    from logweave.sources.sinks import materialize
+
     fmts = (BUILTIN_FORMATS if include_builtins else []) + list(formats or [])
     compiled = [(f, layout_pattern(f.pattern), layout_error(f.pattern)) for f in fmts]
     aggs = [F.count(F.lit(1)).alias("lines_tested")]
@@ -191,7 +194,10 @@ def format_report(lines: DataFrame, formats: list[LogFormat] | None = None,
         F.when(F.col("lines_tested") > 0, F.col("r.lines_matched") / F.col("lines_tested"))
         .alias("match_ratio"),
         "r.first_matched_line", "r.regex", "r.error")
-    first = lines.select("file_path", F.col("line_number").alias("first_matched_line"), "value")
+    out = materialize(out, "format-report")
+    # A few numbers per file, of a size that Spark knows: only the texts of these lines leave the scan.
+    winners = out.where("first_matched_line IS NOT NULL").select("file_path", "first_matched_line").distinct()
+    first = lines.select("file_path", F.col("line_number").alias("first_matched_line"), "value").join(winners, ["file_path", "first_matched_line"])
     captured = F.lit(None).cast("map<string,string>")
     for f, c, error in compiled:
         if error is None:

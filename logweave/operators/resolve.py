@@ -52,26 +52,32 @@ def resolve_keys(keys: DataFrame, index: DataFrame, package_map: DataFrame,
 
 def resolve_frames(frames: DataFrame, index: DataFrame, package_map: DataFrame,
                    sources: DataFrame | None = None, vendor_prefixes=VENDOR_PREFIXES,
-                   context: int = SNIPPET_CONTEXT, materialize_input: bool = True) -> DataFrame:
+                   context: int = SNIPPET_CONTEXT, store: bool = False) -> DataFrame:
     """J3 (+J4 when ``sources`` is given): each frame with ``resolved``,
     ``reason``, ``repo``, ``source_path``, ``repo_label``, ``repo_path`` (and
     ``snippet``).  Rules in order: vendor gate, package -> repo mapping (the
     mapped repo only gates), class search in every indexed repository.
 
-    Plan: the frames are written once below ``spark.checkpoint.dir`` (skip
-    with ``materialize_input=False`` when they already come from storage);
-    the distinct vendor keys ``(package, class_name, line_no)`` (a partial
-    aggregation, so a hot class costs one row per task) are resolved and the
-    answers stored (their number is bounded by the code base); the frames
-    are joined to that answer table, which the planner broadcasts only when
-    its stored size is under the broadcast threshold (a sort-merge join with
-    AQE skew splitting otherwise).  Eager: writes the two tables first.
+    Plan: the distinct vendor keys ``(package, class_name, line_no)`` (a
+    partial aggregation, so a hot class costs one row per task) are resolved
+    against the class index (stored in buckets by ``sinks.write_index``, it is
+    not shuffled) and the answers joined to the frames.  Lazy: nothing runs
+    before an action, which reads ``frames`` twice; at run time Spark takes a
+    broadcast join if the answers are small and splits a hot class otherwise.
+
+    ``store``: for frames that are dear to compute, or so many that they must
+    not be shuffled: frames and answers (bounded by the code base) are written
+    below ``spark.checkpoint.dir`` first (eager), so the planner knows the
+    answers' size and leaves the frames where they are if it is under the
+    broadcast threshold.
     """
-    if materialize_input:
+    if store:
         frames = materialize(frames, "frames")
     vendor = is_vendor_frame("package", vendor_prefixes)
     keys = frames.where(vendor).select("package", "class_name", "line_no").distinct()
-    answers = materialize(resolve_keys(keys, index, package_map, sources, context), "frame-answers")
+    answers = resolve_keys(keys, index, package_map, sources, context)
+    if store:
+        answers = materialize(answers, "frame-answers")
     a = answers.select(*[F.col(c).alias("_a_" + c) for c in answers.columns])
     out = frames.join(a, (frames["package"] == a["_a_package"]) & (frames["class_name"] == a["_a_class_name"])
                       & frames["line_no"].eqNullSafe(a["_a_line_no"]), "left")
