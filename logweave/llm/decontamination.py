@@ -267,12 +267,14 @@ def _holding(rows: DataFrame, codes: dict[str, list[int]]) -> DataFrame:
     """The rows whose text has a word of each group of some item."""
     if not codes:
         return rows.where(F.lit(False))
-    names, words = rows.columns, sorted(codes)
-    known = F.map_from_arrays(F.array(*map(F.lit, words)), F.array(*[F.array(*map(F.lit, codes[w])) for w in words]))
+    names = rows.columns
+    # Words are letters: two literals hold them all, whatever their number, instead of an expression for each.
+    words = F.split(F.lit(" ".join(sorted(codes))), " ")
+    known = F.str_to_map(F.lit(" ".join(f"{w}:{','.join(map(str, codes[w]))}" for w in sorted(codes))), F.lit(" "), F.lit(":"))
     # Generators, so that a condition is not put together with what it is about, and that worked out anew for each element.
     once = lambda c, name: rows.select("*", F.explode_outer(F.array(c)).alias(name))
-    rows = once(F.array_intersect(F.split(F.lower(plain(F.col("text"))), " "), F.array(*map(F.lit, words))), "held").where(F.size("held") > 0)
-    rows = once(F.array_distinct(F.flatten(F.transform("held", lambda w: F.element_at(known, w)))), "codes")
+    rows = once(F.array_intersect(F.split(F.lower(plain(F.col("text"))), " "), words), "held").where(F.size("held") > 0)
+    rows = once(F.array_distinct(F.flatten(F.transform("held", lambda w: F.split(F.element_at(known, w), ",").cast("array<int>")))), "codes")
     every = lambda c: F.forall(F.array(*map(F.lit, range(NEEDED_GROUPS))), lambda g: F.array_contains("codes", c + g))
     return rows.where(F.exists("codes", lambda c: (c % NEEDED_GROUPS == 0) & every(c))).select(*names)
 
