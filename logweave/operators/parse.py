@@ -375,8 +375,9 @@ def parse_scanned(scan: DataFrame, layout: str | None = None, file_formats: Data
     kind = (f"CAST(CASE WHEN _hk IS NOT NULL THEN {HEADER} WHEN value RLIKE {sql_str(STACK_RE)} THEN {STACK} "
             f"WHEN {sql_py_strip('value')} <> '' THEN {MORE} ELSE {BLANK} END AS TINYINT)")
     lines = scan.selectExpr("*", f"CAST({plan.hk} AS INT) AS _hk").selectExpr("file_path", "_block", "_id", "_hk", f"{kind} AS _kind", "value")
-    pieces = plan.add_header(lines.mapInArrow(split_pieces, PIECES), "raw", "_hk", "hd").drop("_hk")
-    pieces = materialize(pieces, "entry-pieces", partition_by=["_whole"])
+    pieces = materialize(lines.mapInArrow(split_pieces, PIECES), "entry-pieces", partition_by=["_whole"])
+    # Fields are cut out of the stored header lines: they are no further copy of the text, and unused ones cost nothing.
+    pieces = plan.add_header(pieces, "raw", "_hk", "hd").drop("_hk")
     edges = pieces.where("NOT _whole")
     splits = materialize(split_table(edges), "splits")
     # One row per split: Spark broadcasts it by its stored size, and the whole entries stay where they are.

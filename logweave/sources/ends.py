@@ -62,11 +62,10 @@ def tail_lines(handle, size: int, wanted: int, block: int = BLOCK) -> tuple[list
 
 def _read(root: str, head: int, tail: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system = None
+        system, begin = file_system(root)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system = system or file_system(root)
-                with system.open_input_file(path[len(root):]) as handle:
+                with system.open_input_file(begin + path[len(root):]) as handle:
                     size = handle.size()
                     first, n = head_lines(handle, size, head)
                     last, m = tail_lines(handle, size, tail)

@@ -39,11 +39,19 @@ def split_uri(folder: str) -> tuple[str, str]:
     return f"{scheme}://", rest
 
 
+#: Schemes that pyarrow knows by another name.
+ALIASES = {"s3a": "s3", "s3n": "s3"}
+
+
 def file_system(root: str):
-    """The pyarrow file system of a scheme with authority."""
+    """The pyarrow file system of a scheme with authority, and what its paths begin with (a bucket, or nothing)."""
     from pyarrow import fs
 
-    return fs.LocalFileSystem() if root == "file://" else fs.FileSystem.from_uri(root + "/")[0]
+    if root == "file://":
+        return fs.LocalFileSystem(), ""
+    scheme, rest = root.split("://", 1)
+    system, path = fs.FileSystem.from_uri(f"{ALIASES.get(scheme, scheme)}://{rest}/")
+    return system, path.rstrip("/")
 
 
 def skipped(name: str) -> bool:
@@ -54,15 +62,14 @@ def _list(root: str):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system = None
+        system, begin = file_system(root)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                system = system or file_system(root)
-                found = [i for i in system.get_file_info(fs.FileSelector(folder)) if not skipped(i.base_name)]
+                found = [i for i in system.get_file_info(fs.FileSelector(begin + folder)) if not skipped(i.base_name)]
                 for at in range(0, len(found), BATCH):
                     part = found[at:at + BATCH]
                     yield pa.record_batch([
-                        pa.array([root + i.path for i in part]), pa.array([i.type == fs.FileType.Directory for i in part]),
+                        pa.array([root + i.path[len(begin):] for i in part]), pa.array([i.type == fs.FileType.Directory for i in part]),
                         pa.array([i.size for i in part], pa.int64()),
                         pa.array([None if i.mtime_ns is None else i.mtime_ns // 1_000_000 * 1000 for i in part], pa.timestamp("us", "UTC"))],
                         ["file_path", "is_folder", "size_bytes", "modified"])

@@ -30,19 +30,20 @@ class NamedFilesWriter(DataSourceWriter):
 
     def write(self, rows: Iterator[Row]) -> Written:
         scheme, root = split_uri(self.root)
-        system, files, folders = file_system(scheme), 0, set()
+        system, begin = file_system(scheme)
+        files, folders = 0, set()
         for row in rows:
             path = posixpath.normpath(posixpath.join(root, row["path"]))
             if not path.startswith(root.rstrip("/") + "/"):
                 raise ValueError(f"{row['path']} is not below {self.root}")
-            folder, name = posixpath.split(path)
+            folder, name = posixpath.split(begin + path)
             if folder not in folders:
                 system.create_dir(folder, recursive=True)
                 folders.add(folder)
             aside = posixpath.join(folder, f".{name}._COPYING_")
             with system.open_output_stream(aside) as out:
                 out.write((row["text"] or "").encode())
-            system.move(aside, path)
+            system.move(aside, begin + path)
             files += 1
         return Written(files)
 

@@ -48,6 +48,13 @@ def test_read_lines_edge_cases(spark, tmp_path):
     assert "empty.log" not in got
 
 
+def test_uris():
+    from logweave.sources.listing import split_uri
+    assert [split_uri(u) for u in ("/a/b", "file:///a", "file:/a", "hdfs://h:8020/x/y", "s3a://bucket/k", "s3a://bucket", "a/b:c")] == [
+        ("file://", "/a/b"), ("file://", "/a"), ("file://", "/a"), ("hdfs://h:8020", "/x/y"), ("s3a://bucket", "/k"), ("s3a://bucket", ""),
+        ("file://", "a/b:c")]
+
+
 def test_read_lines_many_splits(spark, tmp_path):
     text = "".join(f"2024-01-01 00:00:00,{i % 1000:03d} INFO [a.B] - m{i}\n  cont {i}\n" for i in range(3000))
     p = str(tmp_path / "big.log")
@@ -265,9 +272,12 @@ def test_stored_entries_push_filters_and_prune_columns(spark, tmp_path):
     assert [r.line_number for r in q.collect()] == [4]
 
 
-def test_parse_files_with_file_formats(spark, tmp_path):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_parse_files_with_file_formats(spark, tmp_path, monkeypatch, most):
+    """The formats go to all tasks, or (too many files) the lines to the formats and back into their order."""
+    from logweave.operators import parse
     from logweave.operators.formats import LogFormat
-    from logweave.operators.parse import parse_files
+    monkeypatch.setattr(parse, "BROADCAST_FILES", most)
     _write(str(tmp_path / "a.log"), b"2024-01-01 00:00:00,000|warn|a.b.C|x\n  more\n")
     _write(str(tmp_path / "b.log"), QUAY_LOG.encode())
     ff = (discover_logs(spark, str(tmp_path)).where(F.col("filename") == "a.log")
