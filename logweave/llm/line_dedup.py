@@ -24,8 +24,12 @@ What is kept small:
 With ``grown`` (the pipeline) the bound grows with the line: from 40 units on, one
 edit per 20 units of the shorter line.  Units are words, or characters in a line
 of over 16 characters a word.  Lines within the bound share a run of 13 units, so
-both keep the same runs of 7 by least hashes (winnowing); these are the keys, the
-places and lengths have to fit, and the edit distance is verified on 40 bits a unit.
+both keep the same runs of 7 by least hashes (winnowing); these are the keys.  A line
+is compared with the earliest line of each of its keys where the places fit.  Of keys
+that three lines or more have, those that are not near it are paired by their rarest
+runs of 3 units, of which each line needs a few more than its edits, so lines that
+share a common passage and little else never meet.  The edit distance is verified on
+40 bits a unit.
 Lines of over 2^24 units are not compared by runs behind that place.
 
 Edge cases: a null text stays null; lines of fewer than ``least_words`` words
@@ -46,6 +50,7 @@ from logweave.llm.common import stored
 HALF_STEP = 8
 BIT_WORDS = 1 << 18  # 64 bits each, two numbers a row: 4 MB to broadcast at most
 GRAM = 7
+RUN = 3  # units
 EDIT_UNITS = 20  # one edit per so many units
 PLACE_BITS = 24  # of a run's place in its line
 FEW_BLANKS = 16  # characters a word
@@ -181,24 +186,25 @@ def _units(norm: Column, n: Column) -> Column:
     return F.split(norm, F.when(F.length(norm) > FEW_BLANKS * n, F.lit("")).otherwise(F.lit(" ")))
 
 
+def _with_next(items: Column, step: int, made) -> Column:
+    """Each item with the one ``step`` on; at the end there is none."""
+    return F.element_at(F.transform(F.array(items), lambda x: F.zip_with(x, F.slice(x, step + 1, 1 << 30), made)), 1)
+
+
 def _grams(units: Column) -> Column:
     """The number of units, and the runs of GRAM units whose hash is the least of some GRAM runs in a row, as 40 bits of
     the hash with 24 bits of the place; null for lines of one edit.
 
     Of 2 * GRAM - 1 equal units in a row both texts keep the same run.  A text of n units with n // EDIT_UNITS edits has
     at least that many equal in a row from 2 * EDIT_UNITS units on."""
-    def with_next(items: Column, step: int, made) -> Column:
-        """Each item with the one ``step`` on; at the end there is none."""
-        return F.element_at(F.transform(F.array(items), lambda x: F.zip_with(x, F.slice(x, step + 1, 1 << 30), made)), 1)
-
     # Seven in a row by twos, fours and two overlapping fours; a few numbers a unit, no slice for each.
     runs = F.transform(units, lambda u: F.xxhash64(u))
     for step in (1, 2, 3):
-        runs = with_next(runs, step, lambda x, y: F.xxhash64(x, y))
+        runs = _with_next(runs, step, lambda x, y: F.xxhash64(x, y))
     runs = F.transform(runs, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))
     runs = F.slice(runs, 1, F.size(units) - (GRAM - 1))
     for step in (1, 2, 3):
-        runs = with_next(runs, step, lambda x, y: F.least(x, y))
+        runs = _with_next(runs, step, lambda x, y: F.least(x, y))
     return F.when(F.size(units) >= 2 * EDIT_UNITS, F.struct(F.array_distinct(runs).alias("grams"), F.size(units).alias("units")))
 
 
@@ -209,6 +215,33 @@ def _code(units: Column, seed: int) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(units, letter), "")), "UTF-32")
 
 
+def _rarest(texts: DataFrame) -> DataFrame:
+    """(id, units, run): of each line its rarest runs of RUN units, RUN for each edit of its bound and one more.
+
+    An edit takes away RUN runs at most.  So of two lines within the bound, at most RUN runs an edit of either are not in
+    the other, and the rarest run that both have (they have a longer one, see ``_grams``) is among these of both: runs have
+    the same order in all lines, those of fewest lines first.  Runs of one line only count, but pair nothing."""
+    runs = F.transform(F.split("code", ""), lambda u: F.xxhash64(u))
+    for step in [1] * (RUN - 1):
+        runs = _with_next(runs, step, lambda x, y: F.xxhash64(x, y))
+    rows = texts.select("id", "units", F.array_distinct(F.slice(runs, 1, F.col("units") - (RUN - 1))).alias("runs"))
+    rows = rows.select("id", "units", F.explode("runs").alias("run"))
+    rows = rows.join(rows.groupBy("run").agg(F.count("*").alias("lines")), "run")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("lines", "run"))
+    return (rows.withColumn("place", place).where((F.col("place") <= RUN * F.floor(F.col("units") / EDIT_UNITS) + 1) & (F.col("lines") > 1))
+            .select("id", "units", "run"))
+
+
+def rare_pairs(texts: DataFrame, done: DataFrame) -> DataFrame:
+    """(id, other): the lines of ``texts(id, units, code)`` but those of ``done(id)``, each with all earlier lines that
+    may be within the bound of it."""
+    rare = stored(_rarest(texts), "line-runs")
+    others = rare.select("run", F.col("id").alias("other"), F.col("units").alias("other_units"))
+    bound = F.floor(F.least("units", "other_units") / EDIT_UNITS)
+    return (rare.join(done, "id", "left_anti").join(others, "run")
+            .where((F.col("id") > F.col("other")) & (F.abs(F.col("units") - F.col("other_units")) <= bound)).select("id", "other"))
+
+
 def _within(a: str, b: str) -> Column:
     return F.call_function("levenshtein", F.col(a), F.col(b), F.col("bound")) >= 0
 
@@ -219,7 +252,8 @@ def edited_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
 
     Different lines are numbered in the order of their first places, so that what is shuffled by run is two numbers, and
     only rows of runs that two lines have are joined.  A line that is near the earliest line of one of its runs is not
-    compared with the others.  Distances are banded, so a long line costs its units times its bound."""
+    compared with the others; else it is paired by ``rare_pairs``.  Distances are banded, so a long line costs its units
+    times its bound."""
     from logweave.llm.importance_sampling import ranked
 
     long = F.length("norm") >= 2 * EDIT_UNITS
@@ -237,9 +271,10 @@ def edited_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     low = F.lit((1 << PLACE_BITS) - 1)
     grams = made.select("id", "units", F.explode("grams").alias("g")).select(
         "id", "units", F.shiftright("g", PLACE_BITS).alias("key"), F.col("g").bitwiseAND(low).alias("at"))
-    hubs = (grams.groupBy("key").agg(F.min(F.shiftleft("id", PLACE_BITS).bitwiseOR(F.col("at"))).alias("hub"), F.max("id").alias("last"))
+    hubs = (grams.groupBy("key").agg(F.min(F.shiftleft("id", PLACE_BITS).bitwiseOR(F.col("at"))).alias("hub"), F.max("id").alias("last"),
+                                     F.count("*").alias("rows"))
             .where(F.col("last") > F.shiftright("hub", PLACE_BITS))
-            .select("key", F.shiftright("hub", PLACE_BITS).alias("hub"), F.col("hub").bitwiseAND(low).alias("hub_at")))
+            .select("key", F.shiftright("hub", PLACE_BITS).alias("hub"), F.col("hub").bitwiseAND(low).alias("hub_at"), "rows"))
     hubs = stored(hubs, "line-hubs")
     shared = _marked(grams.withColumn("h1", F.col("key")), _bit_table(hubs.select(F.col("key").alias("h1")))).drop("h1")
     members = stored(shared.join(hubs, "key"), "line-members")
@@ -259,15 +294,10 @@ def edited_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
         return both.where((F.abs(F.col("units") - F.col("other_units")) <= F.col("bound")) & _within("code", "other_code")
                           & _within("check", "other_check")).select("id").distinct()
 
-    def fit(at: str) -> Column:
-        return F.abs(F.col("at") - F.col(at)) <= F.floor(F.col("units") / EDIT_UNITS)
-
-    later = F.col("id") != F.col("hub")
-    near = stored(compared(members.where(later & fit("hub_at")).select("id", F.col("hub").alias("other"))), "edited-lines")
-    left = members.join(near, "id", "left_anti").drop("hub", "hub_at")
-    # Those of the hubs are already compared.
-    earlier = members.where(later).select("key", F.col("id").alias("other"), F.col("at").alias("other_at"))
-    rest = left.join(earlier, "key").where((F.col("id") > F.col("other")) & fit("other_at")).select("id", "other")
+    fit = F.abs(F.col("at") - F.col("hub_at")) <= F.floor(F.col("units") / EDIT_UNITS)
+    near = stored(compared(members.where((F.col("id") != F.col("hub")) & fit).select("id", F.col("hub").alias("other"))), "edited-lines")
+    crowd = members.where("rows > 2").select("id").distinct()  # of two lines the later one is already compared
+    rest = rare_pairs(texts.join(crowd, "id", "left_semi"), near)
     return near.unionAll(compared(rest)).distinct().join(wanted, "id").select("h1", "h2")
 
 
