@@ -39,18 +39,28 @@ def _position(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(POSITIONS))
 
 
-def write_text_index(spark: SparkSession, entries_path: str, index_path: str) -> None:
-    """Index the entries stored at ``entries_path`` (``sinks.write_entries``): (file, bits) by bucket of the positions.
+def file_bits(stored: DataFrame) -> DataFrame:
+    """(file, bucket, bits) of the files that ``stored`` entries are read from; bucket -1, without bits, for each of them.
+
+    Runs are made distinct by entry, then by file before their grams are taken.  Rows name their file by a hash of its path
+    (files of one hash would share their bits, which costs reading and no rows).  A file's runs meet in one task before
+    bitmaps are made of them, so there is one bitmap per file and bucket, whatever the number of tasks."""
+    entries = stored.withColumn("path", F.col("_metadata.file_path")).withColumn("of", F.xxhash64("path"))
+    # Below the generators, so that they are computed per entry or run and not per row made of it.
+    words = entries.select("of", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "raw", "message")), RUNS)).alias("runs"))
+    runs = words.select("of", F.explode("runs").alias("run")).where(F.length("run") >= GRAM).distinct().repartition("of")
+    at = runs.select("of", F.explode(F.array_distinct(_grams(F.col("run")))).alias("gram")).select("of", _position(F.col("gram")).alias("at"))
+    bits = at.select("of", F.floor(F.col("at") / BITMAP).cast("int").alias("bucket"), (F.col("at") % BITMAP).alias("bit")).groupBy(
+        "of", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    files = entries.select("of", "path").distinct().select("of", scanned_path("path").alias("file"))
+    bits = files.join(bits, "of").select("file", "bucket", "bits")
+    known = files.select("file", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("bits"))
+    return bits.unionByName(known)
 
-    Runs are made distinct by file before their grams are taken; bitmaps are merged map-side."""
-    entries = spark.read.parquet(entries_path)
-    runs = (entries.select(scanned_path().alias("file"), F.explode(F.split(F.lower(F.concat_ws(" ", "raw", "message")), RUNS)).alias("run"))
-            .where(F.length("run") >= GRAM).distinct())
-    at = runs.select("file", F.explode(F.array_distinct(_grams(F.col("run")))).alias("gram")).select("file", _position(F.col("gram")).alias("at"))
-    bits = at.select("file", F.floor(F.col("at") / BITMAP).cast("int").alias("bucket"), (F.col("at") % BITMAP).alias("bit")).groupBy(
-        "file", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    known = entries.select(scanned_path().alias("file")).distinct().select("file", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("bits"))
-    bits.unionByName(known).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(index_path)
+
+def write_text_index(spark: SparkSession, entries_path: str, index_path: str) -> None:
+    """Index the entries stored at ``entries_path`` (``sinks.write_entries``): (file, bits) by bucket of the positions."""
+    file_bits(spark.read.parquet(entries_path)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(index_path)
 
 
 def literal_grams(query: str) -> list[str]:
