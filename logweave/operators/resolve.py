@@ -118,10 +118,15 @@ def _snippet(parts: Column, line: Column, context: int) -> Column:
 
 
 def _texts(sources: DataFrame) -> DataFrame:
-    """One text per source path: of a path in several roots, that of the first registered one."""
+    """One text per source path: of a path in several roots, that of the first registered one.
+
+    Texts are dealt out by path before they are aggregated: below the exchange an aggregate would sort all texts that a task
+    reads or renders.  The number of partitions is given, as they would be merged by their size as compressed."""
+    dealt = sources.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_path")
     if "repo_order" not in sources.columns:
-        return sources.groupBy("source_path").agg(F.min("text").alias("text"))
-    return sources.groupBy("source_path").agg(F.min_by("text", F.struct("repo_order", "text")).alias("text"))
+        return dealt.groupBy("source_path").agg(F.min("text").alias("text"))
+    first = dealt.groupBy("source_path").agg(F.min(F.struct("repo_order", "text")).alias("first"))
+    return first.select("source_path", F.col("first.text").alias("text"))
 
 
 def attach_snippet(resolved: DataFrame, sources: DataFrame, context: int = SNIPPET_CONTEXT) -> DataFrame:

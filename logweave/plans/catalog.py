@@ -545,7 +545,9 @@ def q_files_times(spark, sf_dir):
 def q_source_windows(spark, sf_dir):
     """Sources of 40 lines, asked for at both ends, in the middle, behind the end and whole."""
     line = F.element_at(F.array(*map(F.lit, [1, 3, 20, 38, 40, 60, None])), (F.col("p_partkey") % 7 + 1).cast("int"))
-    src = render.part_sources(table(spark, sf_dir, "part").withColumn("line", line), lines=40, keep=("line",))
+    # Part keys are far smaller than the sources made of them, so many of them may be in one split.
+    part = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    src = render.part_sources(part.withColumn("line", line), lines=40, keep=("line",))
     asked = src.select("source_path", "line")
     return RS.source_window(asked, src).select("source_path", F.col("target_line").cast("long").alias("target_line"), "total_lines",
                                                F.col("start_line").cast("long").alias("start_line"),
