@@ -27,7 +27,7 @@ from logweave.sources.files import file_metadata as _file_metadata
 from logweave.sources.files import skip_registered as _skip_registered
 from logweave.sources.lines import read_lines
 from logweave.sources.ends import detect_file_formats, file_times
-from logweave.sources.named import write_named_files
+from logweave.sources.named import write_named_files, write_named_lines
 from logweave.sources.sinks import open_index, page_at, read_entries, write_directory, write_entries, write_index
 from logweave.sources.textindex import search_stored, write_text_index
 from logweave.operators import artifacts as AR
@@ -129,16 +129,18 @@ def q_file_metadata(spark, sf_dir):
 
 # ----------------------------------------------------------------- real files
 
-FILE_RE = "/log=([^/]+)/"
+FILE_RE = r"/log=([^/]+)\.txt$"
+NO_LOG = "__HIVE_DEFAULT_PARTITION__"  # the log of lines without a path, named as Spark names it
+LOG_FOLDERS = 64  # that the logs are dealt out to
 
 
 def _write_logs(spark, sf_dir):
     """R1 as text files, one per log, below folders with a blank and a '+' in
     their names; returns the root folder."""
     root = scratch_path(spark, f"rendered logs+{uuid.uuid4().hex[:12]}")
-    (r1_lines(spark, sf_dir).withColumnRenamed("file_path", "log").repartition("log")
-     .sortWithinPartitions("log", "line_number").select("log", "value")
-     .write.option("compression", "none").partitionBy("log").text(root))
+    folder = F.pmod(F.xxhash64("file_path"), F.lit(LOG_FOLDERS)).cast("string")
+    path = F.concat(F.lit("logs "), folder, F.lit("/log="), F.coalesce("file_path", F.lit(NO_LOG)), F.lit(".txt"))
+    write_named_lines(r1_lines(spark, sf_dir).select(path.alias("path"), "line_number", "value"), root)
     return root
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from logweave.sources.sinks import materialize
 
 BATCH = 10_000
-FOLDERS_A_TASK = 16
+FOLDERS_A_TASK = 128
 ENTRIES = "file_path string, is_folder boolean, size_bytes long, modified timestamp"
 
 
