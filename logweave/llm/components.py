@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logweave.llm.common import stored
 
 
+def _counted(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stored links with their number and the sum of their hashes, which are added up as they are written: a job less
+    than to read them again."""
+    seen = Observation()
+    written = stored(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("hashes")), "links")
+    return written, (seen.get["n"], seen.get["hashes"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node that can be reached.
 
@@ -16,11 +24,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of (large star: its larger neighbours; small star: its smaller ones), so
     the number of rounds grows with the logarithm of the longest chain.  A
     node's neighbours are aggregated, never gathered, and each round is stored
-    in the shared folder.  No edges give no rows.
+    in the shared folder.  A round that leaves its links as they were is the
+    last, so links that are stars already take one.  No edges give no rows.
     """
     links = (edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
              .where("v <> u").distinct())
-    links, before = stored(links, "links"), None
+    links, before = _counted(links)
     for _ in range(max_rounds):
         both = links.select("v", "u").unionAll(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -29,8 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (large.join(small_least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
                  .unionAll(small_least.select("v", F.col("m").alias("u"))).where("v <> u").distinct())
-        links = stored(small, "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+        links, now = _counted(small)
         if now == before:
             break
         before = now

@@ -51,13 +51,21 @@ def _scores(tokens: DataFrame, weights: DataFrame, domains: list[str], *keys: st
     return per_doc.select("doc_id", "text_hash", *keys, (F.col("all_tokens") / F.col("rows")).cast("long").alias("n_tokens"), "rows", *mean)
 
 
-def _posterior(prior: dict[str, float], temperature: float) -> list[Column]:
+def _posterior(prior: dict[str, float], temperature: float | Column) -> list[Column]:
     logits = [F.lit(float(np.log(p))) + temperature * F.col(f"s{i}") for i, p in enumerate(prior.values())]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
     powers = [F.exp(x - top) for x in logits]
     return [x / sum(powers[1:], powers[0]) for x in powers]
 
 
+def _losses(held: DataFrame, prior: dict[str, float]) -> DataFrame:
+    """(t, loss) of each temperature.  A row per document and temperature, so that the plan has one expression for all."""
+    tried = held.withColumn("t", F.explode(F.array(*map(F.lit, TEMPERATURES))))
+    p = _posterior(prior, F.col("t"))
+    own = F.coalesce(*[F.when(F.col("domain") == d, p[i]) for i, d in enumerate(prior)])
+    return tried.groupBy("t").agg(F.coalesce(F.sum(-F.log(F.greatest(own, F.lit(1e-12)))), F.lit(0.0)).alias("loss"))
+
+
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], train_rows: int = 5000) -> DataFrame:
     """(doc_id, text_hash, n_tokens, rows, p0, p1, ...): the domains' posteriors of every document.
 
@@ -75,12 +83,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], train_row
     mean = sum(logs[1:], logs[0]) / len(logs)
     weights = counts.select("bucket", *[(x - mean).alias(f"w{i}") for i, x in enumerate(logs)])
     held = _scores(labelled.where("tunes"), weights, domains, "domain")
-    losses = []
-    for t in TEMPERATURES:
-        p = _posterior(prior, t)
-        own = F.coalesce(*[F.when(F.col("domain") == d, p[i]) for i, d in enumerate(domains)])
-        losses.append(F.coalesce(F.sum(-F.log(F.greatest(own, F.lit(1e-12)))), F.lit(0.0)))
-    loss = held.agg(*[x.alias(f"t{i}") for i, x in enumerate(losses)]).first()
+    losses = {r["t"]: r["loss"] for r in _losses(held, prior).collect()}  # a row per temperature
+    loss = [losses.get(t, 0.0) for t in TEMPERATURES]
     temperature = TEMPERATURES[int(np.argmin(loss))]
     scored = _scores(_tokens(docs), weights, domains)
     return scored.select("doc_id", "text_hash", "n_tokens", "rows",

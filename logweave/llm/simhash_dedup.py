@@ -134,13 +134,18 @@ def _masks(bits: list[int], max_distance: int) -> list[int]:
     return [sum(1 << b for b in segment if b != out) for segment in _segments(bits, max_distance) for out in segment]
 
 
+def _rooted(rows: DataFrame, least: Column, max_distance: int) -> DataFrame:
+    """fp, least (the smallest ``least`` of its rows) and root (the component's smallest fingerprint) of every fingerprint."""
+    prints = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(least).alias("least"))
+    roots = connected_components(fingerprint_links(prints, max_distance))
+    return (prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """doc_id, text_hash, fp, root (the component's smallest fingerprint) and component_id (smallest doc_id reachable)."""
     rows = stored(fingerprints(docs, shingle), "simhash")
-    prints = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    roots = connected_components(fingerprint_links(prints, max_distance))
-    grouped = (prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    grouped = _rooted(rows, F.col("doc_id"), max_distance)
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(grouped.select("fp", "root").join(smallest, "root"), "fp").select(
         "doc_id", "text_hash", "fp", "root", "component_id")
@@ -149,8 +154,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4) ->
 def one_of_each(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """The rows, with all their columns, that stay: of each component the one with the smallest (doc_id, text hash);
     a row without an id only where all its component's rows have none."""
-    found = near_duplicates(docs, shingle, max_distance)
-    keep = (found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("kept"))
+    rows = stored(fingerprints(docs, shingle), "simhash")
+    # The smallest row of a component is that of its fingerprints' smallest rows.
+    grouped = _rooted(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"), max_distance)
+    keep = (grouped.groupBy("root").agg(F.min("least").alias("kept"))
             .select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__text")))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["__id"]) & (marked["__hash"] == keep["__text"]), "left_semi")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logweave.llm import mixing as M
@@ -67,3 +68,19 @@ def test_edges(spark):
     assert all(r.rate == 1 and r.copies == 1 for r in got if not r.n_tokens)
     assert M.mix(docs.limit(0), marks, {"x": .5, "y": .5}).count() == 0
     assert M.mix(docs, marks.limit(0), {"x": 1, "y": 1}).count() == 5
+
+
+def test_temperatures_do_not_lengthen_the_plan(spark, monkeypatch):
+    held = spark.createDataFrame([("a", 1.0, -1.0), ("b", -0.5, 0.5), ("b", 0.0, 0.0)], "domain string, s0 double, s1 double")
+    prior = {"a": 0.4, "b": 0.6}
+    plan = lambda: len(M._losses(held, prior)._jdf.queryExecution().optimizedPlan().toString())
+    got = {r.t: r.loss for r in M._losses(held, prior).collect()}
+    for t in M.TEMPERATURES:
+        want = 0.0
+        for r in held.collect():
+            power = [math.exp(math.log(p) + t * s) for p, s in zip(prior.values(), (r.s0, r.s1), strict=True)]
+            want -= math.log(max(power[list(prior).index(r.domain)] / sum(power), 1e-12))
+        assert got[t] == pytest.approx(want)
+    before = plan()
+    monkeypatch.setattr(M, "TEMPERATURES", tuple(range(1, 100)))
+    assert plan() < before + 1000

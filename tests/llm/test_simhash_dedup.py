@@ -120,3 +120,25 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected_components(edges).collect()
     assert len(got) == 201 and {r.root for r in got} == {0}
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    """Links that are settled are stored once and by one round."""
+    from logweave.llm import components as C
+    names = []
+    store = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: names.append(name) or store(df, name))
+    edges = spark.createDataFrame([(5, 1), (1, 5), (9, 1), (8, 2), (4, 4)], "a long, b long")
+    got = connected_components(edges)
+    assert len(names) == 2
+    assert sorted((r.node, r.root) for r in got.collect()) == [(1, 1), (2, 2), (5, 1), (8, 2), (9, 1)]
+    assert connected_components(edges.where("a = b")).count() == 0
+
+
+def test_one_of_each_shuffles_its_rows_once(spark):
+    """The fingerprinted rows are aggregated by fingerprint and not joined again."""
+    docs = spark.createDataFrame([(3, "a b c d e f"), (None, "a b c d e f"), (7, "zz yy xx ww vv"), (3, "a  b c d e f")], "doc_id long, text string")
+    kept = S.one_of_each(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # with the roots, and with the documents
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 7]
