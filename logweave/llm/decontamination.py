@@ -187,6 +187,7 @@ def item_forms(benchmark: DataFrame) -> DataFrame:
     first = F.when(F.col("form") == 1, F.col("item_place")).otherwise(F.get("begins", F.col("item_place")))
     found = found.withColumn("first", first).withColumn(
         "last", F.when(F.col("form") == 1, F.col("first")).otherwise(F.greatest(F.col("first"), F.col("first") + words - WINDOW))).drop("begins")
+    found = stored(found, "item-forms")  # read four times below; the plan has the typing once
     enough = F.size(F.filter(F.split("item_template", " "), lambda t: ~_slot(t))) >= LITERALS
     text = ["item_id", "item_hash"]
     same = lambda keys: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
@@ -304,6 +305,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broad
         hits = hits.withColumn("slots", F.filter(F.transform("slots", lambda s, i: F.struct(
             (F.col("item_place") + i).alias("at"), s["type"].alias("type"), s["theirs"].alias("theirs"), s["own"].alias("own"))),
             lambda s: _slot(s["type"])))
+        hits = stored(hits, "item-hits")  # read twice below; texts are typed once
         covered = (_agreeing(hits, [*item, "form", "shift"]).select(*item, "windows", F.explode(F.sequence("first", "last")).alias("place")).distinct()
                    .groupBy(*item, "windows").agg(F.count("*").alias("matched")))
         return _over(covered, share)

@@ -189,11 +189,14 @@ def ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
         rows.repartitionByRange(*order).sortWithinPartitions(*order)
         .select("*", F.spark_partition_id().alias("__range"),
                 F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__place")), "resample-ranges")
-    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.select("__range", F.coalesce(F.sum("__n").over(  # one row per range, as many as shuffle partitions
-        Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(before), "__range").withColumn(
-        rank, F.col("__before") + F.col("__place") + 1).drop("__range", "__place", "__before")
+    # A count per range, as many as shuffle partitions; one literal holds the counts before each, however often ranks are read.
+    sizes = {r["__range"]: r["n"] for r in placed.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    before, counts = 0, []
+    for i in range(max(sizes, default=0) + 1):
+        counts.append(before)
+        before += sizes.get(i, 0)
+    known = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<long>")
+    return placed.withColumn(rank, F.get(known, F.col("__range")) + F.col("__place") + 1).drop("__range", "__place")
 
 
 def draw(scored: DataFrame, percent: int = 10, least_words: int = 20) -> DataFrame:

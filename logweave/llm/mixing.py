@@ -23,7 +23,7 @@ rates can meet are met as nearly as least squares does.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logweave.llm.common import stored
@@ -91,6 +91,14 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], train_row
                          *[x.alias(f"p{i}") for i, x in enumerate(_posterior(prior, temperature))])
 
 
+def _sums(rows: DataFrame, terms: list[Column]) -> np.ndarray:
+    """The sums of ``terms``, added up as the rows are gone through: one job without a shuffle; nothing is written."""
+    seen = Observation()
+    rows.select(*[x.cast("double").alias(f"t{i}") for i, x in enumerate(terms)]).observe(
+        seen, *[F.sum(f"t{i}").alias(f"s{i}") for i in range(len(terms))]).write.format("noop").mode("overwrite").save()
+    return np.array([seen.get[f"s{i}"] for i in range(len(terms))], float)
+
+
 def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-3, max_steps: int = 60,
               store_every: int = 10) -> DataFrame:
     """Adds ``rate``.  ``soft``: n_tokens, rows and p0, p1, ...; ``targets``: weights, or shares, of the domains.
@@ -134,8 +142,7 @@ def fit_rates(soft: DataFrame, targets: list[float], tolerance: float = 1e-3, ma
         at = sums + ahead * (sums - before)
         history.append((inverse @ ((at - goal) / np.sqrt(goal)) / np.sqrt(goal), ahead))
         momentum = following
-        got = after(history).agg(*[F.sum(size * F.col(f"p{i}") * F.col("rate")) for i in range(n)]).first()
-        before, sums = sums, np.array(got, float)
+        before, sums = sums, _sums(after(history), [size * F.col(f"p{i}") * F.col("rate") for i in range(n)])
         if len(history) == store_every:
             state, history = stored(after(history), "mixing-rates"), []
     return after(history).drop("last")

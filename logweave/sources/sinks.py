@@ -144,8 +144,8 @@ def drop_index(spark: SparkSession, table: str, repo_label: str) -> None:
 
 
 def materialize(df: DataFrame, name: str | None = None, partition_by=()) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back (lineage cut)."""
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back (lineage cut); its schema is known, so no job looks for it."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name or 'table'}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

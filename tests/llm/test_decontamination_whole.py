@@ -98,3 +98,15 @@ def test_items_without_needed_words_are_found(spark):
     docs = spark.createDataFrame([(1, "x Paris 4 Rome 5 Oslo 6 Lima 7 y"), (2, MARIA), (3, None), (4, "")], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items, whole=True).collect()} == {(1, 1), (2, 2)}
     assert D.contaminated(docs, items.limit(0), whole=True).count() == 0
+
+
+def test_windows_are_typed_once(spark):
+    """The windows of the items and the matches are stored before they are used again, so no plan types a text twice."""
+    items = spark.createDataFrame([(1, "Alice had 12 apples and gave three of them to her brother Bob yesterday")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "so: Alice had 15 apples and gave three of them to her brother Tom yesterday ok"), (8, "nothing at all")],
+                                 "doc_id long, text string")
+    typing = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+    assert typing(D.item_forms(items)) == 0
+    found = D.contaminated(docs, items, whole=True)
+    assert typing(found) == 0
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(7, 1)]

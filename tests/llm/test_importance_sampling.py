@@ -105,3 +105,13 @@ def test_ranks_of_a_hot_score_come_from_many_ranges(spark):
     found = S.ranked(rows.repartition(7), [F.col("score").desc(), F.col("doc_id").asc()], "rank").collect()
     assert [r.doc_id for r in sorted(found, key=lambda r: r["rank"])] == sorted(range(5000), key=lambda i: (i % 50 > 0, i))
     assert {r["rank"] for r in found} == set(range(1, 5001))
+
+
+def test_ranks_are_counted_once(spark):
+    """The ranges' places are a literal, so that each use of the ranks does not count, sort and broadcast them again."""
+    rows = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)] + [(None, "y")], "a long, b string")
+    got = S.ranked(rows, [F.col("a").desc()], "rank")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.a for r in sorted(got.collect(), key=lambda r: r["rank"])] == [*range(100, -1, -1), None]
+    assert sorted(r["rank"] for r in got.collect()) == list(range(1, 103))
+    assert S.ranked(rows.where("false"), [F.col("a").asc()], "rank").count() == 0

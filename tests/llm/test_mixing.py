@@ -84,3 +84,15 @@ def test_temperatures_do_not_lengthen_the_plan(spark, monkeypatch):
     before = plan()
     monkeypatch.setattr(M, "TEMPERATURES", tuple(range(1, 100)))
     assert plan() < before + 1000
+
+
+def test_a_step_is_one_job(spark):
+    """The sums of a step are added up as the rows are gone through: no shuffle and no second job."""
+    rows = spark.range(0, 100, 1, 4).selectExpr("id as n_tokens", "cast(id as double) as p0", "cast(null as double) as p1")
+    spark.sparkContext.setJobGroup("mixing-sums", "")
+    try:
+        got = M._sums(rows, [F.col("n_tokens") * F.col("p0"), F.lit(2), F.col("p1")])
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("mixing-sums")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(got[:2]) == [sum(i * i for i in range(100)), 200.0] and math.isnan(got[2])

@@ -212,3 +212,19 @@ def test_formats_and_times_from_ends_equal_a_whole_read(spark, tmp_path):
     big = max(found.collect(), key=lambda r: r.size_bytes)
     assert big.size_bytes > 300_000 and read[big.file_path] <= 4 * ends.BLOCK
 
+
+
+def test_materialize_is_one_job(spark):
+    """The schema of a stored table is known, so no job reads it from the files."""
+    from pyspark.sql import functions as F
+    from logweave.sources.sinks import materialize
+    rows = spark.range(0, 10, 1, 2).select("id", F.lit(None).cast("string").alias("t"), F.array(F.struct(F.lit(1).alias("x"))).alias("a"))
+    spark.sparkContext.setJobGroup("one-job", "")
+    try:
+        got = materialize(rows, "one-job")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-job")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.dtypes == rows.dtypes and all(f.nullable for f in got.schema)
+    assert sorted(r.id for r in got.collect()) == list(range(10))
+    assert materialize(rows.where("false"), "one-job").count() == 0
