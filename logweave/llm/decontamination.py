@@ -293,7 +293,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broad
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     if whole and needed is not None:
         rows = _holding(rows, needed)
-    hits = _windows(rows, whole).join(wanted, ["hash", *forms])
+    found = _windows(rows, whole)
+    if whole:  # the hits are read twice below; texts are typed once
+        found = stored(found.join(wanted, ["hash", *forms], "left_semi"), "matched-windows")
+    hits = found.join(wanted, ["hash", *forms])
     slots = F.zip_with(F.arrays_zip(F.split("template", " ").alias("type"), F.col("item_raw").alias("theirs")), F.col("raw"),
                        lambda t, own: F.struct(t["type"].alias("type"), t["theirs"].alias("theirs"), own.alias("own")))
     hits = hits.where(F.col("template") == F.col("item_template")).select(
@@ -305,7 +308,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = .8, broad
         hits = hits.withColumn("slots", F.filter(F.transform("slots", lambda s, i: F.struct(
             (F.col("item_place") + i).alias("at"), s["type"].alias("type"), s["theirs"].alias("theirs"), s["own"].alias("own"))),
             lambda s: _slot(s["type"])))
-        hits = stored(hits, "item-hits")  # read twice below; texts are typed once
         covered = (_agreeing(hits, [*item, "form", "shift"]).select(*item, "windows", F.explode(F.sequence("first", "last")).alias("place")).distinct()
                    .groupBy(*item, "windows").agg(F.count("*").alias("matched")))
         return _over(covered, share)
