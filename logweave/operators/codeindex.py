@@ -13,11 +13,17 @@ with the log volume.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.text import py_strip
+from logweave.sources.listing import file_system, list_trees, located, skipped
 from logweave.sources.paths import below, scanned_path
+from logweave.sources.texts import read_texts
 
 # Directories never indexed, the package declaration rule.
 EXCLUDED_DIRS = ["target", "build", ".git", "node_modules"]
@@ -26,21 +32,43 @@ PACKAGE_RE = r"(?mU)^\s*package\s+([\w.]+)\s*;"
 
 # ----------------------------------------------------------------- S6 / S7
 
+def _unread(name: str) -> bool:
+    """What Spark's readers leave out below a root: ``listing.skipped`` but for folders of this beginning."""
+    return skipped(name) and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _opened(spark: SparkSession, root: str) -> bool:
+    """Whether ``root`` is one folder of a file system that pyarrow opens."""
+    try:
+        return not re.search(r"[*?\[{\\]", root) and bool(file_system(located(spark, root)[0]))
+    except (pa.ArrowException, OSError):
+        return False
+
+
 def read_sources(spark: SparkSession, repos: list[tuple[str, str]]) -> DataFrame:
-    """Every ``*.java`` file below each repository root, as whole text.
+    """Every ``*.java`` file below each repository root that is not empty, as whole text.
 
-    ``repos`` is the registration-ordered list of ``(label, root path)``.
+    ``repos`` is the registration-ordered list of ``(label, root path)``.  The trees are listed and read on the executors
+    (``sources.listing``, eager; ``sources.texts``); roots with patterns and those of file systems that only Spark opens are
+    read by its text source.
     """
-    out = None
-    for order, (label, root) in enumerate(repos):
-        df = (spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.java")
-              .select(F.lit(label).alias("repo_label"), F.lit(root).alias("repo_path"),
-                      F.lit(order).alias("repo_order"),
-                      scanned_path().alias("source_path"), F.col("value").alias("text")))
-        out = df if out is None else out.unionByName(df)
-    if out is None:
+    if not repos:
         raise ValueError("no repositories given")
-    return out
+    columns = lambda order, label, root, path: [
+        label.alias("repo_label"), root.alias("repo_path"), order.alias("repo_order"), path.alias("source_path"), "text"]
+    found, rest = [], []
+    for order, repo in enumerate(repos):
+        (found if _opened(spark, repo[1]) else rest).append((order, *repo))
+    out = []
+    if found:
+        files = (list_trees(spark, [root for _, _, root in found], _unread)
+                 .where(F.col("file_path").endswith(".java") & (F.col("size_bytes") > 0) & ~F.col("file_path").rlike("/_[^=/]*$")))
+        order, label, root = (F.element_at(F.array(*map(F.lit, c)), F.col("tree") + 1) for c in zip(*found))
+        out.append(read_texts(files).select(*columns(order, label, root, F.col("file_path"))))
+    for order, label, root in rest:
+        df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.java").withColumnRenamed("value", "text")
+        out.append(df.select(*columns(*map(F.lit, (order, label, root)), scanned_path())))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _json_objects(spark: SparkSession, path: str) -> DataFrame:

@@ -493,9 +493,10 @@ def q_features_from_json(spark, sf_dir):
 def q_files_class_index(spark, sf_dir):
     """The rendered sources as a tree of .java files (excluded folders included), read and indexed."""
     root = scratch_path(spark, f"trees-{uuid.uuid4().hex[:12]}")
-    src = r3_sources(spark, sf_dir)
-    notes = src.select(F.concat("source_path", F.lit(".txt")).alias("path"), "text")  # not Java
-    write_named_files(src.select(F.col("source_path").alias("path"), "text").unionByName(notes), root)
+    # Parts are far smaller than the files made of them, so many of them may be in one split.
+    part = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    paths = F.array("source_path", F.concat("source_path", F.lit(".txt")))  # the second is not Java
+    write_named_files(render.part_sources(part).select(F.explode(paths).alias("path"), "text"), root)
     found = CI.class_index(CI.read_sources(spark, [(f"repo-{k}", f"{root}/repo-{k}") for k in (0, 1)]))
     return found.select("repo_label", F.col("repo_order").cast("long").alias("repo_order"), "fqcn",
                         F.regexp_extract("source_path", "(repo-[01]/m.*)$", 1).alias("source_path"), "line_count")

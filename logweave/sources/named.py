@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -27,6 +27,10 @@ class Written(WriterCommitMessage):
     files: int
 
 
+#: Folders that a task remembers to have made.
+FOLDERS_KEPT = 10_000
+
+
 class Folder:
     """The folder that one task writes into, a file after the other; a file has its name once it is whole."""
     def __init__(self, root: str):
@@ -43,9 +47,11 @@ class Folder:
         folder, last = posixpath.split(self.path)
         if folder not in self.made:
             self.system.create_dir(folder, recursive=True)
+            if len(self.made) >= FOLDERS_KEPT:
+                self.made.clear()
             self.made.add(folder)
         self.aside = posixpath.join(folder, f".{last}._COPYING_")
-        self.out = self.system.open_output_stream(self.aside)
+        self.out = self.system.open_output_stream(self.aside, compression=None)
 
     def close(self) -> None:
         if self.out is not None:
@@ -54,15 +60,16 @@ class Folder:
             self.out, self.files = None, self.files + 1
 
 
-class NamedFilesWriter(DataSourceWriter):
+class NamedFilesWriter(DataSourceArrowWriter):
     def __init__(self, root: str):
         self.root = root
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         folder = Folder(self.root)
-        for row in rows:
-            folder.open(row["path"])
-            folder.out.write((row["text"] or "").encode())
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").cast(pa.binary())):
+                folder.open(path)
+                folder.out.write(text.as_buffer() or b"")
         folder.close()
         return Written(folder.files)
 
@@ -114,7 +121,9 @@ class NamedFiles(DataSource):
 
 
 def write_named_files(files: DataFrame, root: str) -> None:
-    """Write ``files(path, text)``: one file per row below ``root``; a null text is an empty file.  Paths must be distinct."""
+    """Write ``files(path, text)``: one file per row below ``root``; a null text is an empty file.  Paths must be distinct.
+    A partition's files are written by one task, one after the other: many small files need many partitions, and those of a
+    folder are best in one."""
     files.sparkSession.dataSource.register(NamedFiles)
     files.select("path", "text").write.format("named_files").mode("append").option("root", root).save()
 
